@@ -10,6 +10,7 @@ table gives an empty result. Columns other than the text are carried along untou
 
 from __future__ import annotations
 
+import operator
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -28,8 +29,8 @@ MIN_WORDS = 20
 #: Most words in repeated windows, in per cent.
 MAX_REPEATED = 30
 WINDOW = 8
-#: Most symbols for each word, exclamation marks for each word, capital share of cased letters, share of repeated lines.
-MAX_SYMBOLS, MAX_SHOUTS, MAX_CAPITALS, MAX_DUP_LINES = 0.1, 0.25, 0.7, 0.3
+#: Most symbols for each word, words like the one before, exclamation marks for each word, capital share of cased letters, share of repeated lines.
+MAX_SYMBOLS, MAX_STUTTER, MAX_SHOUTS, MAX_CAPITALS, MAX_DUP_LINES = 0.1, 0.2, 0.25, 0.7, 0.3
 #: Mean characters in a word.
 WORD_CHARS = (2.0, 20.0)
 #: Least share of words with a letter.
@@ -112,6 +113,10 @@ def repeats_itself(t: Text) -> bool:
     return 100 * t.repeated > MAX_REPEATED * len(t.words)
 
 
+def stutters(t: Text) -> bool:
+    return sum(map(operator.eq, t.words, t.words[1:])) > MAX_STUTTER * len(t.words)
+
+
 def too_many_symbols(t: Text) -> bool:
     return t.symbols > MAX_SYMBOLS * len(t.words)
 
@@ -144,7 +149,7 @@ def few_letters(t: Text) -> bool:
 
 Rule = Callable[[Text], bool]
 BASE: tuple[Rule, ...] = (too_few_words, repeats_itself)
-RULES: tuple[Rule, ...] = (*BASE, too_many_symbols, shouts, mostly_capitals, odd_word_length, repeated_lines, few_letters)
+RULES: tuple[Rule, ...] = (*BASE, stutters, too_many_symbols, shouts, mostly_capitals, odd_word_length, repeated_lines, few_letters)
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[dict]:
