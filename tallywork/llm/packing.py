@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +24,24 @@ from tallywork.llm.common import stored
 
 WINDOW = 2048
 END = 1
-#: Bytes of ids in a batch sent back to Spark.
-BATCH_BYTES = 4 << 20
 #: Words whose ids a worker remembers; beyond that it forgets all. This bounds memory and alters no result.
 REMEMBERED = 600_000
+#: Characters of texts that are tokenized together.
+TOGETHER = 1 << 20
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: Not letters, digits, blanks or apostrophes, which can start a contraction.
+PUNCTUATION = ",.;:!?%*#&$|()[]{}\"-"
 
 _tokenizers: dict[str, "Words"] = {}
 
 
 class Words:
-    """Ids of a text by a byte-level tokenizer, put together from the ids of its words.
+    """Ids of texts by a byte-level tokenizer, put together from the ids of their words.
 
     Such a tokenizer never joins what a single space between two non-blanks separates: the space goes with what follows.
-    So a text may be cut there, and each distinct word needs to be tokenized once only.
+    So a text may be cut there, and each distinct word needs to be tokenized once only. Neither does it join letters to
+    punctuation after them, so letters with punctuation follow from the two parts.
     """
 
     def __init__(self, file: str):
@@ -43,28 +49,63 @@ class Words:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(file)
+        vocabulary = self.inner.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.known: dict[str, bytes] = {}
-        self.twice = re.compile(r"\s\s|^\s|\s$")
+        self.tails: dict[str, bytes] = {}
+        self.double = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        first, *rest = self.cut.split(text) if self.twice.search(text) else text.split(" ")
-        known = self.known
-        try:
-            return b"".join([*self.raw([first]), *[known[w] for w in rest]])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in dict.fromkeys(rest) if w not in known]
-            for k in range(0, len(new), 1000):
-                known.update(zip(new[k : k + 1000], self.raw([" " + w for w in new[k : k + 1000]]), strict=True))
-            return b"".join([*self.raw([first]), *[known[w] for w in rest]])
+    def raw_words(self, words: list[str]) -> list[bytes]:
+        """What a space and each word of letters give: one text of all, cut where tokens begin with the space."""
+        if not words:
+            return []
+        ids = np.array(self.inner.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4")
+        begins = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+        if len(begins) != len(words):
+            return self.raw([" " + w for w in words])
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip(begins, [*begins[1:], len(data)], strict=True)]
+
+    def learn(self, words: set[str]) -> None:
+        """Makes known what a space and each of the words give."""
+        known, tails = self.known, self.tails
+        if len(known) > REMEMBERED:
+            known.clear()
+        composed, cores, odd = [], set(), []
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha():
+                cores.add(core)
+                if core != w:
+                    composed.append((w, core, w[len(core) :]))
+            else:
+                odd.append(w)
+        new = [c for c in cores if c not in known]
+        for k in range(0, len(new), 1000):
+            known.update(zip(new[k : k + 1000], self.raw_words(new[k : k + 1000]), strict=True))
+        known.update(zip(odd, self.raw([" " + w for w in odd]), strict=True))
+        rest = list({t for _, _, t in composed if t not in tails})
+        tails.update(zip(rest, self.raw(rest), strict=True))
+        for w, core, tail in composed:
+            known[w] = known[core] + tails[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        odd = lambda t: t[:1].isspace() or t[-1:].isspace() or self.double.search(t)
+        split = [self.cut.split(t) if odd(t) else t.split(" ") for t in texts]
+        out = [[x, *map(self.known.get, s[1:])] for x, s in zip(self.raw([s[0] for s in split]), split, strict=True)]
+        open_ = [(x, s, [k for k, ids in enumerate(x) if ids is None]) for x, s in zip(out, split, strict=True) if None in x]
+        if open_:
+            self.learn({s[k] for _, s, at in open_ for k in at})
+            for x, s, at in open_:
+                for k in at:
+                    x[k] = self.known[s[k]]
+        return list(map(b"".join, out))
 
 
 def tokenizer(file: str) -> Words:
@@ -74,6 +115,13 @@ def tokenizer(file: str) -> Words:
     return _tokenizers[file]
 
 
+def cuts(texts: pa.Array) -> list[int]:
+    """Where to end groups of texts of about TOGETHER bytes, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // TOGETHER
+    return [*(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(sizes)] if len(sizes) else []
+
+
 def tokenized(docs: DataFrame, file: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, part (the task that made it), before (ids of that part before it), n, ids (packed, with the end mark)."""
 
@@ -82,15 +130,13 @@ def tokenized(docs: DataFrame, file: str, end: int = END, key: str = "doc_id", t
 
         words, part, before, mark = tokenizer(file), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
         for b in batches:
-            keys, rows, held = b.column(0), [], 0
-            for k, t in enumerate(b.column(1)):
-                ids = words.ids(t.as_py() or "") + mark
-                rows.append((k, before, len(ids) // 4, ids))
-                before, held = before + len(ids) // 4, held + len(ids)
-                if held > BATCH_BYTES or k == len(keys) - 1:
-                    at, begin, n, packed = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array([part] * len(at), pa.int32()), pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], [key, "part", "before", "n", "ids"])
-                    rows, held = [], 0
+            begin, n = 0, b.column(1)
+            for end_ in cuts(n):
+                packed = [x + mark for x in words.ids([t.as_py() or "" for t in n[begin:end_]])]
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                upto = before + np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([b.column(0)[begin:end_], pa.array(np.full(len(packed), part, np.int32)), pa.array(upto - sizes), pa.array(sizes), pa.array(packed, pa.binary())], [key, "part", "before", "n", "ids"])
+                begin, before = end_, int(upto[-1])
 
     known = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     return known.mapInArrow(encode, f"{key} long, part int, before long, n long, ids binary")
