@@ -27,8 +27,8 @@ def sign_flip(diffs: DataFrame, keys: list[str], n_permutations: int = PERMUTATI
     """
     units = diffs.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"), F.count("*").alias("n_units"), F.avg("diff").alias("mean_diff"))
     exact = F.col("n_units") <= EXACT_UP_TO
-    size = F.when(exact, F.shiftleft(F.lit(1), F.col("n_units").cast("int"))).otherwise(n_permutations)
-    rows = units.withColumn("perm", F.explode(F.sequence(F.lit(0), size - 1)))
+    size = F.when(exact, F.pow(F.lit(2.0), F.col("n_units"))).otherwise(n_permutations).cast("long")
+    rows = units.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
     signed = F.aggregate(
         F.transform(F.col("d"), lambda x, i: x * F.when(exact, F.when(F.floor(F.col("perm") / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1, -1.0).otherwise(1.0)).otherwise(expr.sign(seed, F.col("perm"), i))),
         F.lit(0.0), lambda s, x: s + x,

@@ -165,7 +165,7 @@ SQL = {
       when validation_error is not null then 'grader-rejected' when capped then 'wall-clock' when mem_signal is not null then mem_signal when exit_code <> 0 then 'exit-code' else 'clean-exit' end as signal from found""",
     "checkpoints": "select user_id as run, (date_diff('day', date '2024-01-01', ts::date) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))::bigint as at, max(md5(event_type || '|' || substr(props, 1, 6))) as sha from events group by all",
     "marks": "select run, unnest(range(86400, 86400 * 31, 86400)) as mark from (select distinct run from checkpoints)",
-    "asof": "select run, mark, sha from marks asof join checkpoints on marks.run = checkpoints.run and marks.mark >= checkpoints.at",
+    "marked": "select marks.run, mark, sha from marks asof join checkpoints on marks.run = checkpoints.run and marks.mark >= checkpoints.at",
     "statuses": f"select conv_id as run, 'tests::t' || (turn % 3) as test, replace(arg_max({sql_case(STATUSES, '(turn + conv_id) % 5')}, turn), 'XPASS', 'XFAIL') as status from conversations group by all",
     "probe": """select 'a' || subject as agent, 'task_' || item as item, false as is_clone, avg(medal::int::double) as percentile, avg(medal::int::double) > 0.5 as medal, count(*) % 7 <> 0 as valid, subject = 9 as recalled from runs group by subject, runs.item
       union all select 'a' || subject, 'task_' || item || '__relabel', true, case when subject = 9 then avg(medal::int::double) / 2 else avg(medal::int::double) end, avg(medal::int::double) > 0.6, count(*) % 5 <> 0, false from runs group by subject, runs.item""",
@@ -174,7 +174,7 @@ SQL = {
     "features": "select row, feature, case when (row + feature) % 11 = 0 then null when feature = 2 and row % 97 = 0 then x::double * 1000.0::double else x::double end as x from (select vec_id as row, unnest(range(8)) as feature, unnest(embedding[1:8]) as x from embeddings)",
     "targets": "select vec_id as row, embedding[1]::double * 2.0::double + label::double * 0.001::double as y from embeddings",
 }
-NEEDS = {"cells": ["runs"], "subs0": ["answers"], "subs": ["subs0"], "predictions": ["answers"], "found": ["artifacts"], "triaged": ["found"], "marks": ["checkpoints"], "asof": ["marks"], "probe": ["runs"], "pairs": ["cells"]}
+NEEDS = {"cells": ["runs"], "subs0": ["answers"], "subs": ["subs0"], "predictions": ["answers"], "found": ["artifacts"], "triaged": ["found"], "marks": ["checkpoints"], "marked": ["marks"], "probe": ["runs"], "pairs": ["cells"]}
 
 
 def sql(body: str, *names: str) -> str:

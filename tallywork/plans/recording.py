@@ -52,7 +52,7 @@ def dropped_items(spark: SparkSession, d: str) -> DataFrame:
     return runs.dropped_items(r.where("subject < 5 and item < 15"), r.where("subject >= 5 and item > 4"))
 
 
-@query("select o_orderkey as pair, list_filter([case when o_orderstatus <> o_orderpriority[1:1] then 'split_id: ' || o_orderstatus || ' vs ' || o_orderpriority[1:1] end, case when o_custkey % 2 <> 0 then 'container_config: default vs gpu' end], lambda x: x is not null)::varchar as conflicts from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey as pair, '[' || array_to_string(list_filter([case when o_orderstatus <> o_orderpriority[1:1] then 'split_id: ' || o_orderstatus || ' vs ' || o_orderpriority[1:1] end, case when o_custkey % 2 <> 0 then 'container_config: default vs gpu' end], lambda x: x is not null), ', ') || ']' as conflicts from orders where o_orderkey % 10 = 0")
 def fingerprint_conflicts(spark: SparkSession, d: str) -> DataFrame:
     o = fx.table(spark, d, "orders").where("o_orderkey % 10 = 0")
     known = F.lit("1")
@@ -102,7 +102,7 @@ def saturation_flag(spark: SparkSession, d: str) -> DataFrame:
     return runs.saturated(_standings(spark, d).withColumn("medal_rate", F.least("medal_rate", F.lit(0.5))))
 
 
-@query("select subject + 100 as item, seed, bool_or(medal) and outcome <> 'infra' as medal, outcome = 'infra' as infra_failure from (select subject, seed, medal, case when item = 4 then 'infra' else 'valid' end as outcome, item from runs where item in (4, 5)) where item = case when seed % 2 = 0 then 4 else 5 end group by all", "runs")
+@query("select subject + 100 as item, seed, bool_or(medal) and outcome <> 'infra' as medal, outcome = 'infra' as infra_failure from (select subject, seed, medal, case when item = 4 then 'infra' else 'valid' end as outcome, item from runs where item in (4, 5)) where item = case when seed % 2 = 0 then 4 else 5 end group by subject, seed, outcome", "runs")
 def medals_to_runs(spark: SparkSession, d: str) -> DataFrame:
     r = fx.runs(spark, d).where("item = case when seed % 2 = 0 then 4 else 5 end")
     medals = r.groupBy((F.col("subject") + 100).alias("item"), "seed").agg(F.bool_or("medal").alias("medal"))
@@ -131,7 +131,7 @@ _SCORE = {
 for _name, _sql in _SCORE.items():
     query(f"select run, round({_sql}, 9) as score, null::varchar as error from predictions group by run", "predictions")(_metric(_name))
 query("select run, round(case when max(task) <> 'fr' then sqrt(avg(pow(ln(1 + y) - ln(1 + p), 2))) end, 9) as score, case when max(task) = 'fr' then 'rmsle is undefined here' end as error from predictions group by run", "predictions")(_metric("rmsle"))
-query("select run, round((sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 9) as score, null::varchar as error from (select *, rank() over (partition by run order by p) + (count(*) over (partition by run, p) - 1) / 2.0::double as r from predictions) group by run", "predictions")(_metric("auc"))
+query("select run, round((sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * nullif(count(*) filter (y = 0), 0)), 9) as score, case when count(*) filter (y = 0) = 0 or count(*) filter (y = 1) = 0 then 'auc is undefined here' end as error from (select *, rank() over (partition by run order by p) + (count(*) over (partition by run, p) - 1) / 2.0::double as r from predictions) group by run", "predictions")(_metric("auc"))
 
 
 @query("""with n as (select unnest(range(1, 3000, 7)) as n), raw as (select n, case when n < 100 then floor(n * 0.1::double) when n < 250 then 10 when n < 1000 then 10 + floor(n * 0.002::double) else 10 + floor(n * 0.002::double) end as g, case when n < 100 then floor(n * 0.2::double) when n < 250 then 20 when n < 1000 then 50 else floor(n * 0.05::double) end as s, case when n < 250 then floor(n * 0.4::double) when n < 1000 then 100 else floor(n * 0.1::double) end as b from n)
@@ -273,17 +273,17 @@ def recall_rate(spark: SparkSession, d: str) -> DataFrame:
 # Checkpoints
 
 
-@query("select run, mark, sha from asof", "asof")
+@query("select run, mark, sha from marked", "marked")
 def asof_marks(spark: SparkSession, d: str) -> DataFrame:
     return ck.as_of(fx.checkpoints(spark, d), fx.marks(spark, d))
 
 
-@query("select run, mark, sha from (select *, lag(sha) over (partition by run order by mark) as was from asof) where was is null or was <> sha", "asof")
+@query("select run, mark, sha from (select *, lag(sha) over (partition by run order by mark) as was from marked) where was is null or was <> sha", "marked")
 def skip_unchanged(spark: SparkSession, d: str) -> DataFrame:
     return ck.changed(asof_marks(spark, d))
 
 
-@query("select run, max(mark) as last, count(*) as n from (select *, lag(sha) over (partition by run order by mark) as was from asof) where was is null or was <> sha group by run order by 2 desc, 1 limit 30", "asof")
+@query("select run, max(mark) as last, count(*) as n from (select *, lag(sha) over (partition by run order by mark) as was from marked) where was is null or was <> sha group by run order by 2 desc, 1 limit 30", "marked")
 def last_change_topk(spark: SparkSession, d: str) -> DataFrame:
     return ck.last_changes(skip_unchanged(spark, d))
 
