@@ -48,7 +48,7 @@ def fitted_distributed(cells: DataFrame, iterations: int = 30, tolerance: float
     it = 0
     for it in range(1, iterations + 1):
 
-        def expected(batches: Iterator[pd.DataFrame], a=a, d=d) -> Iterator[pd.DataFrame]:
+        def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             r, f = np.zeros((len(items), len(x))), np.zeros((len(items), len(x)))
             for pdf in batches:
                 s, n = np.zeros((len(pdf), len(items))), np.zeros((len(pdf), len(items)))
@@ -62,7 +62,7 @@ def fitted_distributed(cells: DataFrame, iterations: int = 30, tolerance: float
 
         sums = by_subject.mapInPandas(expected, "item long, node int, r double, f double").groupBy("item", "node").agg(F.sum("r").alias("r"), F.sum("f").alias("f"))
 
-        def step(key: tuple, pdf: pd.DataFrame, a=a, d=d) -> pd.DataFrame:
+        def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("node")
             k = place[key[0]]
             a2, d2 = kernels.newton(pdf["r"].to_numpy()[None, :], pdf["f"].to_numpy()[None, :], x, a[k : k + 1], d[k : k + 1])

@@ -20,14 +20,14 @@ def run_sets(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("fingerprint")
     label = F.coalesce("label", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1))
     split = F.when(f["split_id"].isNull(), F.raise_error(F.concat(label, F.lit(": fingerprint.split_id is missing")))).otherwise(f["split_id"])
-    known = docs.select(label.alias("run_set"), F.struct(split.alias("split_id"), F.coalesce(f["container_config"], F.lit("default")).alias("container_config"), F.coalesce(f["harness_version"], F.lit("unknown")).alias("harness_version")).alias("fingerprint"), F.explode("runs").alias("r"))
+    known = docs.select(label.alias("run_set"), F.named_struct(F.lit("split_id"), split, F.lit("container_config"), F.coalesce(f["container_config"], F.lit("default")), F.lit("harness_version"), F.coalesce(f["harness_version"], F.lit("unknown"))).alias("fingerprint"), F.explode("runs").alias("r"))
     flat = known.select("run_set", "fingerprint", F.col("r.competition_id").alias("item"), "r.seed", "r.medal", "r.any_medal", "r.infra_failure")
     return flat.select("run_set", "fingerprint", "item", F.coalesce("seed", F.lit(0)).alias("seed"), F.coalesce("any_medal", "medal", F.lit(False)).alias("medal"), F.coalesce("infra_failure", F.lit(False)).alias("infra_failure"))
 
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:
     """pre, post, place of a JSON array of pairs; an empty one is an error."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("place", "p")).select("place", F.col("p")[0].alias("pre"), F.col("p")[1].alias("post"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("place", "p")).select("place", F.col("p")[0].alias("pre"), F.col("p")[1].alias("post"))
     if not rows.limit(1).count():
         raise ValueError(f"{path}: no pairs")
     return rows
@@ -81,7 +81,7 @@ def submission_rows(text: Column) -> Column:
 
 def submission(spark: SparkSession, path: str, id_column: str, target_column: str) -> DataFrame:
     """run, line_no, id, raw of CSV files; a header without the columns gives one row whose raw is null and line_no 1."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("run"), F.posexplode(F.filter(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: x != "")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("run"), F.posexplode(F.filter(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: x != "")).alias("pos", "line"))
     cells = lines.withColumn("cells", F.transform(F.split("line", ","), lambda x: F.regexp_replace(x, '^"|"$', "")))
     heads = cells.where("pos = 0").select("run", F.array_position("cells", id_column).alias("i"), F.array_position("cells", target_column).alias("t"))
     good = cells.where("pos > 0").join(F.broadcast(heads.where("i > 0 and t > 0")), "run").select("run", (F.col("pos") + 1).alias("line_no"), F.get("cells", (F.col("i") - 1).cast("int")).alias("id"), F.get("cells", (F.col("t") - 1).cast("int")).alias("raw"))
@@ -97,13 +97,13 @@ def submissions_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """task, id, y of answers.json files, the task being the directory."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"), F.explode(F.from_json("value", "map<string,double>")).alias("id", "y"))
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"), F.explode(F.from_json("value", "map<string,double>")).alias("id", "y"))
     return rows
 
 
 def leaderboards(spark: SparkSession, path: str) -> DataFrame:
     """task, team, score of leaderboard.json files."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"), F.posexplode(F.from_json("value", "array<double>")).alias("team", "score"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"), F.posexplode(F.from_json("value", "array<double>")).alias("team", "score"))
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -141,13 +141,13 @@ def instances(spark: SparkSession, path: str) -> DataFrame:
 
 def memory(spark: SparkSession, root: str) -> DataFrame:
     """fingerprint, answer, priority of JSON maps; a later file goes before an earlier one."""
-    return spark.read.option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("priority"), F.explode(F.from_json("value", "map<string,double>")).alias("fingerprint", "answer"))
+    return spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("priority"), F.explode(F.from_json("value", "map<string,double>")).alias("fingerprint", "answer"))
 
 
 def grader_schemas(spark: SparkSession, path: str) -> DataFrame:
     """task, id_column, target_column, low, high, kind read out of graders' source text; what isn't stated leaves the task out."""
     t = F.col("value")
-    rows = spark.read.option("wholetext", True).text(path).select(
+    rows = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"),
         F.regexp_extract(t, r"""(?i)id_col(?:umn)?\s*=\s*["']([^"']+)["']""", 1).alias("id_column"), F.regexp_extract(t, r"""(?i)target_col(?:umn)?\s*=\s*["']([^"']+)["']""", 1).alias("target_column"),
         F.regexp_extract(t, r"\.between\(\s*(-?[0-9.]+)\s*,", 1).try_cast("double").alias("low"), F.regexp_extract(t, r"\.between\(\s*-?[0-9.]+\s*,\s*(-?[0-9.]+)", 1).try_cast("double").alias("high"),
@@ -165,7 +165,7 @@ def session(spark: SparkSession, root: str) -> DataFrame:
 
 def grades(spark: SparkSession, root: str) -> DataFrame:
     """agent, item, seed, score, medal of root/grades/<agent>/*.json; a corrupt document gives no row."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{root.rstrip('/')}/grades").select(F.regexp_extract(F.col("_metadata.file_path"), r"/grades/([^/]+)/", 1).alias("agent"), F.from_json("value", "reports array<struct<competition_id string, seed int, score double, any_medal boolean, valid_submission boolean>>").alias("d"))
+    docs = spark.read.option("recursiveFileLookup", True).text(f"{root.rstrip('/')}/grades", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/grades/([^/]+)/", 1).alias("agent"), F.from_json("value", "reports array<struct<competition_id string, seed int, score double, any_medal boolean, valid_submission boolean>>").alias("d"))
     return docs.select("agent", F.explode("d.reports").alias("r")).select("agent", F.col("r.competition_id").alias("item"), "r.seed", "r.score", F.col("r.any_medal").alias("medal"), F.col("r.valid_submission").alias("valid"))
 
 

@@ -84,7 +84,7 @@ class LastChange(StatefulProcessor):
 
 def changes(stream: DataFrame) -> DataFrame:
     """run, ts, sha of a stream of checkpoints, kept where the content changed. Needs the RocksDB state store."""
-    return stream.groupBy("run").transformWithStateInPandas(LastChange(), "run string, ts timestamp, sha string", "Append", "None")
+    return stream.select(F.col("run").cast("string").alias("run"), "ts", "sha").groupBy("run").transformWithStateInPandas(LastChange(), "run string, ts timestamp, sha string", "Append", "None")
 
 
 def live_outcomes(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
