@@ -58,5 +58,13 @@ def starts(df: DataFrame, keys: list[str], chunk: str, order: list[str], value:
     return rows.join(bases, same).withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base", *[f"_{c}" for c in [*keys, chunk]])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

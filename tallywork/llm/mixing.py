@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import WORD, starts, stored
+from tallywork.llm.common import WORD, starts, stored, unused
 
 WEIGHTS = (5, 2, 1)
 #: Most times that a source is used, and so each of its documents.
@@ -128,6 +128,7 @@ def resampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Rows of one doc_id share its mean. A document of which nothing is taken goes.
     """
     rate = mixed(docs, seed=seed).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
-    copies = rate.select(F.col("doc_id").alias("_id"), F.floor(F.col("rate") + uniform(F.lit(seed), F.lit("copies"), "doc_id")).cast("int").alias("_copies")).where("_copies > 0")
-    found = docs.join(stored(copies, "copies"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    key, times, copy = (unused(docs, n) for n in ("of_doc", "times", "copy"))
+    copies = rate.select(F.col("doc_id").alias(key), F.floor(F.col("rate") + uniform(F.lit(seed), F.lit("copies"), "doc_id")).cast("int").alias(times)).where(F.col(times) > 0)
+    found = docs.join(stored(copies, "copies"), F.col("doc_id").eqNullSafe(F.col(key)))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

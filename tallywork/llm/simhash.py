@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import stored
+from tallywork.llm.common import stored, unused
 
 SHINGLE = 4
 SEED = 42
@@ -193,6 +193,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest key; of repeated rows of that key, one."""
-    found = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    kept = docs.join(stored(found, "kept"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    own = unused(docs, "kept")
+    found = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(own)).distinct()
+    kept = docs.join(stored(found, "kept"), F.col(key).eqNullSafe(F.col(own)), "left_semi")
     return kept.dropDuplicates([key])

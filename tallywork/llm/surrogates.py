@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import stored
+from tallywork.llm.common import stored, unused
 
 #: Forms of address by the gender that they tell.
 MALE = ("Mr", "Herr", "Sr", "Don", "Monsieur", "Господин")
@@ -170,14 +170,15 @@ def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: s
     entities = stored(found(docs, key, text), "found")
     news = assigned(entities, secret)
     pairs = entities.join(news, ["type", "norm", "gender"]).select(key, "digest", "entity", written_like(F.col("entity"), F.col("type"), F.col("new")).alias("new"))
-    per = stored(pairs.groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_new")), "replacements")
+    same_key, same_text, by_entity = (unused(docs, n) for n in ("of_key", "of_text", "by_entity"))
+    per = stored(pairs.groupBy(F.col(key).alias(same_key), F.col("digest").alias(same_text)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias(by_entity)), "replacements")
     t = F.col(text).cast("string")
     has = F.size(entities_of(t)) > 0
     out = [c for c in docs.columns]
     extra = [F.lit(0).cast("long").alias(count)] if count else []
     same = docs.where(~F.coalesce(has, F.lit(False))).select(*out, *extra)
-    met = docs.where(has).join(per, F.col(key).eqNullSafe(F.col("_key")) & (F.md5(t.cast("binary")) == F.col("_digest")))
+    met = docs.where(has).join(per, F.col(key).eqNullSafe(F.col(same_key)) & (F.md5(t.cast("binary")) == F.col(same_text)))
     gaps, own = F.split(t, ANY, -1), entities_of(t)
-    new = F.concat(F.array_join(F.transform(own, lambda e, i: F.concat(F.get(gaps, i), F.coalesce(F.element_at("_new", e), e))), ""), F.element_at(gaps, -1))
+    new = F.concat(F.array_join(F.transform(own, lambda e, i: F.concat(F.get(gaps, i), F.coalesce(F.element_at(by_entity, e), e))), ""), F.element_at(gaps, -1))
     changed = met.select(*[new.alias(c) if c == text else F.col(c) for c in out], *([F.size(own).cast("long").alias(count)] if count else []))
     return same.unionByName(changed)
