@@ -187,7 +187,7 @@ def tone(notes):
 def test_shifted_and_noisy_recordings_align(spark):
     g = np.random.default_rng(3)
     a, b = g.integers(0, 24, 64), g.integers(0, 24, 64)
-    noise = (np.frombuffer(tone(a), "<i2") + g.normal(0, 60, 64 * chroma.NOTE_SAMPLES)).astype("<i2").tobytes()
+    noise = (np.frombuffer(tone(a), "<i2") + g.normal(0, 900, 64 * chroma.NOTE_SAMPLES)).astype("<i2").tobytes()
     rows = [(50, tone(a)), (51, tone(a)), (52, tone(a[5:])), (53, tone(b)), (54, noise), (55, None), (56, b""), (57, b"\x00"), (None, tone(b))]
     df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in rows], "id long, pcm binary")
     pairs, members = chroma.aligned(chroma.fingerprints(df), "id % 50 = 0")
