@@ -189,3 +189,21 @@ def cloned(task: DataFrame, seed: str, transform: str = "relabel") -> DataFrame:
     shift = g.normal(size=len(names)) if transform == "rescale" else np.zeros(len(names))
     cols = [(F.col(names[o]) * float(scale[o]) + float(shift[o])).alias(f"c{k}") for k, o in enumerate(order)]
     return task.select(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")).cast("binary"), 256), 1, 12).alias("id"), "part", *cols, "target")
+
+
+def invariant(task: DataFrame, names: list[str]) -> DataFrame:
+    """Features that no renaming or reordering of columns changes: mean, spread, extremes of a row's values."""
+    v = F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in names])
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / len(names)
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / len(names)
+    return task.select("id", "part", "target", mean.alias("m"), square.alias("q"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+
+
+def difficulty(task: DataFrame) -> float:
+    """Root mean square error on the test part of a ridge model over invariant features; the same for a relabelled clone."""
+    names = [c for c in task.columns if c[0] in "fc" and c[1:].isdigit()]
+    rows = invariant(task, names)
+    use = ["m", "q", "lo", "hi"]
+    w = ridge_fit(rows.where("part = 'train'"), use, "target")
+    guess = sum((F.col(n) * float(w[k]) for k, n in enumerate(use)), F.lit(float(w[-1])))
+    return rows.where("part = 'test'").agg(F.sqrt(F.avg((guess - F.col("target")) ** 2)).alias("e")).first()["e"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr
-from tallywork.operators import ctt, features, inference, irt, skills, subset
+from tallywork.operators import ctt, features, inference, irt, published, skills, subset
 from tallywork.plans import fixtures as fx
 from tallywork.plans.catalog import query, rounded
 
@@ -349,3 +349,50 @@ def memory_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("select task, doc_id, round((row_number() over (partition by task order by n_chars, doc_id) - 0.5::double) / count(*) over (partition by task), 9) as q from answers", "answers")
 def rank_normalise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.rank_normalised(fx.answers(spark, d), ["task"], "n_chars", "doc_id"))
+
+
+# Published tables and small filters
+
+PUBLISHED = ", pub as (select 'e' || subject as experiment, 'c' || item as competition_id, successes as medals, trials as seeds from cells where not (subject = 3 and item in (2, 5)))"
+
+
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.cells(spark, d).where("not (subject = 3 and item in (2, 5))")
+    return c.select(F.concat(F.lit("e"), F.col("subject").cast("string")).alias("experiment"), F.concat(F.lit("c"), F.col("item").cast("string")).alias("competition_id"), F.col("successes").alias("medals"), F.col("trials").alias("seeds"))
+
+
+@query(PUBLISHED + " select experiment from pub group by 1 having count(distinct competition_id) = 20", "cells")
+def complete_experiments(spark: SparkSession, d: str) -> DataFrame:
+    return published.complete(_published(spark, d), 20)
+
+
+@query(PUBLISHED + " select experiment as subject, competition_id as item, round(medals / seeds::double, 9) as rate, seeds as trials from pub where competition_id in (select competition_id from pub group by 1 having count(distinct experiment) = (select count(distinct experiment) from pub))", "cells")
+def common_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(published.matrix(_published(spark, d)))
+
+
+@query(PUBLISHED + " select experiment, count(*) as n, round(avg(medals / seeds::double), 9) as mean_rate, count(*) filter (medals = 0) as never, count(*) filter (medals = seeds) as always from pub group by 1", "cells")
+def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(published.summary(_published(spark, d)))
+
+
+@query(PUBLISHED + " select competition_id, round(medals / seeds::double, 9) as rate from pub where experiment = 'e4' and competition_id not in ('c1', 'c2')", "cells")
+def reference_rates(spark: SparkSession, d: str) -> DataFrame:
+    t = _published(spark, d)
+    return rounded(published.rates(t, "e4", t.where("competition_id not in ('c1', 'c2')").select("competition_id").distinct()))
+
+
+@query("select subject, count(*) as n_live from cells where item in (select item from cells group by 1 having stddev_pop(rate) > 0) and subject in (select subject from cells group by 1 having avg(rate) between 0.3 and 0.6) group by 1", "cells")
+def live_band(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.cells(spark, d)
+    return published.band(c, 0.3, 0.6).join(published.live(c).select("item").distinct(), "item", "left_semi").groupBy("subject").agg(F.count("*").alias("n_live"))
+
+
+@query("select item, s as seed, item || '__seed' || s as slug from (select distinct item from cells), (select unnest(range(3)) as s)", "cells")
+def run_targets(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(published.targets(fx.cells(spark, d).select("item").distinct(), 3))
+
+
+@query(f", {ITEMS}, r as (select item, round(item_rest, 9) as item_rest from i) select * from (select * from r order by item_rest, item limit 3) union all select * from (select * from r order by item_rest desc, item limit 3)", "cells")
+def worst_and_best_items(spark: SparkSession, d: str) -> DataFrame:
+    return published.ends(rounded(ctt.item_stats(fx.cells(spark, d)).select("item", "item_rest")), "item_rest", 3)

@@ -171,3 +171,11 @@ def grades(spark: SparkSession, root: str) -> DataFrame:
 
 def typed(records: DataFrame) -> DataFrame:
     return runs.runs_from(records)
+
+
+SPEC = "competition_id string, metric string, is_lower_better boolean, id_column string, target_column string, thresholds struct<gold:double,silver:double,bronze:double,median:double,n_teams:int>, challenges array<string>, target_range array<double>"
+
+
+def task_specs(spark: SparkSession, path: str) -> DataFrame:
+    """One row a competition.json; unknown keys are ignored, missing ones null."""
+    return spark.read.schema(SPEC).option("multiLine", True).json(path)

@@ -205,3 +205,29 @@ def test_ridge_by_sums_is_ridge(spark):
     pdf = task.toPandas()
     x = np.column_stack([pdf[names], np.ones(len(pdf))])
     assert np.allclose(features.ridge_fit(task, names, "target"), features.ridge(x, pdf["target"].to_numpy()))
+
+
+def test_relabelling_leaves_the_difficulty(spark):
+    task = features.generated(spark, features.TaskSpec("d", 120, 60, kind="regression"))
+    a, b = features.difficulty(task), features.difficulty(features.cloned(task, "s"))
+    assert a == pytest.approx(b, rel=1e-9) and features.difficulty(features.cloned(task, "s", "rescale")) != pytest.approx(a, rel=1e-6)
+
+
+def test_rounding_is_pythons(spark):
+    from tallywork.functions.rounding import rounded
+
+    xs = [0.123455, 2.675, 0.5, None, 1e-9, -0.123455]
+    got = [r["r"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(rounded(F.col("x")).alias("r")).collect()]
+    assert got == [None if x is None else round(x, 5) for x in xs]
+
+
+def test_published_tables(spark):
+    from tallywork.operators import published
+
+    t = spark.createDataFrame([("a", "x", 1, 3), ("a", "y", 0, 3), ("b", "x", 3, 3)], "experiment string, competition_id string, medals int, seeds int")
+    assert [r["competition_id"] for r in published.common(t).collect()] == ["x"]
+    with pytest.raises(published.UnknownExperiment):
+        published.rates(t, "c")
+    s = spark.createDataFrame([("q__x__seed12",)], "s string").select(published.item_of(F.col("s")).alias("i"), published.seed_of(F.col("s")).alias("n")).first()
+    assert (s["i"], s["n"]) == ("q__x", 12)
+    assert published.beta_pool(spark, 0.17, 0.7, 500).agg(F.avg("rate")).first()[0] == pytest.approx(0.17, abs=0.05)
