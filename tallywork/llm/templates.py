@@ -38,9 +38,10 @@ INLINE_LIMIT = frozenset("article aside blockquote div footer form header li mai
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea menu dialog object canvas audio video title input label noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that tell what an element is for.
-DROPPED_WORDS = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond widget toolbar login signup search skip".split())
+DROPPED_WORDS = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notification announcement popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments commentlist disqus reply replies respond widget toolbar login signup search skip".split())
 PAGE_WORDS = frozenset("header masthead topbar".split())
-MAIN_WORDS = frozenset("article articlebody articletext post postbody postcontent entry entrycontent story storybody".split())
+#: Whole class names or ids of a main part.
+MAIN_NAMES = frozenset("article article-body article-content article-text articlebody post post-body post-content entry entry-content story story-body story-content".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 CONTAINERS = (BLOCKS | frozenset("td th".split())) - {"html", "body", "article", "main", "title"}
 
@@ -134,7 +135,8 @@ class Page:
             values = {a.lower(): (v or "").strip("\"'").lower() for a, v in ATTRIBUTE.findall(self.attributes[i])} if self.attributes[i].strip() else {}
             words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}"))
             role = values.get("role", "")
-            marked = name in ("article", "main") or role in ("main", "article") or bool(words & MAIN_WORDS) and name in ("div", "section", "td")
+            called = MAIN_NAMES & {*values.get("class", "").split(), values.get("id", "")}
+            marked = name in ("article", "main") or role in ("main", "article") or bool(called) and name in ("div", "section", "td") and not words & DROPPED_WORDS
             above = up >= 0 and self.dropped[up]
             self.inside[i] = up >= 0 and (self.inside[up] or self.marked[up])
             self.dropped[i] = above or name in DROPPED or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")

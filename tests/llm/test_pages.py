@@ -124,6 +124,7 @@ def test_repeated_passages_of_articles_stay(spark):
     ("<body><header>h</header><main><header><h1>T</h1></header><p>b</p><aside>s</aside><form>f</form></main><footer>f</footer>", "T\nb"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"),
     ("<div class='cookie-notice'>c</div><div id=comments>r</div><div class='ad'>x</div><div class='header-image lead'>y</div>", "y"), ("<p>a <!-- <p>no</p> --> b</p>", "a b"), ("<p title='a>b'>t</p>", "t"), ("<p>un<b>closed <i>tags", "unclosed tags"),
     ("<article>one<article>two</article></article>three", "one\ntwo"), ("</p></div>x<", "x<"), ("<div hidden>no</div><div style='display: none'>no</div>yes", "yes"), ("<p>a\n \t b c</p>", "a b c"), ("<textarea>t</textarea><title>x</title>v", "v"), ("<![CDATA[x]]>y", "xy"), ("a<!--", "a"),
+    ("<div class='post'><p>a</p><div class='post-meta'>by x</div></div><div class='related-story'>r</div><div class='note'>n</div>", "a\nby x"), ("<div class='related-story'>r</div><div class='content'>c</div>", "c"), ("<section id=comments><article>r</article></section><article>a</article>", "a"),
 ])
 def test_blocks(source, want):
     assert templates.Page(source).main_text() == (want if source != "<div class='cookie-notice'>c</div><div id=comments>r</div><div class='ad'>x</div><div class='header-image lead'>y</div>" else "")
