@@ -351,6 +351,8 @@ def test_surrogates_keep_format_type_and_identity(spark):
     a = "Call +1 (415) 555-2671 or mail Jane.Doe@mail.example.com, card 4111 1111 1111 1111, from 10.20.30.40."
     b = "jane.doe@mail.example.com called from +1 415 555-2671. Mr. John Smith and Mrs. Anna Smith met Mr. Smith; Господин Иванов too. MRS"
     got = surrogate_rows(spark, [(1, a, "", "", 0), (2, b, "", "", 0), (3, "nothing here, version 3.0", "", "", 0), (4, None, "", "", 0), (4, "", "", "", 0)])
+    tables = "rows 1 2 3 4 5 6 7 8 9 10 11 12 13 14 and ab4111111111111111cd and 1.2.3 stay"
+    assert surrogate_rows(spark, [(1, tables, "", "", 0)])[1] == tables
     assert got[3] == "nothing here, version 3.0" and got[4] in (None, "")
     m = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or mail ([A-Z][a-z]{3}\.[A-Z][a-z]{2}@\S+\.com), card (4\d{3} \d{4} \d{4} \d{4}), from (\d+\.\d+\.\d+\.\d+)\.", got[1])
     assert m, got[1]
