@@ -193,7 +193,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest key; of repeated rows of that key, one."""
-    own = unused(docs, "kept")
-    found = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(own)).distinct()
-    kept = docs.join(stored(found, "kept"), F.col(key).eqNullSafe(F.col(own)), "left_semi")
-    return kept.dropDuplicates([key])
+    same, null = unused(docs, "same"), unused(docs, "null")
+    by_key = [F.coalesce(F.col(key), F.lit(0)).alias(same), F.col(key).isNull().alias(null)]
+    found = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(*by_key).distinct()
+    # The list of those kept grows with the documents, so it is never broadcast; one shuffle serves both steps.
+    kept = docs.select("*", *by_key).join(stored(found, "kept").hint("merge"), [same, null], "left_semi")
+    return kept.dropDuplicates([same, null]).select(*docs.columns)
