@@ -29,7 +29,7 @@ SHARD = 4096
 ROUNDS = 16
 SEED = 1
 #: Documents of a source in one chunk of the prefix sums, about; shards in one chunk.
-CHUNK_ROWS, CHUNK_SHARDS = 20_000, 4096
+CHUNK_ROWS, CHUNK_SHARDS = 2_000, 4096
 
 
 def uniform(*of: Column | str) -> Column:
