@@ -130,5 +130,6 @@ def resampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rate = mixed(docs, seed=seed).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
     key, times, copy = (unused(docs, n) for n in ("of_doc", "times", "copy"))
     copies = rate.select(F.col("doc_id").alias(key), F.floor(F.col("rate") + uniform(F.lit(seed), F.lit("copies"), "doc_id")).cast("int").alias(times)).where(F.col(times) > 0)
-    found = docs.join(stored(copies, "copies"), F.col("doc_id").eqNullSafe(F.col(key)))
+    # One row a document: it grows with the documents, so it is never broadcast.
+    found = docs.join(stored(copies, "copies").hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)))
     return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
