@@ -99,7 +99,9 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
 def taken_blocks(draws: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
     """source_no, block, copies."""
     numbered = starts(draws.withColumn("part", F.floor(F.col("shard") / CHUNK_SHARDS)), ["source_no"], "part", ["shard"], "draws", "first", "row")
-    slots = numbered.select("source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("draws") - 1)).alias("slot")).where(F.col("slot") < passes * F.col("n_blocks"))
+    # Few rows become many slots: spread them by number, or they would all be coalesced into one task.
+    spread = numbered.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")
+    slots = spread.select("source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("draws") - 1)).alias("slot")).where(F.col("slot") < passes * F.col("n_blocks"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     place = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), turn)
     return slots.select("source_no", place.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("copies"))
