@@ -25,11 +25,11 @@ from tallywork.llm.common import stored
 WINDOW = 2048
 END = 1
 #: Words whose ids a worker remembers; beyond that it forgets all. This bounds memory and alters no result.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 #: Characters of texts that are tokenized together.
 TOGETHER = 1 << 20
-#: How a byte-level vocabulary writes a space.
-SPACE = "\u0120"
+#: How a byte-level vocabulary writes a space and a line end.
+BLANKS = {" ": "\u0120", "\n": "\u010a"}
 #: Not letters, digits, blanks or apostrophes, which can start a contraction.
 PUNCTUATION = ",.;:!?%*#&$|()[]{}\"-"
 
@@ -39,8 +39,8 @@ _tokenizers: dict[str, "Words"] = {}
 class Words:
     """Ids of texts by a byte-level tokenizer, put together from the ids of their words.
 
-    Such a tokenizer never joins what a single space between two non-blanks separates: the space goes with what follows.
-    So a text may be cut there, and each distinct word needs to be tokenized once only. Neither does it join letters to
+    Such a tokenizer never joins what a single blank between two non-blanks separates: the blank goes with what follows.
+    So a text may be cut there, if the blank is a space or a line end, and each distinct word needs to be tokenized once only. Neither does it join letters to
     punctuation after them, so letters with punctuation follow from the two parts.
     """
 
@@ -50,8 +50,9 @@ class Words:
 
         self.inner = Tokenizer.from_file(file)
         vocabulary = self.inner.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.begin = {blank: np.zeros(max(vocabulary.values()) + 1, bool) for blank in BLANKS}
+        for blank, sign in BLANKS.items():
+            self.begin[blank][[i for t, i in vocabulary.items() if t.startswith(sign)]] = True
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s")
@@ -60,35 +61,39 @@ class Words:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def raw_words(self, words: list[str]) -> list[bytes]:
-        """What a space and each word of letters give: one text of all, cut where tokens begin with the space."""
+    def raw_words(self, words: list[str], blank: str) -> list[bytes]:
+        """What a blank and each word of letters give: one text of all, cut where tokens begin with the blank."""
         if not words:
             return []
-        ids = np.array(self.inner.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4")
-        begins = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+        ids = np.array(self.inner.encode_batch_fast(["".join(blank + w for w in words)], add_special_tokens=False)[0].ids, "<u4")
+        begins = (np.flatnonzero(self.begin[blank][ids]) * 4).tolist()
         if len(begins) != len(words):
-            return self.raw([" " + w for w in words])
+            return self.raw([blank + w for w in words])
         data = ids.tobytes()
         return [data[s:e] for s, e in zip(begins, [*begins[1:], len(data)], strict=True)]
 
     def learn(self, words: set[str]) -> None:
-        """Makes known what a space and each of the words give."""
+        """Makes known what each of the words gives, after a space unless it begins with a line end."""
         known, tails = self.known, self.tails
         if len(known) > REMEMBERED:
             known.clear()
-        composed, cores, odd = [], set(), []
+        composed, spaced, lined, odd = [], set(), set(), []
         for w in words:
             core = w.rstrip(PUNCTUATION)
             if core.isalpha():
-                cores.add(core)
-                if core != w:
-                    composed.append((w, core, w[len(core) :]))
+                spaced.add(core)
+            elif core[:1] == "\n" and core[1:].isalpha():
+                lined.add(core)
             else:
                 odd.append(w)
-        new = [c for c in cores if c not in known]
-        for k in range(0, len(new), 1000):
-            known.update(zip(new[k : k + 1000], self.raw_words(new[k : k + 1000]), strict=True))
-        known.update(zip(odd, self.raw([" " + w for w in odd]), strict=True))
+                continue
+            if core != w:
+                composed.append((w, core, w[len(core) :]))
+        for blank, cores in ((" ", spaced), ("\n", lined)):
+            new = [c for c in cores if c not in known]
+            for k in range(0, len(new), 1000):
+                known.update(zip(new[k : k + 1000], self.raw_words([c.removeprefix("\n") for c in new[k : k + 1000]], blank), strict=True))
+        known.update(zip(odd, self.raw([w if w[:1] == "\n" else " " + w for w in odd]), strict=True))
         rest = list({t for _, _, t in composed if t not in tails})
         tails.update(zip(rest, self.raw(rest), strict=True))
         for w, core, tail in composed:
@@ -97,7 +102,7 @@ class Words:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         odd = lambda t: t[:1].isspace() or t[-1:].isspace() or self.double.search(t)
-        split = [self.cut.split(t) if odd(t) else t.split(" ") for t in texts]
+        split = [self.cut.split(t) if odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
         out = [[x, *map(self.known.get, s[1:])] for x, s in zip(self.raw([s[0] for s in split]), split, strict=True)]
         open_ = [(x, s, [k for k, ids in enumerate(x) if ids is None]) for x, s in zip(out, split, strict=True) if None in x]
         if open_:
