@@ -2,7 +2,8 @@
 
 A list is a table of dated events that add or remove an entry, a host (with all below it) or a host and path prefix.
 Events become validity intervals: from an addition to the next removal. A capture is looked up under its host, each
-parent domain, and each with its leading path segments; what is active at its fetch time applies.
+parent domain, and each with its leading path segments, as long as the longest entries of the lists are; what is active
+at its fetch time applies.
 
 Intervals are cut at month ends and joined on (entry, month), so an entry with a long history doesn't meet all captures
 of its host. A hot host is one key of a join between two stored tables, which adaptive execution splits.
@@ -21,7 +22,7 @@ from tallywork.llm.common import stored
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
-#: Most path segments in an entry, and most labels of a host that are looked up.
+#: Caps of OP7_SQL alone, which lists the keys of a capture in one expression; the operator has none.
 SEGMENTS, LABELS = 2, 8
 
 
@@ -29,13 +30,20 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), HOST, 1)
 
 
-def entries_of(url: Column) -> Column:
-    """What a URL is looked up under: each suffix of its host of two labels or more, alone and with leading path segments."""
+def longest(events: DataFrame) -> tuple[int, int]:
+    """Most labels of a host and most path segments in any entry."""
+    host, path = F.substring_index("entry", "/", 1), F.size(F.split("entry", "/")) - 1
+    labels, segments = events.where("entry is not null").agg(F.max(F.size(F.split(host, r"\."))), F.max(path)).first()
+    return max(labels or 0, 2), segments or 0
+
+
+def entries_of(url: Column, most_labels: int, most_segments: int) -> Column:
+    """What a URL is looked up under: each suffix of its host of two labels or more, alone and with leading path segments, up to the longest entry."""
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(LABELS)))), lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."))
-    path = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda s: s != "")
-    tails = F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(SEGMENTS))), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, 1, F.greatest(k, F.lit(1))), "/"))))
+    hosts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(most_labels)))), lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."))
+    path = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), f"(?i){PATH}", 1), "/"), lambda s: s != "")
+    tails = F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(most_segments))), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, 1, F.greatest(k, F.lit(1))), "/"))))
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda t: F.concat(h, t)))))
 
 
@@ -57,7 +65,7 @@ def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
     months = F.sequence(F.trunc("valid_from", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
     cut = valid.withColumn("end", end).where("end >= valid_from").select("list", "entry", "valid_from", "valid_to", F.explode(months).alias("month"))
     cut = stored(cut, "intervals")
-    looked = known.select("row", "fetched", F.explode(entries_of(F.col("url"))).alias("key"), F.trunc("fetched", "month").alias("in_month"))
+    looked = known.select("row", "fetched", F.explode(entries_of(F.col("url"), *longest(events))).alias("key"), F.trunc("fetched", "month").alias("in_month"))
     active = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     met = looked.join(cut, (F.col("key") == F.col("entry")) & (F.col("in_month") == F.col("month")) & active)
     per = met.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n_matches"), F.min(F.struct("list", "entry")).alias("match"))

@@ -163,6 +163,16 @@ def test_entries_hold_from_addition_to_removal(spark, odd_pages, no_pages):
     assert urllists.judged(caps.limit(0), events).count() == 0 and not any(r["blocked"] for r in urllists.judged(caps, events.limit(0)).collect())
 
 
+def test_long_hosts_and_paths_and_other_cases_of_a_scheme_match(spark):
+    d = datetime.date(2024, 1, 1)
+    deep = ".".join("abcdefghij") + ".example.com"
+    entries = [deep, "b.example.com/1/2/3/4", "c.example.com/x"]
+    events = spark.createDataFrame([("l", e, d, "add") for e in entries], "list string, entry string, day date, action string")
+    urls = {f"http://{deep}/p": entries[0], f"http://www.{deep}/p": entries[0], "http://b.example.com/1/2/3/4/5": entries[1], "http://b.example.com/1/2/3": None, "HTTP://c.example.com/x/y": entries[2], "Https://C.example.com/X": None, f"http://{deep[2:]}": None}
+    caps = spark.createDataFrame([(k, u, d) for k, u in enumerate(urls)], "page_id long, url string, fetched date")
+    assert {r["url"]: r["entry"] for r in urllists.judged(caps, events).collect()} == urls
+
+
 # Sound
 
 
