@@ -252,6 +252,38 @@ def test_layers_are_decoded_to_the_end():
         secrets.spans(t)  # ends
 
 
+def test_payloads_at_any_alignment_over_lines_and_in_later_members():
+    import base64
+    import bz2
+    import gzip
+    import zlib
+
+    import zstandard
+
+    def seen(text, payload):
+        at = text.index(payload)
+        return any(k == "assign" and at - 3 <= s and e <= len(text) and s < at + len(payload) for k, s, e in secrets.spans(text)[1])
+
+    secret = f"password={TOKEN}".encode()
+    b64 = base64.b64encode(secret).decode()
+    for before in ("https://x.example.com/cb/", "a/", "ab/", "abc-", "key_", "x", "xy", "xyz"):
+        assert seen(before + b64, b64), before
+        assert ("assign", len(before), len(before + b64)) in secrets.spans(before + b64)[1], before
+    noise = b"".join(hashlib.sha256(bytes([k])).digest() for k in range(12))
+    frame = zstandard.ZstdCompressor().compress
+    for name, data in {
+        "gzip": gzip.compress(noise) + gzip.compress(secret), "split": gzip.compress(secret[:6]) + gzip.compress(secret[6:]), "zlib": zlib.compress(noise) + zlib.compress(secret), "bzip2": bz2.compress(noise) + bz2.compress(secret),
+        "zstd": frame(noise) + frame(secret), "skippable": b"\x50\x2a\x4d\x18\x03\0\0\0abc" + frame(secret), "not UTF-8": b"\xff\xfe\x80" + secret + b"\xff", "mostly binary": noise + b" " + secret + b" " + noise,
+    }.items():
+        whole = base64.b64encode(data).decode()
+        for before in ("", "a/", "cb/"):
+            assert seen(before + whole, whole), name
+        for width, end in ((76, "\n"), (64, "\r\n"), (11, "\n\t ")):
+            lines = end.join(whole[k : k + width] for k in range(0, len(whole), width))
+            assert seen(f"see:\n{lines}\nend", lines), (name, width)
+    assert secrets.without_secrets(f"a/{b64} b") == "a/[SECRET] b"
+
+
 def test_redaction_leaves_no_secret(odd_docs, docs):
     for d in (docs, odd_docs):
         out = secrets.redacted(d, chars="n_chars")
