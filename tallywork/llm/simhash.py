@@ -11,7 +11,7 @@ connected, so a dense group of thousands costs one edge a member. Anchors with m
 whose pairs are separate tasks. Components then come from min-label rounds with pointer jumping over the edges.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other; a null doc_id counts only where a
-component has no other. Repeated rows come back as often as they occur; an empty table gives no row; other columns are
+component has no other, and rows of one doc_id or of none are in one component only if their texts are. Repeated rows come back as often as they occur; an empty table gives no row; other columns are
 ignored by components() and carried along by representatives().
 """
 
@@ -54,15 +54,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """key and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """key and fp, the fingerprint as a signed long; on request digest, of the text, where a null counts as empty."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], [key, "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(mark, f"{key} long, fp long")
+    known = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    if digest:
+        known = known.withColumn("digest", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return known.mapInArrow(mark, f"{key} long, fp long" + ", digest string" * digest)
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -180,22 +183,32 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """A row a document: key, fingerprint (16 hex digits), component_id (the smallest key reachable)."""
-    marked = stored(fingerprints(docs, key, text, size), "fingerprints")
+def labelled(marked: DataFrame, key: str, threshold: int) -> DataFrame:
+    """fp, label of its component (unlike component_id, never that of another) and component_id, of fingerprints (key, fp)."""
     distinct = stored(marked.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
     labels = connected(links(distinct, threshold)).withColumnRenamed("node", "fp")
     known = stored(distinct.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
     smallest = stored(known.groupBy("label").agg(F.min("first").alias("component_id")), "smallest")
-    member = stored(known.join(smallest, "label").select("fp", "component_id"), "members")
+    return stored(known.join(smallest, "label").select("fp", "label", "component_id"), "members")
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """A row a document: key, fingerprint (16 hex digits), component_id (the smallest key reachable)."""
+    marked = stored(fingerprints(docs, key, text, size), "fingerprints")
+    member = labelled(marked, key, threshold).select("fp", "component_id")
     return marked.join(member, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest key; of repeated rows of that key, one."""
-    same, null = unused(docs, "same"), unused(docs, "null")
-    by_key = [F.coalesce(F.col(key), F.lit(0)).alias(same), F.col(key).isNull().alias(null)]
-    found = components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(*by_key).distinct()
+    """docs with one document of each component, that of the smallest key and, of its texts, the smallest digest; a null key comes last."""
+    same, null, digest = (unused(docs, n) for n in ("same", "null", "digest"))
+    number = F.col(key).cast("long")
+    by_text = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    by_key = [F.coalesce(number, F.lit(0)).alias(same), number.isNull().alias(null), by_text.alias(digest)]
+    marked = stored(fingerprints(docs, key, text, digest=True), "fingerprints")
+    member = labelled(marked, key, THRESHOLD).select("fp", "label")
+    first = F.min(F.struct(F.col(key).isNull().alias("null"), F.coalesce(key, F.lit(0)).alias("same"), "digest")).alias("first")
+    found = marked.join(member, "fp").groupBy("label").agg(first).select(*[F.col(f"first.{c}").alias(n) for c, n in (("same", same), ("null", null), ("digest", digest))])
     # The list of those kept grows with the documents, so it is never broadcast; one shuffle serves both steps.
-    kept = docs.select("*", *by_key).join(stored(found, "kept").hint("merge"), [same, null], "left_semi")
-    return kept.dropDuplicates([same, null]).select(*docs.columns)
+    kept = docs.select("*", *by_key).join(stored(found, "kept").hint("merge"), [same, null, digest], "left_semi")
+    return kept.dropDuplicates([same, null, digest]).select(*docs.columns)

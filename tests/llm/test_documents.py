@@ -371,6 +371,16 @@ def test_simhash_of_odd_documents(odd_docs, empty_docs):
     assert simhash.components(empty_docs).count() == 0 and simhash.representatives(empty_docs).count() == 0
 
 
+def test_documents_without_an_id_and_of_one_id_stay_apart(spark):
+    g = random.Random(8)
+    prose = lambda: " ".join(f"w{g.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (None, c), (8, d), (8, e), (8, e), (9, d), (None, None), (None, "")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, digest string")
+    got = collections.Counter((r["doc_id"], r["text"] or "") for r in simhash.representatives(df).collect())
+    assert got == collections.Counter([(None, a), (None, b), (7, c), (8, d), (8, e), (None, "")])
+
+
 # Surrogates
 
 
