@@ -31,13 +31,14 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4]
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])"
 PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
-PERSON = rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: All capitalized words after the title, up to another title.
+PERSON = rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: (?!(?:{TITLES})\.? \p{{Lu}})\p{{Lu}}[\p{{L}}'-]+)*"
 ANY = "|".join((EMAIL, IP, SSN, CARD, PHONE, IBAN, PERSON))
 #: No entity without one of these.
 HINT = rf"[0-9@]|(?:{TITLES})"
 #: Syllables of invented names, by script.
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve".split(), "cyrillic": "ба бе бо да де до га го ка ке ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се со та те то ва ве".split()}
-ENDS = {("latin", "female"): "na", ("latin", "male"): "rd", ("latin", "either"): "ly", ("cyrillic", "female"): "на", ("cyrillic", "male"): "слав", ("cyrillic", "either"): "енко"}
+SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve".split(), "cyrillic": "ба бе бо да де до га го ка ке ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се со та те то ва ве".split(), "greek": "βα βε βο γα γε γο δα δε δο θα θε ζα ζη κα κε κο λα λε λι λο μα με μι μο να νε νο πα πε ρα ρε ρι ρο σα σε σο τα τε το φα φο χα".split(), "armenian": "բա բե բո գա գե գո դա դե դո կա կե կո լա լե լի լո մա մե մի մո նա նե նո պա պե ռա ռե ռի ռո սա սե սո տա տե տո վա վե".split()}
+ENDS = {("latin", "female"): "na", ("latin", "male"): "rd", ("latin", "either"): "ly", ("cyrillic", "female"): "на", ("cyrillic", "male"): "слав", ("cyrillic", "either"): "енко", ("greek", "female"): "να", ("greek", "male"): "δης", ("greek", "either"): "κη", ("armenian", "female"): "նա", ("armenian", "male"): "րդ", ("armenian", "either"): "լի"}
 
 
 def kind(entity: Column) -> Column:
@@ -86,35 +87,47 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
 
 
-def invented(word: Column, of: Column, script: Column, end: Column) -> Column:
-    """A name of three syllables and an ending, small letters."""
+def script_of(word: Column) -> Column:
+    """The script of a name; those without syllables of their own get Latin ones."""
+    out = F.lit("latin")
+    for name in SYLLABLES.keys() - {"latin"}:
+        out = F.when(word.rlike(rf"\p{{Is{name.capitalize()}}}"), name).otherwise(out)
+    return out
+
+
+def invented(of: Column, script: Column, end: Column, syllables: int) -> Column:
+    """A name of syllables and an ending, small letters."""
 
     def build(table: list[str]) -> Column:
         parts = F.array(*map(F.lit, table))
-        return F.concat(*[F.element_at(parts, (byte(of, F.lit(k)) * 256 + byte(of, F.lit(k + 1))) % len(table) + 1) for k in (0, 2, 4)])
+        return F.concat(*[F.element_at(parts, (byte(of, F.lit(k)) * 256 + byte(of, F.lit(k + 1))) % len(table) + 1) for k in range(0, 2 * syllables, 2)])
 
-    return F.concat(F.when(script == "cyrillic", build(SYLLABLES["cyrillic"])).otherwise(build(SYLLABLES["latin"])), end)
+    out = build(SYLLABLES["latin"])
+    for name in SYLLABLES.keys() - {"latin"}:
+        out = F.when(script == name, build(SYLLABLES[name])).otherwise(out)
+    return F.concat(out, end)
 
 
 def surrogate(type_: Column, value: Column, sex: Column, key: str, attempt: int) -> Column:
-    """The surrogate's normal form; another for each attempt."""
+    """The surrogate's normal form; another for each attempt, of names and emails longer ones, so that they don't run out."""
     of = F.concat_ws("\x1f", F.lit(key), type_, value, F.lit(str(attempt)))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     site, top = F.regexp_replace(domain, r"\.[^.]*$", ""), F.substring_index(domain, ".", -1)
-    email = F.concat(scrambled(local, of, F.lit(0)), F.lit("@"), scrambled(site, F.concat_ws("\x1f", F.lit(key), F.lit("site"), site), F.lit(0)), F.lit("."), top)
+    again = [F.lit(str(attempt))] if attempt else []
+    longer = F.concat(local, F.lit("a" * (attempt // 2)))
+    email = F.concat(scrambled(longer, of, F.lit(0)), F.lit("@"), scrambled(site, F.concat_ws("\x1f", F.lit(key), F.lit("site"), site, *again), F.lit(0)), F.lit("."), top)
     ip = F.concat_ws(".", *[(byte(of, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     digits = scrambled(value, of, F.when(type_ == "card", 1).when(type_ == "iban", 2).when(type_ == "phone", F.greatest(F.length(value) - 10, F.lit(0))).otherwise(0))
     body = F.regexp_replace(digits, ".$", "")
     checked = F.concat(body, F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     words = F.split(value, " ")
 
     def name(w: Column, i: Column) -> Column:
-        first = (F.size(words) > 1) & (i == 0)
+        first, script = (F.size(words) > 1) & (i == 0), script_of(w)
         ending = F.lit("")
         for (s, g), e in ENDS.items():
             ending = F.when((script == s) & (sex == g) & first, e).otherwise(ending)
-        return invented(w, F.concat_ws("\x1f", F.lit(key), w, F.when(first, sex).otherwise("family"), F.lit(str(attempt))), script, ending)
+        return invented(F.concat_ws("\x1f", F.lit(key), w, F.when(first, sex).otherwise("family"), F.lit(str(attempt))), script, ending, 3 + attempt)
 
     return (
         F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "person", F.array_join(F.transform(words, name), " "))
@@ -171,7 +184,7 @@ def replaced(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: s
     news = assigned(entities, secret)
     pairs = entities.join(news, ["type", "norm", "gender"]).select(key, "digest", "entity", written_like(F.col("entity"), F.col("type"), F.col("new")).alias("new"))
     same_key, same_text, by_entity = (unused(docs, n) for n in ("of_key", "of_text", "by_entity"))
-    per = stored(pairs.groupBy(F.col(key).alias(same_key), F.col("digest").alias(same_text)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias(by_entity)), "replacements")
+    per = stored(pairs.groupBy(F.col(key).alias(same_key), F.col("digest").alias(same_text)).agg(F.map_from_entries(F.collect_set(F.struct("entity", "new"))).alias(by_entity)), "replacements")
     t = F.col(text).cast("string")
     has = F.size(entities_of(t)) > 0
     out = [c for c in docs.columns]

@@ -424,6 +424,26 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len({r["new"] for r in rows}) == 5 and sum(r["new"] == "1.1.1.1" for r in rows) == 1
 
 
+def test_whole_names_of_any_script_go_and_repeated_rows_stay(spark):
+    text = "Dr. Martin Luther King met Mr. Νίκος Παπάς and Prof. Արամ Խաչ, then Mr Smith Mrs Jones."
+    rows = [(1, text, "", "", 0), (1, text, "", "", 0), (None, text, "", "", 0), (None, text, "", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, new string, _key string, n int")
+    out = [r["text"] for r in surrogates.replaced(df).collect()]
+    assert len(out) == 4 and len(set(out)) == 1
+    m = re.fullmatch(r"Dr\. (\w+ \w+ \w+) met Mr\. (\w+ \w+) and Prof\. (\w+ \w+), then Mr (\w+) Mrs (\w+)\.", out[0])
+    assert m and not any(w in out[0] for w in ("Martin", "Luther", "King", "Νίκος", "Παπάς", "Արամ", "Խաչ", "Smith", "Jones"))
+    assert re.fullmatch("[Α-Ωα-ω ]+", m[2]) and re.fullmatch("[Ա-Ֆա-ֆ ]+", m[3])
+
+
+def test_surrogates_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "be"])
+    names = [("person", f"name{chr(97 + i)}", "male") for i in range(20)]
+    emails = [("email", f"{i}@{j}.zz", "") for i in range(10) for j in range(10)]
+    df = spark.createDataFrame(names + emails, "type string, norm string, gender string")
+    rows = surrogates.assigned(df, "k").collect()
+    assert len({r["new"] for r in rows}) == 120 and not {r["new"] for r in rows} & {r["norm"] for r in rows}
+
+
 def test_surrogates_of_odd_and_real_documents(spark, small, docs, odd_docs, empty_docs):
     assert surrogates.replaced(empty_docs).count() == 0
     out = surrogates.replaced(odd_docs)
