@@ -1,12 +1,16 @@
 """Main text of web pages, with what a site repeats from page to page removed.
 
-First pass: each page's element subtrees are hashed (name, attributes, text, subtrees within). Spark counts on how many
-pages of a host each hash occurs. A subtree on at least MIN_PAGES pages and MIN_SHARE of a host's pages is template.
-Second pass: those subtrees go, with elements whose name, role or class says that they aren't the article. Where a page
-marks its main part, text blocks inside that part are never template: articles may share passages.
+First pass: each page's element subtrees are hashed (name, attributes, text, subtrees within), together with a hash of the
+page's text outside the subtree. Spark counts, for each host and subtree, in how many different surroundings it occurs, so
+copies and recaptures of one page count once. A subtree is template if it has at least MIN_PAGES surroundings and either
+MIN_SHARE of the host's different pages or, unless it is a mere text block, MANY of them. A subtree that holds more than
+half of a page's text there is never a candidate. Second pass: those subtrees go, with elements whose name, role or class
+says that they aren't the article. Where a page marks its main part, text blocks inside that part are never template:
+articles may share passages.
 
 A null html is empty and gives an empty text; a null or odd url belongs to no host, and only names and classes decide
-there. Repeated rows count as pages of their own. An empty table gives no row; other columns are ignored.
+there. Repeated rows get a row each. An empty table gives no row; other columns are ignored. Parsing takes time in
+proportion to the page, also where tags aren't closed or nested deeply. Counts have no ties to break.
 """
 
 from __future__ import annotations
@@ -24,7 +28,13 @@ from tallywork.llm.common import stored
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.DOTALL)
+#: So many pages make a subtree template whatever their share of a large host.
+MANY = 50
+#: A tag from its sign on, quoted values as wholes; and without regard to quotes.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)([^>]*+)>""")
+#: A numeric reference of more digits than any character has.
+LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9A-Fa-f]{8,});?")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,13 +49,21 @@ DROPPED = frozenset("head nav footer aside form script style noscript template i
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that tell what an element is for.
 DROPPED_WORDS = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notification announcement popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments commentlist disqus reply replies respond widget toolbar login signup search skip".split())
-PAGE_WORDS = frozenset("header masthead topbar".split())
+#: Whole class names or ids of a page's head.
+PAGE_NAMES = frozenset("header masthead topbar site-header page-header main-header global-header header-wrapper".split())
 #: Whole class names or ids of a main part.
 MAIN_NAMES = frozenset("article article-body article-content article-text articlebody post post-body post-content entry entry-content story story-body story-content".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 CONTAINERS = (BLOCKS | frozenset("td th".split())) - {"html", "body", "article", "main", "title"}
 
 
+def unescaped(text: str) -> str:
+    """text with its character references decoded; one of too many digits stands for no character."""
+    if "&" not in text:
+        return text
+    return entities.unescape(LONG_REFERENCE.sub(lambda m: m.group() if len(m.group().strip("&#xX;").lstrip("0")) < 8 and len(m.group()) < 1000 else "\ufffd", text))
+
+
 class Page:
     """Elements of a page in order of opening, and the events (open, close, text) that walk through them."""
 
@@ -56,8 +74,12 @@ class Page:
         self.hashes: list[int] = []
         self.filled: list[bool] = []
         self.events: list[tuple[int, int | str]] = []
+        self.sizes: list[int] = []  # characters of text in an element
+        self.sums: list[int] = []  # sum of the hashes of the texts in an element
+        self.size = self.sum = 0
         self._parts: list[list[str]] = []
         self._open: list[int] = []
+        self._depths: dict[str, list[int]] = {}  # by name, where its open elements are among all open ones
         self._parse(html or "")
         while self._open:
             self._close()
@@ -68,6 +90,12 @@ class Page:
             if self._open and (words := " ".join(text.split())):
                 self._parts[self._open[-1]].append(words)
                 self.filled[self._open[-1]] = True
+                if self.names[self._open[-1]] not in RAW:
+                    mark = xxhash.xxh64_intdigest(words)
+                    self.sizes[self._open[-1]] += len(words)
+                    self.sums[self._open[-1]] += mark
+                    self.size += len(words)
+                    self.sum += mark
 
     def _start(self, name: str, attributes: str) -> None:
         i = len(self.names)
@@ -76,55 +104,81 @@ class Page:
         self.parents.append(self._open[-1] if self._open else -1)
         self.hashes.append(0)
         self.filled.append(False)
+        self.sizes.append(0)
+        self.sums.append(0)
         self._parts.append([])
         self.events.append((1, i))
+        self._depths.setdefault(name, []).append(len(self._open))
         self._open.append(i)
 
     def _close(self) -> None:
         i = self._open.pop()
+        self._depths[self.names[i]].pop()
         self.hashes[i] = xxhash.xxh64_intdigest("\x1f".join([self.names[i], " ".join(self.attributes[i].split()), *self._parts[i]])) >> 1
         self._parts[i] = []
         self.events.append((-1, i))
         if self._open:
             self._parts[self._open[-1]].append(f"<{self.hashes[i]}>")
-            self.filled[self._open[-1]] |= self.filled[i]
+            up = self._open[-1]
+            self.filled[up] |= self.filled[i]
+            self.sizes[up] += self.sizes[i]
+            self.sums[up] += self.sums[i]
 
     def _close_to(self, names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
-        for k in range(len(self._open) - 1, -1, -1):
-            name = self.names[self._open[k]]
-            if name in names:
-                while len(self._open) > k:
-                    self._close()
-                return
-            if name in limits:
-                return
+        """Closes the innermost open element of the names and all in it, unless one of the limits is open within it."""
+        deepest = lambda of: max((d[-1] for n in of if (d := self._depths.get(n))), default=-1)
+        k = deepest(names)
+        if k >= 0 and deepest(limits) <= k:
+            while len(self._open) > k:
+                self._close()
 
     def _parse(self, html: str) -> None:
-        at = 0
-        while m := TAG.search(html, at):
-            self._text(entities.unescape(html[at : m.start()]))
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
-                if m.group().startswith("<![CDATA["):
-                    self._text(m.group()[9:].removesuffix("]]>"))
-            elif m[1] or m[4]:
-                self._close_to({name}, frozenset() if name in BLOCKS and name != "p" else INLINE_LIMIT - {name})
-            else:
-                if name in CLOSES_P:
-                    self._close_to({"p"}, INLINE_LIMIT)
-                if name in ENDS:
-                    self._close_to(*ENDS[name])
-                attributes = m[3] if m[2] else m[6] or ""
-                self._start(name, attributes)
-                if name in VOID:
-                    self._close()
-                elif name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at)
-                    self._text(html[at : end.start() if end else len(html)])
-                    at = end.end() if end else len(html)
-                    self._close()
-        self._text(entities.unescape(html[at:]))
+        at, last, quoted = 0, html.rfind(">"), True
+        while (begin := html.find("<", at)) >= 0:
+            tag, ended = None, -1
+            if html.startswith("<!--", begin):
+                ended = html.find("-->", begin + 4)
+                ended = len(html) if ended < 0 else ended + 3
+            elif html.startswith("<![CDATA[", begin):
+                ended = html.find("]]>", begin)
+                ended = len(html) if ended < 0 else ended + 3
+            elif begin < last and html[begin + 1 : begin + 2] in ("!", "?"):
+                ended = html.find(">", begin) + 1
+            elif begin < last:
+                tag = TAG.match(html, begin) if quoted else None
+                if tag is None and (tag := PLAIN_TAG.match(html, begin)):
+                    quoted = False  # a quote is open to the end: look for pairs no more
+                ended = tag.end() if tag else -1
+            if ended < 0:  # no tag
+                self._text(unescaped(html[at : begin + 1]))
+                at = begin + 1
+                continue
+            self._text(unescaped(html[at:begin]))
+            if html.startswith("<![CDATA[", begin):
+                self._text(html[begin + 9 : ended].removesuffix("]]>"))
+            at = ended
+            if tag:
+                at = self._tag(html, at, last, tag[1], tag[2].lower(), tag[3])
+        self._text(unescaped(html[at:]))
+
+    def _tag(self, html: str, at: int, last: int, closing: str, name: str, attributes: str) -> int:
+        """Takes in a tag; where to read on."""
+        if closing:
+            self._close_to({name}, frozenset() if name in BLOCKS and name != "p" else INLINE_LIMIT - {name})
+            return at
+        if name in CLOSES_P:
+            self._close_to({"p"}, INLINE_LIMIT)
+        if name in ENDS:
+            self._close_to(*ENDS[name])
+        self._start(name, attributes)
+        if name in VOID:
+            self._close()
+        elif name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at, last + 1)
+            self._text(html[at : end.start() if end else len(html)])
+            at = end.end() if end else len(html)
+            self._close()
+        return at
 
     def walk(self) -> None:
         """Sets, by element: dropped by name, role or class; main part, or in it."""
@@ -135,26 +189,27 @@ class Page:
             values = {a.lower(): (v or "").strip("\"'").lower() for a, v in ATTRIBUTE.findall(self.attributes[i])} if self.attributes[i].strip() else {}
             words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}"))
             role = values.get("role", "")
-            called = MAIN_NAMES & {*values.get("class", "").split(), values.get("id", "")}
+            whole = {*values.get("class", "").split(), values.get("id", "")}
+            called = MAIN_NAMES & whole
             marked = name in ("article", "main") or role in ("main", "article") or bool(called) and name in ("div", "section", "td") and not words & DROPPED_WORDS
             above = up >= 0 and self.dropped[up]
             self.inside[i] = up >= 0 and (self.inside[up] or self.marked[up])
             self.dropped[i] = above or name in DROPPED or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
             self.dropped[i] |= bool(words & DROPPED_WORDS) and not (marked or name in ("html", "body"))
-            self.dropped[i] |= not self.inside[i] and not marked and name not in ("html", "body") and (name == "header" or bool(words & PAGE_WORDS))
+            self.dropped[i] |= not self.inside[i] and not marked and name not in ("html", "body") and (name == "header" or bool(whole & PAGE_NAMES))
             self.marked[i] = marked and not self.dropped[i]
         self.holds = [False] * n
         for i in range(n - 1, -1, -1):
             if (self.marked[i] or self.holds[i]) and self.parents[i] >= 0:
                 self.holds[self.parents[i]] = True
 
-    def candidates(self) -> set[int]:
-        """Hashes of subtrees that may be template."""
+    def candidates(self) -> set[tuple[int, int, bool]]:
+        """Of subtrees that may be template: hash, hash of the page's text outside, and whether it is a mere text block."""
         self.walk()
-        return {self.hashes[i] for i, name in enumerate(self.names) if self._may_be_template(i, name)}
+        return {(self.hashes[i], (self.sum - self.sums[i]) & (1 << 63) - 1, name in TEXT_BLOCKS) for i, name in enumerate(self.names) if self._may_be_template(i, name)}
 
     def _may_be_template(self, i: int, name: str) -> bool:
-        return name in CONTAINERS and self.filled[i] and not self.marked[i] and not self.holds[i] and not (self.inside[i] and name in TEXT_BLOCKS)
+        return name in CONTAINERS and self.filled[i] and not self.marked[i] and not self.holds[i] and not (self.inside[i] and name in TEXT_BLOCKS) and (self.dropped[i] or 2 * self.sizes[i] <= self.size)
 
     def main_text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
         self.walk()
@@ -201,27 +256,30 @@ def hosted(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), HOST, 1).alias("host"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY) -> DataFrame:
     """host and template, the hashes of its template subtrees.
 
-    A page has a limited number of subtrees and each template is on min_share of the host's pages, so a host has at most
-    the mean number of subtrees over min_share: the list doesn't grow with the number of pages.
+    Counts are two steps of partial sums, so a hot host or subtree is no task of its own. Each template is on min_share of
+    a host's pages or on many of them, so the list of a host is a small part of its subtrees.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, found = [], []
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = Page(html).candidates()
+                page = Page(html)
+                own = [(None, page.sum & (1 << 63) - 1, False), *page.candidates()]
                 found += own
                 hosts += [host] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "h"])
-
-    known = hosted(pages).where("host != ''")
-    often = known.select("host", "html").mapInArrow(hashes, "host string, h long").groupBy("host", "h").count().where(F.col("count") >= min_pages)
-    sizes = known.groupBy("host").agg(F.count("*").alias("pages"))
-    many = stored(often, "often").join(stored(sizes, "hosts"), "host").where(F.col("count") >= F.col("pages") * min_share)
-    return many.groupBy("host").agg(F.sort_array(F.collect_set("h")).alias("template"))
+            h, rest, block = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(h, pa.int64()), pa.array(rest, pa.int64()), pa.array(block, pa.bool_())], ["host", "h", "rest", "block"])
+
+    known = hosted(pages).where("host != ''").select("host", "html")
+    once = known.mapInArrow(hashes, "host string, h long, rest long, block boolean").groupBy("host", "h", "rest").agg(F.min("block").alias("block"))
+    counts = stored(once.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("block").alias("block")).where((F.col("n") >= min_pages) | F.col("h").isNull()), "counts")
+    sizes = counts.where("h is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    often = counts.where("h is not null").join(sizes, F.col("host") == F.col("of")).where((F.col("n") >= F.col("pages") * min_share) | (~F.col("block") & (F.col("n") >= many)))
+    return often.groupBy("host").agg(F.sort_array(F.collect_set("h")).alias("template"))
 
 
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
