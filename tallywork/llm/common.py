@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Chunks in a group of the prefix sums.
+CHUNKS = 1000
+
 _own: dict[str, str] = {}
 
 
@@ -38,24 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def starts(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str, row: str) -> DataFrame:
-    """Adds out, the sum of value over the rows before this one within keys, and row, a number unique within keys and chunk.
+def starts(df: DataFrame, key: str, chunk: str, order: list[str], value: str, out: str, row: str) -> DataFrame:
+    """Adds out, the sum of value over the rows before this one of its key, and row, a number unique within key and chunk.
 
-    Two passes: sums within (keys, chunk), then over the chunks' totals, so no task gets all rows of a hot key. The
-    order is by chunk, then by the given columns.
+    Three passes: sums within (key, chunk), over the totals of a group of chunks, and over the groups' totals, so no task
+    gets all rows of a hot key, nor all its chunks. The order is by chunk, a number from 0 on, then by the given columns;
+    key and chunk aren't null.
     """
-    local = Window.partitionBy(*keys, chunk).orderBy(*order)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0))).withColumn(row, F.row_number().over(local))
-    totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_of"))
-    over = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    names = [F.col(c).alias(f"_{c}") for c in [*keys, chunk]]
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_of").over(over), F.lit(0))).select(*names, "_base")
-    same = None
-    for c in [*keys, chunk]:
-        one = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = one if same is None else same & one
-    return rows.join(bases, same).withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base", *[f"_{c}" for c in [*keys, chunk]])
+
+    def summed(rows: DataFrame, within: list[str], by: list[str], of: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum(of).over(before), F.lit(0)))
+
+    rows = summed(df, [key, chunk], order, value, "_in").withColumn(row, F.row_number().over(Window.partitionBy(key, chunk).orderBy(*order)))
+    chunks = df.groupBy(F.col(key).alias("_key"), F.col(chunk).alias("_chunk")).agg(F.sum(value).alias("_of")).withColumn("_group", F.floor(F.col("_chunk") / CHUNKS))
+    groups = chunks.groupBy(F.col("_key").alias("_k"), F.col("_group").alias("_g")).agg(F.sum("_of").alias("_all"))
+    bases = summed(chunks, ["_key", "_group"], ["_chunk"], "_of", "_low").join(summed(groups, ["_k"], ["_g"], "_all", "_high"), (F.col("_key") == F.col("_k")) & (F.col("_group") == F.col("_g")))
+    known = rows.join(bases.select("_key", "_chunk", (F.col("_low") + F.col("_high")).alias("_base")), (F.col(key) == F.col("_key")) & (F.col(chunk) == F.col("_chunk")))
+    return known.withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base", "_key", "_chunk")
 
 
 def unused(df: DataFrame, name: str) -> str:

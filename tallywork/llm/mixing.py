@@ -1,16 +1,20 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each source's words form one stream, cut into blocks of BLOCK words. The mix has as many blocks as the input, dealt over
-output shards. For each shard, the number of slots that each source gets is a stratified multinomial draw: slot i of m
-takes a uniform number from [i/m, (i+1)/m) and falls to the source in whose share of the target weights it lies, so
-expectations are those of a plain multinomial and the sum stays nearer to its target. A source's slots are numbered
-through all shards; number j takes the block at place j mod n, in pass j div n, of a pseudorandom permutation of the
-source's n blocks (swap-or-not rounds over a keyed hash). The words that the mix takes from a document are the overlap of
-the document with the blocks taken. A slot beyond the third pass stays empty, so no document exceeds 3 times its size.
-
-Nulls have no words. A null source is a source of its own, sorted last. Documents of no words take none. Repeated rows
-are documents of their own. An empty table, or one without a word, gives no slot. Other columns are ignored by mixed()
-and carried along by resampled().
+output shards of SHARD slots. The number of a shard's slots that each source gets is a multinomial draw: each slot has a
+uniform number of its own from a hash and falls to the source in whose share of the target weights it lies; a shard's
+slots are counted by source. A source's slots are numbered through all shards; number j takes the block at place j mod n,
+in pass j div n, of a pseudorandom permutation of the source's n blocks (swap-or-not rounds over a keyed hash). Documents
+meet the blocks taken by block index. A slot beyond the third pass stays empty, so no document exceeds 3 times its size.
+
+mixed() gives the words that the mix takes from each document; resampled() the mix itself, a row for each document and
+pass, whose text is that of the document's words in the blocks that the pass takes.
+
+Nulls have no words. A null source is a source of its own, sorted last. Documents of no words take none and aren't in the
+mix. Documents are in the order of a hash of doc_id and text, ties by doc_id, text hash and size; what is equal in all of
+these, repeated rows included, may trade places, which changes no result. Very long documents are more blocks, nothing
+else. An empty table, or one without a word, gives no slot. Other columns are ignored by mixed() and carried along by
+resampled().
 """
 
 from __future__ import annotations
@@ -18,15 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import WORD, starts, stored, unused
+from tallywork.llm.common import BLANKS, WORD, starts, stored, unused
 
 WEIGHTS = (5, 2, 1)
 #: Most times that a source is used, and so each of its documents.
 PASSES = 3
-BLOCK = 64
+#: Words of a block: the draws' standard error is the square root of BLOCK times a source's target.
+BLOCK = 16
+#: The same where the mix is written out, so that most texts stay whole or are cut into long runs.
+TEXT_BLOCK = 256
 #: Slots of a shard.
 SHARD = 4096
 ROUNDS = 16
+#: Equal parts of [0, 1) in which a slot's number is looked up.
+CELLS = 4096
 SEED = 1
 #: Documents of a source in one chunk of the prefix sums, about; shards in one chunk.
 CHUNK_ROWS, CHUNK_SHARDS = 2_000, 4096
@@ -37,9 +46,10 @@ def uniform(*of: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 11) * F.lit(2.0**-53)
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, mark (a hash of the text), source and size, after the columns to be carried."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -68,18 +78,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
     return ranged.select("source", "source_no", "source_size", "n_docs", "total", "target", "lo", "hi")
 
 
-def drawn(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """A row for each source and shard with slots: source_no, shard, draws, n_blocks."""
-    slots = F.greatest(F.lit(1), F.round(F.col("total") / block)).cast("long")
-    known = sources.where("source_size > 0").withColumn("slots", slots).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    grid = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))))
-    m = F.least(F.lit(shard), F.col("slots") - F.col("shard") * shard)
+def drawn(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+    """A row for each source and shard with slots: source_no, shard, draws, n_blocks.
 
-    def below(x: str) -> Column:
-        whole = F.floor(m * F.col(x))
-        return whole + F.when(uniform(F.lit(seed), "shard", whole) < m * F.col(x) - whole, 1).otherwise(0)
-
-    return grid.withColumn("draws", (below("hi") - below("lo")).cast("long")).where("draws > 0").select("source_no", "shard", "draws", "n_blocks")
+    Slots are made in as many tasks as there are partitions and looked up by the cell in which their number lies, so the
+    work is even however large a source is, and however many there are.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.max("total")).first()[0] or 0
+    slots = max(1, round(total / block)) if total else 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots >> 22)
+    numbers = spark.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), uniform(F.lit(seed), "id").alias("u"))
+    known = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    ranges = known.select("source_no", "n_blocks", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("of"))
+    met = numbers.join(ranges, (cell(F.col("u")) == F.col("of")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return met.groupBy("source_no", "shard", "n_blocks").agg(F.count("*").alias("draws")).select("source_no", "shard", "draws", "n_blocks")
 
 
 def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
@@ -90,7 +104,7 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     """
 
     def one(at: Column, r: Column) -> Column:
-        mirror = F.pmod(F.xxhash64(*key, r) - at, n)
+        mirror = F.pmod(F.pmod(F.xxhash64(*key, r), n) - at, n)
         return F.when(F.xxhash64(*key, r, F.greatest(at, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(at)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, one)
@@ -98,7 +112,7 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
 
 def taken_blocks(draws: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
     """source_no, block, copies."""
-    numbered = starts(draws.withColumn("part", F.floor(F.col("shard") / CHUNK_SHARDS)), ["source_no"], "part", ["shard"], "draws", "first", "row")
+    numbered = starts(draws.withColumn("part", F.floor(F.col("shard") / CHUNK_SHARDS)), "source_no", "part", ["shard"], "draws", "first", "row")
     # Few rows become many slots: spread them by number, or they would all be coalesced into one task.
     spread = numbered.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")
     slots = spread.select("source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("draws") - 1)).alias("slot")).where(F.col("slot") < passes * F.col("n_blocks"))
@@ -107,31 +121,56 @@ def taken_blocks(draws: DataFrame, passes: int = PASSES, seed: int = SEED) -> Da
     return slots.select("source_no", place.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("copies"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """A row a document: doc_id, size, source_size, target, taken."""
-    sizes = stored(sized(docs), "sizes")
+def overlaps(sizes: DataFrame, own: list[str], weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The documents with their source's figures, and a row for each one's overlap with a block.
+
+    The first has source_no, source_size, target and part added; the second own, source_no, part, row (which together
+    tell a document), begin (words of the document before the overlap), words and copies.
+    """
     sources = stored(targets(sizes, weights, passes), "sources")
     copies = stored(taken_blocks(drawn(sources, block, shard, seed), passes, seed), "blocks").withColumnRenamed("block", "_block").withColumnRenamed("source_no", "_no")
     dealt = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / CHUNK_ROWS))), "dealt")
-    placed = starts(dealt, ["source_no"], "part", ["doc_id", "size"], "size", "first", "row")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
-    own = ["source_no", "part", "row", "doc_id", "size", "source_size", "target", "first"]
-    pieces = placed.select(*own, F.explode_outer(blocks).alias("block"))
-    overlap = F.least((F.col("block") + 1) * block, F.col("first") + F.col("size")) - F.greatest(F.col("block") * block, F.col("first"))
-    found = pieces.join(copies, (F.col("source_no") == F.col("_no")) & (F.col("block") == F.col("_block")), "left")
-    taken = found.groupBy(*own).agg(F.sum(F.coalesce(F.col("copies") * overlap, F.lit(0))).cast("long").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+    dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("n_docs") / CHUNK_ROWS))), "dealt")
+    placed = starts(dealt.where("size > 0"), "source_no", "part", ["doc_id", "mark", "size"], "size", "first", "row")
+    blocks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))
+    keys = ["source_no", "part", "row"]
+    pieces = placed.select(*own, *keys, "first", "size", F.explode(blocks).alias("block"))
+    begin = F.greatest(F.col("block") * block, F.col("first"))
+    words = F.least((F.col("block") + 1) * block, F.col("first") + F.col("size")) - begin
+    met = pieces.join(copies, (F.col("source_no") == F.col("_no")) & (F.col("block") == F.col("_block")), "left")
+    return dealt, met.select(*own, *keys, (begin - F.col("first")).alias("begin"), words.alias("words"), F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
-def resampled(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs mixed by whole documents: each row as many times as taken / size says, the fraction decided by a hash of doc_id.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """A row a document: doc_id, size, source_size, target, taken."""
+    own = ["doc_id", "size", "source_size", "target"]
+    dealt, met = overlaps(stored(sized(docs), "sizes"), own, weights, passes, block, shard, seed)
+    taken = met.groupBy(*own, "source_no", "part", "row").agg(F.sum(F.col("copies") * F.col("words")).cast("long").alias("taken"))
+    none = dealt.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
+    return taken.select(*own, "taken").union(none).withColumn("target", F.col("target").cast("double"))
+
 
-    Rows of one doc_id share its mean. A document of which nothing is taken goes.
+def resampled(docs: DataFrame, chars: str | None = None, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = TEXT_BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """The mix as documents: for each of docs and each pass that takes words of it, a row with the text of those words.
+
+    Rows keep their other columns; chars names one that holds the length of the text. Between words stands what stood
+    after the first of them; a text of which all words are taken is left as it is. The words of a document's rows are in
+    number what mixed() says that the mix takes of it.
     """
-    rate = mixed(docs, seed=seed).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("rate"))
-    key, times, copy = (unused(docs, n) for n in ("of_doc", "times", "copy"))
-    copies = rate.select(F.col("doc_id").alias(key), F.floor(F.col("rate") + uniform(F.lit(seed), F.lit("copies"), "doc_id")).cast("int").alias(times)).where(F.col(times) > 0)
+    row, size, spans, turn = (unused(docs, n) for n in ("of_row", "of_size", "spans", "turn"))
+    known = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, met = overlaps(stored(sized(known, F.col(row).alias("_row")), "sizes"), ["_row", "size"], weights, passes, block, shard, seed)
+    per = met.where("copies > 0").groupBy(F.col("_row").alias("_of"), F.col("size").alias(size)).agg(F.sort_array(F.collect_list(F.struct("begin", "words", "copies"))).alias(spans))
     # One row a document: it grows with the documents, so it is never broadcast.
-    found = docs.join(stored(copies, "copies").hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)))
-    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    found = known.join(stored(per, "spans").hint("merge"), F.col(row) == F.col("_of"))
+    each = found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(spans, lambda x: x.copies)).cast("int"))))
+    mine = F.filter(spans, lambda x: x.copies >= F.col(turn))
+    whole = F.aggregate(mine, F.lit(0).cast("long"), lambda n, x: n + x.words) == F.col(size)
+    text = F.col("text").cast("string")
+    signs = F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    cut = lambda words: F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(words, (x.begin + 1).cast("int"), x.words.cast("int")))), "")
+    # An array of one, so that the words are found once and not for each span.
+    part = F.rtrim(F.get(F.transform(F.array(signs), cut), F.lit(0)), F.lit(BLANKS))
+    new = F.when(whole, text).otherwise(part)
+    kinds = dict(docs.dtypes)
+    return each.select(*[new.cast(kinds[c]).alias(c) if c == "text" else F.char_length(new).cast(kinds[c]).alias(c) if c == chars else F.col(c) for c in docs.columns])
