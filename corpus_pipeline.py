@@ -29,8 +29,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is kept as often as the mix takes it."""
-    return mixing.resampled(docs)
+    """A row for each document and pass of the mix, with the words in the blocks that the pass takes; n_chars follows."""
+    return mixing.resampled(docs, chars="n_chars")
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
