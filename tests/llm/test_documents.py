@@ -508,9 +508,10 @@ def test_surrogates_keep_format_type_and_identity(spark):
 def test_distinct_entities_have_distinct_surrogates(spark):
     rows = [(i, f"+1 (200) 555-{i:04d} and 1.2.{i // 250}.{i % 250}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = surrogates.found(df)
+    entities = df.select(F.explode(F.regexp_extract_all("text", F.lit(surrogates.ANY), F.lit(0))).alias("entity"))
+    found = surrogates.forms(entities)
     news = surrogates.assigned(found, "k").collect()
-    assert len(news) == len({(r["type"], r["new"]) for r in news}) == found.select("type", "norm").distinct().count()
+    assert len(news) == len({(r["type"], r["new"]) for r in news}) == found.select("type", "norm").distinct().count() == 4000
     real = {(r["type"], r["norm"]) for r in news}
     assert not any((r["type"], r["new"]) in real for r in news)
 
@@ -536,7 +537,7 @@ def test_whole_names_of_any_script_go_and_repeated_rows_stay(spark):
 
 def test_surrogates_do_not_run_out(spark, monkeypatch):
     monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "be"])
-    names = [("person", f"name{chr(97 + i)}", "male") for i in range(20)]
+    names = [("name", f"name{chr(97 + i)}", "male") for i in range(20)]
     emails = [("email", f"{i}@{j}.zz", "") for i in range(10) for j in range(10)]
     df = spark.createDataFrame(names + emails, "type string, norm string, gender string")
     rows = surrogates.assigned(df, "k").collect()
