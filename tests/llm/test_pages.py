@@ -212,6 +212,26 @@ def test_long_hosts_and_paths_and_other_cases_of_a_scheme_match(spark):
     assert {r["url"]: r["entry"] for r in urllists.judged(caps, events).collect()} == urls
 
 
+def test_one_form_of_urls_and_entries(spark):
+    d = datetime.date(2024, 1, 1)
+    pairs = {
+        "y.com/a": ["http://y.com/a/b", "HTTP://y.com/a/b", "http://Y.com./a", "http://u:p@y.com:8080/a?q", "http://y.com//a", "http://y.com/%61", "http://a.y.com/a#x"], "z.com/a%2Fb": ["http://z.com/a%2fb"], "https://Q.com/caf%C3%A9/": ["http://q.com/café", "http://q.com/caf%c3%a9/x"],
+        "p.com/1+1": ["http://p.com/1+1", "http://p.com/1%2B1"], "[2001:db8::1]": ["http://[2001:DB8::1]:80/x"], "r.com/100%": ["http://r.com/100%", "http://r.com/100%25"],
+    }
+    none = ["http://y.com/A", "http://z.com/a/b", "http://z.com/a", "http://xy.com/a", "y.com/a", "http:///a", "http://p.com/1%201", "mailto:a@y.com/a", "http://r.com/100"]
+    events = spark.createDataFrame([("l", e, d, "add") for e in [*pairs, "", None, "/a"]], "list string, entry string, day date, action string")
+    urls = [*(u for us in pairs.values() for u in us), *none]
+    caps = spark.createDataFrame([(k, u, d) for k, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = {r["url"]: r["blocked"] for r in urllists.judged(caps, events).collect()}
+    assert {u for u, b in got.items() if not b} == set(none)
+
+
+def test_events_long_before_the_first_capture_give_few_intervals(spark, tmp_path):
+    events = spark.createDataFrame([("l", "a.com", datetime.date(1, 2, 3), "add"), ("l", "b.com", datetime.date(1, 1, 1), "add"), ("l", "b.com", datetime.date(2000, 1, 1), "remove")], "list string, entry string, day date, action string")
+    caps = spark.createDataFrame([(k, f"http://{h}/", datetime.date(2024, 5, 6)) for k, h in enumerate(["a.com", "b.com"])], "page_id long, url string, fetched date")
+    assert [r["blocked"] for r in sorted(urllists.judged(caps, events).collect())] == [True, False]
+
+
 # Sound
 
 
