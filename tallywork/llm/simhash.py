@@ -7,12 +7,13 @@ There the one's home is within 3 + 1 of the other, so sending every part to all
 average) brings each such pair together. At an anchor, those at home are compared with all.
 
 Equal fingerprints are one row from the start. An anchor reports no pairs but a spanning forest of what it finds
-connected, so a dense group of thousands costs one edge a member. Anchors with more than CHUNK rows are cut into chunks
-whose pairs are separate tasks. Components then come from min-label rounds with pointer jumping over the edges.
+connected, so a dense group of thousands costs one edge a member. At an anchor of more than CHUNK rows, chunks of those at
+home meet chunks of all, each pair of chunks a task of its own. Components then come from min-label rounds with pointer jumping over the edges.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other; a null doc_id counts only where a
-component has no other, and rows of one doc_id or of none are in one component only if their texts are. Repeated rows come back as often as they occur; an empty table gives no row; other columns are
-ignored by components() and carried along by representatives().
+component has no other, and rows of one doc_id or of none are in one component only if their texts are. Repeated rows come
+back as often as they occur; a very long text takes memory for its words' hashes, some tens of its bytes a word; an empty
+table gives no row; other columns are ignored by components() and carried along by representatives().
 """
 
 from __future__ import annotations
@@ -113,30 +114,39 @@ def anchored(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return fps.select("fp").mapInArrow(send, "anchor long, fp long, home boolean")
 
 
-def forest(fp: np.ndarray, home: np.ndarray, side: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Edges that connect what is within threshold at an anchor: each home with all of the other side, or of its own if there is but one."""
+#: What a row is at an anchor: compared by others, comparing with others, or both.
+OTHER, ASKING, BOTH = 0, 1, 2
+
+
+def forest(fp: np.ndarray, role: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Edges that connect what is within threshold at an anchor: each row that asks with all that don't merely ask."""
     label = np.arange(len(fp))
-    both = len(np.unique(side)) > 1
-    for i in np.flatnonzero(home).tolist():
-        near = np.bitwise_count(fp ^ fp[i]) <= threshold
-        if both:
-            near &= side != side[i]
-            near[i] = True
+    answers = role != ASKING
+    for i in np.flatnonzero(role != OTHER).tolist():
+        near = (np.bitwise_count(fp ^ fp[i]) <= threshold) & answers
+        near[i] = True
         found = np.unique(label[near])
         if len(found) > 1:
             label[np.isin(label, found[1:])] = found[0]
-    at = np.flatnonzero(label != np.arange(len(fp)))
+    at = np.flatnonzero(fp != fp[label])
     return list(zip(fp[at].view(np.int64).tolist(), fp[label[at]].view(np.int64).tolist(), strict=True))
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) whose connected components are those of all pairs of distinct fingerprints within threshold."""
     at = stored(anchored(fps, threshold), "anchors")
-    big = at.groupBy("anchor").count().where(F.col("count") > chunk).select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    dealt = at.join(stored(big, "big"), "anchor", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("mine", o).alias("lo"), F.greatest("mine", o).alias("hi")))
-    tasks = dealt.select("anchor", "fp", "home", "mine", F.explode(pairs).alias("p")).select("anchor", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"), "fp", "home", "mine")
+    sizes = at.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where(F.col("n") > chunk)
+    parts = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    big = stored(sizes.select("anchor", parts("n").alias("parts"), parts("homes").alias("home_parts")), "big")
+    dealt = at.join(big, "anchor", "left")
+    task = lambda i, j, role: F.struct(i.alias("lo"), j.alias("hi"), F.lit(role).alias("role"))
+    each = lambda n, make: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), make))
+    mine, home_mine = (F.pmod(F.xxhash64("fp", F.lit(n)), F.greatest(F.col(n_parts), F.lit(1))).cast("int") for n, n_parts in ((1, "parts"), (2, "home_parts")))
+    none = F.array().cast("array<struct<lo:int,hi:int,role:int>>")
+    asking = F.when(F.col("home"), each("parts", lambda j: task(home_mine, j, ASKING))).otherwise(none)
+    asked = F.coalesce(each("home_parts", lambda i: task(i, mine, OTHER)), none)
+    small = F.when(F.col("home"), F.array(task(F.lit(0), F.lit(0), BOTH))).otherwise(F.array(task(F.lit(0), F.lit(0), OTHER)))
+    tasks = dealt.select("anchor", "fp", F.explode(F.when(F.col("parts").isNull(), small).otherwise(F.concat(asking, asked))).alias("p")).select("anchor", "p.lo", "p.hi", "fp", "p.role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so an anchor's are together; only the last group of a batch waits for the next one."""
@@ -149,7 +159,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> Dat
             for s, e in zip(edges[: None if last else -2], edges[1 : None if last else -1], strict=False):
                 if e - s > 1:
                     g = rows[s:e]
-                    out += forest(g[:, 3].copy().view(np.uint64), g[:, 4] == 1, g[:, 5], threshold)
+                    out += forest(g[:, 3].copy().view(np.uint64), g[:, 4], threshold)
             return out, rows[len(rows) if last else edges[-2] :]
 
         def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
