@@ -34,6 +34,8 @@ TEXT_BLOCK = 256
 #: Slots of a shard.
 SHARD = 4096
 ROUNDS = 16
+#: Blocks that travel together: a row for each group of so many neighbours, not for each block.
+GROUP = 64
 #: Equal parts of [0, 1) in which a slot's number is looked up.
 CELLS = 4096
 SEED = 1
@@ -110,42 +112,54 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, one)
 
 
-def taken_blocks(draws: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """source_no, block, copies."""
+def taken_blocks(draws: DataFrame, passes: int = PASSES, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """source_no, group and blocks: those of a group of neighbouring blocks that the mix takes, by number in the group, each as often as taken."""
     numbered = starts(draws.withColumn("part", F.floor(F.col("shard") / CHUNK_SHARDS)), "source_no", "part", ["shard"], "draws", "first", "row")
     # Few rows become many slots: spread them by number, or they would all be coalesced into one task.
     spread = numbered.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")
     slots = spread.select("source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("draws") - 1)).alias("slot")).where(F.col("slot") < passes * F.col("n_blocks"))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     place = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), turn)
-    return slots.select("source_no", place.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("copies"))
+    placed = slots.select("source_no", place.alias("block")).select("source_no", F.floor(F.col("block") / group).alias("group"), (F.col("block") % group).cast("byte").alias("block"))
+    return placed.groupBy("source_no", "group").agg(F.collect_list("block").alias("blocks"))  # at most passes * group of them
 
 
 def overlaps(sizes: DataFrame, own: list[str], weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The documents with their source's figures, and a row for each one's overlap with a block.
+    """The documents with their source's figures, and a row for each one's part in a group of blocks.
 
     The first has source_no, source_size, target and part added; the second own, source_no, part, row (which together
-    tell a document), begin (words of the document before the overlap), words and copies.
+    tell a document), first and upto (its words in its source's stream), begin (the group's first word) and blocks.
     """
     sources = stored(targets(sizes, weights, passes), "sources")
-    copies = stored(taken_blocks(drawn(sources, block, shard, seed), passes, seed), "blocks").withColumnRenamed("block", "_block").withColumnRenamed("source_no", "_no")
+    taken = stored(taken_blocks(drawn(sources, block, shard, seed), passes, seed), "blocks").withColumnRenamed("group", "_group").withColumnRenamed("source_no", "_no")
     dealt = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     dealt = stored(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("n_docs") / CHUNK_ROWS))), "dealt")
-    placed = starts(dealt.where("size > 0"), "source_no", "part", ["doc_id", "mark", "size"], "size", "first", "row")
-    blocks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))
+    placed = starts(dealt.where("size > 0"), "source_no", "part", ["doc_id", "mark", "size"], "size", "first", "row").withColumn("upto", F.col("first") + F.col("size"))
+    words = block * GROUP
+    groups = F.sequence(F.floor(F.col("first") / words), F.floor((F.col("upto") - 1) / words))
     keys = ["source_no", "part", "row"]
-    pieces = placed.select(*own, *keys, "first", "size", F.explode(blocks).alias("block"))
-    begin = F.greatest(F.col("block") * block, F.col("first"))
-    words = F.least((F.col("block") + 1) * block, F.col("first") + F.col("size")) - begin
-    met = pieces.join(copies, (F.col("source_no") == F.col("_no")) & (F.col("block") == F.col("_block")), "left")
-    return dealt, met.select(*own, *keys, (begin - F.col("first")).alias("begin"), words.alias("words"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    pieces = placed.select(*own, *keys, "first", "upto", F.explode(groups).alias("group"))
+    met = pieces.join(taken, (F.col("source_no") == F.col("_no")) & (F.col("group") == F.col("_group")), "left")
+    return dealt, met.select(*own, *keys, "first", "upto", (F.col("group") * words).alias("begin"), "blocks")
+
+
+def span(number: Column, block: int) -> tuple[Column, Column]:
+    """Where the document's words in a block begin and end in its source's stream; the block counts from begin."""
+    at = F.col("begin") + number * block
+    return F.greatest(at, F.col("first")), F.least(at + block, F.col("upto"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """A row a document: doc_id, size, source_size, target, taken."""
     own = ["doc_id", "size", "source_size", "target"]
     dealt, met = overlaps(stored(sized(docs), "sizes"), own, weights, passes, block, shard, seed)
-    taken = met.groupBy(*own, "source_no", "part", "row").agg(F.sum(F.col("copies") * F.col("words")).cast("long").alias("taken"))
+
+    def words(x: Column) -> Column:
+        begin, end = span(x, block)
+        return F.greatest(end - begin, F.lit(0))
+
+    part = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, x: n + words(x))
+    taken = met.groupBy(*own, "source_no", "part", "row").agg(F.sum(F.coalesce(part, F.lit(0))).cast("long").alias("taken"))
     none = dealt.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
     return taken.select(*own, "taken").union(none).withColumn("target", F.col("target").cast("double"))
 
@@ -160,7 +174,13 @@ def resampled(docs: DataFrame, chars: str | None = None, weights: tuple[int, ...
     row, size, spans, turn = (unused(docs, n) for n in ("of_row", "of_size", "spans", "turn"))
     known = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     _, met = overlaps(stored(sized(known, F.col(row).alias("_row")), "sizes"), ["_row", "size"], weights, passes, block, shard, seed)
-    per = met.where("copies > 0").groupBy(F.col("_row").alias("_of"), F.col("size").alias(size)).agg(F.sort_array(F.collect_list(F.struct("begin", "words", "copies"))).alias(spans))
+
+    def piece(x: Column) -> Column:
+        begin, end = span(x, block)
+        return F.struct((begin - F.col("first")).alias("begin"), (end - begin).alias("words"), F.size(F.filter("blocks", lambda b: b == x)).alias("copies"))
+
+    parts = F.filter(F.transform(F.array_sort(F.array_distinct("blocks")), piece), lambda x: x.words > 0)
+    per = met.where("blocks is not null").select("_row", "size", F.explode(parts).alias("p")).groupBy(F.col("_row").alias("_of"), F.col("size").alias(size)).agg(F.sort_array(F.collect_list("p")).alias(spans))
     # One row a document: it grows with the documents, so it is never broadcast.
     found = known.join(stored(per, "spans").hint("merge"), F.col(row) == F.col("_of"))
     each = found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(spans, lambda x: x.copies)).cast("int"))))
