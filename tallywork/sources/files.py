@@ -79,14 +79,30 @@ def submission_rows(text: Column) -> Column:
     return F.greatest(F.when(F.length(text) == 0, 0).otherwise(lines - 1), F.lit(0))
 
 
-def submission(spark: SparkSession, path: str, id_column: str, target_column: str) -> DataFrame:
-    """run, line_no, id, raw of CSV files; a header without the columns gives one row whose raw is null and line_no 1."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("run"), F.posexplode(F.filter(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: x != "")).alias("pos", "line"))
-    cells = lines.withColumn("cells", F.transform(F.split("line", ","), lambda x: F.regexp_replace(x, '^"|"$', "")))
-    heads = cells.where("pos = 0").select("run", F.array_position("cells", id_column).alias("i"), F.array_position("cells", target_column).alias("t"))
-    good = cells.where("pos > 0").join(F.broadcast(heads.where("i > 0 and t > 0")), "run").select("run", (F.col("pos") + 1).alias("line_no"), F.get("cells", (F.col("i") - 1).cast("int")).alias("id"), F.get("cells", (F.col("t") - 1).cast("int")).alias("raw"))
-    bad = heads.where("i = 0 or t = 0").select("run", F.lit(1).alias("line_no"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("raw"))
-    return good.unionByName(bad)
+#: A record of a CSV file, with line ends in quotes; and a field with the comma before it. Possessive, so that long ones need no stack.
+RECORD = r'(?:[^"\n]++|"(?:[^"]++|"")*+(?:"|\z))++'
+FIELD = r',((?:[^",]++|"(?:[^"]++|"")*+(?:"|\z))*+)'
+
+
+def csv_records(text: Column) -> Column:
+    """Records of a CSV text as arrays of fields, quotes taken off and doubled ones made single; blank lines are left out."""
+    plain = lambda f: F.when(f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f)
+    fields = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(FIELD), F.lit(1)), plain)
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit(RECORD), F.lit(0)), fields)
+
+
+def submission(spark: SparkSession, path: str, id_column: str, target_column: str, run: str = r"([^/]+)$") -> DataFrame:
+    """run, line_no, id, raw of CSV files; a header without the columns gives one row whose raw is null and line_no 1.
+
+    Each file is read whole. run is the pattern of a run's name in a file's path; line_no counts records.
+    """
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    found = texts.select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), run, 1)).alias("run"), csv_records(F.col("value")).alias("records"))
+    head = found.select("run", "records", F.array_position(F.get("records", F.lit(0)), id_column).cast("int").alias("i"), F.array_position(F.get("records", F.lit(0)), target_column).cast("int").alias("t"))
+    good = head.where("i > 0 and t > 0").select("run", "i", "t", F.posexplode("records").alias("pos", "cells")).where("pos > 0")
+    rows = good.select("run", (F.col("pos") + 1).alias("line_no"), F.get("cells", F.col("i") - 1).alias("id"), F.get("cells", F.col("t") - 1).alias("raw"))
+    bad = head.where("not coalesce(i > 0 and t > 0, false)").select("run", F.lit(1).alias("line_no"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("raw"))
+    return rows.unionByName(bad)
 
 
 def submissions_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -133,9 +149,9 @@ def cells_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"cells array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline("cells"))
 
 
-def instances(spark: SparkSession, path: str) -> DataFrame:
-    """run, test, kind of instance documents with FAIL_TO_PASS and PASS_TO_PASS."""
-    docs = spark.read.schema("instance_id string, FAIL_TO_PASS array<string>, PASS_TO_PASS array<string>").option("multiLine", True).json(path)
+def instances(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """run, test, kind of instance documents with FAIL_TO_PASS and PASS_TO_PASS, one a file or one a line."""
+    docs = spark.read.schema("instance_id string, FAIL_TO_PASS array<string>, PASS_TO_PASS array<string>").option("multiLine", not lines).json(path)
     return docs.select(F.col("instance_id").alias("run"), F.explode("FAIL_TO_PASS").alias("test"), F.lit("f2p").alias("kind")).unionByName(docs.select(F.col("instance_id").alias("run"), F.explode("PASS_TO_PASS").alias("test"), F.lit("p2p").alias("kind")))
 
 

@@ -1,5 +1,6 @@
 """Files in, tables out, and back."""
 
+import csv
 import json
 
 import pytest
@@ -58,6 +59,18 @@ def test_small_files(spark, tmp_path):
     assert files.submission(spark, str(tmp_path / "sub.csv"), "id", "z").first()["line_no"] == 1
 
 
+def test_quoted_fields_of_submissions(spark, tmp_path):
+    cells = [["y", "x", "id"], ["0.5", "", "a,b"], ["1", 'say "hi"', "line\none"], ["", "long " * 5000, '"'], ["2", "x,y\r\nz", ""]]
+    with (tmp_path / "q.csv").open("w", newline="") as out:
+        csv.writer(out).writerows(cells)
+    got = files.submission(spark, str(tmp_path / "q.csv"), "id", "y").orderBy("line_no").collect()
+    with (tmp_path / "q.csv").open(newline="") as back:
+        want = [(k + 1, r[2].replace("\r\n", "\n"), r[0]) for k, r in enumerate(csv.reader(back)) if k]
+    assert [(r["line_no"], r["id"], r["raw"]) for r in got] == want and got[0]["run"] == "q.csv"
+    (tmp_path / "empty.csv").write_text("\n")
+    assert [r["line_no"] for r in files.submission(spark, str(tmp_path / "empty.csv"), "id", "y").collect()] == [1]
+
+
 def test_round_trip_of_a_run_set(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, True, False), ("b", 1, False, True)], "item string, seed int, medal boolean, infra_failure boolean")
     (tmp_path / "r.json").write_text(sinks.run_set_document(rows, "mine", "s", "docker").first()["value"])
