@@ -45,6 +45,13 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.groupBy("row").agg(F.sort_array(F.collect_list(four)).alias("v")).select("row", F.substring(F.sha2(F.array_join("v", ",").cast("binary"), 256), 1, 24).alias("fingerprint"))
 
 
+def name_fingerprints(named: DataFrame) -> DataFrame:
+    """row, fingerprint: 24 hex digits over the names in a row, by place, and its number; rows of one header differ by number only."""
+    head = F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
+    whole = lambda names: F.concat(F.array_join(names, ","), F.lit("#"), F.col("row").cast("string"))
+    return named.groupBy("row").agg(head.alias("names")).select("row", F.substring(F.sha2(whole(F.col("names")).cast("binary"), 256), 1, 24).alias("fingerprint"))
+
+
 def content_holdout(keyed: DataFrame, fraction: float) -> DataFrame:
     """row, is_train: the first floor(n * fraction) rows by content hash, at least one and not all. keyed: row, fingerprint.
 

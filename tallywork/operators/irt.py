@@ -184,3 +184,13 @@ def held_out(cells: DataFrame, n_folds: int, seed: str = "cv") -> DataFrame:
 
     folds = every.groupBy("fit_id").applyInPandas(run, "model string, ll double, trials double")
     return folds.groupBy("model").agg((F.sum("ll") / F.sum("trials")).alias("log_likelihood"))
+
+
+def hardest(items: DataFrame, k: int) -> DataFrame:
+    """The k hardest of the located items, ties by item."""
+    return items.where("identified and not extrapolated").orderBy(F.desc("b"), "item").limit(k)
+
+
+def ability_range(abilities: DataFrame, by: str) -> DataFrame:
+    """by, low, high: the abilities that a fit has seen."""
+    return abilities.groupBy(by).agg(F.min("theta").alias("low"), F.max("theta").alias("high"))

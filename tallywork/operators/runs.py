@@ -131,3 +131,9 @@ def with_medals(triage: DataFrame, medals: DataFrame) -> DataFrame:
 def matched(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pre, post and both rates for pairs of items; a side without the item leaves its rate null."""
     return pairs.join(a.select(F.col("item").alias("pre"), F.col("rate").alias("rate_a")), "pre", "left").join(b.select(F.col("item").alias("post"), F.col("rate").alias("rate_b")), "post", "left").select("pre", "post", "rate_a", "rate_b", (F.col("rate_b") - F.col("rate_a")).alias("diff"))
+
+
+def mean_percentile(rows: DataFrame, by: str) -> DataFrame:
+    """by, mean_percentile, n_items: the mean over items of the mean over an item's runs; items without a percentile are left out."""
+    per = rows.groupBy(by, "item").agg(F.avg("percentile").alias("p")).where("p is not null")
+    return per.groupBy(by).agg(F.avg("p").alias("mean_percentile"), F.count("*").alias("n_items"))

@@ -140,3 +140,8 @@ def headroom(triaged: DataFrame) -> DataFrame:
     """max_time (5 % above the longest run, 1 if none), time_cap and cap_headroom in one row."""
     longest, cap = F.max(F.when(F.col("wall_clock") > 0, F.col("wall_clock"))), F.max(F.when(F.col("time_cap") > 0, F.col("time_cap")))
     return triaged.agg(F.coalesce(longest * 1.05, F.lit(1.0)).alias("max_time"), cap.alias("time_cap"), (longest / cap).alias("cap_headroom"))
+
+
+def one_outcome(triaged: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, is_one and least: whether all runs of a key ended alike, and the first outcome by name."""
+    return triaged.groupBy(*keys).agg((F.min("outcome") == F.max("outcome")).alias("is_one"), F.min("outcome").alias("least"))

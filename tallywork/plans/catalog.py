@@ -36,4 +36,4 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*out)
 
 
-from tallywork.plans import filing, measurement, recording  # noqa: E402,F401  they register their queries
+from tallywork.plans import filing, lookups, measurement, recording  # noqa: E402,F401  they register their queries

@@ -128,9 +128,9 @@ def skill_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """row, feature, x: the first eight numbers of each vector, every eleventh missing, some wild."""
+    """row, feature, x: all numbers of each vector, every eleventh missing, some wild."""
     v = table(spark, d, "embeddings")
-    rows = v.select(F.col("vec_id").alias("row"), F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "x"))
+    rows = v.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("feature", "x"))
     x = F.when((F.col("row") + F.col("feature")) % 11 == 0, None).when((F.col("feature") == 2) & (F.col("row") % 97 == 0), F.col("x").cast("double") * 1000.0).otherwise(F.col("x").cast("double"))
     return rows.select("row", F.col("feature").cast("long").alias("feature"), x.alias("x"))
 
@@ -171,7 +171,7 @@ SQL = {
       union all select 'a' || subject, 'task_' || item || '__relabel', true, case when subject = 9 then avg(medal::int::double) / 2 else avg(medal::int::double) end, avg(medal::int::double) > 0.6, count(*) % 5 <> 0, false from runs group by subject, runs.item""",
     "pairs": """select 'a' || c.subject as agent, challenge, c.item // 2 as unit, c.rate as control, case when challenge = 'shift' and c.subject = 3 then null when challenge = 'shift' then h.rate + 0.02::double * c.subject when c.item // 2 = 7 and c.subject = 4 then null else h.rate end as challenged
       from cells c join cells h on c.subject = h.subject and h.item = c.item + 1, (select unnest(['leak', 'shift']) as challenge) where c.item % 2 = 0 and c.item < 16""",
-    "features": "select row, feature, case when (row + feature) % 11 = 0 then null when feature = 2 and row % 97 = 0 then x::double * 1000.0::double else x::double end as x from (select vec_id as row, unnest(range(8)) as feature, unnest(embedding[1:8]) as x from embeddings)",
+    "features": "select row, feature, case when (row + feature) % 11 = 0 then null when feature = 2 and row % 97 = 0 then x::double * 1000.0::double else x::double end as x from (select vec_id as row, unnest(range(len(embedding))) as feature, unnest(embedding) as x from embeddings)",
     "targets": "select vec_id as row, embedding[1]::double * 2.0::double + label::double * 0.001::double as y from embeddings",
 }
 NEEDS = {"cells": ["runs"], "subs0": ["answers"], "subs": ["subs0"], "predictions": ["answers"], "found": ["artifacts"], "triaged": ["found"], "marks": ["checkpoints"], "marked": ["marks"], "probe": ["runs"], "pairs": ["cells"]}

@@ -52,9 +52,9 @@ def dropped_items(spark: SparkSession, d: str) -> DataFrame:
     return runs.dropped_items(r.where("subject < 5 and item < 15"), r.where("subject >= 5 and item > 4"))
 
 
-@query("select o_orderkey as pair, '[' || array_to_string(list_filter([case when o_orderstatus <> o_orderpriority[1:1] then 'split_id: ' || o_orderstatus || ' vs ' || o_orderpriority[1:1] end, case when o_custkey % 2 <> 0 then 'container_config: default vs gpu' end], lambda x: x is not null), ', ') || ']' as conflicts from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey as pair, '[' || array_to_string(list_filter([case when o_orderstatus <> o_orderpriority[1:1] then 'split_id: ' || o_orderstatus || ' vs ' || o_orderpriority[1:1] end, case when o_custkey % 2 <> 0 then 'container_config: default vs gpu' end], lambda x: x is not null), ', ') || ']' as conflicts from orders")
 def fingerprint_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = fx.table(spark, d, "orders")
     known = F.lit("1")
     pair = o.select(F.col("o_orderkey").alias("pair"), F.struct(F.col("o_orderstatus").alias("split_id"), F.lit("default").alias("container_config"), known.alias("harness_version")).alias("a"), F.struct(F.substring("o_orderpriority", 1, 1).alias("split_id"), F.when(F.col("o_custkey") % 2 != 0, "gpu").otherwise("default").alias("container_config"), known.alias("harness_version")).alias("b"))
     return pair.select("pair", F.concat(F.lit("["), F.array_join(runs.conflicts("a", "b"), ", "), F.lit("]")).alias("conflicts"))
@@ -220,9 +220,9 @@ def evidence_line(spark: SparkSession, d: str) -> DataFrame:
     return found.where("m is not null").select("run", F.col("m.line").alias("line"))
 
 
-@query("select item, case count(distinct isolation) when 0 then 'unknown' when 1 then max(isolation) else 'mixed' end as isolation from artifacts where subject % 9 = 0 and seed = 1 group by item", "artifacts")
+@query("select item, case count(distinct isolation) when 0 then 'unknown' when 1 then max(isolation) else 'mixed' end as isolation from artifacts group by item", "artifacts")
 def isolation_mixed(spark: SparkSession, d: str) -> DataFrame:
-    return triage.isolation(fx.artifacts(spark, d).where("subject % 9 = 0 and seed = 1"), ["item"])
+    return triage.isolation(fx.artifacts(spark, d), ["item"])
 
 
 @query("select round(max(wall_clock) * 1.05::double, 9) as max_time, max(time_cap) as time_cap, round(max(wall_clock) / max(time_cap), 9) as cap_headroom from artifacts", "artifacts")

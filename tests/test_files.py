@@ -81,6 +81,7 @@ def test_round_trip_of_a_run_set(spark, tmp_path):
 def test_six_decimals_and_no_overwriting(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.1234567)], "id int, y double")
     sinks.write_csv(rows, str(tmp_path / "out"))
-    assert next((tmp_path / "out").glob("part-*.csv")).read_text().splitlines() == ["id,y", "1,0.123457"]
+    lines = [x.read_text().splitlines() for x in (tmp_path / "out").glob("part-*.csv")]
+    assert ["id,y", "1,0.123457"] in lines and all(x[:1] == ["id,y"] for x in lines)
     with pytest.raises(Exception):
         sinks.write_csv(rows, str(tmp_path / "out"))
