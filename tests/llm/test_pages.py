@@ -307,8 +307,8 @@ def test_recall_against_all_offsets(spark, small):
     assert n >= 40 and recall >= 0.95
 
 
-def test_common_halves_vote_in_pairs_and_fours(spark):
-    """Recordings that begin and end with silence: the hot halves meet nobody by themselves."""
+def test_what_is_common_votes_in_pairs_and_fours(spark):
+    """Recordings that begin and end with silence, which meets nobody by itself."""
     g = np.random.default_rng(5)
     rows = []
     for k in range(30):
