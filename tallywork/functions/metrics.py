@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.functions import ordering
+
 CLIP = 1e-15
 
 
@@ -61,12 +63,11 @@ register(Metric("log_loss", False, _log_loss))
 def with_mid_rank(df: DataFrame, keys: list[str], score: str, out: str = "mid_rank") -> DataFrame:
     """Adds the 1-based ascending rank within keys, ties sharing the mean of their ranks.
 
-    Equal scores are counted first, and the running sum goes over the distinct scores: no window sees all rows of a group.
+    Equal scores are counted first, and running sums go over ranges of the distinct scores.
     """
-    counts = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).drop("_n")
-    return df.join(ranks, [*keys, score])
+    counts = ordering.running(df.select(*keys, score, F.lit(1).cast("long").alias("_n")), keys, score, ["_n"])
+    ranks = counts.select(*keys, score, (F.col("before__n") + (F.col("_n") + 1) / 2.0).alias(out))
+    return ordering.matched(df, ranks, [*keys, score])
 
 
 def scored(pairs: DataFrame, keys: list[str], name: str, y: str = "y", p: str = "p") -> DataFrame:

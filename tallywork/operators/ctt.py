@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.functions import expr
+from tallywork.functions import expr, ordering
 
 #: Cost of an item by tier.
 COST = {"low": 1, "medium": 6, "high": 15}
@@ -68,7 +68,7 @@ def split_half(cells: DataFrame, n_splits: int, seed: str = "half") -> DataFrame
     order = Window.partitionBy("split").orderBy("u", "item")
     dealt = items.crossJoin(F.broadcast(spark.range(n_splits).withColumnRenamed("id", "split"))).withColumn("u", expr.uniform(seed, "split", "item")).withColumn("place", F.row_number().over(order))
     halves = dealt.where(F.col("place") <= k // 2 * 2).select("split", "item", (F.col("place") <= k // 2).alias("first"))
-    means = cells.join(F.broadcast(halves), "item").groupBy("split", "subject").agg(F.avg(F.when(F.col("first"), F.col("rate"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("rate"))).alias("b"))
+    means = cells.join(halves, "item").groupBy("split", "subject").agg(F.avg(F.when(F.col("first"), F.col("rate"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("rate"))).alias("b"))
     r = expr.ratio(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b"))
     return means.groupBy("split").agg(r.alias("r")).where("r is not null and r > -1").select("split", "r", (2.0 * F.col("r") / (1.0 + F.col("r"))).alias("reliability"))
 
@@ -84,16 +84,27 @@ def null_alphas(cells: DataFrame, n_draws: int, seed: str = "null") -> DataFrame
 
 
 def tau_b(pairs: DataFrame, keys: list[str], a: str, b: str, unit: str) -> DataFrame:
-    """keys, tau: Kendall's tau-b over pairs of units, null where one side is all ties.
+    """keys, tau: Kendall's tau-b over pairs of units, null where one side is all ties; units without both values are left out.
 
-    Units are subjects of a benchmark, some tens: the self-join by keys is small by nature.
+    No pairs are made. Two units of different rank in a part ways at one bit of it, so for each bit those that agree in the
+    higher bits form a group, in which running sums in order of b count the pairs in and out of order: n log n rows.
     """
-    left = pairs.select(*keys, F.col(unit).alias("u"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = pairs.select(*keys, F.col(unit).alias("v"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    both = (left.join(right, keys) if keys else left.join(right)).where("u < v")
-    s, t = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    agg = both.groupBy(*keys).agg(F.sum(s * t).alias("c"), F.sum((s != 0).cast("double")).alias("na"), F.sum((t != 0).cast("double")).alias("nb"))
-    return agg.select(*keys, expr.ratio(F.col("c"), F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+    by = keys or [ordering.ALL]
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*[k for k in keys], *([] if keys else [F.lit(1).alias(ordering.ALL)]), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1).cast("long").alias("n"))
+    ranks = ordering.running(known.select(*by, "a", "n"), by, "a", ["n"])
+    tied = lambda df: df.groupBy(*by).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("tied"), F.sum("n").alias("units"))
+    cells = ordering.matched(known.groupBy(*by, "a", "b").agg(F.sum("n").alias("n")), ranks.select(*by, "a", F.col("before_n").alias("rank")), [*by, "a"])
+    bits = ordering.matched(cells, ranks.groupBy(*by).agg(F.length(F.bin(F.max("before_n"))).alias("bits")), by).withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    up = F.expr("shiftright(rank, bit) % 2 = 1")
+    sided = bits.select(*by, "bit", F.expr("shiftright(rank, bit + 1)").alias("prefix"), "b", F.when(up, 0).otherwise(F.col("n")).cast("long").alias("low"), F.when(up, F.col("n")).otherwise(0).cast("long").alias("high"))
+    counted = ordering.running(sided, [*by, "bit", "prefix"], "b", ["low", "high"])
+    in_order = counted.groupBy(*by, "bit", "prefix").agg(F.sum(F.col("high") * F.col("before_low")).alias("c"), F.sum(F.col("high") * F.col("low")).alias("t"), F.sum("low").alias("l"), F.sum("high").alias("h"))
+    score = in_order.groupBy(*by).agg(F.sum(2 * F.col("c") + F.col("t") - F.col("l") * F.col("h")).alias("score"))
+    of_a = tied(ranks).withColumnsRenamed({"tied": "tied_a"})
+    of_b = tied(known.groupBy(*by, "b").agg(F.sum("n").alias("n"))).select(*by, F.col("tied").alias("tied_b"))
+    every = ordering.matched(ordering.matched(of_a, of_b, by), score, by)
+    all_pairs = F.col("units") * (F.col("units") - 1) / 2.0
+    return every.select(*keys, expr.ratio(F.col("score").cast("double"), F.sqrt((all_pairs - F.col("tied_a")) * (all_pairs - F.col("tied_b")))).alias("tau"))
 
 
 def cost(items: DataFrame, flagged: str = "dead") -> DataFrame:
@@ -106,5 +117,5 @@ def cost(items: DataFrame, flagged: str = "dead") -> DataFrame:
 def fidelity(cells: DataFrame, subset: DataFrame) -> DataFrame:
     """One row: tau-b of subjects' means over a subset of items against their means over all."""
     full = cells.groupBy("subject").agg(F.avg("rate").alias("full"))
-    part = cells.join(F.broadcast(subset), "item", "left_semi").groupBy("subject").agg(F.avg("rate").alias("part"))
+    part = cells.join(subset, "item", "left_semi").groupBy("subject").agg(F.avg("rate").alias("part"))
     return tau_b(full.join(part, "subject"), [], "full", "part", "subject")

@@ -6,28 +6,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.functions import expr
+from tallywork.functions import expr, ordering
 
 EPS = 1e-12
 
 
 def imputed(rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """Missing values filled with the feature's mean over the training rows; 0 where all are missing."""
+    """Missing values filled with the feature's mean over the training rows; 0 where all are missing. Any number of features."""
     means = (train if train is not None else rows).groupBy("feature").agg(F.avg("x").alias("m"))
-    return rows.join(F.broadcast(means), "feature", "left").select("row", "feature", F.coalesce("x", "m", F.lit(0.0)).alias("x"))
+    return rows.join(means, "feature", "left").select("row", "feature", F.coalesce("x", "m", F.lit(0.0)).alias("x"))
 
 
 def winsorised(rows: DataFrame, low: float = 0.005, high: float = 0.995, outliers_only: bool = True, z: float = 12.0) -> DataFrame:
     """Values clipped to percentiles; with outliers_only just in features where some value lies over z scaled deviations from the median."""
-    med = rows.groupBy("feature").agg(F.median("x").alias("med"), F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q"))
-    dev = rows.join(F.broadcast(med), "feature").withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    scale = dev.groupBy("feature").agg((1.4826 * F.median("dev")).alias("mad"), F.max("dev").alias("far"))
-    joined = dev.join(F.broadcast(scale), "feature")
-    wild = F.col("far") > z * F.greatest(F.col("mad"), F.lit(EPS))
-    clipped = F.least(F.greatest(F.col("x"), F.col("q")[0]), F.col("q")[1])
+    known = ordering.quantiles(rows, ["feature"], "x", [0.5, low, high]).drop("n")
+    dev = ordering.matched(rows, known, ["feature"]).withColumn("dev", F.abs(F.col("x") - F.col("q")[0]))
+    scale = ordering.quantiles(dev, ["feature"], "dev", [0.5, 1.0]).select("feature", F.col("q").alias("far"))
+    joined = ordering.matched(dev, scale, ["feature"])
+    wild = F.col("far")[1] > z * F.greatest(1.4826 * F.col("far")[0], F.lit(EPS))
+    clipped = F.least(F.greatest(F.col("x"), F.col("q")[1]), F.col("q")[2])
     return joined.select("row", "feature", (F.when(wild, clipped).otherwise(F.col("x")) if outliers_only else clipped).alias("x"))
 
 
@@ -55,26 +55,25 @@ def name_fingerprints(named: DataFrame) -> DataFrame:
 def content_holdout(keyed: DataFrame, fraction: float) -> DataFrame:
     """row, is_train: the first floor(n * fraction) rows by content hash, at least one and not all. keyed: row, fingerprint.
 
-    The cut is a percentile of hashes found by counting, with ties by row, so no task sorts the whole table.
+    Ties go by row.
     """
     n = keyed.count()
     take = min(max(int(n * fraction), 1), n - 1)
-    buckets = keyed.withColumn("b", F.conv(F.substring("fingerprint", 1, 4), 16, 10).cast("int"))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
-    sizes = buckets.groupBy("b").count().withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0)))
-    placed = buckets.join(F.broadcast(sizes), "b").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("fingerprint", "row")))
-    return placed.select("row", (F.col("place") <= take).alias("is_train"))
+    return ordering.places(keyed, [], ["fingerprint", "row"]).select("row", (F.col("place") <= take).alias("is_train"))
 
 
 def rank_normalised(rows: DataFrame, keys: list[str], value: str, unit: str) -> DataFrame:
     """(place - 0.5) / n in each group, ties by unit."""
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(value, unit))).join(n, keys).select(*keys, unit, ((F.col("place") - 0.5) / F.col("n")).alias("q"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return ordering.matched(ordering.places(rows, keys, [value, unit]), sizes, keys).select(*keys, unit, ((F.col("place") - 0.5) / F.col("n")).alias("q"))
 
 
 def strata_bins(items: DataFrame, k: int) -> DataFrame:
-    """item, bin: k contiguous bins by rate, larger ones first."""
-    return items.withColumn("bin", F.ntile(k).over(Window.orderBy("rate", "item")))
+    """item, rate, bin: k contiguous bins by rate, larger ones first."""
+    placed = ordering.places(items, [], ["rate", "item"]).crossJoin(items.agg(F.count("*").alias("n")))  # one row
+    at, small, larger = F.col("place") - 1, F.floor(F.col("n") / F.lit(k)), F.col("n") % k
+    rest = larger + F.floor((at - larger * (small + 1)) / F.nullif(small, F.lit(0)))
+    return placed.select("item", "rate", (F.when(at < larger * (small + 1), F.floor(at / (small + 1))).otherwise(rest) + 1).cast("int").alias("bin"))
 
 
 def recalled(rows: DataFrame, memory: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def generated(spark: SparkSession, spec: TaskSpec) -> DataFrame:
     signal = linear + 1.5 * F.col("f0") * F.col("f1") + 1.2 * F.tanh(2.0 * F.col("f2"))
     noisy = feats.withColumn("z", signal + float(np.tan(spec.difficulty * np.pi / 2)) * expr.normal(f"{spec.task}/noise", F.col("id")))
     if spec.kind == "binary":
-        out = noisy.crossJoin(F.broadcast(noisy.agg(F.median("z").alias("cut")))).withColumn("target", (F.col("z") > F.col("cut")).cast("double")).drop("cut", "z")
+        out = noisy.crossJoin(ordering.quantiles(noisy, [], "z", [0.5]).select(F.col("q")[0].alias("cut"))).withColumn("target", (F.col("z") > F.col("cut")).cast("double")).drop("cut", "z")
     else:
         out = noisy.withColumn("target", 10.0 + 3.0 * F.col("z")).drop("z")
     train = F.col("part") == "train"
