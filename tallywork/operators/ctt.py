@@ -45,6 +45,49 @@ def item_stats(cells: DataFrame) -> DataFrame:
     return out.withColumn("disattenuated", F.when(signal > 0, F.least(F.greatest(F.col("item_rest") / F.nullif(signal, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)).withColumn("weak", F.col("dead") | (F.col("item_rest") < WEAK)).withColumn("trap", F.col("item_rest") < TRAP).withColumn("saturation", F.when(F.col("dead"), saturation))
 
 
+#: Subjects below which a reliability is itself badly known.
+FEW_SUBJECTS = 10
+
+
+def report(cells: DataFrame, n_splits: int = 100, n_draws: int = 200) -> DataFrame:
+    """One row about a suite: size, abilities, reliability against chance, separation, strata, flagged items and notes.
+
+    cells: subject, item, rate, trials. Raises where a cell is missing, occurs twice or isn't finite, or below two subjects.
+    """
+    size = cells.agg(F.count_distinct("subject").alias("subjects"), F.count_distinct("item").alias("items"), F.count("*").alias("n"), F.count_if(F.col("rate").isNull() | F.isnan("rate") | (F.abs("rate") == float("inf"))).alias("odd")).first()
+    distinct = cells.select("subject", "item").distinct().count()
+    if size["subjects"] < 2:
+        raise ValueError("a suite is judged on at least two subjects")
+    if size["odd"]:
+        raise ValueError(f"{size['odd']} rates are not finite")
+    if distinct != size["n"] or size["n"] != size["subjects"] * size["items"]:
+        raise ValueError("not every subject has every item once")
+    stats = item_stats(cells)
+    named = lambda flag: F.sort_array(F.collect_list(F.when(F.col(flag), F.col("item")))).alias(f"{flag}_items")
+    flagged = stats.agg(named("dead"), named("weak"), named("trap"), expr.ratio(F.sum(F.col("noise_share") * F.col("sd") * F.col("sd")), F.sum(F.col("sd") * F.col("sd"))).alias("noise"))
+    band = cells.groupBy("subject").agg(F.avg("rate").alias("r")).agg(F.min("r").alias("lowest"), F.max("r").alias("highest"))
+    halves = split_half(cells, n_splits).agg(F.avg("reliability").alias("split_half"))
+    chance = null_alphas(cells, n_draws).agg(F.percentile("alpha", F.lit(0.95)).alias("null_p95"))
+    every = alpha(cells).withColumnsRenamed({"k": "n_items", "n": "n_subjects"})
+    for one in (chance, halves, band, flagged):
+        every = every.crossJoin(one)  # one row each
+    a = F.col("alpha")
+    said = [
+        F.when(~(a > F.col("null_p95")), "reliability is within what unrelated items reach by chance"), F.when(F.col("n_subjects") < FEW_SUBJECTS, "too few subjects to know a reliability well"),
+        F.when(F.col("noise") > 0, F.concat(F.round(100.0 * F.col("noise"), 1).cast("string"), F.lit("% of the items' variance is noise of few seeds"))),
+    ]
+    return every.select(
+        "n_items", "n_subjects", "lowest", "highest", "alpha", "null_p95", (a > F.col("null_p95")).alias("above_chance"), "split_half", separation(a).alias("separation"), strata(a).alias("strata"),
+        "dead_items", "weak_items", "trap_items", F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), "; ").alias("notes"),
+    )
+
+
+def ladder_recovery(cells: DataFrame, ladder: DataFrame) -> DataFrame:
+    """One row, tau: agreement of subjects' mean rates with their known order. ladder: subject, rung; others are left out."""
+    means = cells.groupBy("subject").agg(F.avg("rate").alias("ability"))
+    return tau_b(means.join(ladder, "subject"), [], "ability", "rung", "subject")
+
+
 def separation(r: Column) -> Column:
     c = F.least(F.greatest(r, F.lit(0.0)), F.lit(TOP_RELIABILITY))
     return F.sqrt(c / (1.0 - c))

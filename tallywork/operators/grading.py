@@ -86,3 +86,10 @@ def graded(rows: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     verdicts = seen.select("run", "task", said.alias("rejected"))
     pairs = known.join(verdicts.where("rejected is null").select("run"), "run", "left_semi").select("run", "y", "p")
     return verdicts.join(metrics.scored(pairs, ["run"], name), "run", "left").select("run", "task", "score", F.coalesce("rejected", "error").alias("error"))
+
+
+def agreement(ours: DataFrame, theirs: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """run, ours, theirs, agree: two graders' scores (run, score; null: refused) within a tolerance, or refused by both."""
+    both = ours.select("run", F.col("score").alias("ours")).join(theirs.select("run", F.col("score").alias("theirs")), "run", "full_outer")
+    near = F.coalesce(F.abs(F.col("ours") - F.col("theirs")) <= tolerance, F.lit(False))
+    return both.withColumn("agree", near | (F.col("ours").isNull() & F.col("theirs").isNull()))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr
@@ -47,13 +48,28 @@ def bootstrap_ci(diffs: DataFrame, keys: list[str], n_boot: int = BOOTSTRAPS, al
     return rows.withColumn("m", drawn / n).groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def compared(rates_a: DataFrame, rates_b: DataFrame, alpha: float = 0.05, n_boot: int = BOOTSTRAPS, n_permutations: int = PERMUTATIONS) -> DataFrame:
+#: Said of a comparison of different items.
+MATCHED = "matched pairs: the difference holds what is left of their difference in difficulty"
+
+
+def compared(
+    rates_a: DataFrame, rates_b: DataFrame, alpha: float = 0.05, n_boot: int = BOOTSTRAPS, n_permutations: int = PERMUTATIONS, pairs: DataFrame | None = None, infra_failures: int = 0
+) -> DataFrame:
     """One row: difference b - a over shared items with p-value, interval, floor, seeds, warnings and the regression gate.
 
-    rates_* have item, rate and seeds; the fewest seeds are looked for among dropped items too.
+    rates_* have item, rate and seeds; the fewest seeds are looked for among dropped items too. With pairs (pre, post) the
+    sides are different items, all pairs must have both, and seeds are looked for among the pairs only. infra_failures is
+    the number of runs that were left out beforehand.
     """
     a, b = (r.select("item", F.col("rate").alias(f"rate_{s}"), F.col("seeds").alias(f"seeds_{s}")) for r, s in ((rates_a, "a"), (rates_b, "b")))
-    both = a.join(b, "item", "full_outer")
+    if pairs is None:
+        both = a.join(b, "item", "full_outer")
+    else:
+        sides = pairs.join(a.withColumnRenamed("item", "pre"), "pre", "left").join(b.withColumnRenamed("item", "post"), "post", "left")
+        lost = sides.where("rate_a is null or rate_b is null").agg(F.count("*").alias("n"), F.min(F.struct("pre", "post")).alias("first")).first()
+        if lost["n"]:
+            raise ValueError(f"{lost['n']} pairs lack gradeable runs on one side, the first {tuple(lost['first'])}")
+        both = sides.select(F.concat_ws("|", "pre", "post").alias("item"), "rate_a", "seeds_a", "rate_b", "seeds_b")
     shared = both.where("rate_a is not null and rate_b is not null")
     diffs = shared.select(F.lit(1).alias("k"), F.col("item").alias("unit"), (F.col("rate_b") - F.col("rate_a")).alias("diff"))
     sides = both.agg(F.count_if(F.col("rate_a").isNull() | F.col("rate_b").isNull()).alias("n_dropped"), F.least(F.min("seeds_a"), F.min("seeds_b")).alias("min_seeds"), F.avg(F.when(F.col("rate_b").isNotNull(), F.col("rate_a"))).alias("mean_a"), F.avg(F.when(F.col("rate_a").isNotNull(), F.col("rate_b"))).alias("mean_b"))
@@ -61,7 +77,11 @@ def compared(rates_a: DataFrame, rates_b: DataFrame, alpha: float = 0.05, n_boot
     out = p.join(ci, "k").crossJoin(sides)  # one row each
     floor = expr.pvalue_floor(F.col("n_units"), n_permutations, EXACT_UP_TO)
     significant = F.col("p_value") < alpha
-    warnings = F.filter(F.array(F.when(F.col("n_dropped") > 0, "units without a counterpart were dropped"), F.when(F.col("min_seeds") < 3, "fewer than 3 seeds"), F.when(floor >= alpha, "too few units for this alpha")), lambda x: x.isNotNull())
+    said = [
+        F.when(F.col("n_dropped") > 0, "units without a counterpart were dropped"), F.lit(None if pairs is None else MATCHED), F.lit(f"{infra_failures} runs that infrastructure ended were left out" if infra_failures else None),
+        F.when(F.col("min_seeds") < 3, "fewer than 3 seeds"), F.when(floor >= alpha, "too few units for this alpha"),
+    ]
+    warnings = F.filter(F.array(*said), lambda x: x.isNotNull())
     return out.select("n_units", "n_dropped", "min_seeds", "mean_a", "mean_b", F.col("mean_diff").alias("difference"), "p_value", floor.alias("p_floor"), "ci_low", "ci_high", significant.alias("significant"), (floor >= alpha).alias("underpowered"), (significant & (F.col("mean_diff") < 0)).alias("regression"), F.array_join(warnings, "; ").alias("warnings"))
 
 
@@ -90,31 +110,66 @@ class Design:
 DESIGNS = {"lite": Design(22, 3), "full": Design(75, 3), "pairs-8": Design(8, 3, 0.15), "pairs-16": Design(16, 3, 0.15), "pairs-24": Design(24, 3, 0.15)}
 
 
+#: Rates in a pool made of a Beta distribution.
+POOL = 1000
+
+
+def beta_pool(spark: SparkSession, base_rate: float, heterogeneity: float, n: int = POOL) -> DataFrame:
+    """place, rate: n equally likely rates of a Beta distribution of mean base_rate; the smaller heterogeneity, the more they lie at 0 and 1.
+
+    Rates are the quantiles in the middle of n equal slices, so the pool is the same in every run.
+    """
+    if not 0.0 <= base_rate <= 1.0 or heterogeneity < 0:
+        raise ValueError("a base rate lies in [0, 1], heterogeneity isn't negative")
+    many = max(heterogeneity, 1e-6)
+    a, b = max(base_rate * many, 1e-6), max((1.0 - base_rate) * many, 1e-6)
+    x = np.concatenate([10.0 ** np.linspace(-300, -3, 3000), np.linspace(1e-3, 1.0, 20000)[1:]])
+    half = np.searchsorted(x, 0.5)
+
+    def lower(p: float, q: float) -> np.ndarray:
+        """Integral of t^(p - 1) (1 - t)^(q - 1) from 0 to each x up to a half; the power is integrated exactly."""
+        at = x[: half + 1]
+        middle = np.sqrt(at[1:] * at[:-1])
+        parts = (at[1:] ** p - at[:-1] ** p) / p * (1.0 - middle) ** (q - 1.0)
+        return np.concatenate([[at[0] ** p / p], at[0] ** p / p + np.cumsum(parts)])
+
+    left, right = lower(a, b), lower(b, a)
+    rates = np.concatenate([x[: half + 1], 1.0 - x[: half + 1][::-1]])
+    mass = np.concatenate([left, left[-1] + right[-1] - right[::-1]])
+    drawn = np.interp((np.arange(n) + 0.5) / n, mass / (left[-1] + right[-1]), rates)
+    return spark.createDataFrame(list(enumerate(drawn.tolist())), "place long, rate double")
+
+
 def simulated(pool: DataFrame, effects: DataFrame, design: Design, n_sims: int, seed: str = "power") -> DataFrame:
-    """effect, sim, unit, diff. pool has place (0 .. n - 1) and rate; effects a column effect.
+    """effect, sim, unit, diff. pool has place (0 .. n - 1) and rate; effects a column effect and, if they differ from the design's, seeds.
 
-    Base rates, matching noise and outcomes of a sim are the same at every effect.
+    Base rates, matching noise and outcomes of a sim are the same at every effect, and fewer seeds are the first ones of more.
     """
     spark = pool.sparkSession
     n = pool.count()
     grid = spark.range(n_sims).withColumnRenamed("id", "sim").withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(design.units - 1))))
-    base = grid.withColumn("place", expr.index(n, f"{seed}/pool", "sim", "unit")).join(F.broadcast(pool), "place")
+    base = grid.withColumn("place", expr.index(n, f"{seed}/pool", "sim", "unit")).join(pool, "place")
     noisy = base.withColumn("noise", expr.normal(f"{seed}/match", "sim", "unit") * design.matching_sd if design.matching_sd else F.lit(0.0))
-    both = noisy.crossJoin(F.broadcast(effects)).withColumn("p_b", F.least(F.greatest(F.col("rate") + F.col("effect") + F.col("noise"), F.lit(0.0)), F.lit(1.0)))
+    planned = effects if "seeds" in effects.columns else effects.withColumn("seeds", F.lit(design.seeds))
+    # A plan lists some tens of effects and seeds; each simulated unit meets each of them, since that is the grid asked for.
+    both = noisy.crossJoin(planned).withColumn("p_b", F.least(F.greatest(F.col("rate") + F.col("effect") + F.col("noise"), F.lit(0.0)), F.lit(1.0)))
 
     def hits(arm: str, p: str) -> Column:
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(design.seeds - 1)), lambda s: F.when(expr.uniform(f"{seed}/{arm}", "sim", "unit", s) < F.col(p), 1.0).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
+        return F.aggregate(F.transform(F.sequence(F.lit(0), (F.col("seeds") - 1).cast("int")), lambda s: F.when(expr.uniform(f"{seed}/{arm}", "sim", "unit", s) < F.col(p), 1.0).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
 
-    return both.select("effect", "sim", "unit", ((hits("b", "p_b") - hits("a", "rate")) / design.seeds).alias("diff"))
+    return both.select(*effects.columns, "sim", "unit", ((hits("b", "p_b") - hits("a", "rate")) / F.col("seeds")).alias("diff"))
+
+
+def smallest_p(units: int, n_permutations: int) -> float:
+    return 3.0 / (2**units + 1) if units <= EXACT_UP_TO else 1.0 / (n_permutations + 1)
 
 
 def power(pool: DataFrame, effects: DataFrame, design: Design, n_sims: int, alpha: float = 0.05, n_permutations: int = 999) -> DataFrame:
-    """effect, power: share of simulations below alpha; zero where the design can't reach alpha at all."""
-    floor = 3.0 / (2**design.units + 1) if design.units <= EXACT_UP_TO else 1.0 / (n_permutations + 1)
-    if floor >= alpha:
-        return effects.select("effect", F.lit(0.0).alias("power"))
-    tests = sign_flip(simulated(pool, effects, design, n_sims), ["effect", "sim"], n_permutations)
-    return tests.groupBy("effect").agg(F.avg((F.col("p_value") < alpha).cast("double")).alias("power"))
+    """effect (and seeds, if effects have them), power: share of simulations below alpha; zero where the design can't reach alpha at all."""
+    if smallest_p(design.units, n_permutations) >= alpha:
+        return effects.withColumn("power", F.lit(0.0))
+    tests = sign_flip(simulated(pool, effects, design, n_sims), [*effects.columns, "sim"], n_permutations)
+    return tests.groupBy(*effects.columns).agg(F.avg((F.col("p_value") < alpha).cast("double")).alias("power"))
 
 
 def minimum_detectable(powers: DataFrame, target: float = 0.8) -> DataFrame:
@@ -123,5 +178,36 @@ def minimum_detectable(powers: DataFrame, target: float = 0.8) -> DataFrame:
     return powers.agg(F.min(reached)["effect"].alias("mde"))
 
 
+#: Effects tried at once in a search.
+FAN = 8
+
+
+def detectable_effect(pool: DataFrame, design: Design, n_sims: int, direction: str = "decrease", target: float = 0.8, alpha: float = 0.05, n_permutations: int = 999, tolerance: float = 0.005, max_effect: float = 1.0) -> float | None:
+    """The smallest effect of a direction that reaches the target, within tolerance; None if none up to max_effect does.
+
+    Each round is one plan over FAN effects between the largest known to fail and the smallest known to do, so a tolerance
+    of 0.005 takes three rounds.
+    """
+    if direction not in ("decrease", "increase"):
+        raise ValueError("direction is decrease or increase")
+    if not 0.0 < target <= 1.0 or tolerance <= 0 or max_effect <= 0:
+        raise ValueError("a target lies in (0, 1], tolerance and largest effect are positive")
+    if smallest_p(design.units, n_permutations) >= alpha:
+        return None
+    sign, low, high = (-1.0 if direction == "decrease" else 1.0), 0.0, max_effect
+    while True:
+        sizes = [low + (high - low) * (k + 1) / FAN for k in range(FAN)]
+        effects = pool.sparkSession.createDataFrame([(sign * s,) for s in sizes], "effect double")
+        found = {abs(r["effect"]): r["power"] for r in power(pool, effects, design, n_sims, alpha, n_permutations).collect()}
+        reached = [s for s in sizes if found[s] >= target]
+        if not reached:
+            return None
+        high = reached[0]
+        low = max([s for s in sizes if s < high], default=low)
+        if high - low <= tolerance:
+            return sign * high
+
+
 def seeds_needed(powers_by_seeds: DataFrame, target: float = 0.8) -> DataFrame:
+    """One row: the fewest seeds whose power reaches the target, null if none does."""
     return powers_by_seeds.agg(F.min(F.when(F.col("power") >= target, F.col("seeds"))).alias("seeds"))

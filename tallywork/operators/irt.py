@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallywork.functions import expr
 from tallywork.operators import kernels
 
-ITEMS = "fit_id string, item long, a double, b double, observed_rate double, identified boolean, extrapolated boolean"
+ITEMS = "fit_id string, item long, a double, b double, d double, observed_rate double, identified boolean, extrapolated boolean"
 SUBJECTS = "fit_id string, subject long, theta double, se double"
 FITS = "fit_id string, log_likelihood double, iterations int, converged boolean"
 
@@ -24,7 +24,7 @@ def fitted(cells: DataFrame, what: str = "items") -> DataFrame:
         s, n, subjects, items = kernels.matrices(pdf)
         m = kernels.fit(s, n)
         if what == "items":
-            return pd.DataFrame({"fit_id": key[0], "item": items, "a": m["a"], "b": m["b"], "observed_rate": m["rate"], "identified": m["identified"], "extrapolated": m["extrapolated"]})
+            return pd.DataFrame({"fit_id": key[0], "item": items, "a": m["a"], "b": m["b"], "d": m["d"], "observed_rate": m["rate"], "identified": m["identified"], "extrapolated": m["extrapolated"]})
         if what == "subjects":
             return pd.DataFrame({"fit_id": key[0], "subject": subjects, "theta": m["theta"], "se": m["se"]})
         return pd.DataFrame({"fit_id": [key[0]], "log_likelihood": m["ll"], "iterations": m["iterations"], "converged": bool(m["converged"])})
@@ -44,7 +44,8 @@ def fitted_distributed(cells: DataFrame, iterations: int = 30, tolerance: float
     place = {i: k for k, i in enumerate(items)}
     rate = np.clip(np.array([r["s"] / r["n"] for r in rows]), 1e-3, 1 - 1e-3)
     a, d = np.full(len(items), kernels.PRIOR_A), np.log(rate / (1 - rate))
-    by_subject = cells.groupBy("subject").agg(F.collect_list(F.struct("item", F.col("successes").cast("double").alias("s"), F.col("trials").cast("double").alias("n"))).alias("c"))
+    # Each pass reads the subjects again; what an executor that is lost has kept is made anew from the cells.
+    by_subject = cells.groupBy("subject").agg(F.collect_list(F.struct("item", F.col("successes").cast("double").alias("s"), F.col("trials").cast("double").alias("n"))).alias("c")).persist()
     it = 0
     for it in range(1, iterations + 1):
 
@@ -74,9 +75,44 @@ def fitted_distributed(cells: DataFrame, iterations: int = 30, tolerance: float
         a, d = a2, d2
         if moved < tolerance:
             break
+    by_subject.unpersist()
     return spark.createDataFrame(list(zip(items, a.tolist(), d.tolist(), strict=True)), "item long, a double, d double"), it
 
 
+def stepped(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """item, a, d after one step of expectation and maximisation from params (item, a, d), for any number of subjects and items.
+
+    Expectation: each subject's posterior over the nodes, from its own cells. Maximisation: one damped Newton step an item
+    from sums over subjects and nodes. Cells are those of the table, so a subject may lack items.
+    """
+    x, _ = kernels.quadrature()
+    nodes = cells.sparkSession.createDataFrame(list(enumerate(x.tolist())), "node int, x double")
+    s, n, z = F.col("successes").cast("double"), F.col("trials").cast("double"), F.col("a") * F.col("x") + F.col("d")
+    # The nodes are a fixed number, so cells times nodes grows with the cells only.
+    at = cells.join(params, "item").crossJoin(F.broadcast(nodes))
+    ll = at.groupBy("subject", "node", "x").agg((F.sum(s * expr.log_sigmoid(z) + (n - s) * expr.log_sigmoid(-z)) - 0.5 * F.col("x") * F.col("x")).alias("ll"))
+    of_subject = Window.partitionBy("subject")  # one row a node
+    mass = ll.withColumn("w", F.exp(F.col("ll") - F.max("ll").over(of_subject)))
+    post = mass.select("subject", "node", "x", (F.col("w") / F.sum("w").over(of_subject)).alias("post"))
+    expected = cells.join(post, "subject").groupBy("item", "node", "x").agg(F.sum(s * F.col("post")).alias("r"), F.sum(n * F.col("post")).alias("f"))
+    p = expr.sigmoid(z)
+    e, w = F.col("r") - F.col("f") * p, F.col("f") * p * (1.0 - p)
+    sums = expected.join(params, "item").groupBy("item", "a", "d").agg(F.sum(e).alias("e"), F.sum(w).alias("w"), F.sum(e * F.col("x")).alias("ex"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"))
+    of_a, of_d = kernels.PRIOR_A_SD**2, kernels.PRIOR_D_SD**2
+    gd, hd = F.col("e") - F.col("d") / of_d, F.col("w") + 1 / of_d + kernels.RIDGE
+    ga, ha = F.col("ex") - (F.col("a") - kernels.PRIOR_A) / of_a, F.col("wxx") + 1 / of_a + kernels.RIDGE
+    det = ha * hd - F.col("wx") * F.col("wx")
+    moves = sums.withColumn("da", (hd * ga - F.col("wx") * gd) / det).withColumn("dd", (ha * gd - F.col("wx") * ga) / det)
+    scale = F.least(F.lit(1.0), 1.0 / F.greatest(F.abs("da"), F.abs("dd"), F.lit(1e-12)))
+    return moves.select("item", (F.col("a") + F.col("da") * scale).alias("a"), (F.col("d") + F.col("dd") * scale).alias("d"))
+
+
+def started(cells: DataFrame) -> DataFrame:
+    """item, a, d where a fit begins: the prior slope and the log odds of the item's rate."""
+    rate = F.least(F.greatest(F.sum("successes") / F.sum("trials"), F.lit(1e-3)), F.lit(1 - 1e-3))
+    return cells.groupBy("item").agg(rate.alias("rate")).select("item", F.lit(kernels.PRIOR_A).alias("a"), F.log(F.col("rate") / (1.0 - F.col("rate"))).alias("d"))
+
+
 def grid(spark, low: float, high: float, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("node"), (F.lit(low) + F.col("id") * F.lit((high - low) / (n - 1))).alias("theta"))
 
@@ -132,7 +168,7 @@ def flags(items: DataFrame) -> DataFrame:
 def abilities(responses: DataFrame, items: DataFrame, n_nodes: int = 481, reach: float = 6.0) -> DataFrame:
     """subject, theta: posterior mean from located items on a fixed grid. responses: subject, item, successes, trials."""
     nodes = grid(responses.sparkSession, -reach, reach, n_nodes)
-    use = responses.join(F.broadcast(items.where("identified and not extrapolated").select("item", "a", "b")), "item").crossJoin(F.broadcast(nodes))
+    use = responses.join(items.where("identified and not extrapolated").select("item", "a", "b"), "item").crossJoin(F.broadcast(nodes))
     p = F.greatest(F.least(probability(F.col("a"), F.col("b"), F.col("theta")), F.lit(1 - 1e-9)), F.lit(1e-9))
     ll = use.groupBy("subject", "node", "theta").agg((F.sum(F.col("successes") * F.log(p) + (F.col("trials") - F.col("successes")) * F.log(1.0 - p)) - F.first(0.5 * F.col("theta") * F.col("theta"))).alias("ll"))
     weighted = ll.withColumn("w", F.exp(F.col("ll") - F.max("ll").over(Window.partitionBy("subject"))))
@@ -140,29 +176,39 @@ def abilities(responses: DataFrame, items: DataFrame, n_nodes: int = 481, reach:
 
 
 def predicted_rates(responses: DataFrame, items: DataFrame, theta: DataFrame) -> DataFrame:
-    """subject, predicted: mean over all items of the rate seen, the model's, or the training rate."""
-    every = theta.crossJoin(F.broadcast(items)).join(responses.select("subject", "item", (F.col("successes") / F.col("trials")).alias("seen")), ["subject", "item"], "left")
+    """subject, predicted: mean over all items of the rate seen, the model's, or the training rate.
+
+    Every subject is asked for every item, so subjects times items is the size of the answer's sum.
+    """
+    every = theta.crossJoin(items).join(responses.select("subject", "item", (F.col("successes") / F.col("trials")).alias("seen")), ["subject", "item"], "left")
     model = F.when(F.col("identified") & ~F.col("extrapolated"), probability(F.col("a"), F.col("b"), F.col("theta"))).otherwise(F.col("observed_rate"))
     return every.groupBy("subject").agg(F.avg(F.coalesce("seen", model)).alias("predicted"))
 
 
 def attenuation(cells: DataFrame, n_draws: int) -> DataFrame:
-    """draw, slope, correlation: parametric bootstrap of the fit; draws with fewer than three identified items are skipped."""
+    """draw, slope, correlation: parametric bootstrap of the fit; draws with fewer than three identified items are skipped.
+
+    The model is fitted once, and each cell carries its probability and its item's slope into the draws.
+    """
     spark = cells.sparkSession
     draws = spark.range(n_draws).select(F.col("id").cast("string").alias("fit_id"))
+    known = cells.select("subject", "item", "successes", "trials")
+    once = known.withColumn("fit_id", F.lit("base"))
+    made = known.join(fitted(once).select("item", "a", "d", "identified"), "item").join(fitted(once, "subjects").select("subject", "theta"), "subject")
+    made = made.select("subject", "item", "successes", "trials", "a", "identified", expr.sigmoid(F.col("a") * F.col("theta") + F.col("d")).alias("p"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s, n, _, _ = kernels.matrices(pdf)
-        m, g = kernels.fit(s, n), kernels.rng("attenuation", key[0])
-        p = kernels.sigmoid(m["a"] * m["theta"][:, None] + m["d"])
-        again = kernels.fit(g.binomial(n.astype(int), p).astype(float), n)
-        use = m["identified"] & again["identified"]
+        p = pdf.pivot(index="subject", columns="item", values="p").sort_index().sort_index(axis=1).to_numpy(float)
+        base = pdf.groupby("item")[["a", "identified"]].first().sort_index()
+        again = kernels.fit(kernels.rng("attenuation", key[0]).binomial(n.astype(int), p).astype(float), n)
+        use = base["identified"].to_numpy(bool) & again["identified"]
         if use.sum() < 3:
             return pd.DataFrame({"draw": [], "slope": [], "correlation": []}).astype({"draw": str, "slope": float, "correlation": float})
-        a, b = m["a"][use], again["a"][use]
+        a, b = base["a"].to_numpy(float)[use], again["a"][use]
         return pd.DataFrame({"draw": [key[0]], "slope": [np.cov(a, b)[0, 1] / a.var(ddof=1)], "correlation": [np.corrcoef(a, b)[0, 1]]})
 
-    return cells.drop("fit_id").crossJoin(F.broadcast(draws)).groupBy("fit_id").applyInPandas(run, "draw string, slope double, correlation double")
+    return made.crossJoin(F.broadcast(draws)).groupBy("fit_id").applyInPandas(run, "draw string, slope double, correlation double")
 
 
 def held_out(cells: DataFrame, n_folds: int, seed: str = "cv") -> DataFrame:

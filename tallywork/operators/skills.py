@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,25 @@ def recall_rate(rows: DataFrame, transform: str | None = None) -> DataFrame:
     return rows.groupBy("agent").agg(F.coalesce(F.avg(F.when(which, F.col("recalled").cast("double"))), F.lit(0.0)).alias("recall"))
 
 
+def controls(rows: DataFrame, deltas: DataFrame, honest: str, memoriser: str, bar: float = 0.05, most_delta: float = 0.005) -> DataFrame:
+    """control, passed, value: the battery that a contamination probe must pass before its gaps mean anything.
+
+    rows as for probe_gap, with recalled; deltas (transform, delta) are differences of difficulty between original and
+    clone. What can't be computed fails.
+    """
+    gap = lambda transform, agent: probe_gap(rows, transform).where(F.col("agent") == agent).agg(F.max("gap").alias("v"))
+    recall = lambda transform: recall_rate(rows, transform).where(F.col("agent") == memoriser).agg(F.max("recall").alias("v"))
+    worst = deltas.where("transform = 'rescale'").agg(F.max(F.abs("delta")).alias("v"))
+    apart = gap("rescale", memoriser).crossJoin(gap("rescale", honest).withColumnRenamed("v", "h")).select((F.col("v") - F.col("h")).alias("v"))  # one row each
+    v = F.col("v")
+    battery = [
+        ("an honest agent has no gap on a relabelled clone", gap("relabel", honest), F.abs(v) < 1e-9), ("a rescaled clone is as hard", worst, v <= most_delta), ("a rescaled clone tells memory from honesty", apart, v > bar),
+        ("originals are recalled", recall(None), v > 0.9), ("relabelling alone defeats no recall", recall("relabel"), v > 0.5), ("rescaling defeats recall", recall("rescale"), v < 0.1),
+    ]
+    found = [df.select(F.lit(name).alias("control"), F.coalesce(passed, F.lit(False)).alias("passed"), v.cast("double").alias("value")) for name, df, passed in battery]
+    return reduce(DataFrame.unionByName, found)
+
+
 def probe_checks(gaps: DataFrame, recalls: DataFrame, honest: str, memoriser: str, bar: float = 0.05) -> DataFrame:
     """One row of yes or no: the probe tells the memoriser from the honest agent, and harms the honest one little."""
     one = gaps.agg(F.max(F.when(F.col("agent") == honest, F.abs("gap"))).alias("h"), F.max(F.when(F.col("agent") == memoriser, F.col("gap"))).alias("m"))

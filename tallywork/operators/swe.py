@@ -51,6 +51,17 @@ def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("run", "test", F.when(~b & a, "f2p").when(b & a, "p2p").when(b & ~a, "regressed").otherwise("other").alias("kind"))
 
 
+#: The five ways to answer an instance, whether the patch applies, and the verdict.
+EXPECTED = (("gold", True, "resolved"), ("noop", True, "not resolved"), ("regressive", True, "regressed"), ("broken", False, "patch not applied"), ("irrelevant", True, "not resolved"))
+
+
+def unexpected(reports: DataFrame) -> DataFrame:
+    """run, strategy, summary, expected: graded runs (run, strategy, applied, summary) that came out otherwise than their strategy must."""
+    want = reports.sparkSession.createDataFrame(list(EXPECTED), "strategy string, should_apply boolean, expected string")
+    both = reports.join(want, "strategy")
+    return both.where(~(F.col("summary").eqNullSafe(F.col("expected")) & F.col("applied").eqNullSafe(F.col("should_apply")))).select("run", "strategy", "summary", "expected")
+
+
 def valid_instances(found: DataFrame) -> DataFrame:
     """run, valid: an instance needs a test that it fixes and none that it breaks."""
     return found.groupBy("run").agg(F.count_if(F.col("kind") == "f2p").alias("n_f2p"), F.count_if(F.col("kind") == "regressed").alias("n_regressed")).withColumn("valid", (F.col("n_f2p") > 0) & (F.col("n_regressed") == 0))

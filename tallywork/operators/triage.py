@@ -130,6 +130,12 @@ class RetryNotAllowed(ValueError):
     """The run ended for a reason that is its own."""
 
 
+def only_outcome(triaged: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, outcome: the one outcome that all runs of a group have, null where they have several."""
+    both = F.array_distinct(F.array(F.min("outcome"), F.max("outcome")))
+    return triaged.groupBy(*keys).agg(F.when(F.size(both) == 1, both[0]).alias("outcome"))
+
+
 def assert_retry_allowed(triaged: DataFrame, run: str) -> None:
     row = triaged.where(F.col("run") == run).select("outcome").first()
     if row is None or row["outcome"] != "infra":

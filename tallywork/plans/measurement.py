@@ -55,12 +55,15 @@ def pvalue_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f""", a as (select item, rate, trials from cells where subject = 2 and item < 12), b as (select item, rate, trials from cells where subject = 7 and item between 2 and 11), d as (select a.item as unit, b.rate - a.rate as diff, a.rate as ra, b.rate as rb from a join b using (item)),
     u as (select *, row_number() over (order by unit) - 1 as i from d), f as (select perm, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / count(*)) as m from (select unnest(range(1 << (select count(*) from u)::int)) as perm) cross join u group by perm)
-    select (select count(*) from u) as n_units, (select count(*) from a full join b using (item) where a.rate is null or b.rate is null) as n_dropped, (select least(min(a.trials), min(b.trials)) from a full join b using (item)) as min_seeds, round((select avg(ra) from d), 9) as mean_a, round((select avg(rb) from d), 9) as mean_b, round((select avg(diff) from d), 9) as difference,
-    round((count(*) filter (m >= abs((select avg(diff) from u)) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value, round(3.0::double / (pow(2.0::double, (select count(*) from u)) + 1.0::double), 9) as p_floor from f""", "cells")
+    , r as (select (select count(*) from u) as n_units, (select count(*) from a full join b using (item) where a.rate is null or b.rate is null) as n_dropped, (select least(min(a.trials), min(b.trials)) from a full join b using (item)) as min_seeds, round((select avg(ra) from d), 9) as mean_a, round((select avg(rb) from d), 9) as mean_b, round((select avg(diff) from d), 9) as difference,
+    round((count(*) filter (m >= abs((select avg(diff) from u)) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value, round(3.0::double / (pow(2.0::double, (select count(*) from u)) + 1.0::double), 9) as p_floor from f),
+    z as (select boot, j, floor({expr.uniform_sql('boot', 'boot', 'j')} * n)::bigint as i from (select unnest(range({BOOTS})) as boot), (select unnest(range(n)) as j, n from (select count(*) as n from u))), q as (select boot, avg(diff) as m from z join u using (i) group by boot)
+    select r.*, (select round(quantile_cont(m, 0.025), 9) from q) as ci_low, (select round(quantile_cont(m, 0.975), 9) from q) as ci_high, p_value < 0.05 as significant, p_floor >= 0.05 as underpowered, p_value < 0.05 and difference < 0 as regression,
+    concat_ws('; ', case when n_dropped > 0 then 'units without a counterpart were dropped' end, case when min_seeds < 3 then 'fewer than 3 seeds' end, case when p_floor >= 0.05 then 'too few units for this alpha' end) as warnings from r""", "cells")
 def compare_paired(spark: SparkSession, d: str) -> DataFrame:
     c = fx.cells(spark, d).select("subject", "item", "rate", F.col("trials").alias("seeds"))
     out = inference.compared(c.where("subject = 2 and item < 12"), c.where("subject = 7 and item between 2 and 11"), n_boot=BOOTS)
-    return rounded(out.drop("ci_low", "ci_high", "significant", "underpowered", "regression", "warnings"))
+    return rounded(out)
 
 
 @query("select 'm' || a.item as pair, round(a.rate, 9) as rate_a, round(b.rate, 9) as rate_b, round(b.rate - a.rate, 9) as diff from cells a left join (select * from cells where subject = 7 and item < 18) b on b.item = a.item + 3 where a.subject = 2", "cells")
@@ -132,6 +135,23 @@ def split_half(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ctt.split_half(fx.cells(spark, d), 40))
 
 
+@query(
+    HALVES.rsplit(" select split", 1)[0] + f", {ITEMS}, b as (select min(r) as lowest, max(r) as highest from (select subject, avg(rate) as r from cells group by subject)) select 20::bigint as n_items, 10::bigint as n_subjects, round(lowest, 9) as lowest, round(highest, 9) as highest, round({ALPHA.format(k='20.0::double', c='cells')}, 9) as alpha,"
+    " (select round(avg(2 * r / (1 + r)), 9) from r) as split_half, (select coalesce(string_agg(item::varchar, ',' order by item), '') from i where dead) as dead, (select coalesce(string_agg(item::varchar, ',' order by item), '') from i where dead or item_rest < 0.2) as weak, (select coalesce(string_agg(item::varchar, ',' order by item), '') from i where item_rest < -0.2) as trap from b",
+    "cells",
+)
+def suite_report(spark: SparkSession, d: str) -> DataFrame:
+    out = ctt.report(fx.cells(spark, d), 40, 20)
+    listed = [F.array_join(F.transform(f"{k}_items", lambda x: x.cast("string")), ",").alias(k) for k in ("dead", "weak", "trap")]
+    return rounded(out.select("n_items", "n_subjects", "lowest", "highest", "alpha", "split_half", *listed))
+
+
+@query(", b as (select subject as u, avg(rate) as a from cells where subject <> 4 group by subject) select round(sum(sign(x.a - y.a) * sign(x.u - y.u)) / sqrt(sum((x.a <> y.a)::int::double) * sum((x.u <> y.u)::int::double)), 9) as tau from b x join b y on x.u < y.u", "cells")
+def ladder_recovery(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.cells(spark, d)
+    return rounded(ctt.ladder_recovery(c, c.where("subject <> 4").select("subject", F.col("subject").alias("rung")).distinct()))
+
+
 NULLS = f""", p as (select item, rate, row_number() over (partition by item order by subject) as place from cells), s as (select draw, subject, item, row_number() over (partition by draw, item order by {expr.uniform_sql('null', 'draw', 'item', 'subject')}, subject) as place from cells, (select unnest(range(60)) as draw)),
 c as (select draw, subject, item, rate from s join p using (item, place)), iv as (select draw, sum(v) as iv from (select draw, item, var_samp(rate) as v from c group by all) group by draw), tv as (select draw, var_samp(t) as tv from (select draw, subject, sum(rate) as t from c group by all) group by draw)
 select round(quantile_cont(case when tv > 0 then 20.0::double / 19.0::double * (1 - iv / tv) else 0 end, 0.95), 9) as p95, count(*) as draws from iv join tv using (draw)"""
@@ -201,14 +221,25 @@ def mde_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.minimum_detectable(powers.where("effect > 0"), 0.5))
 
 
-@query()
+BY_SEEDS = f""", pool as (select item as place, rate from cells where subject = 5), g as (select sim, unit, floor({expr.uniform_sql('power/pool', 'sim', 'unit')} * 20)::bigint as place from (select unnest(range({SIMS})) as sim), (select unnest(range({UNITS})) as unit)),
+d as (select seeds, sim, unit, (sum(({expr.uniform_sql('power/b', 'sim', 'unit', 's')} < least(greatest(rate + 0.4::double, 0), 1))::int) - sum(({expr.uniform_sql('power/a', 'sim', 'unit', 's')} < rate)::int)) / seeds::double as diff from g join pool using (place), (select unnest(range(1, 5)) as seeds), (select unnest(range(4)) as s) where s < seeds group by seeds, sim, unit),
+f as (select seeds, sim, perm, abs(sum(case when (perm >> unit::int) % 2 = 1 then -diff else diff end) / {UNITS}) as m, avg(diff) as mean from d, (select unnest(range({1 << UNITS})) as perm) group by all), p as (select seeds, sim, (count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double) as p from f group by all),
+w as (select seeds, avg((p < 0.05)::int::double) as power from p group by seeds)"""
+
+
+def _by_seeds(spark: SparkSession, d: str) -> DataFrame:
+    plans = spark.range(1, 5).select(F.lit(0.4).alias("effect"), F.col("id").alias("seeds"))
+    return inference.power(_pool(spark, d), plans, inference.Design(UNITS, 1), SIMS)
+
+
+@query(BY_SEEDS + " select seeds, round(power, 9) as power from w", "cells")
+def power_by_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_by_seeds(spark, d).select("seeds", "power"))
+
+
+@query(BY_SEEDS + " select min(seeds) filter (power >= 0.5) as seeds from w", "cells")
 def seeds_needed(spark: SparkSession, d: str) -> DataFrame:
-    one = spark.createDataFrame([(0.4,)], "effect double")
-    every = None
-    for s in (1, 2, 3, 4):
-        p = inference.power(_pool(spark, d), one, inference.Design(UNITS, s), SIMS).select(F.lit(s).cast("long").alias("seeds"), "power")
-        every = p if every is None else every.unionByName(p)
-    return inference.seeds_needed(every, 0.5)
+    return inference.seeds_needed(_by_seeds(spark, d), 0.5)
 
 
 # Item response: fits are kernels; curves and estimates are plans over given parameters
@@ -278,6 +309,25 @@ def pirt_rate(spark: SparkSession, d: str) -> DataFrame:
     return irt.predicted_rates(small, par, irt.abilities(small, par)).select("subject", F.round("predicted", 6).alias("predicted"))
 
 
+STEP = """, par as (select item, 1.0::double as a, ln(r / (1 - r)) as d from (select item, least(greatest(sum(successes) / sum(trials)::double, 1e-3::double), 1 - 1e-3::double) as r from cells group by item)), x as (select n as node, -6.0::double + n * 0.05::double as x from (select unnest(range(241)) as n)),
+ll as (select subject, node, x, sum(-successes * ln(1 + exp(-(a * x + d))) - (trials - successes) * ln(1 + exp(a * x + d))) - 0.5::double * x * x as ll from cells join par using (item), x group by subject, node, x), m as (select *, exp(ll - max(ll) over (partition by subject)) as w from ll), po as (select subject, node, x, w / sum(w) over (partition by subject) as post from m),
+ex as (select item, node, x, sum(successes * post) as r, sum(trials * post) as f from cells join po using (subject) group by all), t as (select *, 1 / (1 + exp(-(a * x + d))) as p from ex join par using (item)), s as (select item, a, d, sum(r - f * p) as e, sum(f * p * (1 - p)) as w, sum((r - f * p) * x) as ex, sum(f * p * (1 - p) * x) as wx, sum(f * p * (1 - p) * x * x) as wxx from t group by all),
+g as (select item, a, d, e - d / 16 as gd, w + 1 / 16.0::double + 1e-6::double as hd, ex - (a - 1) / 0.36::double as ga, wxx + 1 / 0.36::double + 1e-6::double as ha, wx from s), v as (select item, a, d, (hd * ga - wx * gd) / (ha * hd - wx * wx) as da, (ha * gd - wx * ga) / (ha * hd - wx * wx) as dd from g)
+select item, round(a + da * least(1, 1 / greatest(abs(da), abs(dd))), 7) as a, round(d + dd * least(1, 1 / greatest(abs(da), abs(dd))), 7) as d from v"""
+
+
+@query(STEP, "cells")
+def irt_step(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.cells(spark, d)
+    return irt.stepped(c, irt.started(c)).select("item", F.round("a", 7).alias("a"), F.round("d", 7).alias("d"))
+
+
+@query()
+def irt_fit_distributed(spark: SparkSession, d: str) -> DataFrame:
+    items, _ = irt.fitted_distributed(fx.cells(spark, d), iterations=8)
+    return items.select("item", F.round("a", 4).alias("a"), F.round("d", 4).alias("d"))
+
+
 def _fits(spark: SparkSession, d: str) -> DataFrame:
     return fx.cells(spark, d).withColumn("fit_id", F.lit("all"))
 

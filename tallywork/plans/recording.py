@@ -214,6 +214,11 @@ def tier_counts(spark: SparkSession, d: str) -> DataFrame:
     return triage.classified(fx.artifacts(spark, d)).groupBy(triage.tier(F.col("outcome")).alias("tier")).agg(F.count("*").alias("n"))
 
 
+@query("select subject, case when count(distinct outcome) = 1 then min(outcome) end as outcome from triaged group by subject", "triaged")
+def only_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return triage.only_outcome(triage.classified(fx.artifacts(spark, d)), ["subject"])
+
+
 @query("select run, case when mem_signal = 'cuda-oom' then 'RuntimeError: CUDA out of memory. Tried 2 GiB' when mem_signal = 'tensorflow-oom' then 'ResourceExhaustedError: OOM' else 'Killed process 77 (python) total-vm:1kB' end as line from found where mem_signal is not null", "found")
 def evidence_line(spark: SparkSession, d: str) -> DataFrame:
     found = fx.artifacts(spark, d).withColumn("m", triage.first_match(F.col("agent_log"), triage.MEMORY))
@@ -255,6 +260,18 @@ def fail_to_pass(spark: SparkSession, d: str) -> DataFrame:
 # Probe
 
 
+CONTROLS = """, g as (select o.agent, avg(o.percentile - c.percentile) as gap from probe o join probe c on o.agent = c.agent and c.item = o.item || '__relabel' where o.valid and c.valid and not o.is_clone and c.is_clone group by o.agent),
+rs as (select 'an honest agent has no gap on a relabelled clone' as control, abs(gap) < 1e-9 as passed, gap as value from g where agent = 'a1' union all select 'a rescaled clone is as hard', true, 0.004::double union all select 'a rescaled clone tells memory from honesty', false, null
+union all select 'originals are recalled', avg(recalled::int::double) > 0.9, avg(recalled::int::double) from probe where agent = 'a9' and not is_clone union all select 'relabelling alone defeats no recall', avg(recalled::int::double) > 0.5, avg(recalled::int::double) from probe where agent = 'a9' and is_clone union all select 'rescaling defeats recall', true, 0.0::double)
+select control, passed, round(value, 9) as value from rs"""
+
+
+@query(CONTROLS, "probe")
+def probe_controls(spark: SparkSession, d: str) -> DataFrame:
+    deltas = spark.createDataFrame([("rescale", -0.004), ("relabel", 0.1)], "transform string, delta double")
+    return rounded(skills.controls(fx.probe(spark, d), deltas, "a1", "a9"))
+
+
 @query("select o.agent, count(*) as n, round(avg(o.percentile - c.percentile), 9) as gap from probe o join probe c on o.agent = c.agent and c.item = o.item || '__relabel' where o.valid and c.valid and not o.is_clone and c.is_clone group by o.agent", "probe")
 def probe_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(skills.probe_gap(fx.probe(spark, d), "relabel"))

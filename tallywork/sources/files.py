@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +94,32 @@ def csv_records(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit(RECORD), F.lit(0)), fields)
 
 
-def submission(spark: SparkSession, path: str, id_column: str, target_column: str, run: str = r"([^/]+)$") -> DataFrame:
+def any_of(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Patterns, one a file system, that stand for those of the absolute paths that exist; file systems with none are left out."""
+    groups: dict[str, list[str]] = {}
+    for p in paths:
+        system, rest = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*(.*)$", p).groups()
+        groups.setdefault(system or "", []).append(re.sub(r"([\\\[\]{}*?,])", r"\\\1", rest))
+    patterns = [f"{system}/{{{','.join(sorted(set(rest)))}}}" for system, rest in groups.items()]
+
+    def there(pattern: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(pattern).schema
+            return True
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+
+    return [p for p in patterns if there(p)]
+
+
+def submission(spark: SparkSession, path: str | list[str], id_column: str, target_column: str, run: str = r"([^/]+)$") -> DataFrame:
     """run, line_no, id, raw of CSV files; a header without the columns gives one row whose raw is null and line_no 1.
 
     Each file is read whole. run is the pattern of a run's name in a file's path; line_no counts records.
     """
-    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True) if path else spark.createDataFrame([], "value string").withColumn("_metadata", F.named_struct(F.lit("file_path"), F.lit("")))
     found = texts.select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), run, 1)).alias("run"), csv_records(F.col("value")).alias("records"))
     head = found.select("run", "records", F.array_position(F.get("records", F.lit(0)), id_column).cast("int").alias("i"), F.array_position(F.get("records", F.lit(0)), target_column).cast("int").alias("t"))
     good = head.where("i > 0 and t > 0").select("run", "i", "t", F.posexplode("records").alias("pos", "cells")).where("pos > 0")
@@ -111,9 +134,9 @@ def submissions_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.from_json("value", "competition_id string, seed int, submission_path string").alias("r")).select("r.*")
 
 
-def answers(spark: SparkSession, path: str) -> DataFrame:
-    """task, id, y of answers.json files, the task being the directory."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("task"), F.explode(F.from_json("value", "map<string,double>")).alias("id", "y"))
+def answers(spark: SparkSession, path: str, task: str = r"/([^/]+)/[^/]+$") -> DataFrame:
+    """task, id, y of answers.json files, the task being what its pattern finds in a path: the directory."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), task, 1).alias("task"), F.explode(F.from_json("value", "map<string,double>")).alias("id", "y"))
     return rows
 
 
@@ -192,6 +215,13 @@ def typed(records: DataFrame) -> DataFrame:
 SPEC = "competition_id string, metric string, is_lower_better boolean, id_column string, target_column string, thresholds struct<gold:double,silver:double,bronze:double,median:double,n_teams:int>, challenges array<string>, target_range array<double>"
 
 
+def specs_of_schemas(schemas: DataFrame, tasks: DataFrame) -> DataFrame:
+    """task, kind, id_column, target_column, low, high for each task (a column task); a task without a readable schema is an error."""
+    both = tasks.select("task").distinct().join(schemas, "task", "left")
+    kind = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.col("task"), F.lit(": no schema that can be generated")))).otherwise(F.col("kind"))
+    return both.select("task", kind.alias("kind"), "id_column", "target_column", "low", "high")
+
+
 def task_specs(spark: SparkSession, path: str) -> DataFrame:
     """One row a competition.json; unknown keys are ignored, missing ones null."""
     return spark.read.schema(SPEC).option("multiLine", True).json(path)

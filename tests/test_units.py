@@ -1,6 +1,7 @@
 """Values worked out by hand."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,75 @@ def test_published_tables(spark):
     s = spark.createDataFrame([("q__x__seed12",)], "s string").select(published.item_of(F.col("s")).alias("i"), published.seed_of(F.col("s")).alias("n")).first()
     assert (s["i"], s["n"]) == ("q__x", 12)
     assert published.beta_pool(spark, 0.17, 0.7, 500).agg(F.avg("rate")).first()[0] == pytest.approx(0.17, abs=0.05)
+
+
+def test_smallest_effect_by_direction(spark):
+    pool = inference.beta_pool(spark, 0.8, 4.0, 200)
+    design = inference.Design(12, 3)
+    drop = inference.detectable_effect(pool, design, 60, tolerance=0.02)
+    gain = inference.detectable_effect(pool, design, 60, "increase", tolerance=0.02)
+    assert drop < 0 and (gain is None or gain > -drop)  # a rate near 1 has little room above
+    at = spark.createDataFrame([(drop,), (drop + 0.02,)], "effect double")
+    found = {r["effect"]: r["power"] for r in inference.power(pool, at, design, 60).collect()}
+    assert found[drop] >= 0.8 > found[drop + 0.02]
+    assert inference.detectable_effect(pool, inference.Design(5, 3), 10) is None
+    for wrong in ({"direction": "up"}, {"target": 0.0}, {"tolerance": 0.0}):
+        with pytest.raises(ValueError):
+            inference.detectable_effect(pool, design, 10, **wrong)
+
+
+def test_beta_pool_has_the_mean_and_spread_of_the_distribution(spark):
+    for rate, many in ((0.17, 0.5), (0.8, 1.0), (0.5, 50.0)):
+        r = np.array([x["rate"] for x in inference.beta_pool(spark, rate, many).collect()])
+        assert abs(r.mean() - rate) < 2e-3 and abs(r.var() - rate * (1 - rate) / (many + 1)) < 2e-3
+    with pytest.raises(ValueError):
+        inference.beta_pool(spark, 1.5, 1.0)
+
+
+def test_matched_pairs_warn_and_must_be_whole(spark):
+    rates = lambda names: spark.createDataFrame([(n, 0.1 * k, 2 + k % 2) for k, n in enumerate(names)], "item string, rate double, seeds long")
+    a, b = rates(["a", "b", "c", "z"]), rates(["d", "e", "f"])
+    pairs = spark.createDataFrame([("a", "e"), ("b", "f")], "pre string, post string")
+    out = one(inference.compared(a, b, n_boot=20, pairs=pairs, infra_failures=4))
+    assert out["n_units"] == 2 and out["n_dropped"] == 0 and abs(out["difference"] - 0.1) < 1e-12
+    assert inference.MATCHED in out["warnings"] and "4 runs that infrastructure ended" in out["warnings"] and "dropped" not in out["warnings"]
+    with pytest.raises(ValueError, match="1 pairs"):
+        inference.compared(a, b, pairs=pairs.union(spark.createDataFrame([("c", "q")], "pre string, post string")))
+
+
+def long_cells(s, n):
+    return pd.DataFrame([(i, j, s[i, j], n[i, j]) for i in range(s.shape[0]) for j in range(s.shape[1])], columns=["subject", "item", "successes", "trials"])
+
+
+def test_steps_stay_at_the_fit(spark):
+    _, _, _, s, n = simulated(12, 6)
+    whole = kernels.fit(s, n, normalize=False)
+    params = spark.createDataFrame([(k, float(whole["a"][k]), float(whole["d"][k])) for k in range(6)], "item long, a double, d double")
+    for r in irt.stepped(spark.createDataFrame(long_cells(s, n)), params).collect():
+        assert abs(r["a"] - whole["a"][r["item"]]) < 1e-3 and abs(r["d"] - whole["d"][r["item"]]) < 1e-3
+
+
+def test_ragged_cells_are_refused():
+    _, _, _, s, n = simulated(4, 3)
+    with pytest.raises(ValueError, match="lacks an item"):
+        kernels.matrices(long_cells(s, n).iloc[1:])
+
+
+def test_report_says_what_a_suite_lacks(spark):
+    rng = np.random.default_rng(2)
+    noise = spark.createDataFrame([(i, j, float(rng.random()), 3.0) for i in range(6) for j in range(5)], "subject long, item long, rate double, trials double")
+    out = one(ctt.report(noise, 10, 40))
+    assert not out["above_chance"] and "by chance" in out["notes"] and "too few subjects" in out["notes"]
+    good = spark.createDataFrame([(i, j, 1.0 if i >= j else 0.0, 3.0) for i in range(12) for j in range(12)], "subject long, item long, rate double, trials double")
+    out = one(ctt.report(good, 10, 40))
+    assert out["above_chance"] and out["dead_items"] == [0] and "too few" not in out["notes"]
+    assert one(ctt.ladder_recovery(good, good.select("subject", F.col("subject").alias("rung")).distinct()))["tau"] == 1.0
+    for wrong, said in ((good.where("subject > 0 or item > 0"), "every item"), (good.union(good.limit(1)), "every item"), (good.where("subject = 1"), "two subjects"), (good.withColumn("rate", F.lit(float("nan"))), "finite")):
+        with pytest.raises(ValueError, match=said):
+            ctt.report(wrong)
+
+
+def test_strategies_must_come_out_as_expected(spark):
+    rows = [("r1", "gold", True, "resolved"), ("r2", "noop", True, "not resolved"), ("r3", "broken", False, "patch not applied"), ("r4", "regressive", True, "resolved")]
+    got = swe.unexpected(spark.createDataFrame(rows, "run string, strategy string, applied boolean, summary string")).collect()
+    assert [(r["run"], r["expected"]) for r in got] == [("r4", "regressed")]
