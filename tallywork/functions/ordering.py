@@ -1,7 +1,7 @@
 """Running sums, places and quantiles of groups of any size: no window and no aggregate sees all values of a group.
 
-The distinct values of a group are cut into PARTS ranges, whose bounds come from a sample of the values chosen by their
-hash, some SAMPLE of them. Sums by range give each range its base, and a window runs within one range only. The sample
+The distinct values of a group are cut into PARTS ranges, whose bounds come from a sample of the values: of each of SAMPLE
+classes of hashes the value of the least one. Sums by range give each range its base, and a window runs within one range only. The sample
 sets how even the ranges are and nothing else; as it follows from the values alone, a task that runs again after an
 executor is lost finds the same ranges.
 """
@@ -30,11 +30,10 @@ def running(rows: DataFrame, keys: list[str], value: str, sums: list[str]) -> Da
     by = keys or [ALL]
     known = rows if keys else rows.withColumn(ALL, F.lit(1))
     per = known.groupBy(*by, value).agg(*[F.sum(s).alias(s) for s in sums])
-    share = F.ceil(F.col("_distinct") / F.lit(SAMPLE))
-    picked = matched(per.select(*by, value), per.groupBy(*by).agg(F.count("*").alias("_distinct")), by).where(F.pmod(F.xxhash64(value), share) == 0)
-    sample = picked.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_sample"))
+    drawn = per.where(F.col(value).isNotNull()).groupBy(*by, F.pmod(F.xxhash64(value), F.lit(SAMPLE)).alias("_draw")).agg(F.min(F.struct(F.xxhash64(value).alias("_hash"), F.col(value).alias("_value"))).alias("_least"))
+    sample = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("_least._value")).alias("_sample"))
     place = lambda k: F.floor(k * F.size("_sample") / F.lit(PARTS)).cast("int")
-    bounds = sample.where(F.size("_sample") > 0).select(*by, F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda k: F.get("_sample", place(k))).alias("_bounds"))
+    bounds = sample.select(*by, F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda k: F.get("_sample", place(k))).alias("_bounds"))
     smaller = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     cut = matched(per, bounds, by, "left").withColumn("_part", F.when(F.col("_bounds").isNull(), 0).otherwise(smaller)).drop("_bounds")
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows a group
@@ -53,9 +52,9 @@ def places(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """keys, n, q: exact quantiles of the values that aren't null, linear between neighbours; groups without one are absent."""
-    found = running(rows.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("n")), keys, value, ["n"])
-    sizes = found.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    both = matched(found, sizes, keys) if keys else found.crossJoin(sizes.where("_size is not null"))  # one row
+    known = rows.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("n"))
+    found, sizes = running(known, keys, value, ["n"]), known.groupBy(*keys).agg(F.sum("n").alias("_size"))
+    both = matched(found, sizes, keys) if keys else found.crossJoin(sizes)  # one row
     holds = lambda at: (F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n"))
     picks = []
     for k, share in enumerate(shares):
