@@ -4,8 +4,10 @@ First pass: each partition tokenizes its documents and keeps running totals. The
 each, give every partition its place in the stream, and a second pass cuts documents at multiples of the window. A
 document that crosses a cut gives one boundary piece on either side; nothing is lost or padded but the very last window.
 
-A null text counts as empty and gives the end mark alone. Repeated rows are packed as often as they occur. An empty
-table gives no piece. Other columns are ignored.
+A null text counts as empty and gives the end mark alone. Repeated rows are packed as often as they occur. Of equal
+rows and of documents in one partition the order read is the order packed. A very long text is tokenized whole, in memory
+that grows with its length, and cut into as many pieces as it needs. An empty table gives no piece. Other columns are
+ignored.
 """
 
 from __future__ import annotations

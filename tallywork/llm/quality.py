@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule looks at one whole text and may reject it. A sample, bounded by SAMPLE_ROWS, tells what each rule costs and
-how much it rejects; rules then run by rejection per cost, and the first that rejects ends the work on a text. The
-order changes the time only, never a verdict.
+Every rule looks at one whole text and may reject it. A sample of some SAMPLE_ROWS texts tells what each rule costs and
+how much it rejects; rules then run by rejection per cost, ties in their listed order, and the first that rejects ends the
+work on a text. The order changes the time only, never a verdict.
 
 Nulls and empty texts have no words and are rejected by too_few_words. Repeated rows are judged one by one; an empty
-table gives an empty result. Columns other than the text are carried along untouched by accepted(), whatever their names.
+table gives an empty result. A very long text is judged whole, in memory that grows with its length; all rules take time in
+proportion to the length but the one that sorts its windows. Columns other than the text are carried along untouched by accepted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallywork.llm.common import BLANKS
 
-#: Most rows on which costs and selectivities are estimated.
+#: Rows, on average, on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
 MIN_WORDS = 20
 #: Most words in repeated windows, in per cent.
@@ -153,9 +154,12 @@ RULES: tuple[Rule, ...] = (*BASE, stutters, too_many_symbols, shouts, mostly_cap
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[dict]:
-    """For each rule, seconds a text and share rejected, each rule run alone on the sample; one summed row a rule."""
+    """For each rule, seconds a text and share rejected, each rule run alone on the sample; one summed row a rule.
+
+    Rows are drawn one by one, sample_rows of them on average, and judged where they lie, so no task gets the whole sample.
+    """
     total = docs.count()
-    sample = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_rows / max(total, 1)), seed=7).limit(2 * sample_rows)
+    sample = docs.select(F.col(text).alias("t")).sample(min(1.0, sample_rows / max(total, 1)), seed=7)
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

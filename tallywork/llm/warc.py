@@ -10,7 +10,8 @@ gives for files, so they go wherever Spark can write.
 
 A null html is an empty payload; a null url leaves the record's own id as target. Of records with equal payloads of at
 least REVISIT_BYTES the smallest page_id is the response, as often as that row is repeated; the others revisit it. A
-null page_id is never the smallest unless there is no other. An empty table gives no record; other columns are ignored.
+null page_id is never the smallest unless there is no other. A very long page is a record of its own in an archive of its own. An empty table gives
+no record; other columns are ignored.
 """
 
 from __future__ import annotations
