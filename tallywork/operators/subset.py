@@ -50,7 +50,7 @@ def summary(found: DataFrame) -> DataFrame:
 def greedy_selection(cells: DataFrame, k: int | None = None, costs: DataFrame | None = None, budgets: tuple[float, ...] = (float("inf"),)) -> DataFrame:
     """budget, step, item: the greedy suite for each budget, all budgets side by side."""
     spark = cells.sparkSession
-    priced = cells.join(F.broadcast(costs), "item") if costs is not None else cells.withColumn("cost", F.lit(1.0))
+    priced = cells.join(costs, "item") if costs is not None else cells.withColumn("cost", F.lit(1.0))
     every = priced.crossJoin(F.broadcast(spark.createDataFrame([(float(b),) for b in budgets], "budget double")))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +82,7 @@ def cross_validated(cells: DataFrame, k: int, n_splits: int, selector: Callable
 def frontier(cells: DataFrame, costs: DataFrame, budgets: tuple[float, ...], n_splits: int) -> DataFrame:
     """budget, n_items, tau, tau_sd: what each budget buys, items chosen by alpha per cost."""
     spark = cells.sparkSession
-    priced = cells.join(F.broadcast(costs), "item")
+    priced = cells.join(costs, "item")
     grid = spark.createDataFrame([(float(b), s) for b in budgets for s in range(n_splits)], "budget double, split long")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,7 +87,10 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.select(F.col("run").cast("string").alias("run"), "ts", "sha").groupBy("run").transformWithStateInPandas(LastChange(), "run string, ts timestamp, sha string", "Append", "None")
 
 
-def live_outcomes(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """user_id, start, end, outcome of a stream of events: a session of runs is over after a gap, and its last word decides."""
+def live_outcomes(stream: DataFrame, outcome: Column, gap: str = "30 minutes") -> DataFrame:
+    """user_id, start, end, n, outcome of a stream of events: a session is over after a gap, and outcome says what its last event type means.
+
+    outcome is an expression over last, the type of the session's latest event.
+    """
     s = stream.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.max_by("event_type", "ts").alias("last"), F.count("*").alias("n"))
-    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.when(F.col("last") == "error", "crash").when(F.col("last") == "purchase", "valid").otherwise("no_submission").alias("outcome"))
+    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", outcome.alias("outcome"))

@@ -34,3 +34,24 @@ def test_state_keeps_changes_only(spark, small, tmp_path):
     got = run(spark, ck.changes(stream), "changes", checkpoint=tmp_path / "c")
     batch = spark.read.parquet(f"{small}/events.parquet").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("mark"), F.col("event_type").alias("sha"))
     assert got.count() == ck.changed(batch).count()
+
+
+def test_late_rows_are_left_out_and_old_content_may_come_again(spark, tmp_path):
+    import time
+
+    kind = "ts timestamp, event_type string, value double, user_id long, sha string, run string"
+    for k, hour in enumerate((0, 5, 5, 0, 9)):  # the fourth file is late
+        spark.createDataFrame([(hour, k)], "hour int, k int").selectExpr("timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, hour) as ts", "'a' as event_type", "1.0D as value", "1L as user_id", "'same' as sha", "'r' as run").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        time.sleep(1.1)
+    stream = lambda: ck.timed(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")), "1 hour")
+    got = run(spark, ck.tumbling(stream()), "late", checkpoint=tmp_path / "c1")
+    assert sorted((r["start"].hour, r["n"]) for r in got.collect()) == [(0, 1), (5, 2)]
+    again = run(spark, ck.fresh(stream()).select("run", "ts", "sha"), "again", checkpoint=tmp_path / "c2")
+    hours = [r["ts"].hour for r in again.collect()]
+    assert hours.count(0) == 1 and 9 in hours and len(hours) < 5  # what the watermark has passed is forgotten
+
+
+def test_sessions_end_with_their_last_event(spark, small, tmp_path):
+    said = F.when(F.col("last") == "error", "crash").otherwise("other")
+    got = run(spark, ck.live_outcomes(events(spark, small), said), "outcomes", checkpoint=tmp_path / "c")
+    assert {r["outcome"] for r in got.select("outcome").distinct().collect()} == {"crash", "other"}
