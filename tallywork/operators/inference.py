@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.functions import expr
+from tallywork.functions import expr, ordering
 
 EXACT_UP_TO = 15
 TOLERANCE = 1e-12
@@ -20,32 +20,64 @@ PERMUTATIONS, BOOTSTRAPS = 9999, 10000
 RUN_PRICE = 150
 
 
+def sized(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    """diffs with n_units and mean_diff of their group beside each."""
+    return ordering.matched(diffs, diffs.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("diff").alias("mean_diff")), keys)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt by unit over all shuffle partitions: each row is about to become hundreds, which its own size doesn't tell.
+
+    By a hash of the unit, since rows that lie together by unit already would be left in the few partitions of their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("unit"))
+
+
 def sign_flip(diffs: DataFrame, keys: list[str], n_permutations: int = PERMUTATIONS, seed: str = "flip") -> DataFrame:
     """keys, n_units, mean_diff, p_value: two-sided, add-one, over all patterns up to EXACT_UP_TO units, else over random ones.
 
-    diffs has unit (an order) and diff. A group's units are one array, so each pattern is one row of arithmetic and the
-    only shuffles are by keys.
+    diffs has unit (distinct within a group) and diff. Random patterns are sums of signed differences: each row of differences
+    adds to LANE patterns at once, rows of any part of the data add up to partial sums, and those add up to the group's. No
+    row and no task holds the units of a group, so their number has no bound; what is kept is n_permutations sums a group.
     """
-    units = diffs.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"), F.count("*").alias("n_units"), F.avg("diff").alias("mean_diff"))
-    exact = F.col("n_units") <= EXACT_UP_TO
-    size = F.when(exact, F.pow(F.lit(2.0), F.col("n_units"))).otherwise(n_permutations).cast("long")
-    rows = units.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
-    signed = F.aggregate(
-        F.transform(F.col("d"), lambda x, i: x * F.when(exact, F.when(F.floor(F.col("perm") / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1, -1.0).otherwise(1.0)).otherwise(expr.sign(seed, F.col("perm"), i))),
-        F.lit(0.0), lambda s, x: s + x,
-    )
-    hits = rows.withColumn("flipped", F.abs(signed / F.col("n_units"))).groupBy(*keys).agg(F.first("n_units").alias("n_units"), F.first("mean_diff").alias("mean_diff"), F.count_if(F.col("flipped") >= F.abs(F.col("mean_diff")) - TOLERANCE).alias("hits"), F.count("*").alias("size"))
-    return hits.select(*keys, "n_units", "mean_diff", ((F.col("hits") + 1.0) / (F.col("size") + 1.0)).alias("p_value"))
+    known = sized(diffs, keys)
+    named = [*keys, "n_units", "mean_diff"]
+    few = known.where(F.col("n_units") <= EXACT_UP_TO).groupBy(*named).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"))
+    pattern = few.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n_units")).cast("long") - 1)))
+    flipped = F.aggregate(F.transform(F.col("d"), lambda x, i: x * F.when(F.floor(F.col("perm") / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1, -1.0).otherwise(1.0)), F.lit(0.0), lambda s, x: s + x)
+    exact = pattern.select(*named, flipped.alias("total"))
+    lanes = spread(known.where(F.col("n_units") > EXACT_UP_TO)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit((n_permutations - 1) // expr.LANE))))
+    signed = lanes.withColumn("bits", expr.lane_bits(seed, "lane", "unit"))
+    sums = signed.groupBy(*named, "lane").agg(*[F.sum(F.col("diff") * (1 - 2 * F.shiftright("bits", k).bitwiseAND(F.lit(1)))).alias(f"s{k}") for k in range(expr.LANE)])
+    each = sums.select(*named, "lane", F.posexplode(F.array(*[f"s{k}" for k in range(expr.LANE)])).alias("_at", "total")).where(F.col("lane") * expr.LANE + F.col("_at") < n_permutations)
+    hit = F.abs(F.col("total") / F.col("n_units")) >= F.abs(F.col("mean_diff")) - TOLERANCE
+    return exact.unionByName(each.select(*named, "total")).groupBy(*named).agg(F.count_if(hit).alias("hits"), F.count("*").alias("size")).select(*named, ((F.col("hits") + 1.0) / (F.col("size") + 1.0)).alias("p_value"))
+
+
+#: Units up to which a group is drawn from as one array.
+ARRAY = 1000
 
 
 def bootstrap_ci(diffs: DataFrame, keys: list[str], n_boot: int = BOOTSTRAPS, alpha: float = 0.05, seed: str = "boot") -> DataFrame:
-    """keys, ci_low, ci_high: percentile interval of the mean over resampled units."""
-    units = diffs.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"))
-    rows = units.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    """keys, ci_low, ci_high: percentile interval of the mean over resampled units.
+
+    Up to ARRAY units, as many are drawn as there are. Beyond, each unit is taken a Poisson number of times (mean 1), so that a
+    draw is two sums, of weighted differences and of weights, that add up over the parts of the data as in sign_flip; how many
+    units a draw has then varies by a standard deviation of the root of their number, by which its mean is divided out.
+    """
+    known = sized(diffs, keys)
+    few = known.where(F.col("n_units") <= ARRAY).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"))
+    rows = few.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     n = F.size("d")
     drawn = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("d", F.floor(expr.uniform(seed, F.col("boot"), j) * n).cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    lanes = spread(known.where(F.col("n_units") > ARRAY)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // expr.WEIGHTS))))
+    names = [f"w{k}" for k in range(expr.WEIGHTS)]
+    weighted = expr.poisson_weighted(lanes.select(*keys, "unit", "diff", "lane"), names, seed, "lane", "unit")
+    sums = weighted.groupBy(*keys, "lane").agg(F.array(*[F.sum(F.col("diff") * F.col(w)) for w in names]).alias("total"), F.array(*[F.sum(w) for w in names]).alias("weight"))
+    each = sums.select(*keys, "lane", F.posexplode(F.arrays_zip("total", "weight")).alias("_at", "s")).where(F.col("lane") * expr.WEIGHTS + F.col("_at") < n_boot)
+    means = rows.select(*keys, (drawn / n).alias("m")).unionByName(each.select(*keys, expr.ratio(F.col("s.total"), F.col("s.weight").cast("double")).alias("m")))
     q = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return rows.withColumn("m", drawn / n).groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    return means.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 #: Said of a comparison of different items.

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr
 from tallywork.operators import kernels
+from tallywork.sources.shared import Rounds, stored
 
 ITEMS = "fit_id string, item long, a double, b double, d double, observed_rate double, identified boolean, extrapolated boolean"
 SUBJECTS = "fit_id string, subject long, theta double, se double"
@@ -32,85 +31,118 @@ def fitted(cells: DataFrame, what: str = "items") -> DataFrame:
     return cells.groupBy("fit_id").applyInPandas(run, {"items": ITEMS, "subjects": SUBJECTS, "fits": FITS}[what])
 
 
-def fitted_distributed(cells: DataFrame, iterations: int = 30, tolerance: float = 1e-4) -> tuple[DataFrame, int]:
-    """Item parameters (item, a, d) for more subjects than fit one task: each pass sums expected counts over all subjects.
+def nodes(spark: SparkSession) -> DataFrame:
+    """x, prior: the abilities that the population is spread over, and the log of their share of it."""
+    x, w = kernels.quadrature()
+    at = F.lit(float(x[0])) + F.col("id") * F.lit(2.0 * kernels.REACH / (kernels.NODES - 1))
+    return spark.range(0, kernels.NODES, 1, 1).select(at.alias("x"), (-0.5 * at * at - F.lit(float(np.log(np.exp(-0.5 * x * x).sum())))).alias("prior"))
+
+
+FIT = "fit_id"
+
 
-    What comes to the driver is two numbers an item. Subjects arrive whole (an array of their cells each), in blocks.
+def tried(cells: DataFrame) -> DataFrame:
+    return cells.where("trials > 0").select(F.col(FIT).cast("string").alias(FIT), "subject", "item", F.col("successes").cast("double").alias("successes"), F.col("trials").cast("double").alias("trials"))
+
+
+def posteriors(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """fit_id, subject, x, post, ll: each subject's posterior over the nodes from its own cells, and its log-likelihood.
+
+    Cells are dealt by subject before they meet the nodes, which are a fixed number, so what is shuffled is the cells. A
+    subject may lack items.
     """
-    spark = cells.sparkSession
-    x, w = kernels.quadrature()
-    rows = cells.groupBy("item").agg(F.sum("successes").alias("s"), F.sum("trials").alias("n")).orderBy("item").collect()
-    items = [r["item"] for r in rows]
-    place = {i: k for k, i in enumerate(items)}
-    rate = np.clip(np.array([r["s"] / r["n"] for r in rows]), 1e-3, 1 - 1e-3)
-    a, d = np.full(len(items), kernels.PRIOR_A), np.log(rate / (1 - rate))
-    # Each pass reads the subjects again; what an executor that is lost has kept is made anew from the cells.
-    by_subject = cells.groupBy("subject").agg(F.collect_list(F.struct("item", F.col("successes").cast("double").alias("s"), F.col("trials").cast("double").alias("n"))).alias("c")).persist()
-    it = 0
-    for it in range(1, iterations + 1):
-
-        def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            r, f = np.zeros((len(items), len(x))), np.zeros((len(items), len(x)))
-            for pdf in batches:
-                s, n = np.zeros((len(pdf), len(items))), np.zeros((len(pdf), len(items)))
-                for row, c in enumerate(pdf["c"]):
-                    for e in c:
-                        s[row, place[e["item"]]], n[row, place[e["item"]]] = e["s"], e["n"]
-                post, _ = kernels.posterior(s, n, a, d, x, w)
-                r += s.T @ post
-                f += n.T @ post
-            yield pd.DataFrame({"item": np.repeat(items, len(x)), "node": np.tile(np.arange(len(x)), len(items)), "r": r.ravel(), "f": f.ravel()})
-
-        sums = by_subject.mapInPandas(expected, "item long, node int, r double, f double").groupBy("item", "node").agg(F.sum("r").alias("r"), F.sum("f").alias("f"))
-
-        def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("node")
-            k = place[key[0]]
-            a2, d2 = kernels.newton(pdf["r"].to_numpy()[None, :], pdf["f"].to_numpy()[None, :], x, a[k : k + 1], d[k : k + 1])
-            return pd.DataFrame({"item": [key[0]], "a": a2, "d": d2})
-
-        new = {r["item"]: (r["a"], r["d"]) for r in sums.groupBy("item").applyInPandas(step, "item long, a double, d double").collect()}
-        a2, d2 = (np.array([new[i][k] for i in items]) for k in (0, 1))
-        moved = max(np.abs(a2 - a).max(), np.abs(d2 - d).max())
-        a, d = a2, d2
-        if moved < tolerance:
-            break
-    by_subject.unpersist()
-    return spark.createDataFrame(list(zip(items, a.tolist(), d.tolist(), strict=True)), "item long, a double, d double"), it
+    at = by_subject(cells).join(params.select(FIT, "item", "a", "d"), [FIT, "item"]).crossJoin(F.broadcast(nodes(cells.sparkSession)))
+    logit = at.selectExpr(FIT, "subject", "x", "prior", "successes", "trials", "a * x + d as z")
+    ll = logit.groupBy(FIT, "subject", "x").agg(F.expr("sum(trials * (least(z, 0D) - log1p(exp(-abs(z)))) - (trials - successes) * z) + first(prior) as l"))
+    # A window holds one row a node.
+    top = ll.selectExpr("*", f"max(l) over (partition by {FIT}, subject) as top").selectExpr("*", "exp(l - top) as w").selectExpr("*", f"sum(w) over (partition by {FIT}, subject) as mass")
+    return top.selectExpr(FIT, "subject", "x", "w / mass as post", "ln(mass) + top as ll")
+
+
+def by_subject(cells: DataFrame) -> DataFrame:
+    return cells.repartition(FIT, "subject")
+
+
+def maximised(cells: DataFrame, post: DataFrame, params: DataFrame) -> DataFrame:
+    """params (fit_id, item, a, d, fixed and more) after one damped Newton step an item; fixed slopes stay. Adds moved, the larger step."""
+    at = by_subject(cells).join(post.select(FIT, "subject", "x", "post"), [FIT, "subject"]).join(params.select(FIT, "item", "a", "d"), [FIT, "item"])
+    rows = at.selectExpr(FIT, "item", "x", "successes", "trials", "post", "1D / (1D + exp(-(a * x + d))) as p").selectExpr(FIT, "item", "x", "post * (successes - trials * p) as e", "post * trials * p * (1D - p) as w")
+    sums = rows.groupBy(FIT, "item").agg(*map(F.expr, ("sum(e) as e", "sum(w) as w", "sum(e * x) as ex", "sum(w * x) as wx", "sum(w * x * x) as wxx")))
+    of_a, of_d = 1 / kernels.PRIOR_A_SD**2, 1 / kernels.PRIOR_D_SD**2
+    slopes = params.join(sums, [FIT, "item"]).selectExpr("*", f"e - d * {of_d}D as gd", f"w + {of_d + kernels.RIDGE}D as hd", f"ex - (a - {kernels.PRIOR_A}D) * {of_a}D as ga", f"wxx + {of_a + kernels.RIDGE}D as ha")
+    moves = slopes.selectExpr("*", "if(fixed, 0D, (hd * ga - wx * gd) / (ha * hd - wx * wx)) as da", "if(fixed, gd / hd, (ha * gd - wx * ga) / (ha * hd - wx * wx)) as dd").selectExpr("*", "least(1D, 1D / greatest(abs(da), abs(dd), 1e-12D)) as scale")
+    kept = [c for c in params.columns if c not in ("a", "d", "moved")]
+    return moves.selectExpr(*kept, "a + da * scale as a", "d + dd * scale as d", "greatest(abs(da), abs(dd)) * scale as moved")
 
 
 def stepped(cells: DataFrame, params: DataFrame) -> DataFrame:
-    """item, a, d after one step of expectation and maximisation from params (item, a, d), for any number of subjects and items.
+    """item, a, d after one step of expectation and maximisation of one model from params (item, a, d)."""
+    one, at = tried(cells.withColumn(FIT, F.lit(""))), params.withColumn(FIT, F.lit("")).withColumn("fixed", F.lit(False))
+    return maximised(one, posteriors(one, at), at).select("item", "a", "d")
 
-    Expectation: each subject's posterior over the nodes, from its own cells. Maximisation: one damped Newton step an item
-    from sums over subjects and nodes. Cells are those of the table, so a subject may lack items.
-    """
-    x, _ = kernels.quadrature()
-    nodes = cells.sparkSession.createDataFrame(list(enumerate(x.tolist())), "node int, x double")
-    s, n, z = F.col("successes").cast("double"), F.col("trials").cast("double"), F.col("a") * F.col("x") + F.col("d")
-    # The nodes are a fixed number, so cells times nodes grows with the cells only.
-    at = cells.join(params, "item").crossJoin(F.broadcast(nodes))
-    ll = at.groupBy("subject", "node", "x").agg((F.sum(s * expr.log_sigmoid(z) + (n - s) * expr.log_sigmoid(-z)) - 0.5 * F.col("x") * F.col("x")).alias("ll"))
-    of_subject = Window.partitionBy("subject")  # one row a node
-    mass = ll.withColumn("w", F.exp(F.col("ll") - F.max("ll").over(of_subject)))
-    post = mass.select("subject", "node", "x", (F.col("w") / F.sum("w").over(of_subject)).alias("post"))
-    expected = cells.join(post, "subject").groupBy("item", "node", "x").agg(F.sum(s * F.col("post")).alias("r"), F.sum(n * F.col("post")).alias("f"))
-    p = expr.sigmoid(z)
-    e, w = F.col("r") - F.col("f") * p, F.col("f") * p * (1.0 - p)
-    sums = expected.join(params, "item").groupBy("item", "a", "d").agg(F.sum(e).alias("e"), F.sum(w).alias("w"), F.sum(e * F.col("x")).alias("ex"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"))
-    of_a, of_d = kernels.PRIOR_A_SD**2, kernels.PRIOR_D_SD**2
-    gd, hd = F.col("e") - F.col("d") / of_d, F.col("w") + 1 / of_d + kernels.RIDGE
-    ga, ha = F.col("ex") - (F.col("a") - kernels.PRIOR_A) / of_a, F.col("wxx") + 1 / of_a + kernels.RIDGE
-    det = ha * hd - F.col("wx") * F.col("wx")
-    moves = sums.withColumn("da", (hd * ga - F.col("wx") * gd) / det).withColumn("dd", (ha * gd - F.col("wx") * ga) / det)
-    scale = F.least(F.lit(1.0), 1.0 / F.greatest(F.abs("da"), F.abs("dd"), F.lit(1e-12)))
-    return moves.select("item", (F.col("a") + F.col("da") * scale).alias("a"), (F.col("d") + F.col("dd") * scale).alias("d"))
-
-
-def started(cells: DataFrame) -> DataFrame:
-    """item, a, d where a fit begins: the prior slope and the log odds of the item's rate."""
+
+def started(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, item, a, d where a fit begins: the prior slope and the log odds of the item's rate."""
     rate = F.least(F.greatest(F.sum("successes") / F.sum("trials"), F.lit(1e-3)), F.lit(1 - 1e-3))
-    return cells.groupBy("item").agg(rate.alias("rate")).select("item", F.lit(kernels.PRIOR_A).alias("a"), F.log(F.col("rate") / (1.0 - F.col("rate"))).alias("d"))
+    return cells.groupBy(*keys, "item").agg(rate.alias("rate")).select(*keys, "item", F.lit(kernels.PRIOR_A).alias("a"), F.log(F.col("rate") / (1.0 - F.col("rate"))).alias("d"))
+
+
+#: Rounds of a whole fit, and the step below which an item's parameters stand still.
+ROUNDS, STILL = 300, 1e-4
+
+
+def fitted_in_rounds(cells: DataFrame, rounds: int = ROUNDS, still: float = STILL, slopes: DataFrame | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """fit_id, item, a, d, rounds, converged: as many models at once as cells (fit_id, subject, item, successes, trials) has fits.
+
+    A round is one plan over all fits that still move: subjects' posteriors, then a damped Newton step an item. Its parameters
+    are stored, and are all that the next round takes over; the driver learns how many fits still move. A fit has converged
+    when no parameter moved by still. Cells may lack items; those without trials are left out. slopes (fit_id, a) fixes the
+    slopes of each fit; begin (fit_id, item, a, d) gives other starting points. Ten fits of ten million cells take no more
+    memory than one of one.
+    """
+    known = stored(tried(cells), "irt-cells")
+    first = (started(known, (FIT,)) if begin is None else begin.select(FIT, "item", "a", "d")).withColumn("fixed", F.lit(slopes is not None))
+    if slopes is not None:
+        first = first.drop("a").join(slopes.select(FIT, "a"), FIT)
+    states = Rounds(cells.sparkSession, "irt")
+    state = states.keep(first.withColumns({"rounds": F.lit(0), "moved": F.lit(float("inf"))}))
+    for _ in range(rounds):
+        most = state.groupBy(FIT).agg((F.max("moved") >= still).alias("live"))
+        marked = state.join(most, FIT)
+        live = marked.where("live").withColumn("rounds", F.col("rounds") + 1).drop("live")
+        new = maximised(known, posteriors(known, live), live)
+        moving = Observation()
+        state = states.keep(new.unionByName(marked.where("not live").select(*new.columns)).observe(moving, F.count_if(F.col("moved") >= still).alias("n")))
+        if not moving.get["n"]:
+            break
+    most = state.groupBy(FIT).agg((F.max("moved") < still).alias("converged"))
+    return state.join(most, FIT).select(FIT, "item", "a", "d", "rounds", "converged")
+
+
+def scaled(cells: DataFrame, params: DataFrame, normalize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (as ITEMS), subjects (as SUBJECTS) and fits (as FITS) of fitted parameters.
+
+    Abilities and their standard deviations are those of the last posterior. Normalised ones have mean 0 and deviation 1 over the
+    subjects of a fit; slopes and difficulties go along.
+    """
+    known = tried(cells)
+    x, p = F.col("x"), F.col("post")
+    found = posteriors(known, params).groupBy(FIT, "subject").agg(F.sum(p * x).alias("theta"), F.sum(p * x * x).alias("square"), F.max("ll").alias("ll"))
+    raw = stored(found.select(FIT, "subject", "theta", F.sqrt(F.greatest(F.col("square") - F.col("theta") * F.col("theta"), F.lit(0.0))).alias("se"), "ll"), "irt-subjects")
+    spread = F.when(F.count("*") > 1, F.stddev_samp("theta")).otherwise(1.0)
+    by_fit = raw.groupBy(FIT).agg(F.avg("theta").alias("mean"), spread.alias("sd"), F.min("theta").alias("low"), F.max("theta").alias("high"), F.sum("ll").alias("log_likelihood"))
+    use = (F.col("sd") > 0) & F.lit(normalize)
+    by_fit = by_fit.withColumn("mu", F.when(use, F.col("mean")).otherwise(0.0)).withColumn("unit", F.when(use, F.col("sd")).otherwise(1.0))
+    on = lambda c: (F.col(c) - F.col("mu")) / F.col("unit")
+    subjects = raw.join(by_fit, FIT).select(FIT, "subject", on("theta").alias("theta"), (F.col("se") / F.col("unit")).alias("se"))
+    totals = known.groupBy(FIT, "item").agg(F.sum("successes").alias("s"), F.sum("trials").alias("n"))
+    items = params.join(totals, [FIT, "item"]).join(by_fit, FIT).withColumns({"d": F.col("d") + F.col("a") * F.col("mu"), "a": F.col("a") * F.col("unit"), "range": F.col("sd") / F.col("unit")})
+    steep = F.abs("a") * F.col("range") >= kernels.IDENTIFIED
+    items = items.withColumn("b", F.when(steep, -F.col("d") / F.col("a")).otherwise(float("inf")))
+    located = (on("low") - F.col("range") <= F.col("b")) & (F.col("b") <= on("high") + F.col("range"))
+    items = items.select(FIT, "item", "a", "b", "d", (F.col("s") / F.col("n")).alias("observed_rate"), (steep & (F.col("s") != 0) & (F.col("s") != F.col("n"))).alias("identified"), (~located).alias("extrapolated"))
+    fits = by_fit.select(FIT, "log_likelihood").join(params.groupBy(FIT).agg(F.max("rounds").alias("iterations"), F.bool_and("converged").alias("converged")), FIT)
+    return items, subjects, fits
 
 
 def grid(spark, low: float, high: float, n: int) -> DataFrame:
@@ -185,51 +217,67 @@ def predicted_rates(responses: DataFrame, items: DataFrame, theta: DataFrame) ->
     return every.groupBy("subject").agg(F.avg(F.coalesce("seen", model)).alias("predicted"))
 
 
-def attenuation(cells: DataFrame, n_draws: int) -> DataFrame:
-    """draw, slope, correlation: parametric bootstrap of the fit; draws with fewer than three identified items are skipped.
+def drawn(cells: DataFrame, n_draws: int, seed: str = "attenuation") -> DataFrame:
+    """fit_id (the draw), subject, item, successes, trials: binomial outcomes of cells (subject, item, trials, p), a uniform number a trial."""
+    draws = cells.sparkSession.range(n_draws).select(F.col("id").cast("string").alias(FIT))  # some tens of draws, each a copy by design
+    hits = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("trials").cast("int")), lambda t: F.when(expr.uniform(seed, FIT, "subject", "item", t) < F.col("p"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return cells.crossJoin(F.broadcast(draws)).select(FIT, "subject", "item", hits.alias("successes"), "trials")
 
-    The model is fitted once, and each cell carries its probability and its item's slope into the draws.
+
+def attenuation(cells: DataFrame, n_draws: int = 24, rounds: int = ROUNDS) -> DataFrame:
+    """draw, slope, ability_recovery, difficulty_recovery: a parametric bootstrap of the fit.
+
+    Outcomes are drawn from the fitted model at the real numbers of trials, all draws are fitted at once, and the slopes found
+    are regressed on those that made them. Draws with fewer than three usable items are skipped.
     """
-    spark = cells.sparkSession
-    draws = spark.range(n_draws).select(F.col("id").cast("string").alias("fit_id"))
-    known = cells.select("subject", "item", "successes", "trials")
-    once = known.withColumn("fit_id", F.lit("base"))
-    made = known.join(fitted(once).select("item", "a", "d", "identified"), "item").join(fitted(once, "subjects").select("subject", "theta"), "subject")
-    made = made.select("subject", "item", "successes", "trials", "a", "identified", expr.sigmoid(F.col("a") * F.col("theta") + F.col("d")).alias("p"))
+    once = cells.select("subject", "item", "successes", "trials").withColumn(FIT, F.lit("base"))
+    items, subjects, _ = scaled(once, fitted_in_rounds(once, rounds))
+    items, subjects = stored(items, "irt-base"), stored(subjects, "irt-base")
+    usable = F.col("identified") & (F.col("b") != float("inf"))
+    # An item without a difficulty has no ability at which it is solved.
+    p = F.when(F.col("b") == float("inf"), 0.0).otherwise(probability(F.col("a"), F.col("b"), F.col("theta")))
+    made = once.drop(FIT).join(items.select("item", "a", "b"), "item").join(subjects.select("subject", "theta"), "subject").withColumn("p", p)
+    again = stored(drawn(made.select("subject", "item", "trials", "p"), n_draws), "irt-draws")
+    new_items, new_subjects, _ = scaled(again, fitted_in_rounds(again, rounds))
+    base = items.where(usable).select("item", F.col("a").alias("a0"), F.col("b").alias("b0"))
+    both = new_items.join(base, "item").where(F.col("b") != float("inf"))
+    slope = expr.ratio(F.covar_samp("a0", "a"), F.var_samp("a0"))
+    of_items = both.groupBy(FIT).agg(F.count("*").alias("n"), slope.alias("slope"), correlation("b0", "b").alias("difficulty_recovery")).where("n >= 3")
+    of_subjects = new_subjects.join(subjects.select("subject", F.col("theta").alias("theta0")), "subject").groupBy(FIT).agg(correlation("theta0", "theta").alias("ability_recovery"))
+    return of_items.join(of_subjects, FIT).select(F.col(FIT).alias("draw"), "slope", "ability_recovery", "difficulty_recovery")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, n, _, _ = kernels.matrices(pdf)
-        p = pdf.pivot(index="subject", columns="item", values="p").sort_index().sort_index(axis=1).to_numpy(float)
-        base = pdf.groupby("item")[["a", "identified"]].first().sort_index()
-        again = kernels.fit(kernels.rng("attenuation", key[0]).binomial(n.astype(int), p).astype(float), n)
-        use = base["identified"].to_numpy(bool) & again["identified"]
-        if use.sum() < 3:
-            return pd.DataFrame({"draw": [], "slope": [], "correlation": []}).astype({"draw": str, "slope": float, "correlation": float})
-        a, b = base["a"].to_numpy(float)[use], again["a"][use]
-        return pd.DataFrame({"draw": [key[0]], "slope": [np.cov(a, b)[0, 1] / a.var(ddof=1)], "correlation": [np.corrcoef(a, b)[0, 1]]})
 
-    return made.crossJoin(F.broadcast(draws)).groupBy("fit_id").applyInPandas(run, "draw string, slope double, correlation double")
+def correlation(x: str, y: str) -> Column:
+    return expr.ratio(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def held_out(cells: DataFrame, n_folds: int, seed: str = "cv") -> DataFrame:
-    """model, log_likelihood a trial: cells dealt to folds, each fold predicted from a fit of the others."""
-    spark = cells.sparkSession
-    known = cells.drop("fit_id").withColumn("fold", F.floor(expr.uniform(seed, "subject", "item") * n_folds))
-    every = known.crossJoin(F.broadcast(spark.range(n_folds).select(F.col("id").cast("string").alias("fit_id"))))
+def attenuated(draws: DataFrame) -> DataFrame:
+    """One row over the draws: mean slope and its deviation (0 for one draw), mean recoveries, their number."""
+    return draws.agg(F.avg("slope").alias("slope"), F.coalesce(F.stddev_samp("slope"), F.lit(0.0)).alias("slope_sd"), F.avg("ability_recovery").alias("ability_recovery"), F.avg("difficulty_recovery").alias("difficulty_recovery"), F.count("*").alias("n_draws"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, n, _, _ = kernels.matrices(pdf)
-        out = pdf.pivot(index="subject", columns="item", values="fold").sort_index().sort_index(axis=1).to_numpy() == int(key[0])
-        s2, n2 = np.where(out, 0.0, s), np.where(out, kernels.CV_TRIALS, n)
-        free = kernels.fit(s2, n2, normalize=False)
-        rasch = kernels.fit(s2, n2, normalize=False, fixed_a=float(free["a"].mean()), max_iterations=200)
-        logit = lambda m: kernels.sigmoid(m["a"] * m["theta"][:, None] + m["d"])
-        rates = {"2pl": logit(free), "rasch": logit(rasch), "item_mean": np.broadcast_to(s2.sum(0) / n2.sum(0), s.shape)}
-        score = lambda p: float((np.where(out, s * np.log(p) + (n - s) * np.log(1 - p), 0)).sum())
-        return pd.DataFrame({"model": list(rates), "ll": [score(np.clip(p, 1e-6, 1 - 1e-6)) for p in rates.values()], "trials": float(n[out].sum())})
-
-    folds = every.groupBy("fit_id").applyInPandas(run, "model string, ll double, trials double")
-    return folds.groupBy("model").agg((F.sum("ll") / F.sum("trials")).alias("log_likelihood"))
+
+def held_out(cells: DataFrame, n_folds: int = 5, seed: str = "cv", rounds: int = ROUNDS) -> DataFrame:
+    """model, log_likelihood a trial: cells dealt to folds, each fold predicted from fits of the others, all folds fitted at once.
+
+    Models: two parameters; one slope for all items, the mean of the free fit's; the item's mean rate. A subject or item that a
+    fold leaves without any cell has no prediction there, nor do its cells count.
+    """
+    known = cells.select("subject", "item", "successes", "trials").withColumn("fold", F.floor(expr.uniform(seed, "subject", "item") * n_folds).cast("string"))
+    folds = cells.sparkSession.range(n_folds).select(F.col("id").cast("string").alias(FIT))  # a handful, each with all other cells
+    train = stored(known.crossJoin(F.broadcast(folds)).where(F.col("fold") != F.col(FIT)).drop("fold"), "irt-folds")
+    free = fitted_in_rounds(train, rounds)
+    one = fitted_in_rounds(train, rounds, slopes=free.groupBy(FIT).agg(F.avg("a").alias("a")))
+    theta = posteriors(train, free).groupBy(FIT, "subject").agg(F.sum(F.col("post") * F.col("x")).alias("theta"))
+    clipped = lambda p, at: F.least(F.greatest(p, F.lit(at)), F.lit(1 - at))
+    rate = train.groupBy(FIT, "item").agg(clipped(F.sum("successes") / F.sum("trials"), 1e-4).alias("item_mean"))
+    named = lambda fit, k: fit.select(FIT, "item", F.col("a").alias(f"a{k}"), F.col("d").alias(f"d{k}"))
+    asked = known.withColumnRenamed("fold", FIT).join(theta, [FIT, "subject"])
+    for side in (named(free, 0), named(one, 1), rate):
+        asked = asked.join(side, [FIT, "item"])
+    p = {"2pl": expr.sigmoid(F.col("a0") * F.col("theta") + F.col("d0")), "rasch": expr.sigmoid(F.col("a1") * F.col("theta") + F.col("d1")), "item_mean": F.col("item_mean")}
+    s, n = F.col("successes"), F.col("trials")
+    each = asked.select("trials", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), (s * F.log(clipped(v, 1e-6)) + (n - s) * F.log(1.0 - clipped(v, 1e-6))).alias("ll")) for k, v in p.items()])).alias("m"))
+    return each.groupBy("m.model").agg((F.sum("m.ll") / F.sum("trials")).alias("log_likelihood"))
 
 
 def hardest(items: DataFrame, k: int) -> DataFrame:

@@ -100,14 +100,14 @@ def fit(s: np.ndarray, n: np.ndarray, normalize: bool = True, fixed_a: float | N
     return {"a": a, "d": d, "b": b, "theta": theta, "se": se, "ll": ll, "iterations": it, "converged": done, "identified": identified, "extrapolated": far, "rate": total / trials}
 
 
-#: Most cells that one fit takes; larger tables are for irt.fitted_distributed and irt.stepped.
+#: Most cells that one fit takes; larger tables are for irt.fitted_in_rounds.
 MOST_CELLS = 5_000_000
 
 
 def matrices(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list, list]:
     """Successes and trials as matrices with their subjects and items; raises where a cell is missing, odd or one too many."""
     if len(cells) > MOST_CELLS:
-        raise ValueError(f"{len(cells)} cells in one fit, at most {MOST_CELLS}; use fitted_distributed")
+        raise ValueError(f"{len(cells)} cells in one fit, at most {MOST_CELLS}; use fitted_in_rounds")
     s = cells.pivot(index="subject", columns="item", values="successes").sort_index().sort_index(axis=1)
     n = cells.pivot(index="subject", columns="item", values="trials").sort_index().sort_index(axis=1)
     a, b = s.to_numpy(float), n.to_numpy(float)

@@ -7,8 +7,6 @@ from tables of a fixed number of rows (nation: 25, region: 5); what grows is wri
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +14,7 @@ from pyspark.sql import functions as F
 from tallywork.plans import fixtures as fx
 from tallywork.plans.catalog import query
 from tallywork.sources import files, sinks
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where none is set, a temporary one, which only a local session may use."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tallywork-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tallywork.sources.shared import folder
 
 
 def put(spark: SparkSession, path: str, content: str | bytes) -> str:

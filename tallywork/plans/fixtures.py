@@ -28,6 +28,14 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return good.groupBy("subject", "item").agg(F.sum(F.col("medal").cast("long")).alias("successes"), F.count("*").alias("trials"), F.avg(F.col("medal").cast("double")).alias("rate"))
 
 
+def arms(spark: SparkSession, d: str) -> DataFrame:
+    """unit, arm, rate, seeds: each order as a unit, its lines as seeds, even suppliers as arm a and odd ones as arm b."""
+    li = table(spark, d, "lineitem").where("not (l_discount = 0.1 and l_tax = 0.0)")
+    medal = (F.col("l_quantity") + 5.5 * (F.col("l_partkey") % 20 - 5) <= 26.0 + 5.0 * (F.col("l_suppkey") % 10)).cast("double")
+    arm = F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b")
+    return li.groupBy(F.col("l_orderkey").alias("unit"), arm.alias("arm")).agg(F.avg(medal).alias("rate"), F.count("*").alias("seeds"))
+
+
 def tiers(items: DataFrame) -> DataFrame:
     return items.withColumn("tier", F.when(F.col("item") < 8, "low").when(F.col("item") < 16, "medium").otherwise("high"))
 
@@ -118,11 +126,11 @@ def probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skill_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """agent, challenge, unit, control, challenged: even items against the odd ones after them, eight units a cell."""
+    """agent, challenge, unit, control, challenged: even items against the odd ones after them, ten units a cell."""
     c = cells(spark, d)
     control = c.where("item % 2 = 0").select("subject", (F.col("item") / 2).cast("long").alias("unit"), F.col("rate").alias("control"))
     hard = c.where("item % 2 = 1").select("subject", ((F.col("item") - 1) / 2).cast("long").alias("unit"), F.col("rate").alias("challenged"))
-    both = control.join(hard, ["subject", "unit"]).where("unit < 8").withColumn("challenge", F.explode(F.array(F.lit("leak"), F.lit("shift"))))
+    both = control.join(hard, ["subject", "unit"]).withColumn("challenge", F.explode(F.array(F.lit("leak"), F.lit("shift"))))
     got = F.when((F.col("challenge") == "shift") & (F.col("subject") == 3), None).when(F.col("challenge") == "shift", F.col("challenged") + 0.02 * F.col("subject")).when((F.col("unit") == 7) & (F.col("subject") == 4), None).otherwise(F.col("challenged"))
     return both.select(F.concat(F.lit("a"), F.col("subject").cast("string")).alias("agent"), "challenge", "unit", "control", got.alias("challenged"))
 
@@ -147,6 +155,7 @@ def sql_case(values: tuple[str, ...], by: str) -> str:
 SQL = {
     "runs": "select l_suppkey % 10 as subject, l_partkey % 20 as item, l_linenumber::bigint as seed, (l_discount = 0.1::double and l_tax = 0.0::double) as infra_failure, (not (l_discount = 0.1::double and l_tax = 0.0::double) and l_quantity + 5.5::double * ((l_partkey % 20) - 5) <= 26.0::double + 5.0::double * (l_suppkey % 10)) as medal from lineitem",
     "cells": "select subject, item, sum(medal::int)::bigint as successes, count(*) as trials, avg(medal::int::double) as rate from runs where not infra_failure group by all",
+    "arms": "select l_orderkey as unit, case when l_suppkey % 2 = 0 then 'a' else 'b' end as arm, avg((l_quantity + 5.5::double * ((l_partkey % 20) - 5) <= 26.0::double + 5.0::double * (l_suppkey % 10))::int::double) as rate, count(*) as seeds from lineitem where not (l_discount = 0.1::double and l_tax = 0.0::double) group by all",
     "answers": "select lang as task, doc_id::varchar as id, quality::double as y, doc_id, n_chars from labels join documents using (doc_id)",
     "subs0": f"""select agent || '/' || task as run, task, doc_id * 2 + 2 as line_no, id, case when agent = 'const' then '0.5' when agent = 'text' and doc_id % 89 = 0 then 'abc' else '0.' || lpad((n_chars % 1000)::varchar, 3, '0') end as raw, agent, doc_id
       from answers, (select unnest({list(AGENTS)}) as agent) where not (agent = 'miss' and doc_id % 83 = 0)""",
@@ -170,7 +179,7 @@ SQL = {
     "probe": """select 'a' || subject as agent, 'task_' || item as item, false as is_clone, avg(medal::int::double) as percentile, avg(medal::int::double) > 0.5 as medal, count(*) % 7 <> 0 as valid, subject = 9 as recalled from runs group by subject, runs.item
       union all select 'a' || subject, 'task_' || item || '__relabel', true, case when subject = 9 then avg(medal::int::double) / 2 else avg(medal::int::double) end, avg(medal::int::double) > 0.6, count(*) % 5 <> 0, false from runs group by subject, runs.item""",
     "pairs": """select 'a' || c.subject as agent, challenge, c.item // 2 as unit, c.rate as control, case when challenge = 'shift' and c.subject = 3 then null when challenge = 'shift' then h.rate + 0.02::double * c.subject when c.item // 2 = 7 and c.subject = 4 then null else h.rate end as challenged
-      from cells c join cells h on c.subject = h.subject and h.item = c.item + 1, (select unnest(['leak', 'shift']) as challenge) where c.item % 2 = 0 and c.item < 16""",
+      from cells c join cells h on c.subject = h.subject and h.item = c.item + 1, (select unnest(['leak', 'shift']) as challenge) where c.item % 2 = 0""",
     "features": "select row, feature, case when (row + feature) % 11 = 0 then null when feature = 2 and row % 97 = 0 then x::double * 1000.0::double else x::double end as x from (select vec_id as row, unnest(range(len(embedding))) as feature, unnest(embedding) as x from embeddings)",
     "targets": "select vec_id as row, embedding[1]::double * 2.0::double + label::double * 0.001::double as y from embeddings",
 }

@@ -12,40 +12,61 @@ from tallywork.plans.catalog import query, rounded
 
 FLIPS, BOOTS = 199, 200
 
-# Paired inference: arm a is subject 2, arm b subject 7
+# Paired inference: arm a is the lines of even suppliers, arm b of odd ones, orders are units
 
 
-def _diffs(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    c = fx.cells(spark, d).where(F.col("item") < n)
-    a, b = (c.where(F.col("subject") == s).select("item", F.col("rate").alias(r)) for s, r in ((2, "ra"), (7, "rb")))
-    return a.join(b, "item").select(F.lit(1).alias("k"), F.col("item").alias("unit"), (F.col("rb") - F.col("ra")).alias("diff"))
+def _diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Each order with lines in both arms."""
+    both = fx.arms(spark, d).groupBy("unit").agg(F.max(F.when(F.col("arm") == "a", F.col("rate"))).alias("ra"), F.max(F.when(F.col("arm") == "b", F.col("rate"))).alias("rb"))
+    return both.where("ra is not null and rb is not null").select(F.lit(1).alias("k"), "unit", (F.col("rb") - F.col("ra")).alias("diff"))
 
 
-DIFFS = "select a.item as unit, b.rate - a.rate as diff from cells a join cells b on a.item = b.item where a.subject = 2 and b.subject = 7 and a.item < {n}"
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    """Each item with its subjects as units: the rate of the first three seeds against that of the others."""
+    half = lambda first: F.avg(F.when((F.col("seed") <= 3) == F.lit(first), F.col("medal").cast("double")))
+    both = fx.runs(spark, d).where("not infra_failure").groupBy("item", "subject").agg((half(True) - half(False)).alias("diff"))
+    return both.where("diff is not null").select("item", F.col("subject").alias("unit"), "diff")
 
 
-def _exact(n: int) -> str:
-    return f""", d as ({DIFFS.format(n=n)}), u as (select *, row_number() over (order by unit) - 1 as i from d), p as (select unnest(range(1 << (select count(*) from u)::int)) as perm),
-    f as (select perm, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / count(*)) as m from p cross join u group by perm)
-    select (select count(*) from u) as n_units, round((select avg(diff) from u), 9) as mean_diff, round((count(*) filter (m >= abs((select avg(diff) from u)) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value from f"""
+DIFFS = ", d as (select a.unit, b.rate - a.rate as diff from arms a join arms b on a.unit = b.unit where a.arm = 'a' and b.arm = 'b')"
+P_VALUE = "round((count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value"
 
 
-@query(_exact(10), "cells")
+def _flips(n: int, seed: str = "flip") -> str:
+    """Tables f (perm, m) and o (mean, n) from d (unit, diff)."""
+    return f""", lanes as (select diff, lane, {expr.lane_bits_sql(seed, 'lane', 'unit')} as bits from d, (select unnest(range({-(-n // expr.LANE)})) as lane)),
+    o as (select avg(diff) as mean, count(*) as n from d), f as (select lane * {expr.LANE} + k as perm, abs(sum(diff * (1 - 2 * ((bits >> k) & 1)))) / (select n from o) as m from lanes, (select unnest(range({expr.LANE}))::int as k) where lane * {expr.LANE} + k < {n} group by 1)"""
+
+
+def _boots(n: int, seed: str = "boot") -> str:
+    """Table q (boot, m) from d, as weights."""
+    return f", w as (select boot, diff, {expr.poisson_sql(seed, 'boot', 'unit')} as w from d, (select unnest(range({n})) as boot)), q as (select boot, sum(w * diff) / sum(w) as m from w group by boot)"
+
+
+@query(f""", d as (select item, subject as unit, avg(medal::int::double) filter (seed <= 3) - avg(medal::int::double) filter (seed > 3) as diff from runs where not infra_failure group by all),
+    u as (select *, row_number() over (partition by item order by unit) - 1 as i, count(*) over (partition by item) as n, avg(diff) over (partition by item) as mean from d where diff is not null),
+    f as (select item, perm, n, mean, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / n) as m from u, (select unnest(range(1024)) as perm) where perm < (1 << n::int) group by item, perm, n, mean)
+    select item, n as n_units, round(mean, 9) as mean_diff, {P_VALUE} from f group by item, n, mean""", "runs")
 def signflip_exact(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.sign_flip(_diffs(spark, d), ["k"]).drop("k"))
+    return rounded(inference.sign_flip(_halves(spark, d), ["item"]))
 
 
-@query(f""", d as ({DIFFS.format(n=20)}), u as (select *, row_number() over (order by unit) - 1 as i from d), p as (select unnest(range({FLIPS})) as perm),
-    f as (select perm, abs(sum(case when {expr.uniform_sql('flip', 'perm', 'i')} < 0.5 then -diff else diff end) / count(*)) as m from p cross join u group by perm)
-    select (select count(*) from u) as n_units, round((select avg(diff) from u), 9) as mean_diff, round((count(*) filter (m >= abs((select avg(diff) from u)) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value from f""", "cells")
+@query(f"{DIFFS}{_flips(FLIPS)} select n as n_units, round(mean, 9) as mean_diff, {P_VALUE} from f, o group by n, mean", "arms")
 def signflip_random(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.sign_flip(_diffs(spark, d, 20), ["k"], FLIPS).drop("k"))
+    return rounded(inference.sign_flip(_diffs(spark, d), ["k"], FLIPS).drop("k"))
 
 
-@query(f""", d as ({DIFFS.format(n=12)}), u as (select *, row_number() over (order by unit) - 1 as i from d), g as (select boot, j, floor({expr.uniform_sql('boot', 'boot', 'j')} * 12)::bigint as i from (select unnest(range({BOOTS})) as boot), (select unnest(range(12)) as j)),
-    m as (select boot, sum(diff) / 12 as m from g join u using (i) group by boot) select round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high from m""", "cells")
+@query(f"{DIFFS}{_boots(BOOTS)} select round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high from q", "arms")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.bootstrap_ci(_diffs(spark, d, 12), ["k"], BOOTS).drop("k"))
+    return rounded(inference.bootstrap_ci(_diffs(spark, d), ["k"], BOOTS).drop("k"))
+
+
+@query(f""", d as (select item, subject as unit, avg(medal::int::double) filter (seed <= 3) - avg(medal::int::double) filter (seed > 3) as diff from runs where not infra_failure group by all),
+    u as (select *, row_number() over (partition by item order by unit) - 1 as i, count(*) over (partition by item) as n from d where diff is not null),
+    g as (select item, n, boot, j, floor({expr.uniform_sql('boot', 'boot', 'j')} * n)::bigint as i from (select distinct item, n from u), (select unnest(range({BOOTS})) as boot), (select unnest(range(10)) as j) where j < n),
+    m as (select item, boot, sum(diff) / any_value(u.n) as m from g join u using (item, i) group by item, boot) select item, round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high from m group by item""", "runs")
+def bootstrap_ci_small(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(inference.bootstrap_ci(_halves(spark, d), ["item"], BOOTS))
 
 
 @query("select n_units, case when n_units <= 15 then 3.0::double / (pow(2.0::double, n_units) + 1.0::double) else 1.0::double / 10000.0::double end as p_floor from (select unnest(range(1, 41)) as n_units)")
@@ -53,27 +74,44 @@ def pvalue_floor(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1, 41).select(F.col("id").alias("n_units"), expr.pvalue_floor(F.col("id")).alias("p_floor"))
 
 
-@query(f""", a as (select item, rate, trials from cells where subject = 2 and item < 12), b as (select item, rate, trials from cells where subject = 7 and item between 2 and 11), d as (select a.item as unit, b.rate - a.rate as diff, a.rate as ra, b.rate as rb from a join b using (item)),
-    u as (select *, row_number() over (order by unit) - 1 as i from d), f as (select perm, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / count(*)) as m from (select unnest(range(1 << (select count(*) from u)::int)) as perm) cross join u group by perm)
-    , r as (select (select count(*) from u) as n_units, (select count(*) from a full join b using (item) where a.rate is null or b.rate is null) as n_dropped, (select least(min(a.trials), min(b.trials)) from a full join b using (item)) as min_seeds, round((select avg(ra) from d), 9) as mean_a, round((select avg(rb) from d), 9) as mean_b, round((select avg(diff) from d), 9) as difference,
-    round((count(*) filter (m >= abs((select avg(diff) from u)) - 1e-12) + 1.0::double) / (count(*) + 1.0::double), 9) as p_value, round(3.0::double / (pow(2.0::double, (select count(*) from u)) + 1.0::double), 9) as p_floor from f),
-    z as (select boot, j, floor({expr.uniform_sql('boot', 'boot', 'j')} * n)::bigint as i from (select unnest(range({BOOTS})) as boot), (select unnest(range(n)) as j, n from (select count(*) as n from u))), q as (select boot, avg(diff) as m from z join u using (i) group by boot)
-    select r.*, (select round(quantile_cont(m, 0.025), 9) from q) as ci_low, (select round(quantile_cont(m, 0.975), 9) from q) as ci_high, p_value < 0.05 as significant, p_floor >= 0.05 as underpowered, p_value < 0.05 and difference < 0 as regression,
-    concat_ws('; ', case when n_dropped > 0 then 'units without a counterpart were dropped' end, case when min_seeds < 3 then 'fewer than 3 seeds' end, case when p_floor >= 0.05 then 'too few units for this alpha' end) as warnings from r""", "cells")
+def _report_sql(pairs: str, units: str, seeds: str, said: str) -> str:
+    return f"""{pairs}{_flips(FLIPS)}{_boots(BOOTS)}, r as (select n as n_units, {units} as n_dropped, {seeds} as min_seeds, round((select avg(ra) from d), 9) as mean_a, round((select avg(rb) from d), 9) as mean_b, round(mean, 9) as difference, {P_VALUE}, round(1 / {FLIPS + 1}.0::double, 9) as p_floor from f, o group by n, mean)
+    select r.*, (select round(quantile_cont(m, 0.025), 9) from q) as ci_low, (select round(quantile_cont(m, 0.975), 9) from q) as ci_high, p_value < 0.05 as significant, p_floor >= 0.05 as underpowered, p_value < 0.05 and difference < 0 as regression, concat_ws('; ', {said}) as warnings from r"""
+
+
+SIDES = ", a as (select * from arms where arm = 'a'), b as (select * from arms where arm = 'b')"
+
+
+def _rates(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [fx.arms(spark, d).where(F.col("arm") == arm).select(F.col("unit").alias("item"), "rate", "seeds") for arm in "ab"]
+
+
+@query(_report_sql(SIDES + ", d as (select unit, b.rate - a.rate as diff, a.rate as ra, b.rate as rb from a join b using (unit))", "(select count(*) from a full join b using (unit) where a.rate is null or b.rate is null)", "(select least(min(a.seeds), min(b.seeds)) from a full join b using (unit))",
+    "case when n_dropped > 0 then 'units without a counterpart were dropped' end, case when min_seeds < 3 then 'fewer than 3 seeds' end, case when p_floor >= 0.05 then 'too few units for this alpha' end"), "arms")
 def compare_paired(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.cells(spark, d).select("subject", "item", "rate", F.col("trials").alias("seeds"))
-    out = inference.compared(c.where("subject = 2 and item < 12"), c.where("subject = 7 and item between 2 and 11"), n_boot=BOOTS)
-    return rounded(out)
+    return rounded(inference.compared(*_rates(spark, d), n_boot=BOOTS, n_permutations=FLIPS))
+
 
+@query(_report_sql(SIDES + ", d as (select a.unit || '|' || b.unit as unit, b.rate - a.rate as diff, a.rate as ra, b.rate as rb, a.seeds as sa, b.seeds as sb from a join b on b.unit = a.unit + 1)", "0", "(select least(min(sa), min(sb)) from d)",
+    f"'{inference.MATCHED}', (select count(*) from lineitem where l_discount = 0.1::double and l_tax = 0.0::double) || ' runs that infrastructure ended were left out', case when min_seeds < 3 then 'fewer than 3 seeds' end"), "arms")
+def compare_matched_report(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _rates(spark, d)
+    pairs = a.select(F.col("item").alias("pre")).join(b.select(F.col("item").alias("post")), F.col("post") == F.col("pre") + 1)
+    ended = fx.runs(spark, d).where("infra_failure").count()
+    return rounded(inference.compared(a, b, n_boot=BOOTS, n_permutations=FLIPS, pairs=pairs, infra_failures=ended))
 
-@query("select 'm' || a.item as pair, round(a.rate, 9) as rate_a, round(b.rate, 9) as rate_b, round(b.rate - a.rate, 9) as diff from cells a left join (select * from cells where subject = 7 and item < 18) b on b.item = a.item + 3 where a.subject = 2", "cells")
+
+@query("select a.subject || 'm' || a.item as pair, round(a.rate, 9) as rate_a, round(b.rate, 9) as rate_b, round(b.rate - a.rate, 9) as diff from cells a left join cells b on b.item = a.item + 3 and b.subject = a.subject + 1", "cells")
 def compare_matched(spark: SparkSession, d: str) -> DataFrame:
     from tallywork.operators import runs
 
     c = fx.cells(spark, d)
-    pairs = c.where("subject = 2").select(F.col("item").alias("pre"), (F.col("item") + 3).alias("post"))
-    out = runs.matched(pairs, c.where("subject = 2").select("item", "rate"), c.where("subject = 7 and item < 18").select("item", "rate"))
-    return rounded(out.select(F.concat(F.lit("m"), F.col("pre").cast("string")).alias("pair"), "rate_a", "rate_b", "diff"))
+    at = lambda subject, item: F.concat_ws("m", subject.cast("string"), item.cast("string"))
+    s, i = F.col("subject"), F.col("item")
+    pairs = c.select(at(s, i).alias("pre"), at(s + 1, i + 3).alias("post"))
+    rates = c.select(at(s, i).alias("item"), "rate")
+    out = runs.matched(pairs, rates, rates)
+    return rounded(out.select(F.col("pre").alias("pair"), "rate_a", "rate_b", "diff"))
 
 
 # Skills
@@ -81,7 +119,7 @@ def compare_matched(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select p.agent, p.challenge, count(*) as n_pairs, count(*) filter (challenged is null) as n_broken, round(avg(challenged - control), 9) as delta, bool_and(challenged is null) as broke, count(*) filter (challenged is null) between 1 and count(*) - 1 as partially_broke,
   round(max(f.p), 9) as p_value from pairs p left join (select agent, challenge, (count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double) as p from (select agent, challenge, perm, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / count(*)) as m, avg(diff) as mean
-    from (select *, challenged - control as diff, row_number() over (partition by agent, challenge order by unit) - 1 as i, count(*) over (partition by agent, challenge) as n from pairs where challenged is not null) u, (select unnest(range(256)) as perm) where perm < (1 << n::int) group by all) group by all) f on f.agent = p.agent and f.challenge = p.challenge group by p.agent, p.challenge""", "pairs")
+    from (select *, challenged - control as diff, row_number() over (partition by agent, challenge order by unit) - 1 as i, count(*) over (partition by agent, challenge) as n from pairs where challenged is not null) u, (select unnest(range(1024)) as perm) where perm < (1 << n::int) group by all) group by all) f on f.agent = p.agent and f.challenge = p.challenge group by p.agent, p.challenge""", "pairs")
 def skill_cells(spark: SparkSession, d: str) -> DataFrame:
     out = skills.cells(fx.skill_pairs(spark, d), n_boot=BOOTS)
     return rounded(out.select("agent", "challenge", "n_pairs", "n_broken", "delta", "broke", "partially_broke", "p_value"))
@@ -196,14 +234,15 @@ EFFECTS, SIMS, UNITS, SEEDS = (-0.4, -0.2, 0.0, 0.2, 0.4), 60, 8, 3
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return fx.cells(spark, d).where("subject = 5").select(F.col("item").alias("place"), "rate")
+    """Every cell's rate, numbered."""
+    return fx.cells(spark, d).select((F.col("subject") * 20 + F.col("item")).alias("place"), "rate")
 
 
 def _effects(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e,) for e in EFFECTS], "effect double")
 
 
-POWER = f""", pool as (select item as place, rate from cells where subject = 5), g as (select sim, unit, floor({expr.uniform_sql('power/pool', 'sim', 'unit')} * 20)::bigint as place from (select unnest(range({SIMS})) as sim), (select unnest(range({UNITS})) as unit)), b as (select * from g join pool using (place)),
+POWER = f""", pool as (select subject * 20 + item as place, rate from cells), g as (select sim, unit, floor({expr.uniform_sql('power/pool', 'sim', 'unit')} * 200)::bigint as place from (select unnest(range({SIMS})) as sim), (select unnest(range({UNITS})) as unit)), b as (select * from g join pool using (place)),
 e as (select b.*, effect::double as effect, least(greatest(rate + effect::double, 0), 1) as pb from b, (select unnest([{', '.join(f'{x}::double' for x in EFFECTS)}]) as effect)), s as (select unnest(range({SEEDS})) as s),
 d as (select effect, sim, unit, (sum(({expr.uniform_sql('power/b', 'sim', 'unit', 's')} < pb)::int) - sum(({expr.uniform_sql('power/a', 'sim', 'unit', 's')} < rate)::int)) / {SEEDS}.0::double as diff from e, s group by all),
 f as (select effect, sim, perm, abs(sum(case when (perm >> unit::int) % 2 = 1 then -diff else diff end) / {UNITS}) as m, avg(diff) as mean from d, (select unnest(range({1 << UNITS})) as perm) group by all), p as (select effect, sim, (count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double) as p from f group by all),
@@ -221,7 +260,7 @@ def mde_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.minimum_detectable(powers.where("effect > 0"), 0.5))
 
 
-BY_SEEDS = f""", pool as (select item as place, rate from cells where subject = 5), g as (select sim, unit, floor({expr.uniform_sql('power/pool', 'sim', 'unit')} * 20)::bigint as place from (select unnest(range({SIMS})) as sim), (select unnest(range({UNITS})) as unit)),
+BY_SEEDS = f""", pool as (select subject * 20 + item as place, rate from cells), g as (select sim, unit, floor({expr.uniform_sql('power/pool', 'sim', 'unit')} * 200)::bigint as place from (select unnest(range({SIMS})) as sim), (select unnest(range({UNITS})) as unit)),
 d as (select seeds, sim, unit, (sum(({expr.uniform_sql('power/b', 'sim', 'unit', 's')} < least(greatest(rate + 0.4::double, 0), 1))::int) - sum(({expr.uniform_sql('power/a', 'sim', 'unit', 's')} < rate)::int)) / seeds::double as diff from g join pool using (place), (select unnest(range(1, 5)) as seeds), (select unnest(range(4)) as s) where s < seeds group by seeds, sim, unit),
 f as (select seeds, sim, perm, abs(sum(case when (perm >> unit::int) % 2 = 1 then -diff else diff end) / {UNITS}) as m, avg(diff) as mean from d, (select unnest(range({1 << UNITS})) as perm) group by all), p as (select seeds, sim, (count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double) as p from f group by all),
 w as (select seeds, avg((p < 0.05)::int::double) as power from p group by seeds)"""
@@ -309,42 +348,102 @@ def pirt_rate(spark: SparkSession, d: str) -> DataFrame:
     return irt.predicted_rates(small, par, irt.abilities(small, par)).select("subject", F.round("predicted", 6).alias("predicted"))
 
 
-STEP = """, par as (select item, 1.0::double as a, ln(r / (1 - r)) as d from (select item, least(greatest(sum(successes) / sum(trials)::double, 1e-3::double), 1 - 1e-3::double) as r from cells group by item)), x as (select n as node, -6.0::double + n * 0.05::double as x from (select unnest(range(241)) as n)),
-ll as (select subject, node, x, sum(-successes * ln(1 + exp(-(a * x + d))) - (trials - successes) * ln(1 + exp(a * x + d))) - 0.5::double * x * x as ll from cells join par using (item), x group by subject, node, x), m as (select *, exp(ll - max(ll) over (partition by subject)) as w from ll), po as (select subject, node, x, w / sum(w) over (partition by subject) as post from m),
-ex as (select item, node, x, sum(successes * post) as r, sum(trials * post) as f from cells join po using (subject) group by all), t as (select *, 1 / (1 + exp(-(a * x + d))) as p from ex join par using (item)), s as (select item, a, d, sum(r - f * p) as e, sum(f * p * (1 - p)) as w, sum((r - f * p) * x) as ex, sum(f * p * (1 - p) * x) as wx, sum(f * p * (1 - p) * x * x) as wxx from t group by all),
-g as (select item, a, d, e - d / 16 as gd, w + 1 / 16.0::double + 1e-6::double as hd, ex - (a - 1) / 0.36::double as ga, wxx + 1 / 0.36::double + 1e-6::double as ha, wx from s), v as (select item, a, d, (hd * ga - wx * gd) / (ha * hd - wx * wx) as da, (ha * gd - wx * ga) / (ha * hd - wx * wx) as dd from g)
-select item, round(a + da * least(1, 1 / greatest(abs(da), abs(dd))), 7) as a, round(d + dd * least(1, 1 / greatest(abs(da), abs(dd))), 7) as d from v"""
+#: Rounds of the fits that are held against SQL.
+EM = 5
+NODES = ", nd as materialized (select n as node, x, -0.5 * x * x - ln(sum(exp(-0.5 * x * x)) over ()) as prior from (select n, -6.0::double + n * 0.05::double as x from (select unnest(range(241)) as n)))"
+
+
+def em_posterior_sql(cells: str, params: str, out: str) -> str:
+    """Table out (fit_id, subject, x, post, ll)."""
+    z = "(a * x + d)"
+    return f""", l_{out} as materialized (select c.fit_id, subject, x, sum(trials * (least({z}, 0) - ln(1 + exp(-abs({z})))) - (trials - successes) * {z}) + any_value(prior) as l from {cells} c join {params} p on p.fit_id = c.fit_id and p.item = c.item, nd group by all),
+    {out} as materialized (select fit_id, subject, x, exp(l - m) / sum(exp(l - m)) over (partition by fit_id, subject) as post, ln(sum(exp(l - m)) over (partition by fit_id, subject)) + m as ll from (select *, max(l) over (partition by fit_id, subject) as m from l_{out}))"""
+
+
+def em_sql(cells: str, name: str, rounds: int = EM, slopes: str = "") -> str:
+    """Tables name0 .. name<rounds> (fit_id, item, a, d); slopes names a table of fixed slopes."""
+    begin = f"coalesce((select a from {slopes} s where s.fit_id = c.fit_id), 1)" if slopes else "1.0::double"
+    out = f", {name}0 as materialized (select fit_id, item, {begin} as a, ln(r / (1 - r)) as d from (select fit_id, item, least(greatest(sum(successes) / sum(trials)::double, 1e-3::double), 1 - 1e-3::double) as r from {cells} group by all) c)"
+    for k in range(rounds):
+        out += em_posterior_sql(cells, f"{name}{k}", f"{name}o{k}")
+        out += f""", {name}s{k} as (select fit_id, item, any_value(a) as a, any_value(d) as d, sum(e) as e, sum(w) as w, sum(e * x) as ex, sum(w * x) as wx, sum(w * x * x) as wxx from (select *, post * (successes - trials * p) as e, post * trials * p * (1 - p) as w from
+          (select c.fit_id, c.item, a, d, x, post, successes, trials, 1 / (1 + exp(-(a * x + d))) as p from {cells} c join {name}o{k} o on o.fit_id = c.fit_id and o.subject = c.subject join {name}{k} q on q.fit_id = c.fit_id and q.item = c.item)) group by fit_id, item),
+        {name}g{k} as (select *, e - d / 16 as gd, w + 1 / 16.0::double + 1e-6::double as hd, ex - (a - 1) / 0.36::double as ga, wxx + 1 / 0.36::double + 1e-6::double as ha from {name}s{k}),
+        {name}v{k} as (select *, {'0.0::double' if slopes else '(hd * ga - wx * gd) / (ha * hd - wx * wx)'} as da, {'gd / hd' if slopes else '(ha * gd - wx * ga) / (ha * hd - wx * wx)'} as dd from {name}g{k}),
+        {name}{k + 1} as materialized (select fit_id, item, a + da * least(1, 1 / greatest(abs(da), abs(dd), 1e-12::double)) as a, d + dd * least(1, 1 / greatest(abs(da), abs(dd), 1e-12::double)) as d from {name}v{k})"""
+    return out
+
+
+def em_scaled_sql(cells: str, params: str, name: str) -> str:
+    """Tables name_items, name_subjects and name_fits of fitted parameters, normalised."""
+    return em_posterior_sql(cells, params, f"{name}_o") + f""", {name}_raw as (select fit_id, subject, sum(post * x) as theta, sqrt(greatest(sum(post * x * x) - sum(post * x) * sum(post * x), 0)) as se, max(ll) as ll from {name}_o group by all),
+    {name}_fits as (select fit_id, avg(theta) as mu, stddev_samp(theta) as unit, min(theta) as low, max(theta) as high, sum(ll) as log_likelihood from {name}_raw group by fit_id),
+    {name}_subjects as (select fit_id, subject, (theta - mu) / unit as theta, se / unit as se from {name}_raw join {name}_fits using (fit_id)),
+    {name}_items as (select *, steep and s <> 0 and s <> n as identified, not (b between (low - mu) / unit - 1 and (high - mu) / unit + 1) as extrapolated, s / n as observed_rate from (select fit_id, item, a, low, high, mu, unit, s, n, abs(a) >= 0.2 as steep, case when abs(a) >= 0.2 then -d / a else 'inf'::double end as b
+      from (select p.fit_id, p.item, a * unit as a, d + a * mu as d, low, high, mu, unit, s, n from {params} p join {name}_fits f on f.fit_id = p.fit_id join (select fit_id, item, sum(successes)::double as s, sum(trials)::double as n from {cells} group by all) t on t.fit_id = p.fit_id and t.item = p.item)))"""
 
 
-@query(STEP, "cells")
+ALL = ", every as materialized (select 'all' as fit_id, * from cells)"
+WHOLE = NODES + ALL + em_sql("every", "p") + em_scaled_sql("every", f"p{EM}", "z")
+
+
+@query(NODES + ALL + em_sql("every", "p", 1) + " select item, round(a, 7) as a, round(d, 7) as d from p1", "cells")
 def irt_step(spark: SparkSession, d: str) -> DataFrame:
     c = fx.cells(spark, d)
     return irt.stepped(c, irt.started(c)).select("item", F.round("a", 7).alias("a"), F.round("d", 7).alias("d"))
 
 
-@query()
+def _fits(spark: SparkSession, d: str) -> DataFrame:
+    return fx.cells(spark, d).withColumn("fit_id", F.lit("all"))
+
+
+@query(NODES + ALL + em_sql("every", "p", 8) + " select item, round(a, 4) as a, round(d, 4) as d from p8", "cells")
 def irt_fit_distributed(spark: SparkSession, d: str) -> DataFrame:
-    items, _ = irt.fitted_distributed(fx.cells(spark, d), iterations=8)
-    return items.select("item", F.round("a", 4).alias("a"), F.round("d", 4).alias("d"))
+    return irt.fitted_in_rounds(_fits(spark, d), 8).select("item", F.round("a", 4).alias("a"), F.round("d", 4).alias("d"))
 
 
-def _fits(spark: SparkSession, d: str) -> DataFrame:
-    return fx.cells(spark, d).withColumn("fit_id", F.lit("all"))
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = _fits(spark, d)
+    return irt.scaled(c, irt.fitted_in_rounds(c, EM))
 
 
-@query()
+@query(WHOLE + " select item, round(a, 6) as a, round(case when isfinite(b) then b end, 6) as b, round(observed_rate, 6) as observed_rate, identified, extrapolated from z_items", "cells")
 def irt_fit(spark: SparkSession, d: str) -> DataFrame:
-    return irt.fitted(_fits(spark, d)).select("item", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "identified", "extrapolated")
+    located = F.when(F.col("b") != float("inf"), F.col("b"))
+    return _model(spark, d)[0].select("item", F.round("a", 6).alias("a"), F.round(located, 6).alias("b"), F.round("observed_rate", 6).alias("observed_rate"), "identified", "extrapolated")
 
 
-@query()
+@query(WHOLE + " select subject, round(theta, 6) as theta, round(se, 6) as se from z_subjects", "cells")
+def irt_abilities(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark, d)[1].select("subject", F.round("theta", 6).alias("theta"), F.round("se", 6).alias("se"))
+
+
+@query(WHOLE + f" select round(log_likelihood, 4) as log_likelihood, {EM}::bigint as iterations, false as converged from z_fits", "cells")
+def irt_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_model(spark, d)[2].select(F.round("log_likelihood", 4).alias("log_likelihood"), "iterations", "converged"))
+
+
+FOLDS = f""", known as (select *, floor({expr.uniform_sql('cv', 'subject', 'item')} * 3)::bigint::varchar as fold from cells), folds as (select unnest(['0', '1', '2']) as fit_id), train as materialized (select fit_id, subject, item, successes, trials from known, folds where fold <> fit_id)"""
+
+
+@query(NODES + FOLDS + em_sql("train", "p") + f", slopes as (select fit_id, avg(a) as a from p{EM} group by fit_id)" + em_sql("train", "q", slopes="slopes") + em_posterior_sql("train", f"p{EM}", "po") + f""", th as (select fit_id, subject, sum(post * x) as theta from po group by all), im as (select fit_id, item, least(greatest(sum(successes) / sum(trials)::double, 1e-4::double), 1 - 1e-4::double) as r from train group by all),
+    asked as (select k.*, 1 / (1 + exp(-(p.a * theta + p.d))) as p2, 1 / (1 + exp(-(q.a * theta + q.d))) as p1, r from known k join th on th.fit_id = k.fold and th.subject = k.subject join p{EM} p on p.fit_id = k.fold and p.item = k.item join q{EM} q on q.fit_id = k.fold and q.item = k.item join im on im.fit_id = k.fold and im.item = k.item),
+    scored as (select trials, successes, unnest(['2pl', 'rasch', 'item_mean']) as model, least(greatest(unnest([p2, p1, r]), 1e-6::double), 1 - 1e-6::double) as p from asked)
+    select model, round(sum(successes * ln(p) + (trials - successes) * ln(1 - p)) / sum(trials), 7) as log_likelihood from scored group by model""", "cells")
 def irt_held_out(spark: SparkSession, d: str) -> DataFrame:
-    return irt.held_out(_fits(spark, d), 3)
+    return irt.held_out(fx.cells(spark, d), 3, rounds=EM).select("model", F.round("log_likelihood", 7).alias("log_likelihood"))
 
 
-@query()
+DRAWS = 3
+
+
+@query(WHOLE + f""", made as (select subject, item, trials, case when isfinite(b) then 1 / (1 + exp(-a * (theta - b))) else 0 end as p from cells join z_items i using (item) join z_subjects s using (subject)),
+    again as materialized (select fit_id, subject, item, count(*) filter ({expr.uniform_sql('attenuation', 'fit_id', 'subject', 'item', 't')} < p) as successes, any_value(trials) as trials from (select draw::varchar as fit_id, made.*, unnest(range(1, trials + 1)) as t from made, (select unnest(range({DRAWS})) as draw)) group by fit_id, subject, item)"""
+    + em_sql("again", "y") + em_scaled_sql("again", f"y{EM}", "t") + """, io as (select n.fit_id, count(*) as n, covar_samp(o.a, n.a) / var_samp(o.a) as slope, covar_samp(o.b, n.b) / (stddev_samp(o.b) * stddev_samp(n.b)) as difficulty_recovery from t_items n join z_items o using (item) where o.identified and isfinite(o.b) and isfinite(n.b) group by n.fit_id),
+    so as (select n.fit_id, covar_samp(o.theta, n.theta) / (stddev_samp(o.theta) * stddev_samp(n.theta)) as ability_recovery from t_subjects n join z_subjects o using (subject) group by n.fit_id) select fit_id as draw, round(slope, 6) as slope, round(ability_recovery, 6) as ability_recovery, round(difficulty_recovery, 6) as difficulty_recovery from io join so using (fit_id) where n >= 3""", "cells")
 def irt_attenuation(spark: SparkSession, d: str) -> DataFrame:
-    return irt.attenuation(_fits(spark, d), 4)
+    out = irt.attenuation(fx.cells(spark, d), DRAWS, EM)
+    return out.select("draw", *[F.round(c, 6).alias(c) for c in ("slope", "ability_recovery", "difficulty_recovery")])
 
 
 @query()
