@@ -81,7 +81,7 @@ def do_irt(spark, a) -> int:
 
 
 def anchor(spark, a) -> int:
-    show(subset.summary(subset.errors(numbered(cells(spark, a))[0], tuple(a.k))))
+    show(subset.summary(subset.errors(numbered(cells(spark, a))[0], tuple(a.k), rounds=a.rounds)))
     return 0
 
 
@@ -190,7 +190,7 @@ def parser() -> argparse.ArgumentParser:
     add("dashboard", dashboard, path, (["out"], {}), (["--title"], {"default": "Agents"}))
     add("instrument", instrument, path, trials)
     add("irt", do_irt, path, trials)
-    add("anchor", anchor, path, trials, (["--k"], {"type": int, "nargs": "+", "default": [5, 10]}))
+    add("anchor", anchor, path, trials, (["--k"], {"type": int, "nargs": "+", "default": [5, 10]}), (["--rounds"], {"type": int, "default": 40}))
     base, sims, spread = (["--base-rate"], {"type": float, "default": 0.17}), (["--sims"], {"type": int, "default": 500}), (["--heterogeneity"], {"type": float, "default": 0.5})
     target = (["--target"], {"type": float, "default": 0.8})
     add("power", power, (["--design"], {"choices": sorted(inference.DESIGNS)}), (["--units"], {"type": int, "default": 22}), (["--seeds"], {"type": int, "default": 3}), (["--effects"], {"type": float, "nargs": "+", "default": [-0.05, -0.1, -0.15, -0.2, -0.3, -0.4, -0.55]}), (["--tolerance"], {"type": float, "default": 0.005}), target, base, spread, sims)

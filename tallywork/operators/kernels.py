@@ -1,13 +1,7 @@
-"""Iterative fits over one small matrix: numpy kernels that Spark runs in parallel, one group a fit.
-
-A group is one refit of a benchmark (subjects by items, a few thousand cells); the outer loops over folds, draws and
-selectors are groups, spread over the cluster by fit_id.
-"""
+"""The fit of one small matrix as a numpy kernel, which Spark runs once a group; irt.fitted_in_rounds is the plan for any size."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 
@@ -16,11 +10,6 @@ NODES, REACH = 241, 6.0
 PRIOR_A, PRIOR_A_SD, PRIOR_D_SD, RIDGE = 1.0, 0.6, 4.0, 1e-6
 MAX_ITERATIONS, TOLERANCE = 1500, 1e-6
 IDENTIFIED = 0.2
-CV_TRIALS = 1e-9
-
-
-def rng(*key) -> np.random.Generator:
-    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "little"))
 
 
 def quadrature() -> tuple[np.ndarray, np.ndarray]:
@@ -114,112 +103,3 @@ def matrices(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list, list]:
     if not (np.isfinite(a).all() and np.isfinite(b).all()):
         raise ValueError("a subject lacks an item, or a count isn't finite")
     return a, b, list(s.index), list(s.columns)
-
-
-def alpha(m: np.ndarray) -> float:
-    k, total = m.shape[1], m.sum(1).var(ddof=1)
-    return k / (k - 1) * (1 - m.var(0, ddof=1).sum() / total) if k > 1 and total > 0 else 0.0
-
-
-def greedy(m: np.ndarray, k: int | None = None, cost: np.ndarray | None = None, budget: float | None = None) -> list[int]:
-    """Items chosen one by one: the widest spread first, then whatever raises alpha most, per cost if costs are given."""
-    price = np.ones(m.shape[1]) if cost is None else cost
-    chosen: list[int] = []
-    spent = 0.0
-    while len(chosen) < (k or m.shape[1]):
-        best, score = None, -np.inf
-        for j in range(m.shape[1]):
-            if j in chosen or budget is not None and spent + price[j] > budget:
-                continue
-            gain = (m[:, j].std(ddof=1) if not chosen else alpha(m[:, [*chosen, j]])) / price[j]
-            if gain > score:
-                best, score = j, gain
-        if best is None:
-            break
-        chosen.append(best)
-        spent += price[best]
-    return chosen
-
-
-def tau_b(a: np.ndarray, b: np.ndarray) -> float:
-    i, j = np.triu_indices(len(a), 1)
-    s, t = np.sign(a[i] - a[j]), np.sign(b[i] - b[j])
-    den = np.sqrt((s != 0).sum() * (t != 0).sum())
-    return float((s * t).sum() / den) if den else float("nan")
-
-
-def kmeans(points: np.ndarray, k: int, g: np.random.Generator, steps: int = 60) -> np.ndarray:
-    centres = [points[g.integers(len(points))]]
-    while len(centres) < k:
-        d = np.min([((points - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(points[g.choice(len(points), p=d / d.sum())] if d.sum() > 0 else points[g.integers(len(points))])
-    c = np.array(centres)
-    for _ in range(steps):
-        near = ((points[:, None] - c) ** 2).sum(2).argmin(1)
-        new = np.array([points[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
-        if np.allclose(new, c):
-            break
-        c = new
-    return c
-
-
-def located(m: dict) -> np.ndarray:
-    return m["identified"] & ~m["extrapolated"]
-
-
-def select_random(m: dict, s: np.ndarray, n: np.ndarray, k: int, g: np.random.Generator) -> list[int]:
-    return sorted(g.choice(s.shape[1], k, replace=False).tolist())
-
-
-def select_stratified(m: dict, s: np.ndarray, n: np.ndarray, k: int, g: np.random.Generator) -> list[int]:
-    return sorted(int(g.choice(x)) for x in np.array_split(np.argsort(m["rate"], kind="stable"), k))
-
-
-def select_greedy(m: dict, s: np.ndarray, n: np.ndarray, k: int, g: np.random.Generator) -> list[int]:
-    return sorted(greedy(s / n, k))
-
-
-def select_max_information(m: dict, s: np.ndarray, n: np.ndarray, k: int, g: np.random.Generator) -> list[int]:
-    p = sigmoid(m["a"] * (0.0 - np.where(np.isfinite(m["b"]), m["b"], 0)))
-    info = np.where(located(m), m["a"] ** 2 * p * (1 - p), 0.0)
-    return sorted(np.argsort(-info, kind="stable")[:k].tolist())
-
-
-def select_anchor(m: dict, s: np.ndarray, n: np.ndarray, k: int, g: np.random.Generator) -> list[int]:
-    """One item nearest to each centre of the located items' response curves; may find fewer than k."""
-    at = np.flatnonzero(located(m))
-    if len(at) < 1:
-        return []
-    curves = sigmoid(m["a"][at][:, None] * (np.linspace(-3, 3, 25)[None, :] - m["b"][at][:, None]))
-    out: list[int] = []
-    for c in kmeans(curves, min(k, len(at)), g):
-        for j in np.argsort(((curves - c) ** 2).sum(1), kind="stable"):
-            if int(at[j]) not in out:
-                out.append(int(at[j]))
-                break
-    return sorted(out)
-
-
-#: Selectors by name; a user's own takes (model, successes, trials, k, generator) and gives item places.
-SELECTORS = {"random": select_random, "stratified": select_stratified, "greedy_alpha": select_greedy, "max_information": select_max_information, "anchor": select_anchor}
-REPEATED = ("random", "stratified", "anchor")
-
-
-def ability(m: dict, s: np.ndarray, n: np.ndarray, subset: list[int]) -> float:
-    """Posterior mean on 481 nodes from the located items of a subset; 0 if there are none."""
-    use = [j for j in subset if located(m)[j]]
-    if not use:
-        return 0.0
-    x = np.linspace(-REACH, REACH, 481)
-    p = np.clip(sigmoid(m["a"][use][:, None] * (x - m["b"][use][:, None])), 1e-9, 1 - 1e-9)
-    ll = s[use] @ np.log(p) + (n[use] - s[use]) @ np.log(1 - p) - 0.5 * x * x
-    w = np.exp(ll - ll.max())
-    return float((w @ x) / w.sum())
-
-
-def predicted_rate(m: dict, s: np.ndarray, n: np.ndarray, subset: list[int]) -> float:
-    """Mean over all items: what was seen, else the model at the estimated ability, else the training rate."""
-    theta, use = ability(m, s, n, subset), located(m)
-    out = np.where(use, sigmoid(m["a"] * (theta - np.where(use, m["b"], 0))), m["rate"])
-    out[subset] = s[subset] / n[subset]
-    return float(out.mean())

@@ -29,7 +29,7 @@ Spread = tuple[DataFrame, Callable[[DataFrame], DataFrame]]
 
 def by_sets(cells: DataFrame, sets: DataFrame) -> Spread:
     """Variances and covariances over the subjects of each split. sets: split, subject."""
-    known = cells.select("subject", "item", "rate").join(sets, "subject")
+    known = stored(cells.select("subject", "item", "rate").join(sets, "subject"), "suite-cells")
 
     def cov(chosen: DataFrame) -> DataFrame:
         column = known.withColumnsRenamed({"item": "with_item", "rate": "other"}).join(chosen, ["split", "with_item"])
@@ -53,7 +53,7 @@ def leaving_one_out(cells: DataFrame) -> Spread:
 
     # Sums are taken about the mean of all subjects, so that little is lost where one value is taken off them.
     centre = cells.groupBy("item").agg(F.avg("rate").alias("mean"))
-    mine = own.join(centre, "item").select("split", "item", (F.col("x") - F.col("mean")).alias("x"))
+    mine = stored(own.join(centre, "item").select("split", "item", (F.col("x") - F.col("mean")).alias("x")), "suite-cells")
     totals = mine.groupBy("item").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("xy"))
     var = less(totals.withColumn("sy", F.col("sx")), mine.withColumn("y", F.col("x")), ["item"]).select("split", "item", F.greatest("cov", F.lit(0.0)).alias("var"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr
-from tallywork.operators import ctt, features, inference, irt, published, skills, subset
+from tallywork.operators import clustering, ctt, features, inference, irt, published, skills, subset, suites
 from tallywork.plans import fixtures as fx
 from tallywork.plans.catalog import query, rounded
 
@@ -216,16 +216,56 @@ def stratified_ntile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.strata_bins(fx.cells(spark, d).groupBy("item").agg(F.avg("rate").alias("rate")), 6).select("item", "bin"))
 
 
-@query()
+def greedy_sql(steps: int, priced: bool) -> str:
+    """Tables s (split, budget, step, item) from x (split, subject, item, rate), costs (item, cost) and limits (budget): alpha of each trial suite from all its covariances."""
+    out = """, cv as materialized (select a.split, a.item as i, b.item as j, covar_samp(a.rate, b.rate) as c from x a join x b on a.split = b.split and a.subject = b.subject group by all),
+    it as materialized (select split, budget, i as item, cost from cv join costs on cv.i = costs.item, limits where i = j), s0 as (select split, budget, -1 as step, item from it where false)"""
+    for t in range(steps):
+        out += f""", o{t} as (select * from it where not exists (select 1 from s{t} s where s.split = it.split and s.budget = it.budget and s.item = it.item) and cost + coalesce((select sum(c.cost) from s{t} s join costs c using (item) where s.split = it.split and s.budget = it.budget), 0) <= budget and (select count(*) from s{t} s where s.split = it.split and s.budget = it.budget) = {t}),
+        m{t} as (select split, budget, item as trial, item from o{t} union all select o.split, o.budget, o.item, s.item from o{t} o join s{t} s on s.split = o.split and s.budget = o.budget),
+        g{t} as (select m.split, m.budget, m.trial, any_value(oo.cost) as cost, sum(c) as total, sum(case when i = j then c end) as parts from m{t} m join m{t} n on n.split = m.split and n.budget = m.budget and n.trial = m.trial join cv on cv.split = m.split and cv.i = m.item and cv.j = n.item join o{t} oo on oo.split = m.split and oo.budget = m.budget and oo.item = m.trial group by all),
+        b{t} as (select split, budget, {t} as step, arg_min(trial, (-round({'sqrt(greatest(total, 0))' if t == 0 else f'(case when total > 0 then {t + 1}.0::double / {t}.0::double * (1 - parts / total) else 0 end)'} / {'cost' if priced else '1'}, 12), trial)) as item from g{t} group by all),
+        s{t + 1} as materialized (select * from s{t} union all select * from b{t})"""
+    return out + f", s as (select * from s{steps})"
+
+
+def halves_sql(n: int, seed: str) -> str:
+    """Table sets (split, subject, train)."""
+    return f", sets as materialized (select split, subject, row_number() over (partition by split order by {expr.uniform_sql(seed, 'split', 'subject')}, subject) <= (select count(distinct subject) // 2 from cells) as train from (select distinct subject from cells), (select unnest(range({n})) as split))"
+
+
+TAUS = """, fu as (select split, subject, avg(rate) as f from cells join sets using (subject) where not train group by all), pa as (select s.split, s.budget, c.subject, avg(rate) as p from s join sets t on t.split = s.split and not t.train join cells c on c.subject = t.subject and c.item = s.item group by all),
+    pr as (select * from pa join fu using (split, subject)), ta as (select x.split, x.budget, sum(sign(round(x.f - y.f, 12)) * sign(round(x.p - y.p, 12))) / nullif(sqrt(sum((round(x.f - y.f, 12) <> 0)::int::double) * sum((round(x.p - y.p, 12) <> 0)::int::double)), 0) as tau from pr x join pr y on x.split = y.split and x.budget = y.budget and x.subject < y.subject group by all)"""
+PRICED = ", costs as (select distinct item, case when item < 8 then 1 when item < 16 then 6 else 15 end as cost from cells)"
+FREE = ", costs as (select distinct item, 1 as cost from cells), limits as (select 'inf'::double as budget)"
+
+
+@query(FREE + ", x as (select 0 as split, subject, item, rate from cells)" + greedy_sql(8, False) + " select step, item from s", "cells")
 def greedy_alpha(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(subset.greedy_selection(fx.cells(spark, d), k=8))
+    c = fx.cells(spark, d)
+    sets = c.select(F.lit(0).cast("long").alias("split"), "subject").distinct()
+    return rounded(suites.greedy(suites.by_sets(c, sets), 8).select("step", "item"))
 
 
-@query()
+@query(FREE + ", x as (select o.subject as split, c.subject, c.item, c.rate from cells c, (select distinct subject from cells) o where o.subject <> c.subject)" + greedy_sql(4, False) + " select split, step, item from s", "cells")
+def greedy_alpha_left_out(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(suites.greedy(suites.leaving_one_out(fx.cells(spark, d)), 4).select("split", "step", "item"))
+
+
+SPLITS = 6
+
+
+@query(FREE + halves_sql(SPLITS, "fidelity") + ", x as (select split, subject, item, rate from cells join sets using (subject) where train)" + greedy_sql(4, False) + TAUS + " select count(*) as n_splits, round(avg(tau), 9) as tau, round(stddev_samp(tau), 9) as tau_sd, (select count(distinct item) from s) as items_used from ta where tau is not null", "cells")
+def suite_fidelity(spark: SparkSession, d: str) -> DataFrame:
+    taus, used = suites.cross_validated(fx.cells(spark, d), 4, SPLITS)
+    return rounded(taus.agg(F.count("*").alias("n_splits"), F.avg("tau").alias("tau"), F.stddev_samp("tau").alias("tau_sd")).crossJoin(used.agg(F.count("*").alias("items_used"))))  # one row each
+
+
+@query(PRICED + ", limits as (select unnest([8.0::double, 24.0::double]) as budget)" + halves_sql(4, "frontier") + ", x as (select split, subject, item, rate from cells join sets using (subject) where train union all select -1, subject, item, rate from cells)" + greedy_sql(10, True) + TAUS + " select budget, (select count(*) from s where s.split = -1 and s.budget = ta.budget) as n_items, round(avg(tau), 9) as tau, round(coalesce(stddev_samp(tau), 0), 9) as tau_sd from ta where tau is not null group by budget", "cells")
 def cost_frontier(spark: SparkSession, d: str) -> DataFrame:
     c = fx.cells(spark, d)
     costs = fx.tiers(c.select("item").distinct()).select("item", F.element_at(F.create_map(*[F.lit(x) for kv in ctt.COST.items() for x in kv]), F.col("tier")).cast("double").alias("cost"))
-    return rounded(subset.frontier(c, costs, (8.0, 32.0, 64.0), 12))
+    return rounded(suites.frontier(c, costs, (8.0, 24.0), 4))
 
 
 # Power
@@ -446,9 +486,83 @@ def irt_attenuation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("draw", *[F.round(c, 6).alias(c) for c in ("slope", "ability_recovery", "difficulty_recovery")])
 
 
-@query()
+# Subsets: each subject left out in turn
+
+
+def _newton_sql(source: str, params: str, out: str) -> str:
+    """Table out (held, item, a, d): one damped step of params on the counts of source (held, item, x, r, f)."""
+    return f""", {out}s as (select held, item, any_value(a) as a, any_value(d) as d, sum(r - f * p) as e, sum(f * p * (1 - p)) as w, sum((r - f * p) * x) as ex, sum(f * p * (1 - p) * x) as wx, sum(f * p * (1 - p) * x * x) as wxx from (select *, 1 / (1 + exp(-(a * x + d))) as p from {source} join {params} using (held, item)) group by all),
+    {out}g as (select *, e - d / 16 as gd, w + 1 / 16.0::double + 1e-6::double as hd, ex - (a - 1) / 0.36::double as ga, wxx + 1 / 0.36::double + 1e-6::double as ha from {out}s), {out}v as (select *, (hd * ga - wx * gd) / (ha * hd - wx * wx) as da, (ha * gd - wx * ga) / (ha * hd - wx * wx) as dd from {out}g),
+    {out} as materialized (select held, item, a + da * least(1, 1 / greatest(abs(da), abs(dd), 1e-12::double)) as a, d + dd * least(1, 1 / greatest(abs(da), abs(dd), 1e-12::double)) as d from {out}v)"""
+
+
+LEFT_OUT = NODES + ALL + em_sql("every", "p") + em_posterior_sql("every", f"p{EM}", "po") + f""", rf as (select item, x, sum(successes * post) as r, sum(trials * post) as f from cells join po using (subject) group by all),
+own as materialized (select c.subject as held, c.item, x, rf.r - successes * post as r, rf.f - trials * post as f from cells c join po using (subject) join rf using (item, x)), h0 as (select c.subject as held, c.item, a, d from cells c join p{EM} p on p.item = c.item)""" + _newton_sql("own", "h0", "h1") + _newton_sql("own", "h1", "h2") + """, th as (select subject, sum(post * x) as theta from po group by subject),
+sc as (select a.subject as held, avg(b.theta) as mu, stddev_samp(b.theta) as unit, min(b.theta) as low, max(b.theta) as high from th a join th b on a.subject <> b.subject group by 1), ot as (select o.subject as held, c.item, sum(successes)::double as s, sum(trials)::double as n from cells c, (select distinct subject from cells) o where o.subject <> c.subject group by all),
+models as materialized (select held as subject, item, a, b, s / n as observed_rate, abs(a) >= 0.2 and s <> 0 and s <> n as identified, not (b between (low - mu) / unit - 1 and (high - mu) / unit + 1) as extrapolated from (select *, case when abs(a) >= 0.2 then -d / a else 'inf'::double end as b from (select held, item, a * unit as a, d + a * mu as d, mu, unit, low, high from h2 join sc using (held)) join ot using (held, item)))"""
+KS, REPEATS = (4, 8), 2
+SELECTED = FREE + f", x as (select o.subject as split, c.subject, c.item, c.successes / c.trials::double as rate from cells c, (select distinct subject from cells) o where o.subject <> c.subject)" + greedy_sql(max(KS), False) + f""", ks as (select unnest({list(KS)}) as k), rp as (select unnest(range({REPEATS}))::int as repeat),
+chosen as materialized (select subject, 'random' as selector, k, repeat, item from (select *, row_number() over (partition by subject, k, repeat order by {expr.uniform_sql('subset/random', 'subject', 'k', 'repeat', 'item')}, item) as place from models, ks, rp) where place <= k
+  union all select subject, 'stratified', k, repeat, arg_min(item, ({expr.uniform_sql('subset/stratified', 'subject', 'k', 'repeat', 'item')}, item)) from ({' union all '.join(f'select *, {k} as k, ntile({k}) over (partition by subject order by observed_rate, item) as bin from models' for k in KS)}), rp group by subject, k, repeat, bin
+  union all select split, 'greedy_alpha', k, 0, item from s, ks where step < k
+  union all select subject, 'max_information', k, 0, item from (select *, row_number() over (partition by subject order by round(case when identified and not extrapolated then a * a * p * (1 - p) else 0 end, 12) desc, item) as place from (select *, 1 / (1 + exp(a * b)) as p from models)), ks where place <= k)"""
+ESTIMATED = """, ran as (select c.*, successes, trials, successes / trials::double as rate from chosen c join cells using (subject, item)),
+ll as (select subject, selector, k, repeat, theta, sum(successes * ln(p) + (trials - successes) * ln(1 - p)) - 0.5 * theta * theta as l from (select r.*, theta, least(greatest(1 / (1 + exp(-a * (theta - b))), 1e-9::double), 1 - 1e-9::double) as p from ran r join models m using (subject, item), (select -6.0::double + n * 0.025::double as theta from (select unnest(range(481)) as n)) where identified and not extrapolated) group by subject, selector, k, repeat, theta),
+ab as (select subject, selector, k, repeat, sum(w * theta) / sum(w) as theta from (select *, exp(l - max(l) over (partition by subject, selector, k, repeat)) as w from ll) group by all), ca as (select subject, selector, k, repeat, avg(rate) as naive, coalesce(any_value(theta), 0) as theta from ran left join ab using (subject, selector, k, repeat) group by all),
+pi as (select ca.subject, ca.selector, ca.k, ca.repeat, any_value(naive) as naive, avg(coalesce(r.rate, case when identified and not extrapolated then 1 / (1 + exp(-a * (theta - b))) else observed_rate end)) as pirt from ca join models m using (subject) left join ran r on r.subject = ca.subject and r.selector = ca.selector and r.k = ca.k and r.repeat = ca.repeat and r.item = m.item group by all),
+er as (select selector, k, unnest(['pirt', 'naive']) as estimator, unnest([pirt - truth, naive - truth]) as error from pi join (select subject, avg(successes / trials::double) as truth from cells group by subject) using (subject))"""
+
+
+@query(LEFT_OUT + " select subject, item, round(a, 6) as a, round(case when isfinite(b) then b end, 5) as b, round(observed_rate, 9) as observed_rate, identified, extrapolated from models", "cells")
+def irt_left_out(spark: SparkSession, d: str) -> DataFrame:
+    b = F.when(F.col("b") != float("inf"), F.round("b", 5))
+    return subset.left_out(fx.cells(spark, d), EM).select("subject", "item", F.round("a", 6).alias("a"), b.alias("b"), F.round("observed_rate", 9).alias("observed_rate"), "identified", "extrapolated")
+
+
+@query(LEFT_OUT + SELECTED + ESTIMATED + " select selector, estimator, k, round(avg(abs(error)), 6) as mae, round(max(abs(error)), 6) as max_error, round(avg(error), 6) as bias, count(*) as n from er group by selector, estimator, k", "cells")
 def subset_eval(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(subset.summary(subset.errors(fx.cells(spark, d), (5, 10), 2)))
+    found = subset.errors(fx.cells(spark, d), KS, REPEATS, {k: v for k, v in subset.SELECTORS.items() if k != "anchor"}, EM)
+    return rounded(subset.summary(found).select("selector", "estimator", "k", *[F.round(c, 6).alias(c) for c in ("mae", "max_error", "bias")], "n"))
+
+
+@query()
+def anchor_eval(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda models, cells, k, repeats: subset.select_anchor(models, cells, k, repeats, 3)
+    return rounded(subset.summary(subset.errors(fx.cells(spark, d), (4,), 1, {"anchor": pick}, EM)))
+
+
+def kmeans_sql(k: int, rounds: int) -> str:
+    """Table c<rounds> (c, x) from points (point, x)."""
+    race = lambda step: f"-ln(greatest({expr.uniform_sql('kmeans', chr(39) + '0' + chr(39), str(step), 'point')}, 1e-12::double))"
+    far = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - s.x[i]) * (p.x[i] - s.x[i])))"
+    out = f", s0 as materialized (select 0 as c, arg_min(x, ({race(0)}, point)) as x from points)"
+    for step in range(1, k):
+        out += f", s{step} as materialized (select * from s{step - 1} union all select {step}, arg_min(x, ({race(step)} / far, point)) from (select p.point, p.x, min({far}) as far from points p, s{step - 1} s group by p.point, p.x) where far > 0)"
+    out += f", c0 as (select * from s{k - 1})"
+    for r in range(rounds):
+        out += f""", a{r} as materialized (select point, any_value(x) as x, arg_min(c, (far, c)) as c from (select p.point, p.x, s.c, {far} as far from points p, c{r} s) group by point),
+        n{r} as (select c, list(m order by i) as m from (select c, i, avg(x[i]) as m from a{r}, (select unnest(range(1, 1 + (select max(len(x)) from points)::bigint)) as i) group by c, i) group by c), c{r + 1} as materialized (select c{r}.c, coalesce(m, x) as x from c{r} left join n{r} using (c))"""
+    return out
+
+
+CLUSTERS, TURNS = 5, 3
+POINTS = ", points as (select vec_id as point, list_transform(embedding, lambda v: v::double) as x from embeddings)"
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("point"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query(("with " + (POINTS + kmeans_sql(CLUSTERS, TURNS))[2:]) + f" select c::bigint as c, i - 1 as dimension, round(x[i], 9) as value from c{TURNS}, (select unnest(range(1, 65)) as i)")
+def kmeans_centres(spark: SparkSession, d: str) -> DataFrame:
+    found = clustering.kmeans(_points(spark, d), CLUSTERS, TURNS)
+    return rounded(found.select(F.posexplode("centres").alias("c", "x")).select("c", F.posexplode("x").alias("dimension", "value")))
+
+
+@query(("with " + (POINTS + kmeans_sql(CLUSTERS, TURNS))[2:]) + f", d as (select c, point, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - s.x[i]) * (p.x[i] - s.x[i]))) as d from points p, c{TURNS} s)" + "".join(f", e{c} as ({f'select * from e{c - 1} union all ' if c else ''}select {c} as c, arg_min(point, (d, point)) as point from d where c = {c}{f' and point not in (select point from e{c - 1})' if c else ''})" for c in range(CLUSTERS)) + f" select point from e{CLUSTERS - 1}")
+def kmeans_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    return clustering.exemplars(points, clustering.kmeans(points, CLUSTERS, TURNS))
 
 
 # Feature tables

@@ -30,7 +30,7 @@ def test_matrix_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[0])["alpha"] > 0.5
     assert cli.main(["irt", str(tmp_path / "m.csv")]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 9
-    assert cli.main(["anchor", str(tmp_path / "m.csv"), "--k", "3"]) == 0
+    assert cli.main(["anchor", str(tmp_path / "m.csv"), "--k", "3", "--rounds", "4"]) == 0
     assert cli.main(["power", "--units", "8", "--effects", "0.5", "--sims", "30", "--tolerance", "0.2"]) == 0
     assert set(json.loads(capsys.readouterr().out.splitlines()[-1])["detectable"]) == {"decrease", "increase"}
     assert cli.main(["seeds", "--units", "8", "--effect", "0.7", "--most", "3", "--sims", "30"]) == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr, metrics
-from tallywork.operators import ctt, features, grading, inference, irt, kernels, runs, skills, swe, triage
+from tallywork.operators import clustering, ctt, features, grading, inference, irt, kernels, runs, skills, subset, suites, swe, triage
 
 
 def one(df):
@@ -149,20 +149,122 @@ def test_fit_recovers_abilities_and_difficulties():
     assert m["theta"].mean() == pytest.approx(0, abs=1e-9) and m["theta"].std(ddof=1) == pytest.approx(1)
 
 
-def test_distributed_fit_agrees_with_kernel(spark):
+def frame(spark, s, n, **more):
+    pdf = long_cells(s, n).assign(**more)
+    return spark.createDataFrame(pdf)
+
+
+def test_rounds_of_several_models_come_to_the_kernels_fits(spark):
+    """Two models at once, one of them ragged; each ends by itself."""
     _, _, _, s, n = simulated(30, 8)
-    cells = spark.createDataFrame([(i, j, float(s[i, j]), float(n[i, j])) for i in range(30) for j in range(8)], "subject long, item long, successes double, trials double")
-    got, _ = irt.fitted_distributed(cells, 15, 1e-3)
-    a = np.array([r["a"] for r in got.orderBy("item").collect()])
-    assert np.allclose(a, kernels.fit(s, n, normalize=False, max_iterations=15)["a"], atol=0.02)
+    whole, ragged = frame(spark, s, n, fit_id="whole"), frame(spark, s, n, fit_id="ragged").where("subject <> 3 or item <> 2")
+    cells = whole.unionByName(ragged)
+    params = irt.fitted_in_rounds(cells, 60, 2e-3)
+    got = {(r["fit_id"], r["item"]): r for r in params.collect()}
+    want = kernels.fit(s, n, normalize=False)
+    assert len(got) == 16 and all(abs(got["whole", j]["a"] - want["a"][j]) < 0.06 for j in range(8))
+    assert all(r["converged"] for r in got.values())
+    assert abs(got["ragged", 2]["a"] - got["whole", 2]["a"]) > 1e-5
+    items, subjects, fits = irt.scaled(cells, params)
+    theta = np.array([r["theta"] for r in subjects.where("fit_id = 'whole'").orderBy("subject").collect()])
+    full = kernels.fit(s, n)
+    assert abs(theta.mean()) < 1e-9 and abs(theta.std(ddof=1) - 1) < 1e-9 and np.abs(theta - full["theta"]).max() < 0.05
+    assert {r["item"] for r in items.where("fit_id = 'whole' and identified").collect()} == set(np.flatnonzero(full["identified"]))
+    assert fits.where("fit_id = 'whole'").first()["log_likelihood"] == pytest.approx(full["ll"], abs=0.05)
+
+
+def test_a_fixed_slope_stays(spark):
+    _, _, _, s, n = simulated(12, 5)
+    cells = frame(spark, s, n, fit_id="r")
+    got = irt.fitted_in_rounds(cells, 25, 1e-3, slopes=spark.createDataFrame([("r", 0.8)], "fit_id string, a double")).orderBy("item").collect()
+    want = kernels.fit(s, n, normalize=False, fixed_a=0.8, max_iterations=200)
+    assert all(r["a"] == 0.8 for r in got) and np.allclose([r["d"] for r in got], want["d"], atol=0.02)
+
+
+def test_models_without_a_subject_are_near_whole_refits(spark):
+    _, _, _, s, n = simulated()
+    got = subset.left_out(frame(spark, s, n), 40).toPandas()
+    grid, gaps = np.linspace(-2, 2, 21), []
+    for i in (0, 7, 19):
+        keep = np.arange(25) != i
+        want = kernels.fit(s[keep], n[keep])
+        mine = got[got["subject"] == i].sort_values("item")
+        ok = mine["identified"].to_numpy(bool) & want["identified"]
+        a, b = mine["a"].to_numpy()[ok], mine["b"].to_numpy()[ok]
+        gaps.append(np.abs(kernels.sigmoid(a[:, None] * (grid - b[:, None])) - kernels.sigmoid(want["a"][ok][:, None] * (grid - want["b"][ok][:, None]))).mean())
+        assert np.allclose(mine["observed_rate"], want["rate"])
+    assert max(gaps) < 0.02
+
+
+def test_p_irt_beats_the_mean_of_a_subset(spark):
+    _, _, _, s, n = simulated()
+    pick = {k: v for k, v in subset.SELECTORS.items() if k in ("random", "stratified", "max_information")}
+    got = {(r["selector"], r["estimator"]): r["mae"] for r in subset.summary(subset.errors(frame(spark, s, n), (8,), 2, pick, 20)).collect()}
+    assert len(got) == 6 and got["random", "pirt"] < got["random", "naive"] and got["max_information", "pirt"] < got["max_information", "naive"]
+    for wrong, said in ((frame(spark, s[:2], n[:2]), "three subjects"), (frame(spark, s, n).where("subject > 0 or item > 0"), "lacks an item")):
+        with pytest.raises(ValueError, match=said):
+            subset.errors(wrong, (8,))
+
+
+def suite_of(m, chosen):
+    k, total = len(chosen), m[:, chosen].sum(1).var(ddof=1)
+    return m[:, chosen].std(ddof=1) if k == 1 else k / (k - 1) * (1 - m[:, chosen].var(0, ddof=1).sum() / total) if total > 0 else 0.0
+
+
+def by_trial(m, k, cost=None, budget=np.inf):
+    chosen, spent = [], 0.0
+    while len(chosen) < k:
+        open_ = [j for j in range(m.shape[1]) if j not in chosen and spent + (1 if cost is None else cost[j]) <= budget]
+        if not open_:
+            break
+        chosen.append(max(open_, key=lambda j: (round(suite_of(m, [*chosen, j]) / (1 if cost is None else cost[j]), 12), -j)))
+        spent += 1 if cost is None else cost[chosen[-1]]
+    return chosen
 
 
-def test_greedy_takes_the_widest_item_first_and_heeds_the_budget():
-    m = np.random.default_rng(1).uniform(size=(20, 6))
+def test_suites_are_those_of_trying_every_item(spark):
+    m = np.random.default_rng(1).uniform(size=(9, 6))
     m[:, 4] *= 3
-    assert kernels.greedy(m, 3)[0] == 4
-    chosen = kernels.greedy(m, None, np.array([1, 6, 15, 1, 6, 1.0]), 8)
-    assert np.array([1, 6, 15, 1, 6, 1.0])[chosen].sum() <= 8
+    m[:, 5] = 0.5
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(9) for j in range(6)], "subject long, item long, rate double")
+    found = lambda df: [r["item"] for r in df.orderBy("step").collect()]
+    every = cells.select(F.lit(0).cast("long").alias("split"), "subject").distinct()
+    assert found(suites.greedy(suites.by_sets(cells, every), 5)) == by_trial(m, 5)
+    cost = np.array([1, 6, 15, 1, 6, 1.0])
+    priced = spark.createDataFrame(list(enumerate(cost.tolist())), "item long, cost double")
+    got = suites.greedy(suites.by_sets(cells, every), None, priced, (8.0, 0.5))
+    assert found(got.where("budget = 8")) == by_trial(m, 6, cost, 8) and got.where("budget < 1").count() == 0
+    out = suites.greedy(suites.leaving_one_out(cells), 3)
+    assert all(found(out.where(f"split = {i}")) == by_trial(m[np.arange(9) != i], 3) for i in range(9))
+    with pytest.raises(ValueError, match="six subjects"):
+        suites.cross_validated(cells.where("subject < 5"), 2)
+
+
+def test_clusters_fill_and_exemplars_differ(spark):
+    g = np.random.default_rng(5)
+    xs = np.concatenate([g.normal(c, 0.1, (12, 3)) for c in (0.0, 4.0, 9.0)])
+    points = spark.createDataFrame([("k", i, x.tolist()) for i, x in enumerate(xs)] + [("same", i, [1.0, 1.0, 1.0]) for i in range(4)] + [("few", 0, [0.0, 0.0, 0.0])], "key string, point long, x array<double>")
+    centres = clustering.kmeans(points, 3, 10, ["key"])
+    got = {r["key"]: r["centres"] for r in centres.collect()}
+    assert sorted(round(c[0]) for c in got["k"]) == [0, 4, 9]
+    chosen = {}
+    for r in clustering.exemplars(points, centres, ["key"]).collect():
+        chosen.setdefault(r["key"], []).append(r["point"])
+    assert sorted(p // 12 for p in chosen["k"]) == [0, 1, 2] and len(set(chosen["same"])) == 3 and chosen["few"] == [0]
+
+
+def test_many_units_are_resampled_like_numpy_does(spark):
+    """2000 units: interval and p-value near those of arrays, the same however the rows are dealt."""
+    d = np.random.default_rng(3).normal(0.05, 1.0, 2000)
+    rows = spark.createDataFrame([(1, u, float(x)) for u, x in enumerate(d)], "g int, unit long, diff double")
+    one_, two = (inference.bootstrap_ci(x, ["g"], 1000).first() for x in (rows, rows.repartition(7)))
+    g = np.random.default_rng(4)
+    means = d[g.integers(0, 2000, (1000, 2000))].mean(1)
+    assert one_["ci_low"] == pytest.approx(np.quantile(means, 0.025), abs=0.01) and one_["ci_high"] == pytest.approx(np.quantile(means, 0.975), abs=0.01)
+    assert one_["ci_low"] == pytest.approx(two["ci_low"], abs=1e-12)
+    p = inference.sign_flip(rows, ["g"], 1999).first()
+    flips = np.abs((g.choice([-1.0, 1.0], (1999, 2000)) @ d) / 2000)
+    assert p["n_units"] == 2000 and p["p_value"] == pytest.approx(((flips >= abs(d.mean())).sum() + 1) / 2000, abs=0.02)
 
 
 def test_alpha_of_a_constant_total_is_zero(spark):
