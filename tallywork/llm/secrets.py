@@ -13,7 +13,8 @@ no memory. A piece begins with the end of the last one: OVERLAP bytes, or the wh
 that has at most LONGEST. Only an encoded run longer than LONGEST inside a compressed stream is decoded in parts.
 
 Nulls and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows are scanned one by one;
-an empty table gives an empty result; other columns are carried along by redacted(), whatever their names. The time is
+an empty table gives an empty result; below DEEP escapes in one another the rest is decoded to its end in one pass, so that a
+chain of escapes of any length takes time in proportion, and only layers in between aren't scanned; other columns are carried along by redacted(), whatever their names. The time is
 linear in the length of a layer, a long text without a blank included. Of two spans with one beginning the kind listed
 first comes first.
 """
@@ -48,6 +49,9 @@ BREAK = re.compile(r"[\s<>]")
 #: A long chain of escaped escape signs, or escapes in a row. A chain stands for one sign, however often it is decoded.
 URL_ESCAPES = re.compile(r"%(?:25){3,}|(?:%(?!252525)[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\(?:(?:u005[Cc]|x5[Cc]){3,}|u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+ANY_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2})")
+#: Escapes within escapes up to which each layer is scanned; what lies deeper is decoded to its end at once.
+DEEP = 12
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, of any width and indent.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -61,15 +65,26 @@ STEP = 256
 Span = tuple[str, int, int]
 
 
-Place = Callable[[int, int], tuple[int, int]]
+#: Where each character of what was decoded begins and ends in the run that it was decoded from.
+Bounds = Callable[[], tuple[np.ndarray, np.ndarray]]
 
 
 class Layer:
-    """Decoded text; place gives, for some of its characters, the place in the document that they come from, whole that of all."""
+    """Decoded text: from [start, end) of the layer above, or the text itself. deep counts the escapes that it lies in, one in the other."""
 
-    def __init__(self, text: str, whole: tuple[int, int], place: Place | None = None):
-        self.text, self.whole = text, whole
-        self.place = place or (lambda start, end: whole)
+    def __init__(self, text: str, above: "Layer | None" = None, start: int = 0, end: int = 0, bounds: Bounds | None = None, deep: int = 0):
+        self.text, self.above, self.start, self.bounds, self.deep = text, above, start, bounds and cache(bounds), deep
+        self.whole = above.place(start, end) if above else (0, len(text))
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """The place in the document that characters come from; that of the whole layer where single ones have none."""
+        layer = self
+        while layer.above:
+            if not layer.bounds:
+                return layer.whole
+            begins, ends = layer.bounds()
+            start, end, layer = layer.start + int(begins[start]), layer.start + int(ends[end - 1]), layer.above
+        return start, end
 
 
 def base_spans(text: str) -> list[Span]:
@@ -127,8 +142,11 @@ def url_characters(m: re.Match) -> tuple[str, np.ndarray]:
 
 
 def unicode_characters(m: re.Match) -> tuple[str, np.ndarray]:
-    code = int(next((g for g in m.groups() if g), "5c"), 16)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", np.array([m.end() - m.start()])
+    return character(int(next((g for g in m.groups() if g), "5c"), 16)), np.array([m.end() - m.start()])
+
+
+def character(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
 def readable(data: bytes) -> str:
@@ -273,21 +291,58 @@ def base64_runs(text: str) -> Iterator[re.Match]:
         yield from (m for m in WRAPPED.finditer(text) if m.end() - m.start() > 16)
 
 
-def placed(layer: Layer, start: int, end: int, bounds: Callable[[], tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[int, int], Place]:
-    """whole and place of what is decoded from [start, end) of a layer; bounds says where there each character begins and ends."""
-    known = cache(bounds)
-
-    def place(s: int, e: int) -> tuple[int, int]:
-        begins, ends = known()
-        return layer.place(start + int(begins[s]), start + int(ends[e - 1]))
-
-    return layer.place(start, end), place
-
-
 def escaped_layers(layer: Layer, escape: re.Pattern, decode) -> Iterator[Layer]:
     for start, end in runs(layer.text, escape):
         new, bounds = unescaped(layer.text[start:end], escape, decode)
-        yield Layer(new, *placed(layer, start, end, bounds))
+        yield Layer(new, layer, start, end, bounds, layer.deep + 1)
+
+
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+def ending(signs: list[str]) -> tuple[int, str] | None:
+    """Of an escape that the last sign completes: how many signs it takes, and what it stands for; a byte above 127 as readable() has it."""
+    if signs[-1] == "}":
+        at = next((k for k in range(2, min(8, len(signs))) if signs[-k] == "{"), 0)
+        digits = "".join(signs[-at + 1 : -1]) if at else ""
+        if digits and HEX_DIGITS.issuperset(digits) and signs[-at - 2 : -at] == ["\\", "u"]:
+            return at + 2, character(int(digits, 16))
+        return None
+    if signs[-1] not in HEX_DIGITS or len(signs) < 3 or signs[-2] not in HEX_DIGITS:
+        return None
+    if signs[-3] == "%":
+        code = int(signs[-2] + signs[-1], 16)
+        return 3, chr(code if code < 128 else 0xDC00 + code)
+    if signs[-3] == "x" and signs[-4:-3] == ["\\"]:
+        return 4, character(int(signs[-2] + signs[-1], 16))
+    if signs[-6:-4] == ["\\", "u"] and HEX_DIGITS.issuperset(signs[-4:]):
+        return 6, character(int("".join(signs[-4:]), 16))
+    return None
+
+
+def settled(run: str) -> tuple[str, Bounds]:
+    """run with all escapes decoded, those that decoding completes too, in one pass: an escape is over with its last sign."""
+    signs: list[str] = []
+    begins: list[int] = []
+    ends: list[int] = []
+    for k, c in enumerate(run):
+        signs.append(c)
+        begins.append(k)
+        ends.append(k + 1)
+        while found := ending(signs):
+            n, new = found
+            begin = begins[-n]
+            del signs[-n:], begins[-n:], ends[-n:]
+            signs.append(new)
+            begins.append(begin)
+            ends.append(k + 1)
+    return "".join(signs), lambda: (np.array(begins), np.array(ends))
+
+
+def settled_layers(layer: Layer) -> Iterator[Layer]:
+    for start, end in runs(layer.text, ANY_ESCAPE):
+        new, bounds = settled(layer.text[start:end])
+        yield Layer(new, layer, start, end, bounds, layer.deep)
 
 
 def base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
@@ -312,22 +367,23 @@ def base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
             last = np.cumsum(sizes)
             return signs_of(last - sizes, last)
 
-        yield Layer(plain, *placed(layer, m.start(), m.end(), bounds))
+        yield Layer(plain, layer, m.start(), m.end(), bounds)
         for shift, text in wide(data):
 
             def pairs(shift: int = shift, n: int = len(text), size: int = len(data), signs_of=signs_of) -> tuple[np.ndarray, np.ndarray]:
                 first = shift + 2 * np.arange(n)
                 return signs_of(first, np.minimum(first + 2, size))
 
-            yield Layer(text, *placed(layer, m.start(), m.end(), pairs))
+            yield Layer(text, layer, m.start(), m.end(), pairs)
         for begin, inner in text_layers(data):
-            yield Layer(inner, layer.place(m.start() + int(at()[skip + begin // 3 * 4]), m.end()))
+            yield Layer(inner, layer, m.start() + int(at()[skip + begin // 3 * 4]), m.end())
 
 
 def inner_layers(layer: Layer) -> Iterator[Layer]:
-    if "%" in layer.text:
+    if layer.deep >= DEEP:
+        yield from settled_layers(layer)
+    elif "%" in layer.text or "\\" in layer.text:
         yield from escaped_layers(layer, URL_ESCAPES, url_characters)
-    if "\\" in layer.text:
         yield from escaped_layers(layer, UNICODE_ESCAPE, unicode_characters)
     for m in base64_runs(layer.text):
         yield from base64_layers(layer, m)
@@ -340,7 +396,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if "%" not in text and "\\" not in text and next(base64_runs(text), None) is None:
         return base, base
     found, seen = set(base), set()
-    work = [inner_layers(Layer(text, (0, len(text)), lambda start, end: (start, end)))]
+    work = [inner_layers(Layer(text))]
     while work:
         layer = next(work[-1], None)
         if layer is None:

@@ -121,3 +121,26 @@ def test_bombs_and_deep_stacks_end_in_bounded_memory():
     for _ in range(300):
         data = zlib.compress(data)
     assert any(x == "assign" for x, *_ in secrets.spans(base64.b64encode(data).decode())[1])
+
+
+CHAINS = ["%25" * 1000 + "5Cu0025" * 500, "%25" * 300_000 + "5Cu0025" * 10_000 + "5Cu0070assword=" + TOKEN, "%5Cu0025" + "5Cu0025" * 120_000 + "70assword=" + TOKEN, "\\u0025" * 150_000]
+
+
+def test_chains_of_escapes_take_time_in_proportion_and_no_stack(spark):
+    for chain, hidden in zip(CHAINS, (False, True, True, False), strict=True):
+        began = time.perf_counter()
+        found = secrets.spans(f"see {chain} end")[1]
+        assert time.perf_counter() - began < 40 and (any(k == "assign" and e == 4 + len(chain) for k, _, e in found) if hidden else not found)
+    docs = spark.createDataFrame([(1, CHAINS[0]), (2, f"x {PLAIN}")], "doc_id long, text string")
+    assert secrets.scanned(docs).count() == 2
+    assert [r["text"] for r in secrets.redacted(docs).orderBy("doc_id").collect()] == [CHAINS[0], "x [SECRET]"]
+
+
+def test_the_end_of_escapes_is_that_of_single_steps():
+    g = random.Random(5)
+    for _ in range(300):
+        t = "".join(g.choice(["%", "25", "41", "\\", "u00", "5C", "x", "5c", "{", "}", "u{", "70", "a", " "]) for _ in range(g.randrange(1, 30)))
+        text, bounds = secrets.settled(t)
+        begins, ends = bounds()
+        assert not secrets.ANY_ESCAPE.search(text) and len(text) == len(begins) == len(ends)
+        assert list(begins[1:]) == list(ends[:-1]) and (not t or (begins[0], ends[-1]) == (0, len(t)))
