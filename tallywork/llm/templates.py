@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -31,8 +32,8 @@ MIN_SHARE = 0.3
 #: So many pages make a subtree template whatever their share of a large host.
 MANY = 50
 #: A tag from its sign on, quoted values as wholes; and without regard to quotes.
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)([^>]*+)>""")
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""")
 #: A numeric reference of more digits than any character has.
 LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9A-Fa-f]{8,});?")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -47,8 +48,13 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 INLINE_LIMIT = frozenset("article aside blockquote div footer form header li main nav section table td th ul ol body".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea menu dialog object canvas audio video title input label noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that tell what an element is for.
+#: Words that tell what an element is for; a class or id tells it if all its words are of these or of AROUND.
 DROPPED_WORDS = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notification announcement popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments commentlist disqus reply replies respond widget toolbar login signup search skip".split())
+#: Words beside them that say where or how: of side-footer, nav-links, post-comments.
+AROUND = frozenset("area articles bar bars block blocks body bottom box btn button buttons column container content entry feed footer form global group header holder icons inner item items left link links list main message module more news outer page pane panel post posts primary region right row secondary section side site slot stories story tags thread top unit wrap wrapper zone".split())
+#: Of those, what a part marked as main may say of itself and isn't main then; and what is left out however long it is.
+NOT_MAIN = frozenset("related recommended comment comments commentlist reply replies respond sponsored promo promotion advert adverts advertisement".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Whole class names or ids of a page's head.
 PAGE_NAMES = frozenset("header masthead topbar site-header page-header main-header global-header header-wrapper".split())
 #: Whole class names or ids of a main part.
@@ -64,6 +70,17 @@ def unescaped(text: str) -> str:
     return entities.unescape(LONG_REFERENCE.sub(lambda m: m.group() if len(m.group().strip("&#xX;").lstrip("0")) < 8 and len(m.group()) < 1000 else "\ufffd", text))
 
 
+@lru_cache(maxsize=65536)
+def purpose(name: str) -> frozenset[str]:
+    words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+    return frozenset(words & DROPPED_WORDS) if words <= DROPPED_WORDS | AROUND else frozenset()
+
+
+def purposes(names: set[str]) -> set[str]:
+    """The words for which whole class names or ids drop an element."""
+    return {w for n in names for w in purpose(n)}
+
+
 class Page:
     """Elements of a page in order of opening, and the events (open, close, text) that walk through them."""
 
@@ -181,23 +198,39 @@ class Page:
         return at
 
     def walk(self) -> None:
-        """Sets, by element: dropped by name, role or class; main part, or in it."""
+        """Sets, by element: dropped by name, role or class; main part, or in it; holding a main part.
+
+        A class or id drops an element only as a whole name (ad, nav-links, and not ad-free or with-menu). Neither that nor a
+        form or header drops what holds a main part or, outside of one, more than half of the page's text; readers' comments
+        go in any case, and related stories unless every main part lies there.
+        """
         n = len(self.names)
-        self.dropped, self.inside, self.marked = [False] * n, [False] * n, [False] * n
+        self.dropped, self.inside, self.marked, self.holds = ([False] * n for _ in range(4))
+        told: list[set[str]] = []
+        soft, hard = [False] * n, [False] * n
         for i in range(n):
-            name, up = self.names[i], self.parents[i]
+            name = self.names[i]
             values = {a.lower(): (v or "").strip("\"'").lower() for a, v in ATTRIBUTE.findall(self.attributes[i])} if self.attributes[i].strip() else {}
-            words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}"))
-            role = values.get("role", "")
-            whole = {*values.get("class", "").split(), values.get("id", "")}
-            called = MAIN_NAMES & whole
-            marked = name in ("article", "main") or role in ("main", "article") or bool(called) and name in ("div", "section", "td") and not words & DROPPED_WORDS
-            above = up >= 0 and self.dropped[up]
+            whole, role = {*values.get("class", "").split(), values.get("id", "")}, values.get("role", "")
+            told.append(purposes(whole))
+            large = 2 * self.sizes[i] > self.size
+            marked = name in ("article", "main") or role in ("main", "article") or bool(MAIN_NAMES & whole) and name in ("div", "section", "td") and not told[i]
+            self.marked[i] = marked and (large or not told[i] & NOT_MAIN)
+            hard[i] = name in DROPPED - {"form"} or role in DROPPED_ROLES - {"form"} or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
+            soft[i] = name not in ("html", "body") and (name == "form" or role == "form" or bool(told[i]) and not self.marked[i] or not self.marked[i] and (name == "header" or bool(whole & PAGE_NAMES)))
+        parts = [int(m) for m in self.marked]  # main parts in each element
+        for i in range(n - 1, -1, -1):
+            if self.parents[i] >= 0:
+                parts[self.parents[i]] += parts[i]
+        every = sum(self.marked)
+        for i in range(n):
+            up = self.parents[i]
+            holds = parts[i] > self.marked[i] and not told[i] & READERS and (not told[i] & NOT_MAIN or parts[i] == every)
             self.inside[i] = up >= 0 and (self.inside[up] or self.marked[up])
-            self.dropped[i] = above or name in DROPPED or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-            self.dropped[i] |= bool(words & DROPPED_WORDS) and not (marked or name in ("html", "body"))
-            self.dropped[i] |= not self.inside[i] and not marked and name not in ("html", "body") and (name == "header" or bool(whole & PAGE_NAMES))
-            self.marked[i] = marked and not self.dropped[i]
+            large = 2 * self.sizes[i] > self.size and not self.inside[i] and not told[i] & READERS
+            head = not told[i] and self.names[i] != "form" and self.inside[i]  # a header within the article is its own
+            self.dropped[i] = up >= 0 and self.dropped[up] or hard[i] or soft[i] and not (holds or large or head)
+            self.marked[i] = self.marked[i] and not self.dropped[i]
         self.holds = [False] * n
         for i in range(n - 1, -1, -1):
             if (self.marked[i] or self.holds[i]) and self.parents[i] >= 0:

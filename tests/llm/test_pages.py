@@ -324,3 +324,29 @@ def test_what_is_common_votes_in_pairs_and_fours(spark):
     assert n >= 30 and recall >= 0.9
     held = spark.createDataFrame([(50 * k, bytearray(tone([7] * (40 + k)))) for k in range(10)], "id long, pcm binary")
     chroma.aligned(chroma.fingerprints(held), "id % 50 = 0", hot=5)[0].collect()  # ends
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-menu", "content-share", "ad-free", "search-results", "related-post", "comments-open", "widget"])
+def test_class_words_of_wrappers_leave_the_article(name):
+    from tallywork.llm.templates import Page
+
+    assert Page(f'<div class="{name}"><article><p>Main text here.</p></article></div><div class="sidebar">Side</div>').main_text() == "Main text here."
+
+
+def test_only_whole_class_names_say_what_goes():
+    from tallywork.llm.templates import Page
+
+    page = '<article><p>One.</p><div class="share-price-table">Price 3</div><p class="menu-item-note">Note.</p><div class="social-share">Share me</div><div class="post-comments">I agree</div><form>Name</form></article><article class="related">Other story</article>'
+    assert Page(page).main_text() == "One.\nPrice 3\nNote."
+    assert Page("<body><form id='aspnetForm'><div><p>The whole page lies in a form.</p></div></form></body>").main_text() == "The whole page lies in a form."
+    assert Page("<body><p>Short.</p><div class='comments'><p>A reader says much more than the page itself does.</p></div></body>").main_text() == "Short."
+
+
+def test_a_long_name_of_a_tag_takes_no_square_of_time():
+    import time
+
+    from tallywork.llm.templates import Page
+
+    began = time.perf_counter()
+    Page("<" + "a" * 1_000_000 + ' "x >').main_text()
+    assert time.perf_counter() - began < 3
