@@ -47,8 +47,9 @@ def dashboard(spark, a) -> int:
     shares = triage.shares(found, ["subject"]).select("subject", "valid_rate")
     rates = files.grades(spark, a.path).groupBy("agent", "item").agg(F.avg(F.col("medal").cast("double")).alias("r"), F.avg("score").alias("s")).groupBy(F.col("agent").alias("subject")).agg(F.avg("r").alias("medal_rate"), F.avg("s").alias("mean_percentile"))
     per = shares.join(rates, "subject", "left").withColumn("medal_rate", F.coalesce("medal_rate", F.lit(0.0)))
+    graded = files.grades(spark, a.path).select(F.col("agent").alias("subject"), "item", "seed", "score", F.when(F.col("medal"), "medal").alias("medal"))
     with open(a.out, "w", encoding="utf-8") as f:
-        f.write(report.dashboard(runs.standings(per), None, a.title))
+        f.write(report.dashboard(runs.standings(per), None, a.title, runs.session_outcomes(found, graded)))
     return 0
 
 

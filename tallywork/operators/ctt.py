@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.functions import expr, ordering
+from tallywork.functions import expr, ordering, shuffles
 
 #: Cost of an item by tier.
 COST = {"low": 1, "medium": 6, "high": 15}
@@ -117,13 +117,17 @@ def split_half(cells: DataFrame, n_splits: int, seed: str = "half") -> DataFrame
 
 
 def null_alphas(cells: DataFrame, n_draws: int, seed: str = "null") -> DataFrame:
-    """draw, alpha: each item's column shuffled over the subjects on its own."""
-    spark = cells.sparkSession
-    places = cells.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy("subject")))
-    draws = cells.select("subject", "item").crossJoin(F.broadcast(spark.range(n_draws).withColumnRenamed("id", "draw"))).withColumn("u", expr.uniform(seed, "draw", "item", "subject"))
-    dealt = draws.withColumn("place", F.row_number().over(Window.partitionBy("draw", "item").orderBy("u", "subject")))
-    shuffled = dealt.join(places.select("item", "place", "rate"), ["item", "place"])
-    return alpha(shuffled, ["draw"]).select("draw", "alpha")
+    """draw, alpha: each item's column shuffled over the subjects on its own.
+
+    Subjects are numbered once; a draw sends each cell to another number by the item's permutation of them, a column
+    expression. Nothing is sorted, and the only shuffles are those of alpha's sums.
+    """
+    draws = cells.sparkSession.range(n_draws).withColumnRenamed("id", "draw")  # some hundreds
+    subjects = cells.select("subject").distinct()
+    n = subjects.count()
+    numbered = ordering.matched(cells.select("subject", "item", "rate"), ordering.places(subjects, [], ["subject"]), ["subject"])
+    dealt = numbered.crossJoin(F.broadcast(draws)).select("draw", shuffles.permuted(F.col("place") - 1, n, seed, "draw", "item").alias("subject"), "item", "rate")
+    return alpha(dealt, ["draw"]).select("draw", "alpha")
 
 
 def tau_b(pairs: DataFrame, keys: list[str], a: str, b: str, unit: str) -> DataFrame:

@@ -147,13 +147,32 @@ def ridge(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 
 def ridge_fit(rows: DataFrame, features: list[str], target: str, penalty: float = 1.0) -> np.ndarray:
-    """Weights with intercept last, from one pass of sums of products over the cluster; the driver solves a small system."""
-    names = [*features, "_one"]
-    known = rows.withColumn("_one", F.lit(1.0))
-    p = len(names)
-    sums = known.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(F.col(n) * F.col(target)).alias(f"t{i}") for i, n in enumerate(names)]).first()
-    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-    return np.linalg.solve(gram + penalty * np.eye(p), np.array([sums[f"t{i}"] for i in range(p)]))
+    """Weights with intercept last, from sums of products over the cluster; the driver solves a system of the features' number."""
+    p = len(features) + 1
+    x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
+    system = np.zeros((p, p + 1))
+    for r in gram(rows.select(x.alias("x"), F.col(target).cast("double").alias("y")), p).collect():
+        system[r["i"], r["j"]] = r["g"]
+        if r["j"] < p:
+            system[r["j"], r["i"]] = r["g"]
+    return np.linalg.solve(system[:, :p] + penalty * np.eye(p), system[:, p])
+
+
+#: Products that one row of sums holds.
+BESIDE = 16
+
+
+def gram(rows: DataFrame, p: int) -> DataFrame:
+    """i, j, g: sums of x[i] * x[j] for i <= j < p and, as j = p, of x[i] * y; rows has x, an array of p doubles, and y.
+
+    A row meets each i once and adds to BESIDE products at a time, so a task keeps p * p / BESIDE rows of sums for all of its
+    rows, and those are what is shuffled.
+    """
+    whole = rows.select(F.concat("x", F.array("y")).alias("z"))
+    at = whole.select("z", F.posexplode(F.slice("z", 1, p)).alias("i", "a")).withColumn("block", F.explode(F.sequence(F.floor(F.col("i") / BESIDE).cast("int"), F.lit(p // BESIDE))))
+    sums = at.groupBy("i", "block").agg(F.array(*[F.sum(F.col("a") * F.get("z", F.col("block") * BESIDE + k)) for k in range(BESIDE)]).alias("g"))
+    each = sums.select("i", "block", F.posexplode("g").alias("k", "g"))
+    return each.select("i", (F.col("block") * BESIDE + F.col("k")).alias("j"), "g").where((F.col("j") >= F.col("i")) & (F.col("j") <= p))
 
 
 def leaderboard(task: DataFrame, spec: TaskSpec) -> DataFrame:

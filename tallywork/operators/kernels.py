@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 
@@ -12,6 +14,10 @@ MAX_ITERATIONS, TOLERANCE = 1500, 1e-6
 IDENTIFIED = 0.2
 
 
+def rng(*key) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "little"))
+
+
 def quadrature() -> tuple[np.ndarray, np.ndarray]:
     x = np.linspace(-REACH, REACH, NODES)
     w = np.exp(-0.5 * x * x)

@@ -128,6 +128,17 @@ def with_medals(triage: DataFrame, medals: DataFrame) -> DataFrame:
     return triage.join(medals.select("item", "seed", "medal"), ["item", "seed"], "left").select("item", "seed", (F.coalesce("medal", F.lit(False)) & (F.col("outcome") != "infra")).alias("medal"), (F.col("outcome") == "infra").alias("infra_failure"))
 
 
+def session_outcomes(triaged: DataFrame, grades: DataFrame) -> DataFrame:
+    """subject, item, seed, outcome, score, medal: what each place of a session came to, and its grade if there is one.
+
+    Of several runs of one place the first by name counts, of several grades the one of the highest score.
+    """
+    place = ["subject", "item", "seed"]
+    first = triaged.groupBy(*place).agg(F.min_by("outcome", "run").alias("outcome"))
+    best = grades.groupBy(*place).agg(F.max(F.struct("score", "medal")).alias("g"))
+    return first.join(best, place, "left").select(*place, "outcome", F.col("g.score").alias("score"), F.col("g.medal").alias("medal"))
+
+
 def matched(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pre, post and both rates for pairs of items; a side without the item leaves its rate null."""
     return pairs.join(a.select(F.col("item").alias("pre"), F.col("rate").alias("rate_a")), "pre", "left").join(b.select(F.col("item").alias("post"), F.col("rate").alias("rate_b")), "post", "left").select("pre", "post", "rate_a", "rate_b", (F.col("rate_b") - F.col("rate_a")).alias("diff"))

@@ -6,9 +6,11 @@ are never joined. The order of the rules decides, not the order of lines in a lo
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTCOMES = ("valid", "invalid_submission", "no_submission", "timeout", "oom", "crash", "infra")
@@ -45,27 +47,62 @@ MEMORY = (
 )
 
 
-def first_match(log: Column, signatures: tuple[Signature, ...]) -> Column:
-    """struct(signal, ambiguous, line) of the first signature in order that matches anywhere, or null."""
-    out = F.lit(None)
-    for s in reversed(signatures):
-        line = F.regexp_extract(log, rf"(?i)([^\n]*(?:{s.pattern})[^\n]*)", 1)
-        cut = F.when(F.char_length(F.trim(line)) > 160, F.concat(F.substring(F.trim(line), 1, 157), F.lit("..."))).otherwise(F.trim(line))
-        out = F.when(log.rlike(f"(?i){s.pattern}"), F.struct(F.lit(s.signal).alias("signal"), F.lit(s.ambiguous).alias("ambiguous"), cut.alias("line"))).otherwise(out)
-    return out
+#: The two logs, and the columns of a table of rules.
+HARNESS, AGENT = "harness", "agent"
+RULES = "log string, rank int, signal string, pattern string, ambiguous boolean"
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules above as a table, to which a user can add rows."""
+    return spark.createDataFrame([(log, k, s.signal, s.pattern, s.ambiguous) for log, signatures in ((HARNESS, INFRA), (AGENT, MEMORY)) for k, s in enumerate(signatures)], RULES)
+
+
+def signatures(rules: DataFrame, log: str) -> tuple[Signature, ...]:
+    """A log's rules in order of rank: a table that a user keeps, not one that grows with the logs."""
+    return tuple(Signature(r["signal"], r["pattern"], r["ambiguous"]) for r in rules.where(F.col("log") == log).orderBy("rank", "signal").collect())
+
+
+#: Characters of a line that are told.
+TOLD = 160
+
+
+def matches(log: Column, rules: tuple[Signature, ...]) -> Column:
+    """array of struct(rank, signal, ambiguous, place, line): the rules that match anywhere in a log, with their first place and its line.
+
+    One pattern of all rules goes through a log once; only where it matches is each rule's own place sought.
+    """
+    any_ = re.compile("|".join(f"(?:{r.pattern})" for r in rules) or r"(?!)", re.IGNORECASE)
+    each = [re.compile(r.pattern, re.IGNORECASE) for r in rules]
+
+    def line(text: str, start: int, end: int) -> str:
+        stop = text.find("\n", end)
+        whole = text[text.rfind("\n", 0, start) + 1 : stop if stop >= 0 else len(text)].strip()
+        return whole if len(whole) <= TOLD else whole[: TOLD - 3] + "..."
+
+    @F.pandas_udf("array<struct<rank: int, signal: string, ambiguous: boolean, place: int, line: string>>")
+    def search(logs: pd.Series) -> pd.Series:
+        return logs.map(lambda t: [{"rank": k, "signal": r.signal, "ambiguous": r.ambiguous, "place": m.start(), "line": line(t, *m.span())} for k, (r, p) in enumerate(zip(rules, each, strict=True)) if (m := p.search(t))] if t and any_.search(t) else [])
+
+    return search(log)
+
+
+def first_match(log: Column, rules: tuple[Signature, ...]) -> Column:
+    """struct(rank, signal, ambiguous, place, line) of the first rule in order that matches anywhere, or null."""
+    return F.array_min(matches(log, rules))
 
 
 def hit_cap(wall: Column, cap: Column) -> Column:
     return F.coalesce(wall >= cap * CAP_SHARE, F.lit(False))
 
 
-def classified(artifacts: DataFrame) -> DataFrame:
-    """artifacts with outcome, signal, detail, ambiguous and truncated.
+def classified(artifacts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """artifacts with outcome, signal, detail, ambiguous and truncated. rules (RULES) takes the place of the signatures above.
 
     Columns: harness_error, harness_log, agent_log, has_submission, submission_rows, validation_error, exit_code,
     wall_clock, time_cap.
     """
-    found = artifacts.withColumn("_infra", first_match(F.coalesce("harness_log", F.lit("")), INFRA)).withColumn("_memory", first_match(F.coalesce("agent_log", F.lit("")), MEMORY))
+    infra, memory = (INFRA, MEMORY) if rules is None else (signatures(rules, HARNESS), signatures(rules, AGENT))
+    found = artifacts.withColumns({"_infra": first_match(F.col("harness_log"), infra), "_memory": first_match(F.col("agent_log"), memory)})
     capped = hit_cap(F.col("wall_clock"), F.col("time_cap"))
     submitted = F.col("has_submission") & F.col("validation_error").isNull()
     code = F.col("exit_code")

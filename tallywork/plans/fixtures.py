@@ -67,7 +67,10 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.get(langs, (F.col("p_partkey") % 4).cast("int")).alias("task"), F.col("p_partkey").alias("team"), (F.col("p_retailprice") / 4096.0).alias("score"))
 
 
-HARNESS_LINES = ("ok", "Spot ITN received", "pod x: ErrImagePull", "write failed: No space left on device", "docker daemon is not running", "all quiet")
+HARNESS_LINES = (
+    "ok", "Spot ITN received", "GET computeMetadata/v1/instance/preempted", "Preempted by pod x on node n1", "The node was low on resource: memory", "pod x: ErrImagePull", "x FailedMount y", "docker daemon is not running",
+    "write failed: No space left on device", "all quiet",
+)
 AGENT_LINES = ("epoch 1", "RuntimeError: CUDA out of memory. Tried 2 GiB", "ResourceExhaustedError: OOM", "Killed process 77 (python) total-vm:1kB", "loss 0.3", "No space left on device", "done")
 
 
@@ -75,7 +78,7 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     pick = lambda lines, n: F.get(F.array(*map(F.lit, lines)), (F.col("event_id") % n).cast("int"))
     i = F.col("event_id")
-    harness = F.when(i % 13 == 0, pick(HARNESS_LINES, 6)).otherwise("")
+    harness = F.when(i % 13 == 0, pick(HARNESS_LINES, 10)).otherwise("")
     agent = F.concat(F.lit("start\n"), pick(AGENT_LINES, 7), F.lit("\nend"))
     code = F.when(F.col("event_type") == "error", F.when(i % 4 == 0, 137).when(i % 4 == 1, 124).when(i % 4 == 2, 1).otherwise(0)).otherwise(0)
     return e.select(
@@ -162,11 +165,11 @@ SQL = {
     "subs": "select run, task, line_no, id, raw from subs0 union all select run, task, line_no + 1, id, raw from subs0 where agent = 'dup' and doc_id % 97 = 0 union all select run, task, line_no + 1, 'x' || id, raw from subs0 where agent = 'extra' and doc_id % 101 = 0",
     "predictions": "select 'length/' || task as run, task, y, (n_chars % 1000) / 1000.0::double as p from answers",
     "leaderboard": f"select {sql_case(LANGS, 'p_partkey % 4')} as task, p_partkey as team, p_retailprice / 4096.0::double as score from part",
-    "artifacts": f"""select event_id as run, user_id as subject, event_id % 17 as item, event_id % 5 as seed, case when event_id % 101 = 0 then 'harness died' end as harness_error, case when event_id % 13 = 0 then {sql_case(HARNESS_LINES, 'event_id % 6')} else '' end as harness_log,
+    "artifacts": f"""select event_id as run, user_id as subject, event_id % 17 as item, event_id % 5 as seed, case when event_id % 101 = 0 then 'harness died' end as harness_error, case when event_id % 13 = 0 then {sql_case(HARNESS_LINES, 'event_id % 10')} else '' end as harness_log,
       'start' || chr(10) || {sql_case(AGENT_LINES, 'event_id % 7')} || chr(10) || 'end' as agent_log, event_type in ('view', 'purchase') as has_submission, case when event_id % 29 = 0 then 0 else 10 end as submission_rows, case when event_id % 31 = 0 then 'missing ids: 3' end as validation_error,
       case when event_type = 'error' then case event_id % 4 when 0 then 137 when 1 then 124 when 2 then 1 else 0 end else 0 end as exit_code, (event_id % 400)::double as wall_clock, case when event_id % 3 = 0 then 300.0::double end as time_cap,
       case when event_id % 2 = 0 then 'docker' when event_id % 7 = 0 then 'none' end as isolation from events""",
-    "found": """select *, case when harness_log = 'Spot ITN received' then 'spot-interruption' when harness_log like '%ErrImagePull%' then 'image-pull' when harness_log like 'docker daemon%' then 'docker-daemon' when harness_log like '%No space left%' then 'disk-full' end as infra_signal,
+    "found": """select *, case when harness_log = 'Spot ITN received' then 'spot-interruption' when harness_log like '%instance/preempted' then 'gcp-preemption' when harness_log like 'Preempted by pod%' then 'preemption' when harness_log like 'The node was low%' then 'node-pressure-eviction' when harness_log like '%ErrImagePull%' then 'image-pull' when harness_log like '%FailedMount%' then 'mount' when harness_log like 'docker daemon%' then 'docker-daemon' when harness_log like '%No space left%' then 'disk-full' end as infra_signal,
       case when agent_log like '%CUDA out of memory%' then 'cuda-oom' when agent_log like '%ResourceExhaustedError%' then 'tensorflow-oom' when agent_log like '%Killed process%' then 'host-oom' end as mem_signal, coalesce(wall_clock >= time_cap * 0.99::double, false) as capped from artifacts""",
     "triaged": """select *, case when harness_error is not null then 'infra' when infra_signal is not null then 'infra' when has_submission and validation_error is null and submission_rows = 0 then 'invalid_submission' when has_submission and validation_error is null then 'valid'
       when validation_error is not null then 'invalid_submission' when capped then 'timeout' when mem_signal is not null then 'oom' when exit_code = 124 then 'timeout' when exit_code = 137 then 'oom' when exit_code <> 0 then 'crash' else 'no_submission' end as outcome,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.functions import expr
+from tallywork import summaries
+from tallywork.functions import expr, shuffles
 from tallywork.operators import clustering, ctt, features, inference, irt, published, skills, subset, suites
 from tallywork.plans import fixtures as fx
 from tallywork.plans.catalog import query, rounded
@@ -117,9 +118,12 @@ def compare_matched(spark: SparkSession, d: str) -> DataFrame:
 # Skills
 
 
-@query("""select p.agent, p.challenge, count(*) as n_pairs, count(*) filter (challenged is null) as n_broken, round(avg(challenged - control), 9) as delta, bool_and(challenged is null) as broke, count(*) filter (challenged is null) between 1 and count(*) - 1 as partially_broke,
+CELLS = """select p.agent, p.challenge, count(*) as n_pairs, count(*) filter (challenged is null) as n_broken, round(avg(challenged - control), 9) as delta, bool_and(challenged is null) as broke, count(*) filter (challenged is null) between 1 and count(*) - 1 as partially_broke,
   round(max(f.p), 9) as p_value from pairs p left join (select agent, challenge, (count(*) filter (m >= abs(mean) - 1e-12) + 1.0::double) / (count(*) + 1.0::double) as p from (select agent, challenge, perm, abs(sum(case when (perm >> i::int) % 2 = 1 then -diff else diff end) / count(*)) as m, avg(diff) as mean
-    from (select *, challenged - control as diff, row_number() over (partition by agent, challenge order by unit) - 1 as i, count(*) over (partition by agent, challenge) as n from pairs where challenged is not null) u, (select unnest(range(1024)) as perm) where perm < (1 << n::int) group by all) group by all) f on f.agent = p.agent and f.challenge = p.challenge group by p.agent, p.challenge""", "pairs")
+    from (select *, challenged - control as diff, row_number() over (partition by agent, challenge order by unit) - 1 as i, count(*) over (partition by agent, challenge) as n from pairs where challenged is not null) u, (select unnest(range(1024)) as perm) where perm < (1 << n::int) group by all) group by all) f on f.agent = p.agent and f.challenge = p.challenge group by p.agent, p.challenge"""
+
+
+@query(CELLS, "pairs")
 def skill_cells(spark: SparkSession, d: str) -> DataFrame:
     out = skills.cells(fx.skill_pairs(spark, d), n_boot=BOOTS)
     return rounded(out.select("agent", "challenge", "n_pairs", "n_broken", "delta", "broke", "partially_broke", "p_value"))
@@ -138,6 +142,17 @@ def dominant_agent(spark: SparkSession, d: str) -> DataFrame:
     return skills.dominant(p.withColumn("ci_low", F.col("delta") - 0.05).withColumn("ci_high", F.col("delta") + 0.05))
 
 
+@query(f", c as ({CELLS}) select agent, challenge, agent || ' under ' || challenge || ': ' || case when broke then 'broken in all pairs' else printf('%+.3f', delta) || case when partially_broke then ', ' || n_broken || ' of ' || n_pairs || ' pairs broken' else '' end || case when p_value < 0.05 then ' *' else '' end end as line from c", "pairs")
+def skill_lines(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.skills(skills.cells(fx.skill_pairs(spark, d), n_boot=BOOTS))
+
+
+@query(", c as (select agent, challenge, avg(challenged - control) as delta, bool_and(challenged is null) as broke from pairs group by all), l as (select agent, challenge, case when broke then -1 when abs(delta) >= 0.15 then delta else 0 end as loss from c) select agent, arg_min(challenge, (round(loss, 12), challenge)) as challenge, round(min(loss), 9) as loss from l where loss < 0 group by agent", "pairs")
+def skill_hardest(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.skill_pairs(spark, d).groupBy("agent", "challenge").agg(F.avg(F.col("challenged") - F.col("control")).alias("delta"), F.bool_and(F.col("challenged").isNull()).alias("broke"))
+    return rounded(skills.hardest(p.withColumn("meaningful", F.abs("delta") >= 0.15)))
+
+
 # Classical test theory
 
 ALPHA = "(select case when var_samp(t) > 0 then {k} / ({k} - 1) * (1 - (select sum(v) from (select var_samp(rate) as v from {c} group by item)) / var_samp(t)) else 0 end from (select sum(rate) as t from {c} group by subject))"
@@ -190,8 +205,8 @@ def ladder_recovery(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ctt.ladder_recovery(c, c.where("subject <> 4").select("subject", F.col("subject").alias("rung")).distinct()))
 
 
-NULLS = f""", p as (select item, rate, row_number() over (partition by item order by subject) as place from cells), s as (select draw, subject, item, row_number() over (partition by draw, item order by {expr.uniform_sql('null', 'draw', 'item', 'subject')}, subject) as place from cells, (select unnest(range(60)) as draw)),
-c as (select draw, subject, item, rate from s join p using (item, place)), iv as (select draw, sum(v) as iv from (select draw, item, var_samp(rate) as v from c group by all) group by draw), tv as (select draw, var_samp(t) as tv from (select draw, subject, sum(rate) as t from c group by all) group by draw)
+NULLS = f""", no as (select subject, row_number() over (order by subject) - 1 as no from (select distinct subject from cells)), c as (select draw, {shuffles.permuted_sql('no', 10, 'null', 'draw', 'item')} as subject, item, rate from cells join no using (subject), (select unnest(range(60)) as draw)),
+iv as (select draw, sum(v) as iv from (select draw, item, var_samp(rate) as v from c group by all) group by draw), tv as (select draw, var_samp(t) as tv from (select draw, subject, sum(rate) as t from c group by all) group by draw)
 select round(quantile_cont(case when tv > 0 then 20.0::double / 19.0::double * (1 - iv / tv) else 0 end, 0.95), 9) as p95, count(*) as draws from iv join tv using (draw)"""
 
 
@@ -252,6 +267,12 @@ def greedy_alpha_left_out(spark: SparkSession, d: str) -> DataFrame:
     return rounded(suites.greedy(suites.leaving_one_out(fx.cells(spark, d)), 4).select("split", "step", "item"))
 
 
+@query(FREE + ", x as (select o.subject as split, c.subject, c.item, c.rate from cells c, (select distinct subject from cells) o where o.subject <> c.subject)" + greedy_sql(3, False) + " select item, count(*) as n from s group by item", "cells")
+def selection_counts(spark: SparkSession, d: str) -> DataFrame:
+    chosen = suites.greedy(suites.leaving_one_out(fx.cells(spark, d)), 3)
+    return published.selection_counts(chosen.groupBy("split").agg(F.collect_list("item").alias("items")))
+
+
 SPLITS = 6
 
 
@@ -614,6 +635,14 @@ def rank_normalise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.rank_normalised(fx.answers(spark, d), ["task"], "n_chars", "doc_id"))
 
 
+@query(", v as (select vec_id, label::double as y, list_transform(embedding, lambda x: x::double) as x from embeddings), e as (select vec_id, y, i - 1 as i, x[i] as xi from v, (select unnest(range(1, 65)) as i)), n as (select *, 64 as one from v)"
+    " select a.i, b.i as j, round(sum(a.xi * b.xi), 6) as g from e a join e b using (vec_id) where a.i <= b.i group by a.i, b.i union all select i, 64, round(sum(xi), 6) from e group by i union all select i, 65, round(sum(xi * y), 6) from e group by i union all select 64, 64, count(*) from v union all select 64, 65, round(sum(y), 6) from v".replace(", v as", "with v as", 1))
+def ridge_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of products of 64 features, of a column of ones (64) and of the target (65)."""
+    rows = fx.table(spark, d, "embeddings").select(F.array(*[F.get("embedding", F.lit(k)).cast("double") for k in range(64)], F.lit(1.0)).alias("x"), F.col("label").cast("double").alias("y"))
+    return rounded(features.gram(rows, 65).select("i", "j", F.round("g", 6).alias("g")))
+
+
 # Published tables and small filters
 
 PUBLISHED = ", pub as (select 'e' || subject as experiment, 'c' || item as competition_id, successes as medals, trials as seeds from cells where not (subject = 3 and item in (2, 5)))"

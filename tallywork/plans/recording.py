@@ -19,14 +19,14 @@ def macro_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(runs.macro_rate(fx.runs(spark, d), ["subject"]))
 
 
-@query("select subject, round(avg(medal::int::double), 9) as micro_rate, count(*) filter (medal) as medals, count(*) as submissions from runs where seed <= 4 group by subject", "runs")
+@query("select subject, round(avg(medal::int::double), 9) as micro_rate, count(*) filter (medal) as medals, count(*) as submissions from runs group by subject", "runs")
 def micro_rate(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(runs.micro_rate(fx.runs(spark, d).where("seed <= 4"), ["subject"]))
+    return rounded(runs.micro_rate(fx.runs(spark, d), ["subject"]))
 
 
-@query("select subject, round(avg(r), 9) as graded_macro_rate from (select subject, item, avg(medal::int::double) as r from runs where seed <= 4 and item % 3 <> 0 group by all) group by subject", "runs")
+@query("select subject, round(avg(r), 9) as graded_macro_rate from (select subject, item, avg(medal::int::double) as r from runs where not infra_failure group by all) group by subject", "runs")
 def graded_macro_rate(spark: SparkSession, d: str) -> DataFrame:
-    graded = fx.runs(spark, d).where("seed <= 4 and item % 3 <> 0")
+    graded = fx.runs(spark, d).where("not infra_failure")
     return rounded(graded.groupBy("subject", "item").agg(F.avg(F.col("medal").cast("double")).alias("r")).groupBy("subject").agg(F.avg("r").alias("graded_macro_rate")))
 
 
@@ -102,12 +102,10 @@ def saturation_flag(spark: SparkSession, d: str) -> DataFrame:
     return runs.saturated(_standings(spark, d).withColumn("medal_rate", F.least("medal_rate", F.lit(0.5))))
 
 
-@query("select subject + 100 as item, seed, bool_or(medal) and outcome <> 'infra' as medal, outcome = 'infra' as infra_failure from (select subject, seed, medal, case when item = 4 then 'infra' else 'valid' end as outcome, item from runs where item in (4, 5)) where item = case when seed % 2 = 0 then 4 else 5 end group by subject, seed, outcome", "runs")
+@query("select subject * 100 + item as item, seed, bool_or(medal) and not bool_or(infra_failure) as medal, bool_or(infra_failure) as infra_failure from runs group by subject, runs.item, seed", "runs")
 def medals_to_runs(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.runs(spark, d).where("item = case when seed % 2 = 0 then 4 else 5 end")
-    medals = r.groupBy((F.col("subject") + 100).alias("item"), "seed").agg(F.bool_or("medal").alias("medal"))
-    triaged = r.select((F.col("subject") + 100).alias("item"), "seed", F.when(F.col("item") == 4, "infra").otherwise("valid").alias("outcome")).distinct()
-    return runs.with_medals(triaged, medals)
+    r = fx.runs(spark, d).withColumn("item", F.col("subject") * 100 + F.col("item")).groupBy("item", "seed").agg(F.bool_or("medal").alias("medal"), F.bool_or("infra_failure").alias("ended"))
+    return runs.with_medals(r.select("item", "seed", F.when(F.col("ended"), "infra").otherwise("valid").alias("outcome")), r)
 
 
 # Grading
@@ -243,20 +241,69 @@ def swe_statuses(spark: SparkSession, d: str) -> DataFrame:
     return swe.statuses(fx.test_logs(spark, d))
 
 
-@query("""select r.run, r.run % 7 <> 0 as applied, case when r.run % 7 <> 0 then count(*) filter (kind = 'f2p' and ok) end as n_f2p, case when r.run % 7 <> 0 then count(*) filter (kind = 'p2p' and ok) end as n_p2p, r.run % 7 <> 0 and bool_and(ok) as resolved, r.run % 7 <> 0 and bool_and(ok or kind = 'p2p') and not bool_and(ok) as regressed
-from (select c.run, c.test, case when c.test = 'tests::t0' then 'f2p' else 'p2p' end as kind, coalesce(status = 'PASSED', false) as ok from (select distinct conv_id as run, unnest(['tests::t0', 'tests::t1', 'tests::t2']) as test from conversations) c left join statuses s on c.run = s.run and c.test = s.test) r group by r.run""", "statuses")
+RESOLUTION = """select r.run, r.run % 7 <> 0 as applied, case when r.run % 7 <> 0 then count(*) filter (kind = 'f2p' and ok) end as n_f2p, case when r.run % 7 <> 0 then count(*) filter (kind = 'p2p' and ok) end as n_p2p, r.run % 7 <> 0 and bool_and(ok) as resolved, r.run % 7 <> 0 and bool_and(ok or kind = 'p2p') and not bool_and(ok) as regressed
+from (select c.run, c.test, case when c.test = 'tests::t0' then 'f2p' else 'p2p' end as kind, coalesce(status = 'PASSED', false) as ok from (select distinct conv_id as run, unnest(['tests::t0', 'tests::t1', 'tests::t2']) as test from conversations) c left join statuses s on c.run = s.run and c.test = s.test) r group by r.run"""
+
+
+@query(RESOLUTION, "statuses")
 def swe_resolution(spark: SparkSession, d: str) -> DataFrame:
     out = swe.resolved(fx.test_logs(spark, d), fx.expected_tests(spark, d))
     return out.select("run", "applied", F.size("f2p_success").cast("long").alias("n_f2p"), F.size("p2p_success").cast("long").alias("n_p2p"), "resolved", "regressed")
 
 
-@query("select coalesce(b.run, a.run) as run, coalesce(b.test, a.test) as test, case when coalesce(b.status = 'PASSED', false) then case when coalesce(a.status = 'PASSED', false) then 'p2p' else 'regressed' end when coalesce(a.status = 'PASSED', false) then 'f2p' else 'other' end as kind from (select * from statuses where run % 3 <> 0) b full join (select run, test, case when (run + length(status)) % 2 = 0 then 'PASSED' else 'FAILED' end as status from statuses where run % 5 <> 0) a on a.run = b.run and a.test = b.test", "statuses")
+TRANSITIONS = "select coalesce(b.run, a.run) as run, coalesce(b.test, a.test) as test, case when coalesce(b.status = 'PASSED', false) then case when coalesce(a.status = 'PASSED', false) then 'p2p' else 'regressed' end when coalesce(a.status = 'PASSED', false) then 'f2p' else 'other' end as kind from (select * from statuses where run % 3 <> 0) b full join (select run, test, case when (run + length(status)) % 2 = 0 then 'PASSED' else 'FAILED' end as status from statuses where run % 5 <> 0) a on a.run = b.run and a.test = b.test"
+
+
+@query(TRANSITIONS, "statuses")
 def fail_to_pass(spark: SparkSession, d: str) -> DataFrame:
     s = swe.statuses(fx.test_logs(spark, d))
     after = s.where("run % 5 <> 0").withColumn("status", F.when((F.col("run") + F.length("status")) % 2 == 0, "PASSED").otherwise("FAILED"))
     return swe.transitions(s.where("run % 3 <> 0"), after)
 
 
+@query(f", t as ({TRANSITIONS}) select run, count(*) filter (kind = 'f2p') as n_f2p, count(*) filter (kind = 'regressed') as n_regressed, count(*) filter (kind = 'f2p') > 0 and count(*) filter (kind = 'regressed') = 0 as valid from t group by run", "statuses")
+def swe_instances(spark: SparkSession, d: str) -> DataFrame:
+    return swe.valid_instances(fail_to_pass(spark, d))
+
+
+STRATEGY = "case run % 5 " + " ".join(f"when {k} then '{e[0]}'" for k, e in enumerate(swe.EXPECTED)) + " end"
+WANTED = "(values " + ", ".join(f"('{name}', {str(applied).lower()}, '{summary}')" for name, applied, summary in swe.EXPECTED) + ") as w(strategy, should_apply, expected)"
+
+
+@query(f", r as ({RESOLUTION}), q as (select run, {STRATEGY} as strategy, applied, case when not applied then 'patch not applied' when resolved then 'resolved' when regressed then 'regressed' else 'not resolved' end as summary from r) select run, q.strategy, summary, expected from q join {WANTED} on q.strategy = w.strategy where summary <> expected or applied <> should_apply", "statuses")
+def swe_unexpected(spark: SparkSession, d: str) -> DataFrame:
+    out = swe.resolved(fx.test_logs(spark, d), fx.expected_tests(spark, d))
+    return swe.unexpected(out.select("run", F.expr(STRATEGY).alias("strategy"), "applied", "summary"))
+
+
+@query("select user_id as run, arg_max('f' || event_id, (ts, 'f' || event_id)) as path from events where event_id % 5 > 0 group by user_id")
+def newest_files(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    return ck.newest(e.select(F.col("user_id").alias("run"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), (F.col("event_id") % 5).alias("length"), F.col("ts").alias("modificationTime")))
+
+
+@query("select run from triaged where outcome = 'infra'", "triaged")
+def retryable_runs(spark: SparkSession, d: str) -> DataFrame:
+    return triage.retryable(triage.classified(fx.artifacts(spark, d))).select("run")
+
+
+@query(", p as (select subject, item, seed, arg_min(outcome, run) as outcome from triaged group by all) select subject, item, seed, outcome, case when (subject + item) % 3 = 0 then (subject % 7) / 8.0::double end as score, case when (subject + item) % 3 = 0 and seed % 2 = 0 then 'gold' end as medal from p", "triaged")
+def session_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    t = triage.classified(fx.artifacts(spark, d))
+    s, i = F.col("subject"), F.col("item")
+    grades = t.where((s + i) % 3 == 0).select("subject", "item", "seed", ((s % 7) / 8.0).alias("score"), F.when(F.col("seed") % 2 == 0, "gold").alias("medal"))
+    return runs.session_outcomes(t, grades)
+
+
+GATED = "case when doc_id % 4 = 0 then source || '.txt' when doc_id % 4 = 1 then source || '.CSV' else source || '.csv' end"
+
+
+@query(f"select doc_id, case when not lower({GATED}) like '%.csv' then 'not a .csv file' when doc_id % 3 = 0 then 'no file' end as reason from documents")
+def submission_gates(spark: SparkSession, d: str) -> DataFrame:
+    paths = fx.table(spark, d, "documents").select("doc_id", F.expr(GATED).alias("path"), (F.col("doc_id") % 3 != 0).alias("there"))
+    return paths.select("doc_id", grading.file_gate(F.col("path"), F.col("there")).alias("reason"))
+
+
 # Probe
 
 

@@ -80,10 +80,45 @@ def fill(delta: float | None, significant: bool) -> str:
     return (("#fee", "#fbb", "#f88", "#e44") if delta < 0 else ("#efe", "#bfb", "#8d8", "#4b4"))[strength]
 
 
-def dashboard(standings: DataFrame, skills: DataFrame | None = None, title: str = "Agents") -> str:
-    """The page of several agents: standings (subject, medal_rate, mean_percentile, valid_rate, place) and skill cells."""
+def matrix(cells: list[tuple]) -> str:
+    """Agents down, items and their seeds across: (agent, item, seed, outcome, score, medal); what didn't run is a small dot."""
+    agents, items, seeds = (sorted({c[k] for c in cells}) for k in (0, 1, 2))
+    at, out = {c[:3]: c[3:] for c in cells}, []
+    for y, agent in enumerate(agents):
+        out.append(f'<text x="0" y="{44 + 18 * y}">{escape(agent)}</text>')
+        for x, (item, seed) in enumerate((i, s) for i in items for s in seeds):
+            outcome, score, medal = at.get((agent, item, seed), (None, None, None))
+            said = f"{agent}, {item}, seed {seed}: {outcome or 'not run'}" + (f", score {score:.4f}" if score is not None else "") + (f", {medal}" if medal else "")
+            out.append(f'<circle cx="{150 + 18 * x + 10 * (x // len(seeds))}" cy="{40 + 18 * y}" r="{6 if outcome else 1.5}" fill="{COLOURS.get(outcome, "#bbb")}"><title>{escape(said)}</title></circle>')
+    out += [f'<text x="{144 + (18 * len(seeds) + 10) * k}" y="20">{escape(item)}</text>' for k, item in enumerate(items)]
+    return f'<svg width="{170 + (18 * len(seeds) + 10) * len(items)}" height="{50 + 18 * len(agents)}">{"".join(out)}</svg>'
+
+
+def meters(rows: list[tuple]) -> str:
+    """One bar an item: the share of the leaderboard that the best agent beats, and where gold begins: (item, share, gold share)."""
+    out = []
+    for k, (item, share, gold) in enumerate(rows):
+        y = 24 * k
+        out.append(f'<text x="0" y="{y + 14}">{escape(item)}</text><rect x="150" y="{y + 3}" width="300" height="14" fill="#eee"/><rect x="150" y="{y + 3}" width="{max(300 * share, 2):.1f}" height="14" fill="#2a7"><title>{escape(item)}: beats {share:.0%}</title></rect><text x="458" y="{y + 14}">{share:.0%}</text>')
+        out += [f'<line x1="{150 + 300 * gold:.1f}" x2="{150 + 300 * gold:.1f}" y1="{y}" y2="{y + 20}" stroke="#000"><title>gold</title></line>'] if gold is not None else []
+    return f'<svg width="510" height="{24 * len(rows) + 4}">{"".join(out)}</svg>'
+
+
+def dashboard(standings: DataFrame, skills: DataFrame | None = None, title: str = "Agents", outcomes: DataFrame | None = None, reached: DataFrame | None = None) -> str:
+    """The page of several agents: standings (subject, medal_rate, mean_percentile, valid_rate, place) and skill cells.
+
+    outcomes (subject, item, seed, outcome, score, medal) adds the matrix of all runs, reached (subject, item, percentile, gold)
+    the room that is left to the best agent on each item; items without a percentile aren't shown.
+    """
     rows = standings.orderBy("place").limit(MAX_ROWS).collect()
     body = [f"<h1>{escape(title)}</h1>", table(["place", "agent", "medal rate", "percentile", "valid"], [[r["place"], r["subject"], f"{r['medal_rate']:.1%}", "-" if r["mean_percentile"] is None else f"{r['mean_percentile']:.1%}", f"{r['valid_rate']:.1%}"] for r in rows])]
+    if outcomes is not None:
+        cells = [tuple(r) for r in outcomes.select("subject", "item", "seed", "outcome", "score", "medal").orderBy("subject", "item", "seed").limit(MAX_DOTS).collect()]
+        total = outcomes.count()
+        body.append((matrix(cells) if cells else "<p>No runs.</p>") + (f"<p>{total - len(cells)} more runs are not drawn.</p>" if total > len(cells) else ""))
+    if reached is not None and rows:
+        best = reached.where((F.col("subject") == rows[0]["subject"]) & F.col("percentile").isNotNull()).groupBy("item").agg(F.avg("percentile").alias("p"), F.max("gold").alias("g")).orderBy("item").limit(MAX_DOTS).collect()
+        body.append(meters([tuple(r) for r in best]) if best else "")
     if skills is not None:
         cells = skills.orderBy("agent", "challenge").limit(MAX_DOTS).collect()
         body.append("<table>" + "".join(f'<tr><td>{escape(c["agent"])}</td><td>{escape(c["challenge"])}</td><td style="background:{fill(c["delta"], c["significant"])}">{"broke" if c["broke"] else "-" if c["delta"] is None else f"{c["delta"]:+.3f}"}</td></tr>' for c in cells) + "</table>")

@@ -87,6 +87,68 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.select(F.col("run").cast("string").alias("run"), "ts", "sha").groupBy("run").transformWithStateInPandas(LastChange(), "run string, ts timestamp, sha string", "Append", "None")
 
 
+class MarkedStates(StatefulProcessor):
+    """A run's content as of each mark, told when the watermark passes the mark and only where it changed.
+
+    A run keeps the checkpoints since its last mark and one before it, the content told last and the number of its next mark,
+    for which a timer in event time is set. After its last mark a run has no state; checkpoints beyond that mark are left out.
+    """
+
+    def __init__(self, marks: tuple[int, ...]) -> None:
+        self.marks = marks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, sha string")
+        self.known = handle.getValueState("known", "started long, place int, sha string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))
+        started = int(got["started"].min().timestamp() * 1000)
+        if self.known.exists():
+            started = self.known.get()[0]
+        at = [int(t.timestamp() * 1000) for t in got["ts"]]
+        new = [(t, sha) for t, sha in zip(at, got["sha"], strict=True) if t <= started + 1000 * self.marks[-1]]
+        if new:
+            self.waiting.appendList(new)
+            if not self.known.exists():
+                self.known.update((started, 0, None))
+                self.handle.registerTimer(started + 1000 * self.marks[0])
+        yield pd.DataFrame({"run": [], "mark": [], "sha": []}).astype({"run": str, "mark": "int64", "sha": str})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        started, place, told = self.known.get()
+        rows = sorted((r[0], r[1]) for r in self.waiting.get())
+        past, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        sha = past[-1][1] if past else None
+        out = [(key[0], self.marks[place], sha)] if past and sha != told else []
+        if place + 1 < len(self.marks):
+            self.waiting.put([*past[-1:], *later])
+            self.known.update((started, place + 1, sha if past else told))
+            self.handle.registerTimer(started + 1000 * self.marks[place + 1])
+        else:
+            self.waiting.clear()
+            self.known.clear()
+        yield pd.DataFrame(out, columns=["run", "mark", "sha"]).astype({"mark": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def marked(stream: DataFrame, cap: int | None = None, marks: tuple[int, ...] = MARKS) -> DataFrame:
+    """run, mark (seconds since its start), sha of a stream (run, started, ts, sha) under a watermark on ts.
+
+    Marks are those below cap, a run's time limit, if there is one. What it gives is changed(as_of(...)) of the rows that
+    weren't late. Needs the RocksDB state store.
+    """
+    use = tuple(m for m in sorted(marks) if cap is None or m < cap)
+    if not use or use[0] <= 0:
+        raise ValueError("marks lie after a run's start and before its cap")
+    rows = stream.select(F.col("run").cast("string").alias("run"), "started", "ts", "sha")
+    return rows.groupBy("run").transformWithStateInPandas(MarkedStates(use), "run string, mark long, sha string", "Append", "EventTime")
+
+
 def live_outcomes(stream: DataFrame, outcome: Column, gap: str = "30 minutes") -> DataFrame:
     """user_id, start, end, n, outcome of a stream of events: a session is over after a gap, and outcome says what its last event type means.
 

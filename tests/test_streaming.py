@@ -55,3 +55,24 @@ def test_sessions_end_with_their_last_event(spark, small, tmp_path):
     said = F.when(F.col("last") == "error", "crash").otherwise("other")
     got = run(spark, ck.live_outcomes(events(spark, small), said), "outcomes", checkpoint=tmp_path / "c")
     assert {r["outcome"] for r in got.select("outcome").distinct().collect()} == {"crash", "other"}
+
+
+def test_marks_are_told_by_timers_and_runs_are_forgotten(spark, tmp_path):
+    """Three runs in five files, one row late: what the stream tells is what the batch tells without that row, and no state stays."""
+    import time
+
+    start = {"a": 0, "b": 600, "end": 90_000}
+    rows = [[("a", 100, "x"), ("b", 700, "p")], [("a", 1000, "y"), ("a", 1900, "y"), ("b", 1300, "q")], [("b", 5000, "q"), ("a", 4000, "z")], [("a", 200, "late"), ("b", 9000, "r")], [("end", 120_000, "beyond")]]
+    kind = "run string, started timestamp, ts timestamp, sha string"
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame([(r, start[r], at, sha) for r, at, sha in part], "run string, s long, at long, sha string").selectExpr("run", "timestamp_seconds(s) as started", "timestamp_seconds(at) as ts", "sha")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        time.sleep(1.1)
+    stream = ck.timed(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")), "10 seconds")
+    q = ck.marked(stream, 10_000).writeStream.format("memory").queryName("marked").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {(r["run"], r["mark"]): r["sha"] for r in spark.table("marked").collect()}
+    states = spark.createDataFrame([(r, at - start[r], sha) for part in rows for r, at, sha in part if sha not in ("late", "beyond")], "run string, at long, sha string")
+    marks = states.select("run").distinct().crossJoin(spark.createDataFrame([(m,) for m in ck.MARKS if m < 10_000], "mark long"))
+    assert got == {(r["run"], r["mark"]): r["sha"] for r in ck.changed(ck.as_of(states, marks)).collect()} and len(got) > 3
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0

@@ -112,6 +112,29 @@ def test_rule_order_goes_before_line_order(spark):
     assert got["signal"] == "image-pull" and got["detail"] == "pod: ImagePullBackOff" and not got["ambiguous"]
 
 
+def test_a_rule_added_as_a_row_changes_the_outcome(spark):
+    row = spark.createDataFrame([tuple((BASE | {"harness_log": f"{'x' * 300} solar\nflare\nEC2 Spot Instance Interruption Warning", "exit_code": 1}).values())], SCHEMA)
+    rules = triage.rule_table(spark)
+    mine = rules.union(spark.createDataFrame([("harness", -1, "solar", r"solar\s+flare", True)], triage.RULES))
+    before, after = one(triage.classified(row, rules)), one(triage.classified(row, mine))
+    assert before["signal"] == "spot-interruption" and one(triage.classified(row)) == before
+    assert after["outcome"] == "infra" and after["signal"] == "solar" and after["ambiguous"] and len(after["detail"]) == 160 and after["detail"].endswith("...")
+    assert one(triage.classified(row, rules.where("log = 'agent'")))["outcome"] == "crash"
+    found = row.select(triage.matches(F.col("harness_log"), triage.signatures(mine, "harness")).alias("m")).first()["m"]
+    assert [(m["signal"], m["place"]) for m in found] == [("solar", 301), ("spot-interruption", 313)]
+
+
+def test_permutations_are_bijections_and_differ(spark):
+    from tallywork.functions import shuffles
+
+    for n in (1, 2, 7, 100):
+        got = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "draw")).select("draw", "id", shuffles.permuted(F.col("id"), n, "t", "draw").alias("to")).toPandas()
+        assert all(sorted(g["to"]) == list(range(n)) for _, g in got.groupby("draw"))
+    assert got.groupby("draw")["to"].apply(tuple).nunique() == 3
+    draws = spark.range(600).select(shuffles.permuted(F.lit(2), 6, "u", "id").alias("to")).groupBy("to").count().toPandas()
+    assert len(draws) == 6 and draws["count"].between(60, 140).all()
+
+
 def test_absent_test_has_failed_and_markers_are_needed(spark):
     log = f"{swe.START}\nPASSED a\nFAILED b\nPASSED b\n{swe.END}\nFAILED a"
     logs = spark.createDataFrame([("ok", log), ("bare", "PASSED a"), ("nopatch", f"{swe.NO_PATCH}\n{log}")], "run string, log string")
@@ -322,6 +345,11 @@ def test_rounding_is_pythons(spark):
     xs = [0.123455, 2.675, 0.5, None, 1e-9, -0.123455]
     got = [r["r"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(rounded(F.col("x")).alias("r")).collect()]
     assert got == [None if x is None else round(x, 5) for x in xs]
+    g = np.random.default_rng(8)
+    halves = (g.integers(-(10**7), 10**7, 60_000) + 0.5) / 1e5
+    many = np.concatenate([halves, np.nextafter(halves, np.inf), np.nextafter(halves, -np.inf), g.normal(size=60_000) * 10.0 ** g.integers(-7, 12, 60_000), g.integers(-(2**40), 2**40, 20_000) / 2.0**17, [1e300, -1e300, 5e-324, float("inf"), 2.0**53]])
+    got = spark.createDataFrame(pd.DataFrame({"x": many})).select("x", rounded(F.col("x")).alias("r")).toPandas()
+    assert (got["r"].to_numpy() == np.array([round(v, 5) for v in got["x"].tolist()])).all()
 
 
 def test_published_tables(spark):
@@ -406,3 +434,28 @@ def test_strategies_must_come_out_as_expected(spark):
     rows = [("r1", "gold", True, "resolved"), ("r2", "noop", True, "not resolved"), ("r3", "broken", False, "patch not applied"), ("r4", "regressive", True, "resolved")]
     got = swe.unexpected(spark.createDataFrame(rows, "run string, strategy string, applied boolean, summary string")).collect()
     assert [(r["run"], r["expected"]) for r in got] == [("r4", "regressed")]
+
+
+def test_dashboard_draws_the_matrix_and_the_headroom(spark):
+    from tallywork import report
+
+    standings = spark.createDataFrame([("a<b", 0.5, 0.75, 1.0, 1), ("c", 0.25, None, 0.5, 2)], "subject string, medal_rate double, mean_percentile double, valid_rate double, place int")
+    outcomes = spark.createDataFrame([("a<b", "i1", 0, "valid", 0.5, "gold"), ("a<b", "i1", 1, "crash", None, None), ("c", "i2", 0, "oom", None, None)], "subject string, item string, seed int, outcome string, score double, medal string")
+    reached = spark.createDataFrame([("a<b", "i1", 0.75, 0.9), ("a<b", "i2", None, 0.8), ("c", "i1", 0.1, 0.9)], "subject string, item string, percentile double, gold double")
+    page = report.dashboard(standings, None, "T", outcomes, reached)
+    assert page.count("<circle") == 8 and "a&lt;b, i1, seed 0: valid, score 0.5000, gold" in page and "c, i1, seed 1: not run" in page and "a<b" not in page
+    assert "i1: beats 75%" in page and "i2: beats" not in page and 'x1="420.0"' in page
+    assert "No runs." in report.dashboard(standings, None, "T", outcomes.limit(0)) and "<svg" not in report.dashboard(standings)
+
+
+def test_results_read_as_lines(spark):
+    from tallywork import summaries
+
+    row = "n_units long, difference double, p_value double, ci_low double, ci_high double, significant boolean, underpowered boolean, regression boolean, warnings string"
+    made = spark.createDataFrame([(12, -0.25, 0.01, -0.4, -0.1, True, False, True, "fewer than 3 seeds")], row)
+    assert one(summaries.compared(made, 0.1))["line"] == "-0.250 [90% interval -0.400 to -0.100], p = 0.0100 over 12 units: a regression (fewer than 3 seeds)"
+    assert one(summaries.powered(spark.createDataFrame([(-0.1, 0.75)], "effect double, power double")))["line"] == "effect -0.100: found in 75.0% of experiments"
+    assert one(summaries.estimates(spark.createDataFrame([("random", "pirt", 8, 0.0125, 0.05, -0.001)], "selector string, estimator string, k int, mae double, max_error double, bias double")))["line"] == "random of 8, pirt: off by 1.25% on average, 5.00% at worst, bias -0.10%"
+    good = spark.createDataFrame([(i, j, 1.0 if i >= j else 0.0, 3.0) for i in range(12) for j in range(12)], "subject long, item long, rate double, trials double")
+    assert one(summaries.suites(ctt.report(good, 10, 20)))["line"].startswith("12 items, 12 subjects: reliability 0.9") and "dead: 1" in one(summaries.suites(ctt.report(good, 10, 20)))["line"]
+    assert one(summaries.attenuations(irt.attenuated(spark.createDataFrame([("0", 0.5, 0.75, 0.25)], "draw string, slope double, ability_recovery double, difficulty_recovery double"))))["line"] == "slopes come back at 0.500 of their size (sd 0.000), abilities at r = 0.750, difficulties at r = 0.250, over 1 draws"
