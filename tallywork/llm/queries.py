@@ -168,13 +168,14 @@ from p left join f on p.digest = f.digest
 """
 
 OP7_SQL = f"""
-with p as (select page_id, url, regexp_replace(regexp_extract(lower(coalesce(url, '')), '{urllists.HOST}', 1), '\\.$', '') as host, date '2024-01-01' + (('0x' || substr(md5(page_id::varchar), 1, 4))::bigint % 730)::int as fetched,
-  [replace(replace(url_decode(s), '%', '%25'), '/', '%2F') for s in string_split(regexp_extract(coalesce(url, ''), '(?i){urllists.PATH}', 1), '/') if s <> ''] as path from pages),
+with p as (select *, list_reduce([[]::varchar[]] || [[s] for s in raw], lambda done, s: case when s[1] = '.' then done when s[1] = '..' then done[:greatest(len(done) - 1, 0)] else done || s end) as path from (
+  select page_id, url, regexp_replace(regexp_extract(lower(bare), '{urllists.HOST}', 1), '\\.$', '') as host, date '2024-01-01' + (('0x' || substr(md5(page_id::varchar), 1, 4))::bigint % 730)::int as fetched,
+  [replace(replace(url_decode(s), '%', '%25'), '/', '%2F') for s in string_split(regexp_extract(bare, '(?i){urllists.PATH}', 1), '/') if s <> ''] as raw from (select *, trim(coalesce(url, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from pages))),
 entries as (select host as entry from p where host <> '' union select host || '/' || regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) from p where host <> '' and regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) <> ''),
 e as (select list, entry, md5(list || '|' || entry || '|' || k) as h from entries, (select unnest(['malware', 'adult', 'spam']) as list), (select unnest(range({EVENTS})) as k)),
 events as (select list, entry, date '2023-01-01' + (('0x' || substr(h, 3, 4))::bigint % 1000)::int as day, max(case when ('0x' || substr(h, 7, 1))::bigint < 10 then 'add' else 'remove' end) as action
   from e where ('0x' || substr(h, 1, 1))::bigint < 4 group by all),
-hosts as (select page_id, fetched, path, unnest([array_to_string(labels[k:], '.') for k in range(1, greatest(1, len(labels) - 1)::int + 1)]) as host from (select *, string_split(host, '.') as labels from p where host <> '')),
+hosts as (select page_id, fetched, path, unnest([array_to_string(labels[k:], '.') for k in range(1, len(labels)::int + 1)]) as host from (select *, string_split(host, '.') as labels from p where host <> '')),
 keys as (select page_id, fetched, host || unnest([case when s = 0 then '' else '/' || array_to_string(path[:s], '/') end for s in range(0, len(path)::int + 1)]) as entry from hosts),
 state as (select page_id, k.entry, list, arg_max(action, day) as action from keys k join events v on k.entry = v.entry and v.day <= fetched group by all),
 m as (select page_id, count(*) as n, min((list, entry)) as first from state where action = 'add' group by page_id)

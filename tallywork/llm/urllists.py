@@ -2,11 +2,12 @@
 
 A list is a table of dated events that add or remove an entry, a host (with all below it) or a host and path prefix.
 Events become validity intervals: from an addition to the next removal. A capture is looked up under its host, each
-parent domain, and each with its leading path segments, as long as the longest entries of the lists are; what is active
+parent domain down to a single label, and each with its leading path segments, as long as the longest entries of the lists are; what is active
 at its fetch time applies.
 
 URLs and entries are compared in one form: scheme, user, port, query and fragment left out, the host in small letters
-without a last dot, path segments decoded from per-cent escapes, empty ones left out. The case of a path matters. A slash
+without a last dot, path segments decoded from per-cent escapes, empty ones left out, "." and ".." walked, white space
+around it dropped. Hosts in other scripts are compared as written: Unicode and Punycode forms of one name differ. The case of a path matters. A slash
 or per-cent sign that was escaped stays escaped, so it parts no segments; a segment of broken escapes stays as it is.
 
 Intervals are cut at month ends, from the month of the first fetch to that of the last, and joined on (entry, month), so
@@ -33,7 +34,12 @@ PATH = rf"^{SCHEME}[^/?#]*([^?#]*)"
 
 def host_of(url: Column) -> Column:
     """The host in small letters without a last dot, or nothing."""
-    return F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), HOST, 1), r"\.$", "")
+    return F.regexp_replace(F.regexp_extract(F.lower(bare(url)), HOST, 1), r"\.$", "")
+
+
+def bare(url: Column) -> Column:
+    """A URL without white space around it, nothing for null."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
 def segments(path: Column) -> Column:
@@ -43,11 +49,15 @@ def segments(path: Column) -> Column:
         decoded = F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
         return F.replace(F.replace(decoded, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
 
-    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), plain)
+    def walked(done: Column, s: Column) -> Column:
+        return F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s))
+
+    plain_ = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), plain)
+    return F.when(F.exists(plain_, lambda s: s.isin(".", "..")), F.aggregate(plain_, F.array().cast("array<string>"), walked)).otherwise(plain_)
 
 
 def path_of(url: Column) -> Column:
-    return segments(F.regexp_extract(F.coalesce(url, F.lit("")), f"(?i){PATH}", 1))
+    return segments(F.regexp_extract(bare(url), f"(?i){PATH}", 1))
 
 
 def entry_of(text: Column) -> Column:
@@ -61,14 +71,14 @@ def longest(events: DataFrame) -> tuple[int, int]:
     """Most labels of a host and most path segments in any entry."""
     host, path = F.substring_index("entry", "/", 1), F.size(F.split("entry", "/")) - 1
     labels, steps = events.where("entry is not null").agg(F.max(F.size(F.split(host, r"\."))), F.max(path)).first()
-    return max(labels or 0, 2), steps or 0
+    return max(labels or 0, 1), steps or 0
 
 
 def entries_of(host: Column, path: Column, most_labels: int, most_segments: int) -> Column:
-    """What a capture is looked up under: each suffix of its host of two labels or more, alone and with leading path segments, up to the longest entry."""
+    """What a capture is looked up under: each suffix of its host, alone and with leading path segments, up to the longest entry."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(most_labels)))), lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."))
+    hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most_labels))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     tails = F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(most_segments))), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, 1, F.greatest(k, F.lit(1))), "/"))))
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda t: F.concat(h, t)))))
 

@@ -350,3 +350,15 @@ def test_a_long_name_of_a_tag_takes_no_square_of_time():
     began = time.perf_counter()
     Page("<" + "a" * 1_000_000 + ' "x >').main_text()
     assert time.perf_counter() - began < 3
+
+
+def test_captures_meet_entries_of_one_label_and_walk_dots(spark):
+    import datetime
+
+    from tallywork.llm import urllists
+
+    day = datetime.date(2024, 5, 1)
+    events = spark.createDataFrame([("l", e, datetime.date(2024, 1, 1), "add") for e in ("zip", "x.org/adult")], "list string, entry string, day date, action string")
+    urls = ["http://a.b.zip/x", "http://zip/", "  http://c.zip\n", "http://zipper/", "http://x.org/p/../adult/x", "http://x.org/./adult", "http://x.org/../adult", "http://x.org/adult/..", "http://x.org/p/adult"]
+    got = urllists.judged(spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched date"), events)
+    assert [r["entry"] for r in got.orderBy("page_id").collect()] == ["zip", "zip", "zip", None, *["x.org/adult"] * 3, None, None]
