@@ -26,8 +26,11 @@ from tallywork.llm.common import stored
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a worker remembers; beyond that it forgets all. This bounds memory and alters no result.
-REMEMBERED = 700_000
+#: Bytes of words and ids, with OVERHEAD for each, that a worker remembers as new and again as old; when the new ones are full
+#: they become the old ones, which are forgotten but for those that occur again. This bounds memory and alters no result.
+REMEMBERED, OVERHEAD = 24 << 20, 150
+#: Texts given to the tokenizer at once.
+AT_ONCE = 2000
 #: Characters of texts that are tokenized together.
 TOGETHER = 1 << 20
 #: How a byte-level vocabulary writes a space and a line end.
@@ -56,12 +59,14 @@ class Words:
         for blank, sign in BLANKS.items():
             self.begin[blank][[i for t, i in vocabulary.items() if t.startswith(sign)]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         self.tails: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for k in range(0, len(texts), AT_ONCE) for x in self.inner.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
 
     def raw_words(self, words: list[str], blank: str) -> list[bytes]:
         """What a blank and each word of letters give: one text of all, cut where tokens begin with the blank."""
@@ -76,11 +81,13 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         """Makes known what each of the words gives, after a space unless it begins with a line end."""
-        known, tails = self.known, self.tails
-        if len(known) > REMEMBERED:
-            known.clear()
+        if self.held > REMEMBERED:
+            self.old, self.known, self.held = self.known, {}, 0
+        known, old, tails = self.known, self.old, self.tails
+        again = {w: old[w] for w in words if w in old}
+        known.update(again)
         composed, spaced, lined, odd = [], set(), set(), []
-        for w in words:
+        for w in words - again.keys():
             core = w.rstrip(PUNCTUATION)
             if core.isalpha():
                 spaced.add(core)
@@ -100,6 +107,9 @@ class Words:
         tails.update(zip(rest, self.raw(rest), strict=True))
         for w, core, tail in composed:
             known[w] = known[core] + tails[tail]
+        self.held += sum(map(len, words)) + sum(len(known[w]) for w in words) + OVERHEAD * len(words)
+        if len(tails) > AT_ONCE:
+            tails.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
