@@ -73,6 +73,18 @@ def test_words_put_together_are_the_tokenizers_ids():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_forgotten_and_very_long_words_have_the_same_ids(monkeypatch):
+    """A memory of a few words, and words of 30,000 characters that occur once or again."""
+    monkeypatch.setattr(packing, "REMEMBERED", 2000)
+    w, t = packing.Words(queries.tokenizer_path()), tokenizer()
+    g = random.Random(5)
+    long_ = ["".join(g.choice("abcxyz019") for _ in range(30_000)) for _ in range(6)]
+    some = [" ".join(g.choice([*long_, *(f"w{i}" for i in range(200)), "plain", "words,", "again."]) for _ in range(g.randrange(1, 40))) for _ in range(30)]
+    for text in some:
+        assert np.frombuffer(w.ids([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(w.known) + len(w.old) < 200
+
+
 # Mixing
 
 
