@@ -1,6 +1,10 @@
 """Documents to packed training sequences: quality rules, near-duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
+
+Odd rows: a null, empty or blank text has no words, so the quality rules reject it. Rows of equal or null doc_id are documents
+of their own; one of each group of near copies stays. Texts are read whole, however long. Columns besides those of documents
+are carried along, whatever their names, up to the last stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
