@@ -28,7 +28,7 @@ WINDOW = 2048
 END = 1
 #: Bytes of words and ids, with OVERHEAD for each, that a worker remembers as new and again as old; when the new ones are full
 #: they become the old ones, which are forgotten but for those that occur again. This bounds memory and alters no result.
-REMEMBERED, OVERHEAD = 24 << 20, 150
+REMEMBERED, OVERHEAD = 48 << 20, 150
 #: Texts given to the tokenizer at once.
 AT_ONCE = 2000
 #: Characters of texts that are tokenized together.
@@ -84,10 +84,10 @@ class Words:
         if self.held > REMEMBERED:
             self.old, self.known, self.held = self.known, {}, 0
         known, old, tails = self.known, self.old, self.tails
-        again = {w: old[w] for w in words if w in old}
-        known.update(again)
+        again = words & old.keys() if old else set()
+        known.update((w, old[w]) for w in again)
         composed, spaced, lined, odd = [], set(), set(), []
-        for w in words - again.keys():
+        for w in words - again if again else words:
             core = w.rstrip(PUNCTUATION)
             if core.isalpha():
                 spaced.add(core)
@@ -107,7 +107,8 @@ class Words:
         tails.update(zip(rest, self.raw(rest), strict=True))
         for w, core, tail in composed:
             known[w] = known[core] + tails[tail]
-        self.held += sum(map(len, words)) + sum(len(known[w]) for w in words) + OVERHEAD * len(words)
+        # A word has no more ids than bytes; most have one for some letters.
+        self.held += 2 * sum(map(len, words)) + OVERHEAD * len(words)
         if len(tails) > AT_ONCE:
             tails.clear()
 
