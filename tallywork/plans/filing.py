@@ -35,12 +35,11 @@ def nations(spark: SparkSession, d: str) -> list[dict]:
 
 @query("select 'set-' || subject as run_set, 'split-' || (subject % 2) as split_id, 'default' as container_config, count(*) as n, sum(medal::int)::bigint as medals, sum(infra_failure::int)::bigint as infra, sum(seed)::bigint as seeds from runs group by subject", "runs")
 def file_run_sets(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON document a subject, medal and any_medal in turns, read as run sets (SRC-01)."""
+    """JSON documents by subject, medal and any_medal in turns, read as run sets (SRC-01)."""
     where = folder(spark, "run-sets")
     r = fx.runs(spark, d)
     one = F.struct(F.concat(F.lit("t"), F.col("item")).alias("competition_id"), F.col("seed"), F.when(F.col("item") % 2 == 0, F.col("medal")).alias("medal"), F.when(F.col("item") % 2 == 1, F.col("medal")).alias("any_medal"), F.when(F.col("infra_failure"), True).alias("infra_failure"))
-    docs = r.groupBy("subject").agg(F.to_json(F.struct(F.concat(F.lit("set-"), F.col("subject")).alias("label"), F.struct(F.concat(F.lit("split-"), F.col("subject") % 2).alias("split_id")).alias("fingerprint"), F.collect_list(one).alias("runs"))).alias("value"))
-    docs.write.partitionBy("subject").text(where)
+    sinks.write_run_sets(r.select(F.concat(F.lit("set-"), F.col("subject")).alias("run_set"), F.concat(F.lit("split-"), F.col("subject") % 2).alias("split_id"), F.lit(None).cast("string").alias("container_config"), one.alias("run")), where)
     got = files.run_sets(spark, where)
     return got.groupBy("run_set", "fingerprint.split_id", "fingerprint.container_config").agg(F.count("*").alias("n"), F.count_if("medal").alias("medals"), F.count_if("infra_failure").alias("infra"), F.sum("seed").cast("long").alias("seeds"))
 

@@ -4,6 +4,7 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywork.operators import triage
 from tallywork.sources import files, sinks
@@ -85,3 +86,14 @@ def test_six_decimals_and_no_overwriting(spark, tmp_path):
     assert ["id,y", "1,0.123457"] in lines and all(x[:1] == ["id,y"] for x in lines)
     with pytest.raises(Exception):
         sinks.write_csv(rows, str(tmp_path / "out"))
+
+
+def test_large_run_sets_become_several_documents(spark, tmp_path):
+    rows = [("big", "s", "gpu", k % 7, k % 3) for k in range(500)] + [('odd "}"\\/', "s", None, 1, 0)] * 2 + [("small", "t", None, k, 0) for k in range(5)]
+    df = spark.createDataFrame(rows, "run_set string, split_id string, container_config string, item long, seed int").repartition(3)
+    run = F.struct(F.col("item").cast("string").alias("competition_id"), "seed", F.lit(True).alias("medal"))
+    sinks.write_run_sets(df.select("run_set", "split_id", "container_config", run.alias("run")), str(tmp_path / "sets"), 50)
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "sets").rglob("part-*")]
+    assert [sum(d["label"] == s for d in docs) for s in ("big", rows[500][0], "small")] == [10, 1, 1] and max(len(d["runs"]) for d in docs) < 100
+    back = files.run_sets(spark, str(tmp_path / "sets")).selectExpr("run_set", "fingerprint.split_id", "fingerprint.container_config", "cast(item as long)", "seed").collect()
+    assert sorted(map(tuple, back)) == sorted((a, b, c or "default", i, k) for a, b, c, i, k in rows)
