@@ -45,7 +45,8 @@ def denominators(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shared_items(a: DataFrame, b: DataFrame) -> DataFrame:
-    return gradeable(a).select("item").intersect(gradeable(b).select("item"))
+    """Items that both sides have; each side's are made distinct where they lie, so no task gets all runs of an item."""
+    return gradeable(a).select("item").distinct().intersect(gradeable(b).select("item").distinct())
 
 
 def dropped_items(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -459,3 +459,11 @@ def test_results_read_as_lines(spark):
     good = spark.createDataFrame([(i, j, 1.0 if i >= j else 0.0, 3.0) for i in range(12) for j in range(12)], "subject long, item long, rate double, trials double")
     assert one(summaries.suites(ctt.report(good, 10, 20)))["line"].startswith("12 items, 12 subjects: reliability 0.9") and "dead: 1" in one(summaries.suites(ctt.report(good, 10, 20)))["line"]
     assert one(summaries.attenuations(irt.attenuated(spark.createDataFrame([("0", 0.5, 0.75, 0.25)], "draw string, slope double, ability_recovery double, difficulty_recovery double"))))["line"] == "slopes come back at 0.500 of their size (sd 0.000), abilities at r = 0.750, difficulties at r = 0.250, over 1 draws"
+
+
+def test_each_side_of_shared_items_is_distinct_before_they_meet(spark):
+    df = spark.createDataFrame([(k % 3, k % 11 == 0) for k in range(100)] + [(7, True), (8, False)], "item int, infra_failure boolean")
+    found = runs.shared_items(df.where("item < 8"), df.where("item > 0"))
+    assert sorted(r["item"] for r in found.collect()) == [1, 2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2
