@@ -56,10 +56,10 @@ def file_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select 'a' || subject as label, count(*) as n, sum(medal::int)::bigint as medals, sum(infra_failure::int)::bigint as infra from runs where subject = 3 group by subject", "runs")
 def file_run_set_written(spark: SparkSession, d: str) -> DataFrame:
-    """A run set written as one document and read back (SNK-04)."""
+    """A run set written as documents and read back (SNK-04)."""
     where = folder(spark, "run-set")
     mine = fx.runs(spark, d).where("subject = 3").select(F.col("item").cast("string").alias("item"), F.col("seed").cast("int").alias("seed"), "medal", "infra_failure")
-    sinks.run_set_document(mine, "a3", "s", "docker").write.text(where)
+    sinks.write_run_sets(mine.select(F.lit("a3").alias("run_set"), F.lit("s").alias("split_id"), F.lit("docker").alias("container_config"), sinks.documented().alias("run")), where)
     return files.run_sets(spark, where).groupBy(F.col("run_set").alias("label")).agg(F.count("*").alias("n"), F.count_if("medal").alias("medals"), F.count_if("infra_failure").alias("infra"))
 
 

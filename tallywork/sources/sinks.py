@@ -30,16 +30,16 @@ def verdicts(artifacts: DataFrame, grades: DataFrame) -> DataFrame:
     return artifacts.join(last, ["item", "seed"], "left").withColumn("validation_error", F.when(F.col("was_graded"), F.col("latest")).otherwise(F.col("validation_error"))).drop("latest", "was_graded")
 
 
-def write_run_sets(runs: DataFrame, path: str, most: int = RUNS) -> None:
+def write_run_sets(runs: DataFrame, path: str, most: int | None = None) -> None:
     """Run sets (run_set, split_id, container_config, and run, a struct as the format has it) as JSON documents, a file each.
 
-    A run set of more than most runs becomes several documents of one label and fingerprint, dealt by a hash of their place,
+    A run set of more than most (RUNS) runs becomes several documents of one label and fingerprint, dealt by a hash of their place,
     which files.run_sets reads as one run set. A document is written line by line out of a sort, so no row and no task holds
     more than one run of it; a document of some most runs is all that a reader needs to hold.
     """
     head = ["run_set", "split_id", "container_config"]
     placed = runs.select(*head, "run", F.monotonically_increasing_id().alias("_id"))
-    sizes = runs.groupBy(*head).agg(F.ceil(F.count("*") / F.lit(most)).alias("_parts"))
+    sizes = runs.groupBy(*head).agg(F.ceil(F.count("*") / F.lit(most or RUNS)).alias("_parts"))
     dealt = ordering.matched(placed, sizes, head).select(*head, "run", "_id", F.xxhash64(*head).alias("set"), F.pmod(F.xxhash64("_id"), F.col("_parts")).alias("part"))
     within = Window.partitionBy("set", "part").orderBy("run", "_id")
     begin = F.concat(_head(F.col("run_set"), F.col("split_id"), F.col("container_config")), F.lit(', "runs": [\n'))
@@ -54,10 +54,14 @@ def _head(label: Column, split_id: Column, container_config: Column) -> Column:
     return F.regexp_replace(known, r"\}$", "")
 
 
+def documented() -> Column:
+    """A run (item, seed, medal, infra_failure) as documents have it."""
+    return F.struct(F.col("item").alias("competition_id"), "seed", F.col("medal").alias("any_medal"), "infra_failure")
+
+
 def run_set_document(runs: DataFrame, label: str, split_id: str, container_config: str) -> DataFrame:
     """One row, value: a run set as JSON, for few runs; write_run_sets takes any number."""
-    rows = F.sort_array(F.collect_list(F.struct("item", "seed", F.col("medal"), "infra_failure")))
-    body = F.transform(rows, lambda r: F.struct(r["item"].alias("competition_id"), r["seed"].alias("seed"), r["medal"].alias("any_medal"), r["infra_failure"].alias("infra_failure")))
+    body = F.sort_array(F.collect_list(documented()))
     return runs.agg(F.to_json(F.struct(F.lit(label).alias("label"), F.struct(F.lit(split_id).alias("split_id"), F.lit(container_config).alias("container_config")).alias("fingerprint"), body.alias("runs"))).alias("value"))
 
 

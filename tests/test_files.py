@@ -97,3 +97,15 @@ def test_large_run_sets_become_several_documents(spark, tmp_path):
     assert [sum(d["label"] == s for d in docs) for s in ("big", rows[500][0], "small")] == [10, 1, 1] and max(len(d["runs"]) for d in docs) < 100
     back = files.run_sets(spark, str(tmp_path / "sets")).selectExpr("run_set", "fingerprint.split_id", "fingerprint.container_config", "cast(item as long)", "seed").collect()
     assert sorted(map(tuple, back)) == sorted((a, b, c or "default", i, k) for a, b, c, i, k in rows)
+
+
+def test_no_document_of_a_written_run_set_grows_with_it(spark, tmp_path, monkeypatch):
+    from tallywork.plans import filing
+
+    d = spark.createDataFrame([(3, k % 20, k % 7, 5.0, 0.0, 0.0) for k in range(400)], "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    d.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(filing, "folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(sinks, "RUNS", 40)
+    assert [r["n"] for r in filing.file_run_set_written(spark, str(tmp_path)).collect()] == [400]
+    sizes = [len(json.loads(p.read_text())["runs"]) for p in (tmp_path / "run-set").rglob("part-*")]
+    assert sum(sizes) == 400 and max(sizes) < 100
