@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Key = Column | str | int
@@ -30,19 +31,12 @@ def sign(seed: str, *keys: Key) -> Column:
     return F.when(uniform(seed, *keys) < 0.5, -1.0).otherwise(1.0)
 
 
-#: Bits of one md5, and how many of them one row of a resampling plan carries.
+#: Bits of one md5, and how many of them make a word.
 DIGEST_BITS, LANE = 128, 32
 
 
-def lane_bits(seed: str, lane: str, *keys: Key) -> Column:
-    """LANE bits for the keys as a long, bit k of them for number LANE * lane + k; DIGEST_BITS / LANE lanes share an md5."""
-    per = DIGEST_BITS // LANE
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.floor(F.col(lane) / per).cast("string"), *map(_col, keys)).cast("binary"))
-    return F.conv(F.substring(digest, (F.col(lane) % per * (LANE // 4) + 1).cast("int"), F.lit(LANE // 4)), 16, 10).cast("long")
-
-
 def lane_bits_sql(seed: str, lane: str, *keys: str) -> str:
-    """lane_bits() in DuckDB's SQL."""
+    """The word that signs() takes for a lane in DuckDB's SQL."""
     per = DIGEST_BITS // LANE
     return f"('0x' || substr(md5(concat_ws('|', '{seed}', {lane} // {per}, {', '.join(keys)})), ({lane} % {per} * {LANE // 4} + 1)::int, {LANE // 4}))::bigint"
 
@@ -54,20 +48,24 @@ POISSON = tuple(t for k in range(12) if (t := int(2**POISSON_BITS * sum(math.exp
 WEIGHTS = DIGEST_BITS // POISSON_BITS
 
 
-def poisson_weighted(rows: DataFrame, names: list[str], seed: str, lane: str, *keys: Key) -> DataFrame:
-    """Adds WEIGHTS Poisson numbers of mean 1 for the keys, under names, for the numbers from WEIGHTS * lane on.
+def digests(seed: str, first: Column, n: int, *keys: Key) -> Column:
+    """The md5 of seed, number and keys for n numbers from first on, one after the other as bytes."""
+    return F.unhex(F.concat(*[F.md5(F.concat_ws("|", F.lit(seed), (first + j).cast("string"), *map(_col, keys)).cast("binary")) for j in range(n)]))
+
+
+def signs(digest: np.ndarray) -> np.ndarray:
+    """Rows of digests (bytes) as 1 and -1, DIGEST_BITS a digest; number LANE * lane + k has bit k of the lane's 32-bit word."""
+    words = digest.reshape(len(digest), -1, LANE // 8)[:, :, ::-1]
+    return 1.0 - 2.0 * np.unpackbits(words.reshape(len(digest), -1), axis=1, bitorder="little")
+
 
-    In steps of their own, so that each row's md5 is made once and cut into four words of two numbers each.
-    """
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(lane).cast("string"), *map(_col, keys)).cast("binary"))
-    words = {f"_word{k}": F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("long") for k in range(WEIGHTS // 2)}
-    halves = {f"_half{k}": F.shiftright(f"_word{k // 2}", POISSON_BITS * (1 - k % 2)).bitwiseAND(F.lit(2**POISSON_BITS - 1)) for k in range(WEIGHTS)}
-    weights = {name: reduce(lambda a, b: a + b, [(F.col(f"_half{k}") >= t).cast("int") for t in POISSON]) for k, name in enumerate(names)}
-    return rows.withColumn("_digest", digest).withColumns(words).withColumns(halves).withColumns(weights).select(*rows.columns, *names)
+def weights(digest: np.ndarray) -> np.ndarray:
+    """Rows of digests (bytes) as Poisson numbers of mean 1, WEIGHTS a digest."""
+    return np.searchsorted(POISSON, np.arange(2**POISSON_BITS), "right").astype(np.float64)[digest.view(">u2")]
 
 
 def poisson_sql(seed: str, number: str, *keys: str) -> str:
-    """The number-th of poisson_weights() in DuckDB's SQL."""
+    """The number-th of weights() in DuckDB's SQL."""
     word = f"('0x' || substr(md5(concat_ws('|', '{seed}', {number} // {WEIGHTS}, {', '.join(keys)})), ({number} % {WEIGHTS} * 4 + 1)::int, 4))::int"
     return f"len(list_filter({list(POISSON)}, lambda t: t <= {word}))"
 

@@ -6,13 +6,17 @@ one is used at every effect size.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tallywork.functions import expr, ordering
+from tallywork.sources.shared import stored
 
 EXACT_UP_TO = 15
 TOLERANCE = 1e-12
@@ -25,20 +29,53 @@ def sized(diffs: DataFrame, keys: list[str]) -> DataFrame:
     return ordering.matched(diffs, diffs.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("diff").alias("mean_diff")), keys)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt by unit over all shuffle partitions: each row is about to become hundreds, which its own size doesn't tell.
+#: Draws that one row of a resampling plan carries, and units of a group that are dealt together.
+WIDTH, DEALT = 256, 1024
 
-    By a hash of the unit, since rows that lie together by unit already would be left in the few partitions of their size.
+
+def drawn(known: DataFrame, group: list[str], n: int, seed: str, each: int, decode: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """group, number, total, weight for n draws of each group: over its units, the sums of diff times factor and of factor.
+
+    known has group, unit, diff and n_units. A unit's factors come from its digests, which are made in columns: each draws a
+    digest, and decode makes factors of rows of digests. Batches of rows add up to a partial sum a group and draw, those to the
+    group's, so no row and no task holds the units of a large group; small groups are dealt whole.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("unit"))
+    per = min(WIDTH // each, -(-n // each))
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.repartition(parts, *group, F.pmod(F.xxhash64("unit"), F.ceil(F.col("n_units") / F.lit(DEALT))))
+    rows = dealt.select(*group, F.coalesce(F.col("diff").cast("double"), F.lit(0.0)).alias("diff"), "unit", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // (per * each)))).alias("chunk"))
+    hashed = rows.select(*group, "chunk", "diff", expr.digests(seed, F.col("chunk") * per, per, "unit").alias("digests"))
+    by = [*group, "chunk"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.zeros(b.num_rows, np.int64)
+            for k in by:
+                one = b.column(k).dictionary_encode("encode")
+                code = np.unique(code * len(one.dictionary) + one.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            _, first, sizes = np.unique(code, return_index=True, return_counts=True)
+            order, ends = np.argsort(code, kind="stable"), np.cumsum(sizes)
+            factors = decode(np.frombuffer(b"".join(b.column("digests").to_pylist()), np.uint8).reshape(b.num_rows, -1))
+            diff = b.column("diff").to_numpy(zero_copy_only=False)
+            if len(first) > 1:
+                factors, diff = factors[order], diff[order]
+            spans = list(zip(ends - sizes, ends, strict=True))
+            sums = [pa.array([x for s, e in spans for x in [(diff[s:e] @ factors[s:e]) if k else factors[s:e].sum(axis=0)]], pa.list_(pa.float64())) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(first)) for k in by] + sums, [*by, "total", "weight"])
+
+    schema = StructType([hashed.schema[k] for k in by] + [StructField(k, ArrayType(DoubleType())) for k in ("total", "weight")])
+    sums = hashed.mapInArrow(add, schema).select(*by, F.posexplode(F.arrays_zip("total", "weight")).alias("at", "s"))
+    numbered = sums.select(*group, (F.col("chunk") * (per * each) + F.col("at")).alias("number"), "s.total", "s.weight").where(F.col("number") < n)
+    return numbered.groupBy(*group, "number").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
 
 
 def sign_flip(diffs: DataFrame, keys: list[str], n_permutations: int = PERMUTATIONS, seed: str = "flip") -> DataFrame:
     """keys, n_units, mean_diff, p_value: two-sided, add-one, over all patterns up to EXACT_UP_TO units, else over random ones.
 
-    diffs has unit (distinct within a group) and diff. Random patterns are sums of signed differences: each row of differences
-    adds to LANE patterns at once, rows of any part of the data add up to partial sums, and those add up to the group's. No
-    row and no task holds the units of a group, so their number has no bound; what is kept is n_permutations sums a group.
+    diffs has unit (distinct within a group) and diff. Random patterns are sums of signed differences that add up over the parts
+    of the data (drawn), so the number of units has no bound; what is kept is n_permutations sums a group.
     """
     known = sized(diffs, keys)
     named = [*keys, "n_units", "mean_diff"]
@@ -46,10 +83,7 @@ def sign_flip(diffs: DataFrame, keys: list[str], n_permutations: int = PERMUTATI
     pattern = few.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("n_units")).cast("long") - 1)))
     flipped = F.aggregate(F.transform(F.col("d"), lambda x, i: x * F.when(F.floor(F.col("perm") / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1, -1.0).otherwise(1.0)), F.lit(0.0), lambda s, x: s + x)
     exact = pattern.select(*named, flipped.alias("total"))
-    lanes = spread(known.where(F.col("n_units") > EXACT_UP_TO)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit((n_permutations - 1) // expr.LANE))))
-    signed = lanes.withColumn("bits", expr.lane_bits(seed, "lane", "unit"))
-    sums = signed.groupBy(*named, "lane").agg(*[F.sum(F.col("diff") * (1 - 2 * F.shiftright("bits", k).bitwiseAND(F.lit(1)))).alias(f"s{k}") for k in range(expr.LANE)])
-    each = sums.select(*named, "lane", F.posexplode(F.array(*[f"s{k}" for k in range(expr.LANE)])).alias("_at", "total")).where(F.col("lane") * expr.LANE + F.col("_at") < n_permutations)
+    each = drawn(known.where(F.col("n_units") > EXACT_UP_TO), named, n_permutations, seed, expr.DIGEST_BITS, expr.signs)
     hit = F.abs(F.col("total") / F.col("n_units")) >= F.abs(F.col("mean_diff")) - TOLERANCE
     return exact.unionByName(each.select(*named, "total")).groupBy(*named).agg(F.count_if(hit).alias("hits"), F.count("*").alias("size")).select(*named, ((F.col("hits") + 1.0) / (F.col("size") + 1.0)).alias("p_value"))
 
@@ -69,13 +103,9 @@ def bootstrap_ci(diffs: DataFrame, keys: list[str], n_boot: int = BOOTSTRAPS, al
     few = known.where(F.col("n_units") <= ARRAY).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "diff"))), lambda x: x["diff"]).alias("d"))
     rows = few.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     n = F.size("d")
-    drawn = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("d", F.floor(expr.uniform(seed, F.col("boot"), j) * n).cast("int"))), F.lit(0.0), lambda s, x: s + x)
-    lanes = spread(known.where(F.col("n_units") > ARRAY)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // expr.WEIGHTS))))
-    names = [f"w{k}" for k in range(expr.WEIGHTS)]
-    weighted = expr.poisson_weighted(lanes.select(*keys, "unit", "diff", "lane"), names, seed, "lane", "unit")
-    sums = weighted.groupBy(*keys, "lane").agg(F.array(*[F.sum(F.col("diff") * F.col(w)) for w in names]).alias("total"), F.array(*[F.sum(w) for w in names]).alias("weight"))
-    each = sums.select(*keys, "lane", F.posexplode(F.arrays_zip("total", "weight")).alias("_at", "s")).where(F.col("lane") * expr.WEIGHTS + F.col("_at") < n_boot)
-    means = rows.select(*keys, (drawn / n).alias("m")).unionByName(each.select(*keys, expr.ratio(F.col("s.total"), F.col("s.weight").cast("double")).alias("m")))
+    taken = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("d", F.floor(expr.uniform(seed, F.col("boot"), j) * n).cast("int"))), F.lit(0.0), lambda s, x: s + x)
+    each = drawn(known.where(F.col("n_units") > ARRAY), keys, n_boot, seed, expr.WEIGHTS, expr.weights)
+    means = rows.select(*keys, (taken / n).alias("m")).unionByName(each.select(*keys, expr.ratio(F.col("total"), F.col("weight")).alias("m")))
     q = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return means.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
@@ -95,9 +125,10 @@ def compared(
     """
     a, b = (r.select("item", F.col("rate").alias(f"rate_{s}"), F.col("seeds").alias(f"seeds_{s}")) for r, s in ((rates_a, "a"), (rates_b, "b")))
     if pairs is None:
-        both = a.join(b, "item", "full_outer")
+        both = stored(a.join(b, "item", "full_outer"), "compared")
     else:
-        sides = pairs.join(a.withColumnRenamed("item", "pre"), "pre", "left").join(b.withColumnRenamed("item", "post"), "post", "left")
+        met = pairs.join(a.withColumnRenamed("item", "pre"), "pre", "left").join(b.withColumnRenamed("item", "post"), "post", "left")
+        sides = stored(met, "compared")
         lost = sides.where("rate_a is null or rate_b is null").agg(F.count("*").alias("n"), F.min(F.struct("pre", "post")).alias("first")).first()
         if lost["n"]:
             raise ValueError(f"{lost['n']} pairs lack gradeable runs on one side, the first {tuple(lost['first'])}")

@@ -467,3 +467,31 @@ def test_each_side_of_shared_items_is_distinct_before_they_meet(spark):
     assert sorted(r["item"] for r in found.collect()) == [1, 2]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan[plan.index("Join") :].count("Aggregate") == 2
+
+
+def test_digests_give_the_draws_of_single_bits_and_limits(spark):
+    import hashlib
+
+    rows = [(g, k, (k * 7919 % 101) / 50 - 1.0) for g, many in ((1, 40), (None, 1500), (3, 17)) for k in range(many)]
+    df = spark.createDataFrame(rows, "g int, unit long, diff double")
+    known = inference.sized(df, ["g"])
+    word = lambda seed, number, k, at, n: int(hashlib.md5(f"{seed}|{number}|{k}".encode()).hexdigest()[at : at + n], 16)
+    bit = lambda m, k: 1.0 - 2.0 * (word("s", m // 128, k, m % 128 // 32 * 8, 8) >> m % 32 & 1)
+    taken = lambda m, k: float(sum(t <= word("s", m // 8, k, m % 8 * 4, 4) for t in expr.POISSON))
+    for n, each, decode, factor in ((300, expr.DIGEST_BITS, expr.signs, bit), (261, expr.WEIGHTS, expr.weights, taken)):
+        got = {(r["g"], r["number"]): r for r in inference.drawn(known, ["g"], n, "s", each, decode).collect()}
+        assert set(got) == {(g, m) for g in (1, None, 3) for m in range(n)}
+        for g, m in ((1, 0), (1, n - 1), (None, 200), (3, 33), (3, 257)):
+            units = [(factor(m, k), d) for h, k, d in rows if h == g]
+            assert got[g, m]["total"] == pytest.approx(sum(f * d for f, d in units), abs=1e-9) and got[g, m]["weight"] == sum(f for f, _ in units)
+
+
+def test_a_resampled_row_takes_little_time(spark):
+    """20000 units in 2000 draws, which took 54 microseconds for each 8 of them when made in columns one by one."""
+    import time
+
+    df = spark.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("unit"), (F.col("id") % 7 - 3.0).alias("diff"))
+    inference.bootstrap_ci(df.limit(2000), ["k"], 16).collect()
+    began = time.perf_counter()
+    inference.bootstrap_ci(df, ["k"], 2000).collect()
+    assert time.perf_counter() - began < 25
