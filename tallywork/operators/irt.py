@@ -217,11 +217,21 @@ def predicted_rates(responses: DataFrame, items: DataFrame, theta: DataFrame) ->
     return every.groupBy("subject").agg(F.avg(F.coalesce("seen", model)).alias("predicted"))
 
 
+#: Trials that are drawn together.
+RUN = 4096
+
+
 def drawn(cells: DataFrame, n_draws: int, seed: str = "attenuation") -> DataFrame:
     """fit_id (the draw), subject, item, successes, trials: binomial outcomes of cells (subject, item, trials, p), a uniform number a trial."""
-    draws = cells.sparkSession.range(n_draws).select(F.col("id").cast("string").alias(FIT))  # some tens of draws, each a copy by design
-    hits = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("trials").cast("int")), lambda t: F.when(expr.uniform(seed, FIT, "subject", "item", t) < F.col("p"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return cells.crossJoin(F.broadcast(draws)).select(FIT, "subject", "item", hits.alias("successes"), "trials")
+    spark = cells.sparkSession
+    draws = spark.range(n_draws).select(F.col("id").cast("string").alias(FIT))  # some tens of draws, each a copy by design
+    asked = cells.crossJoin(F.broadcast(draws)).select(FIT, "subject", "item", F.col("trials").cast("long").alias("trials"), "p", F.monotonically_increasing_id().alias("cell"))
+    # A cell may have any number of trials: they are dealt in runs of RUN over all partitions, a row each only where they are drawn.
+    begins = asked.withColumn("begin", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("trials"), F.lit(1)), F.lit(RUN).cast("long"))))
+    dealt = begins.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(FIT, "subject", "item", "begin"))
+    each = dealt.withColumn("t", F.explode(F.sequence("begin", F.least(F.col("begin") + (RUN - 1), F.greatest(F.col("trials"), F.lit(1))))))
+    hit = (expr.uniform(seed, FIT, "subject", "item", "t") < F.col("p")) & (F.col("t") <= F.col("trials"))
+    return each.groupBy(FIT, "subject", "item", "trials", "cell").agg(F.count_if(hit).cast("int").alias("successes")).select(FIT, "subject", "item", "successes", "trials")
 
 
 def attenuation(cells: DataFrame, n_draws: int = 24, rounds: int = ROUNDS) -> DataFrame:

@@ -495,3 +495,14 @@ def test_a_resampled_row_takes_little_time(spark):
     began = time.perf_counter()
     inference.bootstrap_ci(df, ["k"], 2000).collect()
     assert time.perf_counter() - began < 25
+
+
+def test_trials_of_a_cell_are_drawn_in_runs(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(irt, "RUN", 7)
+    cells = [(1, 1, 50, 0.4), (1, 2, 7, 0.9), (2, 1, 8, 0.5), (2, 2, 0, 1.0), (3, 1, 1, 1.0), (3, 1, 1, 1.0)]
+    got = irt.drawn(spark.createDataFrame(cells, "subject long, item long, trials long, p double").coalesce(1), 2).collect()
+    u = lambda fit, s, i, t: int(hashlib.md5(f"attenuation|{fit}|{s}|{i}|{t}".encode()).hexdigest()[:8], 16) / 2**32
+    want = [(f, s, i, sum(u(f, s, i, t) < p for t in range(1, n + 1)), n) for f in "01" for s, i, n, p in cells]
+    assert sorted(map(tuple, got)) == sorted(want)
