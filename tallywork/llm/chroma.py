@@ -6,10 +6,12 @@ for an offset by integers that agree in all bytes but one (24 bits); offsets wit
 of differing bits over the overlap decides. Of several offsets that of the smallest share is kept, then that of the longest
 overlap, then the nearest to zero.
 
-What occurs more than HOT times (silence, held notes) doesn't vote by itself. There a pair of neighbouring integers votes,
-if they differ, and where that pair too is so common, four in a row. So nothing common meets all recordings, and a held
-note counts at its end only. The recall against all offsets without votes, as tests/llm measure it at five levels of
-noise up to the loudness of the sound, is 0.95 or more of the alignments within MAX_ERROR.
+What occurs more than HOT times (silence, held notes) votes as well, but as runs: positions in a row that share a key are
+one row, and two runs give each offset at which they overlap once, with as many votes as places overlap. So HOT decides how
+votes are counted and never which count: alignments are the same at any HOT. Recordings that share a common sound all meet
+there, so these rows grow with the square of their number, in bounded memory; nothing in the tables at hand is that common.
+The recall against all offsets without votes, as tests/llm measure it at five levels of noise up to the loudness of the
+sound, is 0.95 or more of the alignments within MAX_ERROR.
 
 Recordings of equal fingerprints are one class, whose smallest id stands for it; alignments are between queries' classes
 and all classes, and membership says who is in each. Null, empty or very short sound has no integers, belongs to the
@@ -37,7 +39,7 @@ LOWEST, HIGHEST = 55.0, 900.0
 CUTS = (-0.3, 0.1, 0.5)
 MAX_ERROR = 0.2
 MIN_OVERLAP = 16
-#: Integers that agree in three bytes at one offset that make a candidate, and the most occurrences of one that votes by itself.
+#: Integers that agree in three bytes at one offset that make a candidate, and the most occurrences of one that votes place by place.
 MIN_VOTES = 2
 HOT = 2000
 #: Frames that are transformed together.
@@ -102,23 +104,16 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
 
 def keyed(classes: DataFrame, hot: int = HOT) -> list[DataFrame]:
-    """Tables (class_id, asks, at, key) that vote: three bytes of integers, pairs of integers where those are hot, fours where a pair is."""
-    place = classes.select("class_id", "asks", "fp", F.posexplode("fp").alias("at", "x"))
-    after = lambda k: F.get("fp", F.col("at") + k)
-    each = place.select("class_id", "asks", "at", "x", after(1).alias("x1"), after(2).alias("x2"), after(3).alias("x3"))
+    """Three bytes of integers as keys: places (class_id, asks, at, key) of those that occur hot times at most, runs (class_id, asks, key, at, n) of the others."""
     but_one = [F.col("x").bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * k)).cast("long")) + F.lit(k << 33) for k in range(4)]
-    known, out = each.select("*", F.explode(F.array(*but_one)).alias("key")), []
-    following = [F.shiftleft("x", 32).bitwiseOR(F.col("x1")), F.xxhash64("x", "x1", "x2", "x3")]
-    for key, wanted in zip([*following, None], ["x != x1", "x3 is not null", None], strict=True):
-        if key is None:
-            out.append(known.select("class_id", "asks", "at", "key"))
-            break
-        # One row for each key of more than hot rows: a small part of the rows.
-        common = stored(known.groupBy(F.col("key").alias("of")).count().where(F.col("count") > hot).select("of"), "common")
-        out.append(known.join(common, F.col("key") == F.col("of"), "left_anti").select("class_id", "asks", "at", "key"))
-        rest = known.join(common, F.col("key") == F.col("of"), "left_semi").where(wanted)
-        known = stored(rest.select("class_id", "asks", "at", "x", "x1", "x2", "x3", key.alias("key")).distinct(), "rest")
-    return out
+    known = classes.select("class_id", "asks", F.posexplode("fp").alias("at", "x")).select("class_id", "asks", "at", F.explode(F.array(*but_one)).alias("key"))
+    # One row for each key of more than hot rows: a small part of the rows.
+    common = stored(known.groupBy(F.col("key").alias("of")).count().where(F.col("count") > hot).select("of"), "common")
+    rare = known.join(common, F.col("key") == F.col("of"), "left_anti")
+    rest = known.join(common, F.col("key") == F.col("of"), "left_semi")
+    run = F.col("at") - F.row_number().over(Window.partitionBy("class_id", "key").orderBy("at"))
+    runs = rest.withColumn("run", run).groupBy("class_id", "asks", "key", "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"))
+    return [rare, stored(runs.drop("run").select("class_id", "asks", "key", "at", "n"), "runs")]
 
 
 def aligned(marked: DataFrame, is_query: str, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP, min_votes: int = MIN_VOTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +124,15 @@ def aligned(marked: DataFrame, is_query: str, max_error: float = MAX_ERROR, min_
     digested = stored(marked.withColumn("digest", F.md5(F.to_json("fp"))), "sound")
     classes = stored(digested.groupBy("digest").agg(F.min("id").alias("class_id"), F.max(F.expr(is_query)).alias("asks"), F.first("fp").alias("fp")), "classes")
     members = digested.select("id", F.col("digest").alias("d")).join(classes.select("digest", "class_id"), F.col("d") == F.col("digest")).select("id", "class_id")
-    met = None
-    for table in keyed(classes, hot):
-        asked = table.where("asks").select(F.col("class_id").alias("query_class"), F.col("at").alias("from"), F.col("key").alias("asked"))
-        one = asked.join(table, F.col("asked") == F.col("key")).where("query_class != class_id").select("query_class", "class_id", (F.col("at") - F.col("from")).alias("offset"))
-        met = one if met is None else met.union(one)
-    votes = met.groupBy("query_class", "class_id", "offset").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
+    asking = lambda table, *more: table.where("asks").select(F.col("class_id").alias("query_class"), F.col("at").alias("from"), F.col("key").alias("asked"), *more)
+    others = (F.col("asked") == F.col("key")) & (F.col("query_class") != F.col("class_id"))
+    rare, common = keyed(classes, hot)
+    met = asking(rare).join(rare, others).select("query_class", "class_id", (F.col("at") - F.col("from")).alias("offset"), F.lit(1).cast("long").alias("votes"))
+    long_ = asking(common, F.col("n").alias("m")).join(common, others)
+    overlapping = long_.withColumn("offset", F.explode(F.sequence(F.col("at") - F.col("from") - F.col("m") + 1, F.col("at") - F.col("from") + F.col("n") - 1)))
+    shared = F.least(F.col("from") + F.col("offset") + F.col("m"), F.col("at") + F.col("n")) - F.greatest(F.col("from") + F.col("offset"), F.col("at"))
+    met = met.union(overlapping.select("query_class", "class_id", "offset", shared.cast("long")))
+    votes = met.groupBy("query_class", "class_id", "offset").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= min_votes)
     sound = classes.select(F.col("class_id").alias("c"), "fp")
     both = votes.join(sound.select(F.col("c").alias("q"), F.col("fp").alias("a")), F.col("query_class") == F.col("q")).join(sound.select("c", F.col("fp").alias("b")), F.col("class_id") == F.col("c"))
     begin = F.greatest(F.lit(0), -F.col("offset"))

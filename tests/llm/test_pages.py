@@ -326,6 +326,18 @@ def test_what_is_common_votes_in_pairs_and_fours(spark):
     chroma.aligned(chroma.fingerprints(held), "id % 50 = 0", hot=5)[0].collect()  # ends
 
 
+def test_what_is_common_loses_no_alignment(spark):
+    """Held notes share nothing but one integer, which nearly all places have; and any bound gives the same alignments."""
+    held = spark.createDataFrame([(50 * k, bytearray(tone([7] * (40 + k)))) for k in range(10)], "id long, pcm binary")
+    assert check_alignments(chroma.fingerprints(held), hot=5) == (1.0, 90)
+    g = np.random.default_rng(6)
+    notes, quiet = g.integers(0, 24, 30), np.zeros(16 * chroma.NOTE_SAMPLES, "<i2").tobytes()
+    rows = [(50 * k, quiet + tone(notes[:k]) + quiet + tone([3] * 12)) for k in range(2, 14)]
+    marked = chroma.fingerprints(spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "id long, pcm binary"))
+    found = [sorted(map(tuple, chroma.aligned(marked, "id % 50 = 0", hot=hot)[0].collect())) for hot in (3, 20, 10**9)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
 @pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-menu", "content-share", "ad-free", "search-results", "related-post", "comments-open", "widget"])
 def test_class_words_of_wrappers_leave_the_article(name):
     from tallywork.llm.templates import Page
