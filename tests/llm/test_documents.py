@@ -569,3 +569,15 @@ def test_surrogates_of_odd_and_real_documents(spark, small, docs, odd_docs, empt
         if not any_.search(before[k] or ""):
             assert r["text"] == before[k]
         assert not real & set(any_.findall(r["text"] or ""))
+
+
+def test_the_collector_of_cycles_rests_while_texts_are_tokenized(monkeypatch):
+    import gc
+
+    from tallywork.llm.queries import tokenizer_path
+
+    words, seen = packing.Words(tokenizer_path()), []
+    learn = packing.Words.learn
+    monkeypatch.setattr(packing.Words, "learn", lambda self, new: (seen.append(gc.isenabled()), learn(self, new))[1])
+    words.ids(["one two three"])
+    assert seen == [False] and gc.isenabled()
