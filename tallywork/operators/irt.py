@@ -119,6 +119,38 @@ def fitted_in_rounds(cells: DataFrame, rounds: int = ROUNDS, still: float = STIL
     return state.join(most, FIT).select(FIT, "item", "a", "d", "rounds", "converged")
 
 
+#: Rounds after which a fit counts as one that never comes to rest, and the most subjects and the most items of a fit that one task takes.
+ENDLESS, FEW = 100_000, 1000
+
+
+def fitted_to_rest(cells: DataFrame, still: float = kernels.TOLERANCE, few: int = FEW) -> DataFrame:
+    """As fitted_in_rounds, until no parameter moves by still, which takes tens of rounds or thousands.
+
+    Seconds a round are too many then, so a fit of at most few subjects and few items runs all its rounds in one task, a task a
+    fit. The others run side by side in rounds of a plan. Both begin alike and take the same steps.
+    """
+    known = stored(tried(cells), "irt-cells")
+    sizes = known.groupBy(FIT).agg(F.count_distinct("subject").alias("subjects"), F.count_distinct("item").alias("items"))
+    small = stored(sizes.where((F.col("subjects") <= few) & (F.col("items") <= few)).select(FIT), "irt-small")
+    large = known.join(small, FIT, "left_anti")
+    once = known.join(small, FIT, "left_semi").groupBy(FIT, "subject", "item").agg(F.sum("successes").alias("successes"), F.sum("trials").alias("trials"))
+    begun = once.join(started(once, (FIT,)), [FIT, "item"]).where("subject is not null")
+    item = cells.schema["item"].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        subjects, row = np.unique(pdf["subject"].to_numpy(), return_inverse=True)
+        items, first, column = np.unique(pdf["item"].to_numpy(), return_index=True, return_inverse=True)
+        s, n = np.zeros((len(subjects), len(items))), np.zeros((len(subjects), len(items)))
+        s[row, column], n[row, column] = pdf["successes"], pdf["trials"]
+        a, d, rounds, rest = kernels.to_rest(s, n, pdf["a"].to_numpy()[first], pdf["d"].to_numpy()[first], still, ENDLESS)
+        return pd.DataFrame({FIT: key[0], "item": items, "a": a, "d": d, "rounds": rounds, "converged": rest})
+
+    # So small a shuffle would be merged into one task, unless its number is given.
+    dealt = begun.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), FIT)
+    out = dealt.groupBy(FIT).applyInPandas(run, f"{FIT} string, item {item}, a double, d double, rounds int, converged boolean")
+    return stored(out if large.isEmpty() else out.unionByName(fitted_in_rounds(large, ENDLESS, still)), "irt-rest")
+
+
 def scaled(cells: DataFrame, params: DataFrame, normalize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items (as ITEMS), subjects (as SUBJECTS) and fits (as FITS) of fitted parameters.
 
@@ -234,21 +266,22 @@ def drawn(cells: DataFrame, n_draws: int, seed: str = "attenuation") -> DataFram
     return each.groupBy(FIT, "subject", "item", "trials", "cell").agg(F.count_if(hit).cast("int").alias("successes")).select(FIT, "subject", "item", "successes", "trials")
 
 
-def attenuation(cells: DataFrame, n_draws: int = 24, rounds: int = ROUNDS) -> DataFrame:
+def attenuation(cells: DataFrame, n_draws: int = 24, still: float = kernels.TOLERANCE) -> DataFrame:
     """draw, slope, ability_recovery, difficulty_recovery: a parametric bootstrap of the fit.
 
     Outcomes are drawn from the fitted model at the real numbers of trials, all draws are fitted at once, and the slopes found
-    are regressed on those that made them. Draws with fewer than three usable items are skipped.
+    are regressed on those that made them. The model and the draws are fitted until no parameter moves by still. Draws with
+    fewer than three usable items are skipped.
     """
-    once = cells.select("subject", "item", "successes", "trials").withColumn(FIT, F.lit("base"))
-    items, subjects, _ = scaled(once, fitted_in_rounds(once, rounds))
+    once = stored(cells.select("subject", "item", "successes", "trials"), "irt-once").withColumn(FIT, F.lit("base"))
+    items, subjects, _ = scaled(once, fitted_to_rest(once, still))
     items, subjects = stored(items, "irt-base"), stored(subjects, "irt-base")
     usable = F.col("identified") & (F.col("b") != float("inf"))
     # An item without a difficulty has no ability at which it is solved.
     p = F.when(F.col("b") == float("inf"), 0.0).otherwise(probability(F.col("a"), F.col("b"), F.col("theta")))
     made = once.drop(FIT).join(items.select("item", "a", "b"), "item").join(subjects.select("subject", "theta"), "subject").withColumn("p", p)
     again = stored(drawn(made.select("subject", "item", "trials", "p"), n_draws), "irt-draws")
-    new_items, new_subjects, _ = scaled(again, fitted_in_rounds(again, rounds))
+    new_items, new_subjects, _ = scaled(again, fitted_to_rest(again, still))
     base = items.where(usable).select("item", F.col("a").alias("a0"), F.col("b").alias("b0"))
     both = new_items.join(base, "item").where(F.col("b") != float("inf"))
     slope = expr.ratio(F.covar_samp("a0", "a"), F.var_samp("a0"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywork import summaries
 from tallywork.functions import expr, shuffles
-from tallywork.operators import clustering, ctt, features, inference, irt, published, skills, subset, suites
+from tallywork.operators import clustering, ctt, features, inference, irt, kernels, published, skills, subset, suites
 from tallywork.plans import fixtures as fx
 from tallywork.plans.catalog import query, rounded
 
@@ -495,15 +495,38 @@ def irt_held_out(spark: SparkSession, d: str) -> DataFrame:
     return irt.held_out(fx.cells(spark, d), 3, rounds=EM).select("model", F.round("log_likelihood", 7).alias("log_likelihood"))
 
 
-DRAWS = 3
-
-
-@query(WHOLE + f""", made as (select subject, item, trials, case when isfinite(b) then 1 / (1 + exp(-a * (theta - b))) else 0 end as p from cells join z_items i using (item) join z_subjects s using (subject)),
+DRAWS = 24
+
+
+def em_rest_sql(cells: str, name: str, still: float = kernels.TOLERANCE) -> str:
+    """Table name (fit_id, item, a, d) of em_sql's rounds, as many as it takes until no parameter of a fit moves by still. Sums over subjects, items and nodes are products of lists."""
+    return f""", {name}_full as materialized (select fit_id, subject, item, coalesce(successes, 0)::double as s, coalesce(trials, 0)::double as t from (select distinct fit_id, subject from {cells}) join (select distinct fit_id, item from {cells}) using (fit_id) left join {cells} using (fit_id, subject, item)),
+    {name}_by_subject as materialized (select fit_id, subject, list(t order by item) as ts, list(t - s order by item) as fs from {name}_full group by all),
+    {name}_by_item as materialized (select fit_id, item, list(s order by subject) as ss, list(t order by subject) as ts from {name}_full group by all),
+    {name}_grid as materialized (select list(x order by node) as xs, list(x * x order by node) as xxs, list(prior order by node) as priors from nd),
+    {name}_turns as materialized (with recursive turns as (select fit_id, item, 1.0::double as a, ln(r / (1 - r)) as d, 0 as k, 'inf'::double as moved from (select fit_id, item, least(greatest(sum(successes) / sum(trials)::double, 1e-3::double), 1 - 1e-3::double) as r from {cells} group by all)
+     union all (with live as materialized (select fit_id, item, a, d, k from turns where k < {irt.ENDLESS} and fit_id in (select fit_id from turns group by fit_id having max(moved) >= {still}::double)),
+      models as materialized (select fit_id, ma, md, xs, priors, list_transform(xs, lambda x: list_transform(list_zip(ma, md), lambda m: least(m[1] * x + m[2], 0) - ln(1 + exp(-abs(m[1] * x + m[2]))))) as logs from (select fit_id, list(a order by item) as ma, list(d order by item) as md from live group by fit_id), {name}_grid),
+      l as materialized (select fit_id, subject, list_transform(logs, lambda u, i: list_dot_product(ts, u) - fa * xs[i] - fd + priors[i]) as l from (select *, list_dot_product(fs, ma) as fa, list_dot_product(fs, md) as fd from {name}_by_subject join models using (fit_id))),
+      w as (select fit_id, subject, list_transform(l, lambda v: exp(v - top)) as w from (select *, list_max(l) as top from l)),
+      o as materialized (select fit_id, list(post order by subject) as posts from (select fit_id, subject, list_transform(w, lambda v: v / mass) as post from (select *, list_sum(w) as mass from w)) group by fit_id),
+      across as materialized (select fit_id, xs, xxs, list_transform(xs, lambda x, i: list_transform(posts, lambda p: p[i])) as nodes from o, {name}_grid),
+      rf as (select fit_id, item, a, d, k, xs, xxs, list_transform(nodes, lambda n: list_dot_product(ss, n)) as r, list_transform(nodes, lambda n: list_dot_product(ts, n)) as f, list_transform(xs, lambda x: 1 / (1 + exp(-(a * x + d)))) as p from {name}_by_item join across using (fit_id) join live using (fit_id, item)),
+      ew as (select *, list_transform(r, lambda v, i: v - f[i] * p[i]) as es, list_transform(f, lambda v, i: v * p[i] * (1 - p[i])) as ws from rf),
+      sums as (select fit_id, item, a, d, k, list_sum(es) as e, list_sum(ws) as w, list_dot_product(es, xs) as ex, list_dot_product(ws, xs) as wx, list_dot_product(ws, xxs) as wxx from ew),
+      g as (select *, e - d / 16 as gd, w + 1 / 16.0::double + 1e-6::double as hd, ex - (a - 1) / 0.36::double as ga, wxx + 1 / 0.36::double + 1e-6::double as ha from sums),
+      v as (select *, (hd * ga - wx * gd) / (ha * hd - wx * wx) as da, (ha * gd - wx * ga) / (ha * hd - wx * wx) as dd from g),
+      s as (select *, least(1, 1 / greatest(abs(da), abs(dd), 1e-12::double)) as scale from v)
+      select fit_id, item, a + da * scale, d + dd * scale, k + 1, greatest(abs(da), abs(dd)) * scale from s)) select * from turns),
+    {name} as materialized (select fit_id, item, a, d from {name}_turns qualify k = max(k) over (partition by fit_id))"""
+
+
+@query(NODES + ALL + em_rest_sql("every", "p") + em_scaled_sql("every", "p", "z") + f""", made as (select subject, item, trials, case when isfinite(b) then 1 / (1 + exp(-a * (theta - b))) else 0 end as p from cells join z_items i using (item) join z_subjects s using (subject)),
     again as materialized (select fit_id, subject, item, count(*) filter ({expr.uniform_sql('attenuation', 'fit_id', 'subject', 'item', 't')} < p) as successes, any_value(trials) as trials from (select draw::varchar as fit_id, made.*, unnest(range(1, trials + 1)) as t from made, (select unnest(range({DRAWS})) as draw)) group by fit_id, subject, item)"""
-    + em_sql("again", "y") + em_scaled_sql("again", f"y{EM}", "t") + """, io as (select n.fit_id, count(*) as n, covar_samp(o.a, n.a) / var_samp(o.a) as slope, covar_samp(o.b, n.b) / (stddev_samp(o.b) * stddev_samp(n.b)) as difficulty_recovery from t_items n join z_items o using (item) where o.identified and isfinite(o.b) and isfinite(n.b) group by n.fit_id),
+    + em_rest_sql("again", "y") + em_scaled_sql("again", "y", "t") + """, io as (select n.fit_id, count(*) as n, covar_samp(o.a, n.a) / var_samp(o.a) as slope, covar_samp(o.b, n.b) / (stddev_samp(o.b) * stddev_samp(n.b)) as difficulty_recovery from t_items n join z_items o using (item) where o.identified and isfinite(o.b) and isfinite(n.b) group by n.fit_id),
     so as (select n.fit_id, covar_samp(o.theta, n.theta) / (stddev_samp(o.theta) * stddev_samp(n.theta)) as ability_recovery from t_subjects n join z_subjects o using (subject) group by n.fit_id) select fit_id as draw, round(slope, 6) as slope, round(ability_recovery, 6) as ability_recovery, round(difficulty_recovery, 6) as difficulty_recovery from io join so using (fit_id) where n >= 3""", "cells")
 def irt_attenuation(spark: SparkSession, d: str) -> DataFrame:
-    out = irt.attenuation(fx.cells(spark, d), DRAWS, EM)
+    out = irt.attenuation(fx.cells(spark, d), DRAWS)
     return out.select("draw", *[F.round(c, 6).alias(c) for c in ("slope", "ability_recovery", "difficulty_recovery")])
 
 

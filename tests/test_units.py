@@ -506,3 +506,49 @@ def test_trials_of_a_cell_are_drawn_in_runs(spark, monkeypatch):
     u = lambda fit, s, i, t: int(hashlib.md5(f"attenuation|{fit}|{s}|{i}|{t}".encode()).hexdigest()[:8], 16) / 2**32
     want = [(f, s, i, sum(u(f, s, i, t) < p for t in range(1, n + 1)), n) for f in "01" for s, i, n, p in cells]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_attenuation_fits_two_dozen_draws_until_nothing_moves(spark, monkeypatch):
+    """The query against the same outcomes fitted by a loop here; three draws of five rounds give other slopes."""
+    import hashlib
+
+    from tallywork.plans import measurement
+
+    n, x, w = np.full((6, 8), 12.0), *kernels.quadrature()
+    s = np.round(n * kernels.sigmoid(1.5 * (np.linspace(-1.5, 1.5, 6)[:, None] - np.linspace(-1.2, 1.4, 8))))
+
+    def fit(s):
+        rate = np.clip(s.sum(0) / n.sum(0), 1e-3, 1 - 1e-3)
+        a, d, moved, rounds = np.ones(8), np.log(rate / (1 - rate)), 1.0, 0
+        while moved >= 1e-6:
+            post, _ = kernels.posterior(s, n, a, d, x, w)
+            a2, d2 = kernels.newton(s.T @ post, n.T @ post, x, a, d, steps=1)
+            a, d, moved, rounds = a2, d2, max(np.abs(a2 - a).max(), np.abs(d2 - d).max()), rounds + 1
+        theta = kernels.posterior(s, n, a, d, x, w)[0] @ x
+        mean, sd = theta.mean(), theta.std(ddof=1)
+        return a * sd, d + a * mean, (theta - mean) / sd, rounds
+
+    a, d, theta, rounds = fit(s)
+    assert rounds > 20
+    u = lambda k, i, j, t: int(hashlib.md5(f"attenuation|{k}|{i}|{j}|{t}".encode()).hexdigest()[:8], 16) / 2**32
+    p = kernels.sigmoid(theta[:, None] * a + d)
+    want = {}
+    for k in range(24):
+        a1, d1, theta1, _ = fit(np.array([[sum(u(k, i, j, t) < p[i, j] for t in range(1, 13)) for j in range(8)] for i in range(6)], float))
+        ok = (np.abs(a) >= kernels.IDENTIFIED) & (np.abs(a1) >= kernels.IDENTIFIED)
+        want[str(k)] = (np.polyfit(a[ok], a1[ok], 1)[0], np.corrcoef(theta, theta1)[0, 1], np.corrcoef((d / a)[ok], (d1 / a1)[ok])[0, 1])
+    cells = spark.createDataFrame([(i, j, int(s[i, j]), 12) for i in range(6) for j in range(8)], "subject long, item long, successes long, trials long")
+    monkeypatch.setattr(measurement.fx, "cells", lambda spark, d: cells)
+    got = {r["draw"]: (r["slope"], r["ability_recovery"], r["difficulty_recovery"]) for r in measurement.irt_attenuation(spark, "").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_fits_to_rest_are_the_same_in_a_task_and_in_rounds(spark):
+    rows = [(f, i, j, (7 * i + 5 * j + i * j) % 9 * 40 if f == "x" else max(0, min(400, 200 + 60 * (i - j))), 400) for f, subjects, items in (("x", 3, 3), ("y", 4, 5)) for i in range(subjects) for j in range(items) if (f, i, j) != ("y", 2, 1)]
+    rows += [("y", 0, 0, 3, 5), ("y", 9, 9, 0, 0)]
+    cells = spark.createDataFrame(rows, "fit_id string, subject long, item long, successes long, trials long")
+    tasks, both, plans = (sorted(tuple(r) for r in irt.fitted_to_rest(cells, 1e-2, few).collect()) for few in (5, 3, 0))
+    assert len(tasks) == 8 and all(r[-1] for r in tasks)
+    for other in (both, plans):
+        assert [r[:2] + r[4:] for r in other] == [r[:2] + r[4:] for r in tasks]
+        assert all(p[2:4] == pytest.approx(q[2:4], abs=1e-9) for p, q in zip(tasks, other, strict=True))
