@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallywork.functions import expr
+from tallywork.functions import digest, expr
 from tallywork.operators import kernels
 from tallywork.sources.shared import Rounds, stored
 
@@ -258,12 +262,21 @@ def drawn(cells: DataFrame, n_draws: int, seed: str = "attenuation") -> DataFram
     spark = cells.sparkSession
     draws = spark.range(n_draws).select(F.col("id").cast("string").alias(FIT))  # some tens of draws, each a copy by design
     asked = cells.crossJoin(F.broadcast(draws)).select(FIT, "subject", "item", F.col("trials").cast("long").alias("trials"), "p", F.monotonically_increasing_id().alias("cell"))
-    # A cell may have any number of trials: they are dealt in runs of RUN over all partitions, a row each only where they are drawn.
+    # A cell may have any number of trials: they are dealt in runs of RUN over all partitions, and counted where they are drawn.
     begins = asked.withColumn("begin", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("trials"), F.lit(1)), F.lit(RUN).cast("long"))))
     dealt = begins.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(FIT, "subject", "item", "begin"))
-    each = dealt.withColumn("t", F.explode(F.sequence("begin", F.least(F.col("begin") + (RUN - 1), F.greatest(F.col("trials"), F.lit(1))))))
-    hit = (expr.uniform(seed, FIT, "subject", "item", "t") < F.col("p")) & (F.col("t") <= F.col("trials"))
-    return each.groupBy(FIT, "subject", "item", "trials", "cell").agg(F.count_if(hit).cast("int").alias("successes")).select(FIT, "subject", "item", "successes", "trials")
+    key = F.concat(F.concat_ws("|", F.lit(seed), FIT, F.col("subject").cast("string"), F.col("item").cast("string")), F.lit("|")).cast("binary")
+    end = F.coalesce(F.least(F.col("begin") + (RUN - 1), F.coalesce("trials", F.lit(0))), F.lit(0))
+    runs = dealt.select(FIT, "subject", "item", "trials", "cell", key.alias("key"), "begin", end.alias("end"), F.when(F.isnan("p"), 2.0).otherwise(F.coalesce("p", F.lit(-1.0))).alias("p"))
+    kept = [FIT, "subject", "item", "trials", "cell"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begin, last, p = (b.column(k).to_numpy(zero_copy_only=False) for k in ("begin", "end", "p"))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(digest.below(b.column("key").to_pylist(), begin, last, p))], [*kept, "hits"])
+
+    each = runs.mapInArrow(count, StructType([runs.schema[k] for k in kept] + [StructField("hits", LongType())]))
+    return each.groupBy(*kept).agg(F.sum("hits").cast("int").alias("successes")).select(FIT, "subject", "item", "successes", "trials")
 
 
 def attenuation(cells: DataFrame, n_draws: int = 24, still: float = kernels.TOLERANCE) -> DataFrame:

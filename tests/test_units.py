@@ -552,3 +552,19 @@ def test_fits_to_rest_are_the_same_in_a_task_and_in_rounds(spark):
     for other in (both, plans):
         assert [r[:2] + r[4:] for r in other] == [r[:2] + r[4:] for r in tasks]
         assert all(p[2:4] == pytest.approx(q[2:4], abs=1e-9) for p, q in zip(tasks, other, strict=True))
+
+
+def test_md5_of_many_texts_at_once_is_that_of_each(monkeypatch):
+    import hashlib
+
+    from tallywork.functions import digest
+
+    texts = [f"attenuation|{k % 3}|{k}|".encode() for k in range(30)] + [b"x" * k for k in range(0, 140, 7)] + ["é|".encode(), b""]
+    first, last, limit = (np.array([f(k) for k in range(len(texts))]) for f in (lambda k: 1 + 97 * k % 120, lambda k: 97 * k % 120 + 41 * k % 130 - 1, lambda k: k % 11 / 10))
+    first[[4, 5, 6]], last[[4, 5, 6]], limit[[7, 8]] = (99990, 999999990, 2**33), (100020, 1000000010, 2**33 + 5), (2.0, -1.0)
+    u = lambda text, t: int(hashlib.md5(text + str(t).encode()).hexdigest()[:8], 16) / 2**32
+    want = [sum(u(x, t) < p for t in range(f, g + 1)) for x, f, g, p in zip(texts, first, last, limit, strict=True)]
+    for together in (7, 16384):
+        monkeypatch.setattr(digest, "TOGETHER", together)
+        assert digest.below(texts, first, last, limit).tolist() == want
+    assert digest.below([], first[:0], last[:0], limit[:0]).tolist() == []
