@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.functions import expr, ordering
+from tallywork.sources.shared import stored
 
 EPS = 1e-12
 
@@ -22,9 +23,9 @@ def imputed(rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
 def winsorised(rows: DataFrame, low: float = 0.005, high: float = 0.995, outliers_only: bool = True, z: float = 12.0) -> DataFrame:
     """Values clipped to percentiles; with outliers_only just in features where some value lies over z scaled deviations from the median."""
-    known = ordering.quantiles(rows, ["feature"], "x", [0.5, low, high]).drop("n")
+    known = stored(ordering.quantiles(rows, ["feature"], "x", [0.5, low, high]).drop("n"), "percentiles")
     dev = ordering.matched(rows, known, ["feature"]).withColumn("dev", F.abs(F.col("x") - F.col("q")[0]))
-    scale = ordering.quantiles(dev, ["feature"], "dev", [0.5, 1.0]).select("feature", F.col("q").alias("far"))
+    scale = stored(ordering.quantiles(dev, ["feature"], "dev", [0.5, 1.0]).select("feature", F.col("q").alias("far")), "deviations")
     joined = ordering.matched(dev, scale, ["feature"])
     wild = F.col("far")[1] > z * F.greatest(1.4826 * F.col("far")[0], F.lit(EPS))
     clipped = F.least(F.greatest(F.col("x"), F.col("q")[1]), F.col("q")[2])

@@ -42,6 +42,37 @@ def test_quantiles_are_numpys(numbers):
         assert r["n"] == len(v) and np.allclose(r["q"], np.quantile(v, shares))
 
 
+def test_quantiles_order_only_what_lies_beside_them(spark, monkeypatch):
+    ordered, running = [], ordering.running
+    monkeypatch.setattr(ordering, "running", lambda rows, *rest: ordered.append(rows.count()) or running(rows, *rest))
+    df = spark.range(0, 20000, 1, 5).select(F.when(F.col("id") % 5 < 4, F.col("id") % 2).alias("k"), (F.xxhash64("id") / 2.0**63).alias("v"))
+    shares = [0.5, 0.005, 0.995]
+    got = {r["k"]: (r["n"], r["q"]) for r in ordering.quantiles(df, ["k"], "v", shares).collect()}
+    rows = df.collect()
+    for k in (0, 1, None):
+        v = [r["v"] for r in rows if r["k"] == k]
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, shares), rtol=0, atol=1e-12)
+    assert len(got) == 3 and 0 < sum(ordered) < 2000
+
+
+def test_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("odd", v) for v in (2.0, nan, -inf, 0.0, -1.0, inf, -0.0)] + [("hot", 7.0)] * 500 + [("hot", float(k)) for k in range(400)] + [(None, 3.0), ("none", None)]
+    got = {r["k"]: (r["n"], r["q"]) for r in ordering.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", [0.5, 0.0, 1.0, 0.25]).collect()}
+    assert str(got["odd"]) == str((7, [0.0, nan, nan, -0.5]))
+    assert got["hot"] == (900, [7.0, 0.0, 399.0, 7.0]) and got[None] == (1, [3.0] * 4) and "none" not in got
+
+
+def test_values_are_clipped_in_wild_features_only(spark):
+    calm = [(k, 1, k / 1000.0) for k in range(1000)]
+    wild = [(k, 2, (k * 7919 % 1000) / 1000.0 * (1000.0 if k == 13 else 1.0)) for k in range(1000)] + [(1000, None, 5.0), (1000, None, 5.0)]
+    df = spark.createDataFrame(calm + wild, "row long, feature long, x double").repartition(4)
+    got = sorted(map(tuple, features.winsorised(df).collect()), key=str)
+    low, high = np.quantile([x for _, f, x in wild if f == 2], [0.005, 0.995])
+    want = sorted([(r, f, min(max(x, low), high) if f == 2 else x) for r, f, x in calm + wild], key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_nothing_in_gives_nothing_out(numbers):
     _, df = numbers
     none = df.where("u < 0")
