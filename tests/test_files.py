@@ -88,6 +88,29 @@ def test_six_decimals_and_no_overwriting(spark, tmp_path):
         sinks.write_csv(rows, str(tmp_path / "out"))
 
 
+SUBMISSIONS = "competition_id string, seed int, submission_path string, has_submission boolean"
+
+
+def test_submissions_are_read_once_and_counted_as_they_are_written(spark, tmp_path, monkeypatch):
+    rows, read = [("a", k, f"s/{k}.csv", k % 3 > 0) for k in range(60)], spark.sparkContext.accumulator(0)
+    counted = spark.sparkContext.parallelize(rows, 4).map(lambda r: (read.add(1), r)[1])
+    monkeypatch.setattr(type(spark.read), "json", lambda *_, **__: pytest.fail("the lines are read again"))
+    assert sinks.write_submissions(spark.createDataFrame(counted, SUBMISSIONS, verifySchema=False), str(tmp_path / "list")) == 40
+    assert read.value == 60
+    assert sorted(r["seed"] for r in files.submissions_jsonl(spark, str(tmp_path / "list")).collect()) == [k for k in range(60) if k % 3]
+
+
+def test_odd_submissions(spark, tmp_path):
+    odd = [(None, None, None, True)] * 2 + [("a\nb \r", 1, "", True)] * 3 + [("a", 2, "p", None), ("a", 3, "p", False)]
+    df = spark.createDataFrame(odd, SUBMISSIONS).repartition(3)
+    assert sinks.write_submissions(df, str(tmp_path / "odd")) == 5
+    assert sorted(map(tuple, files.submissions_jsonl(spark, str(tmp_path / "odd")).collect()), key=str) == sorted((r[:3] for r in odd[:5]), key=str)
+    for k, none in enumerate((df.where("seed = 3"), df.where("false"), df.limit(0))):
+        assert sinks.write_submissions(none, str(tmp_path / f"none{k}")) == 0 and (tmp_path / f"none{k}").is_dir()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_submissions(df, str(tmp_path / "odd"))
+
+
 def test_large_run_sets_become_several_documents(spark, tmp_path):
     rows = [("big", "s", "gpu", k % 7, k % 3) for k in range(500)] + [('odd "}"\\/', "s", None, 1, 0)] * 2 + [("small", "t", None, k, 0) for k in range(5)]
     df = spark.createDataFrame(rows, "run_set string, split_id string, container_config string, item long, seed int").repartition(3)
