@@ -142,6 +142,30 @@ def test_long_and_broken_pages_take_linear_time():
         assert time.perf_counter() - began < 20 and want in (None, got), source[:30]
 
 
+def test_attributes_are_read_only_where_they_can_tell(monkeypatch):
+    class Counted:
+        read: list[str] = []
+
+        def findall(self, text):
+            self.read.append(text)
+            return pattern.findall(text)
+
+    pattern = templates.ATTRIBUTE
+    monkeypatch.setattr(templates, "ATTRIBUTE", Counted())
+    told = ("CLASS='ad'", "Id=comments", "ROLE=navigation", "Hidden", "aria-hidden='true'", "style='Display: none'")
+    page = "".join(f"<p>k{k} <a href='/{k}'>x</a><br/><img src=y></p>" for k in range(50)) + "".join(f"<div {t}>gone</div>" for t in told) + "<div title='not hidden'>kept</div>"
+    assert templates.Page(page).main_text() == "\n".join([*(f"k{k} x" for k in range(50)), "kept"])
+    assert len(Counted.read) == len(told) + 1
+
+
+def test_pages_without_templates_are_not_hashed(monkeypatch):
+    pages = ["", None, "x<p>a<br>b", "<nav>n</nav><main><p>a</p><div class=ad>d</div></main>", "<![CDATA[a]]b]]><!-- c --><!doctype d><? e ?>f", "<form><article>a</article></form><form>f</form>", "<header>h</header><article><header>own</header>a</article>"]
+    want = [templates.Page(p).main_text() for p in pages]
+    assert want == ["", "", "x\na b", "a", "a]]bf", "a", "own\na"]
+    monkeypatch.setattr(templates.xxhash, "xxh64_intdigest", lambda *_: pytest.fail("hashed"))
+    assert [templates.Page(p, hashed=False).main_text() for p in pages] == want
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     body = "<div>Home | News</div><div><p>One story of some length, told once on this site.</p></div><div>Made by us</div>"
     stamp = lambda k: f"<div>Home | News</div><div><p>A page of some length that was fetched many times.</p></div><div>seen {k} times</div>"
