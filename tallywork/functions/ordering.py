@@ -64,7 +64,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     Approximate percentiles cut each group below and above every share. Values up to each cut are counted, and only those
     between two cuts that have a wanted place between them are put in order. Where the cuts lie sets how many those are and
     nothing else. Cuts and counts, a row a group, are stored: all passes see the same ones, and Spark knows their size when it
-    plans the joins, so that rows aren't shuffled to meet a small table.
+    plans the joins, so that rows aren't shuffled to meet a small table. The values kept are stored too, as running goes
+    through them twice; so rows are gone through three times.
     """
     known = rows.where(F.col(value).isNotNull()).select(*keys, value)
     beside = lambda left, right: matched(left, right, keys) if keys else left.crossJoin(right)  # noqa: E731  (one row)
@@ -78,7 +79,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     spans = stored(beside(cuts, counts).select(*keys, "_size", "_cuts", F.array(*[F.when(wanted(b, e), b) for b, e in pairwise(ends)]).alias("_bases")), "spans")
     base = F.get("_bases", sum((-u.cast("int") for u in upto), F.lit(len(near))))  # that of a value's range
     kept = beside(known, spans).select(*keys, "_size", base.alias("_base"), value, F.lit(1).cast("long").alias("n")).where("_base is not null")
-    found = running(kept, [*keys, "_size", "_base"], value, ["n"]).withColumn("before_n", F.col("before_n") + F.col("_base"))
+    found = running(stored(kept, "kept"), [*keys, "_size", "_base"], value, ["n"]).withColumn("before_n", F.col("before_n") + F.col("_base"))
     holds = lambda p: (F.col("before_n") <= p) & (p < F.col("before_n") + F.col("n"))
     picks = []
     for k, a in enumerate(at):

@@ -55,6 +55,13 @@ def test_quantiles_order_only_what_lies_beside_them(spark, monkeypatch):
     assert len(got) == 3 and 0 < sum(ordered) < 2000
 
 
+def test_quantiles_go_through_the_rows_three_times(spark):
+    rows, read = [(k % 2, float(k)) for k in range(200)], spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(lambda r: (read.add(1), r)[1]), "k int, v double", verifySchema=False)
+    assert {r["k"]: r["q"] for r in ordering.quantiles(counted, ["k"], "v", [0.5]).collect()} == {0: [99.0], 1: [100.0]}
+    assert read.value == 3 * len(rows)
+
+
 def test_quantiles_of_odd_values(spark):
     inf, nan = float("inf"), float("nan")
     rows = [("odd", v) for v in (2.0, nan, -inf, 0.0, -1.0, inf, -0.0)] + [("hot", 7.0)] * 500 + [("hot", float(k)) for k in range(400)] + [(None, 3.0), ("none", None)]
